@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What the text operators split on, besides the space itself.
@@ -72,3 +72,25 @@ def word_count(column: str = "text"):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key is hot with over this share of all rows (and HOT_ROWS of them).
+HOT_SHARE = 1 / 512
+HOT_ROWS = 1000
+SALTS = 64
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, spread: Column) -> DataFrame:
+    """rows with the facts of their key; facts has one row for each key.
+
+    ``size`` is the column of facts with the number of rows of the key, ``spread`` any
+    number that differs among rows of a key. Hot keys are dealt over SALTS tasks. There
+    are at most 1 / HOT_SHARE of them, so the list of them is broadcast.
+    """
+    total = facts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = F.broadcast(facts.where(F.col(size) > least).select(*keys, F.lit(True).alias("hot")))
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salted = facts.withColumn("salt", F.explode(F.when(F.col(size) > least, every).otherwise(F.array(F.lit(0)))))
+    dealt = rows.join(hot, keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0))
+    return dealt.join(salted, [*keys, "salt"]).drop("salt", "hot")

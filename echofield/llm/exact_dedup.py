@@ -14,7 +14,7 @@ decided on the bytes of the texts, not on the key.
 * Buckets are key ranges (prefixes of the key). Owner tasks get contiguous ranges,
   number the entries of each chain and write the index files.
 * Documents look their key up. Keys with very many documents are salted over several
-  tasks; there are at most ``1 / HOT_SHARE`` such keys, so their list is broadcast.
+  tasks; there are only so many such keys, so their list is broadcast.
 
 Only DataFrame functions are used.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import one_spaced, written
+from .common import one_spaced, salted_join, written
 
 #: Entries of one bucket before it is split.
 BUCKET_CAPACITY = 4096
@@ -38,10 +38,6 @@ BUCKET_CAPACITY = 4096
 MAX_DEPTH = 24
 #: Directory rows up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 65_536
-#: A key is hot with over this share of all rows (and HOT_ROWS of them).
-HOT_SHARE = 1 / 512
-HOT_ROWS = 1000
-SALTS = 64
 
 
 def _keyed(docs: DataFrame, *extra) -> DataFrame:
@@ -101,17 +97,8 @@ def _index(found: DataFrame, capacity: int) -> DataFrame:
 def membership(docs: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, bucket, chain; a row per document."""
     index = groups(docs, capacity)
-    total = index.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    least = max(HOT_ROWS, int(total * HOT_SHARE))
-    hot = F.broadcast(index.where(F.col("group_size") > least).select("key", "text_sha256", F.lit(True).alias("hot")))
-    salted = index.withColumn("salt", F.explode(F.when(F.col("group_size") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    rows = (
-        _keyed(docs)
-        .select("id", "key", F.sha2("body", 256).alias("text_sha256"))
-        .join(hot, ["key", "text_sha256"], "left")
-        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
-    )
-    return rows.join(salted, ["key", "text_sha256", "salt"]).select(
+    rows = _keyed(docs).select("id", "key", F.sha2("body", 256).alias("text_sha256"))
+    return salted_join(rows, index, ["key", "text_sha256"], "group_size", F.xxhash64("id")).select(
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",
