@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, packing, quality, simhash, spotsigs, suffix_dedup
+from . import exact_dedup, license_scan, mixing, packing, pseudonyms, quality, simhash, spotsigs, suffix_dedup, url_filter
 from .common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(table(spark, sf_dir, "documents"))
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
+    op1_url_filter,
     op2_exact_dedup,
+    op3_pseudonyms,
     op4_spotsigs,
     op5_power_of_two_packing,
     op6_suffix_dedup,
