@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import collects, pixels
+
+QUERIES: dict = pixels.QUERIES | collects.QUERIES
+ORACLE_SQL: dict[str, str] = pixels.ORACLE_SQL | collects.ORACLE_SQL
