@@ -1,0 +1,159 @@
+from __future__ import annotations
+
+import re
+from collections import Counter
+from datetime import date
+
+import pytest
+
+from echofield.llm import mixing, pseudonyms, url_filter
+
+
+def words(text):
+    return len(re.findall("[^\x20\x09-\x0d]+", text or ""))
+
+
+def brute_targets(size):
+    order = sorted((s for s in size if s is not None)) + [s for s in size if s is None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, open_, target = 1.5 * sum(size.values()), set(order), {}
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if share * weight[s] > 2 * size[s]]
+        if not over:
+            target.update({s: share * weight[s] for s in open_})
+            break
+        for s in over:
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+            open_.discard(s)
+    return target
+
+
+def test_mix_against_brute_force(odd, odd_rows):
+    got = mixing.mix(odd).collect()
+    assert Counter((x.doc_id, x.size) for x in got) == Counter((x[0], words(x[1])) for x in odd_rows)
+    size = Counter()
+    for row in odd_rows:
+        size[row[3]] += words(row[1])
+    target = brute_targets(dict(size))
+    taken = Counter()
+    for x in got:
+        assert x.source_size == size[x.source] and x.target == pytest.approx(target[x.source])
+        assert 0 <= x.taken <= 2 * x.size
+        taken[x.source] += x.taken
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 4 * mixing.block_words(sum(target.values()))
+
+
+def test_mix_is_repeatable(odd):
+    one, two = ({(x.doc_id, x.size, x.taken) for x in mixing.mix(d).collect()} for d in (odd, odd.repartition(5)))
+    assert one == two
+
+
+def test_mix_edge_cases(none, spark):
+    assert mixing.mix(none).count() == 0
+    empty = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
+    assert {(x.doc_id, x.size, x.target, x.taken) for x in mixing.mix(empty).collect()} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
+
+
+def test_mixed_rows_follow_the_decisions(odd):
+    times = Counter()
+    for x in mixing.mix(odd).collect():
+        times[x.doc_id] = max(times[x.doc_id], 1 if x.size == 0 else int(x.taken / x.size + 0.5))
+    mixed = mixing.mixed(odd)
+    assert mixed.columns == odd.columns
+    got = Counter(x.doc_id for x in mixed.collect())
+    times[7] *= 2  # a repeated row
+    assert got == Counter({k: v for k, v in times.items() if v})
+
+
+def test_schedule_is_even(spark):
+    sources = spark.createDataFrame([("=a", 30_000.0, 0.0), ("=b", 10_000.0, 30_000.0)], "key string, target double, below double")
+    slots = mixing.schedule(sources, 16).collect()
+    by = {k: sorted(x.rank for x in slots if x.key == k) for k in ("=a", "=b")}
+    assert len(slots) == 2500 and by["=a"] == list(range(len(by["=a"])))
+    for upto in (100, 1000, 2000):
+        share = sum(x.key == "=a" for x in slots if x.slot < upto) / upto
+        assert abs(share - 0.75) < 3 / upto + 0.01
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        v = int(d) * (1 + k % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def test_pseudonyms_keep_format_and_links(spark):
+    rows = [
+        (1, "card 4111 1111 1111 1111 and 4111111111111111, born 1984-02-29."),
+        (2, "again 4111111111111111; +1 (389) 555-5010; 61.131.143.218"),
+        (3, "iban DE89370400440532013000 ssn 123-45-6789 mail a.b9@x.example.com, 1984/02/29"),
+        (4, "no: 4111111111111112 2023-02-30 300.1.1.1 000-12-3456 DE88370400440532013000 v1.2.3"),
+        (5, None),
+        (6, ""),
+        (7, "+1 (389) 555-5010" + " filler" * 20_000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in pseudonyms.pseudonymise(docs).collect()}
+    one = re.match(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16}), born (\d{4}-\d\d-\d\d)\.$", got[1].text)
+    assert one[1].replace(" ", "") == one[2] != "4111111111111111" and luhn(one[2])
+    date.fromisoformat(one[3])
+    two = re.match(r"again (\d{16}); \+1 (\(\d{3}\) \d{3}-\d{4}); (\d+\.\d+\.\d+\.\d+)$", got[2].text)
+    assert two[1] == one[2] and all(0 <= int(x) <= 255 for x in two[3].split("."))
+    three = re.match(r"iban DE(\d\d)(\d{18}) ssn \d{3}-\d\d-\d{4} mail [a-z]\.[a-z]\d@x\.example\.com, (\d{4}/\d\d/\d\d)$", got[3].text)
+    assert int(three[2] + "1314" + three[1]) % 97 == 1
+    assert three[3].replace("/", "-") == one[3]
+    assert got[4].text == rows[3][1] and got[4].n_replaced == 0
+    assert got[5].text is None and got[5].n_replaced == 0 and got[6].text == ""
+    assert got[7].text.startswith("+1 " + two[2]) and got[7].text.endswith(" filler" * 20_000)
+    assert (got[1].n_replaced, got[1].kinds) == (3, "card,date")
+
+
+def test_permutations_are_one_to_one(spark):
+    from pyspark.sql import functions as F
+
+    numbers = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    got = [x[0] for x in numbers.select(pseudonyms.permuted_digits(F.col("d"), "k", "t")).collect()]
+    assert len(set(got)) == 1000 and all(len(x) == 3 for x in got)
+    names = spark.createDataFrame([(a + b,) for a in "abcdefghij" for b in "0123456789"], "n string")
+    got = [x[0] for x in names.select(pseudonyms.permuted_name(F.col("n"), "k")).collect()]
+    assert len(set(got)) == 100 and all(re.fullmatch("[a-z][0-9]", x) for x in got)
+
+
+def test_pseudonyms_odd(odd, none):
+    assert pseudonyms.pseudonymise(odd).count() == odd.count()
+    assert pseudonyms.pseudonymise(none).count() == 0
+
+
+URLS = [
+    (1, "https://www.Example.com/en/70?x#y", "www.example.com", "/en/70", "example.com/en/7", "allow"),
+    (2, "http://a.example.com/en/8", "a.example.com", "/en/8", "com/en/", "block"),
+    (3, "http://example.net/de/81", "example.net", "/de/81", "example.net/de/8", "block"),
+    (4, "http://m.example.net/de/9", "m.example.net", "/de/9", "net/de/", "allow"),
+    (5, "http://notexample.org/es/", "notexample.org", "/es/", "org/es/", "block"),
+    (6, "http://onlinecasinowin.example.org/x", "onlinecasinowin.example.org", "/x", None, "block"),
+    (7, "http://dailynewsarticle.example.org/x", "dailynewsarticle.example.org", "/x", None, "allow"),
+    (8, None, "", "", None, "allow"),
+    (9, "no scheme", "", "", None, "allow"),
+    (10, "x://", "", "", None, "allow"),
+    (11, "http://h?q://z/en/", "h", "", None, "allow"),
+    (12, "http://com/en/1", "com", "/en/1", "com/en/", "block"),
+]
+
+
+def test_urls(spark):
+    pages = spark.createDataFrame([(x[0], x[1], "<p>some words</p>", "clash") for x in URLS] + [(1, URLS[0][1], None, None)], "page_id long, url string, html string, name string")
+    got = [(x.page_id, x.host, x.path, x.rule, x.verdict) for x in url_filter.judge(pages).collect()]
+    want = [(x[0], *x[2:]) for x in URLS] + [(1, *URLS[0][2:])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert url_filter.judge(pages.where("false")).count() == 0
+
+
+def test_viterbi():
+    counts = {"online": 50, "casino": 50, "win": 50, "in": 900, "on": 900, "line": 30}
+    assert url_filter.viterbi("onlinecasinowin", counts, 2000) == ["online", "casino", "win"]
+    assert url_filter.viterbi("zzz", counts, 2000) == ["zzz"]
+    assert url_filter.viterbi("", counts, 2000) == []
