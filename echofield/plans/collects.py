@@ -247,7 +247,7 @@ def scene_to_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back from the ground to the pixels that it was reached from."""
     ground = geometry.image_to_height(_lattice(spark), GRID, 120.0)
     points = ground.select("r", "c", F.col("out_x").alias("x"), F.col("out_y").alias("y"), F.col("out_z").alias("z"))
-    out = geometry.scene_to_image(points, GRID, steps=8, tolerance=1e-4)
+    out = geometry.scene_to_image(points, GRID, steps=4, tolerance=1e-4)
     return out.select("r", "c", rounded(F.col("row"), 3).alias("row"), rounded(F.col("col"), 3).alias("col"))
 
 
