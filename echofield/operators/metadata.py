@@ -90,9 +90,9 @@ def assumed_signal(polarisation: Column) -> Column:
 
 
 def quality(bandwidth: Column, noise_db: Column, graze: Column, signal: Column | float = 1.0) -> tuple[Column, Column]:
-    """Bits per square metre and rating of a system with equal bandwidths on both axes."""
+    """Bits per square metre and rating of a system with equal bandwidths on the ground."""
     light = 299792458.0
-    area = F.pow(2 * bandwidth / light, 2) * F.cos(F.radians(graze))
+    area = F.pow(2 * bandwidth / light * F.cos(F.radians(graze)), F.lit(2.0))
     bits = information(area, signal / F.pow(10.0, noise_db / 10))
     return bits, rating(bits)
 

@@ -271,7 +271,7 @@ _TRANSITION = math.exp(1 - metadata.RATING_OFFSET * math.log(2) / metadata.RATIN
 
 
 @query(
-    f"with {COLLECT}, b as (select collect_id, pow(2*(1e6::double*(100+collect_id%500))/299792458.0::double, 2)*cos(radians(graze))*log2(1+(case when pol in ('H:H', 'V:V') then 1.0::double else 0.25::double end)/pow(10.0::double, -2.0::double)) bits from co)"
+    f"with {COLLECT}, b as (select collect_id, pow(2*(1e6::double*(100+collect_id%500))/299792458.0::double*cos(radians(graze)), 2)*log2(1+(case when pol in ('H:H', 'V:V') then 1.0::double else 0.25::double end)/pow(10.0::double, -2.0::double)) bits from co)"
     f" select collect_id, round(bits, 5) bits, round(case when bits < {_TRANSITION!r}::double then bits*({metadata.RATING_SLOPE!r}::double/({math.log(2)!r}::double*{_TRANSITION!r}::double)) else {metadata.RATING_SLOPE!r}::double*log2(bits)+{metadata.RATING_OFFSET!r}::double end, 5) rating from b"
 )
 def rgiqe(spark: SparkSession, sf_dir: str) -> DataFrame:
