@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collects, pixels
+from . import collects, measuring, pixels
 
-QUERIES: dict = pixels.QUERIES | collects.QUERIES
-ORACLE_SQL: dict[str, str] = pixels.ORACLE_SQL | collects.ORACLE_SQL
+QUERIES: dict = pixels.QUERIES | collects.QUERIES | measuring.QUERIES
+ORACLE_SQL: dict[str, str] = pixels.ORACLE_SQL | collects.ORACLE_SQL | measuring.ORACLE_SQL
