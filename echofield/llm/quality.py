@@ -31,14 +31,16 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
 DIMENSIONS = 8
-EPOCHS = 6
+EPOCHS = 8
 RATE = 12.0
-MAX_ROWS = 6000
+MAX_ROWS = 3000
 MAX_CHARS = 20_000
 THRESHOLD = 0.3
 FOLDS = 5
 #: Bytes of text whose features are made together.
 AT_ONCE = 2 << 20
+#: The same on the driver, which has less memory.
+TRAINED_AT_ONCE = 1 << 18
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -137,7 +139,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7) -> Model:
         only = {0: -20.0, 1: 20.0}.get(labels[0], 0.0) if labels else 0.0
         return Model(np.zeros(BUCKETS, np.float32), only)
     bags = []
-    for part in portions(texts):
+    for part in portions(texts, TRAINED_AT_ONCE):
         laid = Words(part)
         kinds = [(np.searchsorted(at, laid.begins), np.searchsorted(at, laid.ends), b) for at, b in laid.features()]
         for k in range(len(part)):
