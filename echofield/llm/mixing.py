@@ -36,7 +36,7 @@ LEAST_SLOTS = 65_536
 LEAST_BLOCK, MOST_BLOCK = 16, 1024
 #: Documents of a source are dealt to so many chunks for running sums.
 CHUNKS = 4096
-SLOT_CHUNK = 65_536
+SLOT_CHUNK = 4096
 #: 2**32 / golden ratio, rounded to odd: slot j is the point (j + 1) * GOLDEN mod 2**32.
 GOLDEN = 2_654_435_769
 RING = 1 << 32
