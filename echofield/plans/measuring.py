@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,3 +132,72 @@ def block_function(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out
 
     return measures.by_blocks(px, 64, 2, kernel, 500).select("r", "c", rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
+
+
+# Metadata of images, some of them wrong, made from the catalog. The text is the same for
+# both engines.
+_K = "collect_id"
+METADATA = [
+    f"{value} as {name}"
+    for name, value in {
+        "mode": f"case when {_K} % 3 = 0 then 'SPOTLIGHT' else 'STRIPMAP' end",
+        "coa_scalar": f"{_K} % 5 <> 0",
+        "row_sgn": "-1",
+        "col_sgn": f"case when {_K} % 11 = 0 then 1 else -1 end",
+        **{f"{a}_ss": "cast(0.5 as double)" for a in ("row", "col")},
+        "row_dk1": f"cast({_K} % 7 as double) / -5",
+        "row_dk2": "cast(0.8 as double)",
+        "row_bw": "cast(1.5 as double)",
+        "col_dk1": "cast(-0.7 as double)",
+        "col_dk2": f"cast({_K} % 4 as double) / 2 - 0.75",
+        "col_bw": "cast(1.0 as double)",
+        "row_window": f"case {_K} % 4 when 0 then 'UNIFORM' when 1 then 'TAYLOR' when 2 then 'ODD' end",
+        "row_weight_count": f"case when {_K} % 2 = 0 then {_K} % 2000 end",
+        "row_width": "cast(0.6 as double)",
+        "row_broadening": "cast(0.9 as double)",
+        "arp_terms": f"{_K} % 6",
+        "scp_time": f"cast({_K} % 10 as double)",
+        "coa_constant": f"cast({_K} % 9 as double)",
+        "duration": "cast(9.0 as double)",
+        "side": "side",
+        "derived_side": "'L'",
+        "graze": "graze",
+        "derived_graze": "cast(40.0 as double)",
+        "tx_bandwidth": "cast(1e8 as double)",
+        "tx_length": "cast(1e-5 as double)",
+        "tx_rate": f"cast(1e13 as double) * ({_K} % 2 + 1)",
+        "demodulation": f"case when {_K} % 2 = 0 then 'CHIRP' else 'STRETCH' end",
+        "rcv_rate": f"cast(1e13 as double) * ({_K} % 3)",
+        "valid_pixels": f"case when {_K} % 8 > 2 then 1 end",
+        "valid_geo": f"case when {_K} % 8 > 4 then 1 end",
+        "algorithm": f"case {_K} % 4 when 0 then 'PFA' when 1 then 'RGAZCOMP' when 2 then 'RMA' else 'OTHER' end",
+        "grid": f"case when {_K} % 5 < 3 then 'RGAZIM' else 'RGZERO' end",
+        "plane": f"case when {_K} % 7 < 5 then 'SLANT' else 'GROUND' end",
+        "polar_reference": f"case when {_K} % 8 <> 4 then cast({_K} % 10 as double) end",
+        "rma_kind": f"case {_K} % 12 when 2 then 'INCA' when 6 then 'RMAT' end",
+        "col_kctr": f"cast({_K} % 13 as double) / 100",
+        "has_doppler": f"{_K} % 5 < 2",
+        "noise_kind": f"case {_K} % 3 when 0 then 'ABSOLUTE' when 1 then 'RELATIVE' end",
+        "noise_constant": f"cast({_K} % 2 as double)",
+        "reference_index": f"case when {_K} % 100 = 0 then 1 end",
+        "proc_polarisation": "pol",
+        "all_polarisations": "'H:H H:V V:V'",
+    }.items()
+]
+
+
+def _validation_sql() -> str:
+    from ..operators.validation import RULES, SYNTAX
+
+    names = {x.rsplit(" ", 1)[1] for x in METADATA} | SYNTAX
+    used = [(n, level, c) for n, level, c, _ in RULES if set(re.findall(r"\b[a-z_][a-z0-9_]*", re.sub(r"'[^']*'", "", c))) <= names]
+    rows = " union all ".join(f"select collect_id, '{n}' rule, '{level}' \"level\" from md where {c}" for n, level, c in used)
+    return f"with {COLLECT}, md as (select collect_id, {', '.join(METADATA)} from co) {rows}"
+
+
+@query(_validation_sql())
+def validate_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.validation import validate
+
+    rows = views.collects(spark, sf_dir).selectExpr("collect_id", *METADATA)
+    return validate(rows, "collect_id").select("collect_id", "rule", "level")
