@@ -118,20 +118,20 @@ def upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.spectrogram(views.lines(spark, sf_dir).where("r < 64")).select("r", "frame", "bin", rounded(F.col("db"), 5).alias("db"))
+    return spectral.spectrogram(views.lines(spark, sf_dir)).select("r", "frame", "bin", rounded(F.col("db"), 5).alias("db"))
 
 
 @query()
 def block_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's function of blocks with halos: a moving sum of three lines."""
-    px = views.pixels(spark, sf_dir).where("r < 500")
+    height = (views.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
 
     def kernel(z):
         out = z.copy()
         out[1:-1] = z[:-2] + z[1:-1] + z[2:]
         return out
 
-    return measures.by_blocks(px, 64, 2, kernel, 500).select("r", "c", rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
+    return measures.by_blocks(views.pixels(spark, sf_dir), 64, 2, kernel, height).select("r", "c", rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
 
 
 # Metadata of images, some of them wrong, made from the catalog. The text is the same for

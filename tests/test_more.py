@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from echofield.functions import geodesy
 from echofield.operators import grids, measures, spectral
-from echofield.plans import collects, views
+from echofield.plans import collects, measuring, views
 from echofield.sources import cphd
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +167,14 @@ def test_upsampled_spectrogram_and_packing(spark):
     px = views.pixels(spark, SF).where("r < 4").select("r", "c", "re", "im")
     again = spectral.unpacked(spectral.packed(px))
     assert px.exceptAll(again).count() == 0
+
+
+def test_whole_images_reach_the_result(spark, tmp_path):
+    vectors = np.random.default_rng(3).normal(size=(700, 64))
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    z = vectors[:, ::2] + 1j * vectors[:, 1::2]
+    want = z.copy()
+    want[1:-1] = z[:-2] + z[1:-1] + z[2:]
+    got = {(x.r, x.c): complex(x.re, x.im) for x in measuring.block_function(spark, str(tmp_path)).collect()}
+    assert len(got) == 700 * 32 and all(abs(got[r, c] - want[r, c]) < 1e-5 for r in range(700) for c in range(32))
+    assert measuring.spectrogram(spark, str(tmp_path)).select("r").distinct().count() == 700
