@@ -4,9 +4,11 @@ Sources, ordered by code point with null last, get weights that repeat 5, 2, 1.
 mix holds 150 % of all words. A source gives at most twice its words; what it can't
 give is shared among the others by weight.
 
-* The schedule has one slot for each block of words. Slot j is the point
-  frac((j + 1) * golden ratio), mapped through the cumulative targets to a source.
-  Any run of slots has nearly the target shares, so the mix can be cut anywhere.
+* The schedule has one slot for each block of words; a source has as many as its
+  target needs, and its last one is clipped to the target. Slot j of n is the place
+  (j + 1) * step mod n, mapped through the sources' cumulative slots. step has no factor
+  in common with n, so each place occurs once, and is near n / golden ratio, so any run
+  of slots has nearly the target shares: the mix can be cut anywhere.
 * Slots are ranked within their source.
 * The documents of a source, shuffled by a hash and read twice, are a stream of words
   that is cut into blocks of equal length. Rank k takes block k.
@@ -15,7 +17,8 @@ Ranks and running sums are made in two levels (chunks, then rows within a chunk)
 no window holds a whole source. Only DataFrame functions are used.
 
 Defined results: a null text has size 0. A document of size 0 has taken 0, and
-``mixed`` passes it through once. Repeated rows are separate documents. Documents with
+``mixed`` passes it through once. A source's taken adds up to its target, rounded.
+Repeated rows are separate documents. Documents with
 equal hashes are ordered by doc_id and size, so ties are between equal rows only. If
 all sizes are 0, targets are 0. An empty table gives an empty result. The table of
 sources (one row each) is the only one that is sorted as a whole.
@@ -23,6 +26,8 @@ sources (one row each) is the only one that is sorted as a whole.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +42,9 @@ LEAST_BLOCK, MOST_BLOCK = 16, 1024
 #: Documents of a source are dealt to so many chunks for running sums.
 CHUNKS = 4096
 SLOT_CHUNK = 4096
-#: 2**32 / golden ratio, rounded to odd: slot j is the point (j + 1) * GOLDEN mod 2**32.
-GOLDEN = 2_654_435_769
-RING = 1 << 32
+GOLDEN = (math.sqrt(5) - 1) / 2
+#: Steps next to n / golden ratio that are compared.
+STEPS = 64
 
 
 #: Marks a document's source in keys, so that null is a value like others.
@@ -81,20 +86,48 @@ def block_words(words: float) -> int:
     return int(max(LEAST_BLOCK, min(MOST_BLOCK, words // LEAST_SLOTS)))
 
 
+def golden_step(n: int) -> int:
+    """The step of a schedule of n slots: coprime to n and near n / golden ratio.
+
+    Of several the one whose continued fraction over n has the smallest largest term,
+    which bounds how uneven a run of slots can be.
+    """
+    near = round(n * GOLDEN)
+    best = (n + 1, 0, 1)
+    for k in range(-STEPS, STEPS + 1):
+        step = near + k
+        if 0 < step < n and math.gcd(step, n) == 1:
+            a, b, largest = n, step, 0
+            while b:
+                largest = max(largest, a // b)
+                a, b = b, a % b
+            best = min(best, (largest, abs(k), step))
+    return best[2]
+
+
+def goal(target: Column) -> Column:
+    """Whole words of a target."""
+    return F.floor(target + 0.5)
+
+
 def schedule(sources: DataFrame, block: int) -> DataFrame:
     """(key, slot, rank): which source fills each slot, ranked within the source.
 
     The sources' bounds, a number for each source, go into the plan as a literal.
     """
     spark = sources.sparkSession
-    ring = [(x["key"], x["below"] + x["target"]) for x in sources.orderBy("below").collect() if x["target"] > 0]
-    words = ring[-1][1] if ring else 0
-    slots = spark.range(int(round(words / block))).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * GOLDEN, F.lit(RING)).alias("point"))
+    each = sources.orderBy("below").select("key", F.ceil(goal(F.col("target")) / block).alias("slots"))
+    ring, n = [], 0
+    for x in each.collect():
+        if x["slots"]:
+            n += x["slots"]
+            ring.append((x["key"], n))
+    slots = spark.range(n).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * golden_step(n), F.lit(max(n, 1))).alias("point"))
     if not ring:
         return slots.select(F.lit("").alias("key"), "slot", F.lit(0).cast("long").alias("rank"))
-    bounds = F.array(*[F.lit(upto / words * RING) for _, upto in ring])
+    bounds = F.array(*[F.lit(upto).cast("long") for _, upto in ring])
     keys = F.array(*[F.lit(key) for key, _ in ring])
-    # Bisection for the first bound above the point; the last source takes the rest.
+    # Bisection for the first bound above the point.
     halves = F.sequence(F.lit(1), F.lit(len(ring).bit_length()))
 
     def narrowed(at: Column, _: Column) -> Column:
@@ -124,12 +157,15 @@ def streams(sized: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def blocks(placed: DataFrame, block: int) -> DataFrame:
-    """The pieces of documents that fall into each block of their source's stream."""
+    """The pieces of documents that fall into each block of their source's stream.
+
+    What lies behind the target counts no words.
+    """
     each = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1)))).withColumn("begin", F.col("start") + F.col("pass") * F.col("source_size"))
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
     each = each.withColumn("rank", F.explode(F.sequence(first, last)))
-    words = F.least(F.col("begin") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest("begin", F.col("rank") * block)
-    return each.withColumn("words", words)
+    words = F.least(F.col("begin") + F.col("size"), (F.col("rank") + 1) * block, goal(F.col("target"))) - F.greatest("begin", F.col("rank") * block)
+    return each.withColumn("words", F.greatest(words, F.lit(0)))
 
 
 def mix(docs: DataFrame) -> DataFrame:

@@ -78,6 +78,36 @@ def test_schedule_is_even(spark):
         assert abs(share - 0.75) < 3 / upto + 0.01
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_sources_meet_their_targets(odd, monkeypatch, block):
+    monkeypatch.setattr(mixing, "LEAST_BLOCK", block)  # as in a large corpus
+    taken, target = Counter(), {}
+    for x in mixing.mix(odd).collect():
+        taken[x.source] += x.taken
+        target[x.source] = x.target
+        assert 0 <= x.taken <= 2 * x.size
+    assert taken == Counter({s: int(t + 0.5) for s, t in target.items()})
+
+
+def test_small_sources_get_slots(spark):
+    sources = spark.createDataFrame([("=a", 9_000_000.0, 0.0), ("=b", 200.0, 9_000_000.0), ("=c", 2100.0, 9_000_200.0)], "key string, target double, below double")
+    slots = mixing.schedule(sources, 1024).collect()
+    by = {k: sorted(x.rank for x in slots if x.key == k) for k in ("=a", "=b", "=c")}
+    assert by == {"=a": list(range(8790)), "=b": [0], "=c": [0, 1, 2]}
+    assert sorted(x.slot for x in slots) == list(range(8794))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 97, 1000, 65_536, 1_000_003])
+def test_steps_reach_every_place_evenly(n):
+    import numpy as np
+
+    places = (np.arange(n, dtype=np.int64) + 1) * mixing.golden_step(n) % max(n, 1)
+    assert len(np.unique(places)) == n
+    for share in (0.01, 0.3, 0.75):
+        inside = np.cumsum(places < share * n)
+        assert np.all(np.abs(inside - share * np.arange(1, n + 1)) < 6)
+
+
 def luhn(digits):
     total = 0
     for k, d in enumerate(reversed(digits)):
