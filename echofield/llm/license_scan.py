@@ -4,12 +4,12 @@ Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond AS
 
 * Phrases. Each word of a phrase is looked up in the index; a phrase stands where its
   words' positions, shifted by their places in the phrase, meet.
-* Notices. Of the licence words that a file has, the few with the highest inverse
-  document frequency over the corpus are looked up in the postings of the templates.
-  Position in the file less position in the template gives an offset; a template that
-  gets votes from enough different words at one offset is a candidate there. It is
-  compared word by word, and counts if enough of it agrees and one of its key phrases
-  stands in it unchanged.
+* Notices. Each template's anchors are its places with the highest inverse document
+  frequencies over the corpus, as many as weigh more than what may disagree, so a notice
+  has at least one of them. Each anchor in a file is looked up in the postings of the
+  templates. Position in the file less position in the template gives an offset, where
+  the template is a candidate. It is compared word by word, and counts if enough of it
+  agrees and one of its key phrases stands in it unchanged.
 
 Defined results: a null text is empty. A file without words has n_words 0, no places and
 score 0. score is the share of a notice's weight that agrees, at best, and 1 for a
@@ -58,10 +58,7 @@ NOTICES = {
     "public-domain": ("this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 }
 
-#: Licence words of a file that are looked up, those of highest inverse frequency.
-RAREST = 8
-#: Different words that must agree on an offset, and the share of weight to agree.
-VOTES = 2
+#: The share of a notice's weight to agree.
 LEAST_SHARE = 0.8
 
 
@@ -85,10 +82,6 @@ PHRASE_WORDS = [x.split() for x in PHRASES]
 NOTICE_WORDS = {label: text.split() for label, (text, _) in NOTICES.items()}
 VOCABULARY = sorted({w for x in [*PHRASE_WORDS, *NOTICE_WORDS.values()] for w in x})
 NUMBER = {w: k for k, w in enumerate(VOCABULARY)}
-POSTINGS: dict[int, list[tuple[str, int]]] = defaultdict(list)
-for _label, _words in NOTICE_WORDS.items():
-    for _place, _word in enumerate(_words):
-        POSTINGS[NUMBER[_word]].append((_label, _place))
 
 
 class Index:
@@ -163,21 +156,33 @@ def inverse_frequencies(docs: DataFrame) -> list[float]:
     return [math.log((n + 1) / (counts.get(k, 0) + 1)) + 1 for k in range(len(VOCABULARY))]
 
 
-def notices(positions: list[int], numbers: list[int], weights: list[float]) -> dict[str, float]:
+Postings = dict[int, list[tuple[str, int]]]
+
+
+def anchors(weights: list[float]) -> Postings:
+    """(label, place) of the anchors of all templates, by word.
+
+    An offset at which no anchor of a template agrees has less than LEAST_SHARE of it.
+    """
+    postings: Postings = defaultdict(list)
+    for label, template in NOTICE_WORDS.items():
+        each = [NUMBER[w] for w in template]
+        spare, held = (1 - LEAST_SHARE) * sum(weights[k] for k in each) * (1 + 1e-9), 0.0
+        for place in sorted(range(len(each)), key=lambda k: (-weights[each[k]], each[k], k)):
+            postings[each[place]].append((label, place))
+            held += weights[each[place]]
+            if held > spare:
+                break
+    return dict(postings)
+
+
+def notices(positions: list[int], numbers: list[int], weights: list[float], postings: Postings) -> dict[str, float]:
     """Labels of the notices in a file, with the share of their weight that agrees."""
     at = dict(zip(positions, numbers, strict=True))
-    rare = sorted(set(numbers), key=lambda k: (-weights[k], k))[:RAREST]
-    votes: dict[tuple[str, int], set[int]] = defaultdict(set)
-    chosen = set(rare)
-    for position, number in at.items():
-        if number in chosen:
-            for label, place in POSTINGS[number]:
-                votes[label, position - place].add(number)
+    candidates = {(label, position - place) for position, number in at.items() for label, place in postings.get(number, ())}
     found: dict[str, float] = {}
-    for (label, offset), words in votes.items():
+    for label, offset in candidates:
         template = NOTICE_WORDS[label]
-        if len(words) < min(VOTES, len(set(template))):
-            continue
         here = [at.get(offset + k) for k in range(len(template))]
         all_weight = sum(weights[NUMBER[w]] for w in template)
         share = sum(weights[NUMBER[w]] for w, x in zip(template, here, strict=True) if x == NUMBER[w]) / all_weight
@@ -192,6 +197,7 @@ def _stands(phrase: list[str], here: list[int | None]) -> bool:
 
 
 def _scan(weights: list[float]):
+    postings = anchors(weights)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     types = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64()]
 
@@ -199,14 +205,14 @@ def _scan(weights: list[float]):
         for batch in batches:
             ids = iter(batch.column(0).to_pylist())
             for part in portions(_texts(batch.column(1))):
-                rows = _scan_portion(part, weights)
+                rows = _scan_portion(part, weights, postings)
                 columns = [[next(ids) for _ in rows], *map(list, zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
 
-def _scan_portion(texts: list[bytes], weights: list[float]) -> list[tuple]:
+def _scan_portion(texts: list[bytes], weights: list[float], postings: Postings) -> list[tuple]:
     _, starts, _, numbers, bounds = _laid(texts)
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))
     n = len(numbers)
@@ -228,8 +234,8 @@ def _scan_portion(texts: list[bytes], weights: list[float]) -> list[tuple]:
         labels = {label for _, label in base}
         score = 1.0 if base else 0.0
         own = hits[first[k] : last[k]]
-        if len(own) >= VOTES:
-            more = notices((own - bounds[k]).tolist(), numbers[own].tolist(), weights)
+        if len(own):
+            more = notices((own - bounds[k]).tolist(), numbers[own].tolist(), weights, postings)
             score = max([score, *more.values()])
             every = labels | set(more)
         else:

@@ -152,5 +152,35 @@ def test_licences_against_brute_force(odd, odd_rows, spark):
     assert all(0 <= x.score <= 1 and set(x.base_labels.split(",")) - {""} <= set(x.labels.split(",")) for x in result)
 
 
+def test_licences_of_a_file_with_many_notices(spark):
+    texts = {label: text for label, (text, _) in license_scan.NOTICES.items()}
+    filler = " some other words between them and the next of the terms "
+    common = [(k, texts["gpl-3.0"] + filler + texts["apache-2.0"]) for k in range(1, 40)]
+    many = [(100, filler.join(texts.values())), (101, filler.join(texts[x] for x in ("mpl-2.0", "epl", "boost", "cc0", "gpl-3.0", "apache-2.0")))]
+    docs = spark.createDataFrame(common + many, "doc_id long, text string")
+    got = {x.doc_id: set(x.labels.split(",")) for x in license_scan.scan(docs).collect()}
+    assert got[100] >= set(texts)
+    assert got[101] >= {"mpl-2.0", "epl", "boost", "cc0", "gpl-3.0", "apache-2.0"}
+
+
+def test_licences_candidates_are_complete():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        weights = (1 + 6 * rng.random(len(license_scan.VOCABULARY))).tolist()
+        postings, at, text = license_scan.anchors(weights), {}, []
+        for label in rng.permutation(list(license_scan.NOTICES))[:5]:
+            text += [w if rng.random() > 0.08 else None for w in license_scan.NOTICE_WORDS[label]] + [None, "the", "of"]
+        at = {k: license_scan.NUMBER[w] for k, w in enumerate(text) if w and w in license_scan.NUMBER}
+        want = {}
+        for label, template in license_scan.NOTICE_WORDS.items():
+            each = [license_scan.NUMBER[w] for w in template]
+            for offset in range(-len(each), len(text)):
+                here = [at.get(offset + k) for k in range(len(each))]
+                share = sum(weights[a] for a, b in zip(each, here, strict=True) if a == b) / sum(weights[a] for a in each)
+                if share >= license_scan.LEAST_SHARE and any(license_scan._stands(p.split(), here) for p in license_scan.NOTICES[label][1]):
+                    want[label] = max(share, want.get(label, 0.0))
+        assert license_scan.notices(list(at), list(at.values()), weights, postings) == want
+
+
 def test_licences_empty(none):
     assert license_scan.scan(none).count() == 0
