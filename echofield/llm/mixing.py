@@ -191,6 +191,6 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
     decided = mix(docs).withColumn("key", _source_key()).groupBy("doc_id", "key", "size").agg(F.max(times).alias("times")).where("times > 0")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), _source_key().alias("source_key"))
-    same = rows["id"].eqNullSafe(decided["doc_id"]) & (rows["source_key"] == decided["key"])
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), _source_key().alias("source_key"), word_count().alias("words"))
+    same = rows["id"].eqNullSafe(decided["doc_id"]) & (rows["source_key"] == decided["key"]) & (rows["words"] == decided["size"])
     return rows.join(decided, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

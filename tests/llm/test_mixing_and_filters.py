@@ -78,6 +78,16 @@ def test_schedule_is_even(spark):
         assert abs(share - 0.75) < 3 / upto + 0.01
 
 
+def test_mixed_rows_of_one_id_follow_their_own_sizes(spark):
+    rows = [(i, " ".join([f"w{n}"] * n), s) for i in (None, 1) for n in (3, 5, 40, 90, 0) for s in ("a", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for x in mixing.mix(docs).collect():
+        want[x.doc_id, x.source, x.size] += 1 if x.size == 0 else int(x.taken / x.size + 0.5)
+    got = Counter((x.doc_id, x.source, words(x.text)) for x in mixing.mixed(docs).collect())
+    assert got == +want and len(set(want.values())) > 1
+
+
 @pytest.mark.parametrize("block", [16, 1024])
 def test_sources_meet_their_targets(odd, monkeypatch, block):
     monkeypatch.setattr(mixing, "LEAST_BLOCK", block)  # as in a large corpus
