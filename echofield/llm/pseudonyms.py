@@ -7,9 +7,10 @@ and a pseudonym passes the checks that the value passed.
 What is found, and what is permuted:
 
 * card numbers (13 to 19 digits, single spaces or hyphens between, valid check digit):
-  all digits but the last; the check digit is made anew,
-* IBANs with digits only after the country code and the check digits, which are valid:
-  the account digits; the check digits are made anew,
+  all digits but the last; the check digit is made anew. In a run of groups of digits
+  each part that starts and ends with a group is tried,
+* IBANs (plain or in groups of four, valid check digits): the account's digits, and its
+  letters if it has any; the check digits are made anew,
 * social security numbers (ddd-dd-dddd, no part zero): all nine digits,
 * phone numbers (+ with a country code and a bracketed area code, or three groups of
   digits): the digits after the country code,
@@ -36,14 +37,21 @@ FIRST_DAY = "1900-01-01"
 DAYS = 1 << 16
 
 EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{13,32}(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 DATE = r"(?<![0-9./\-])[0-9]{4}([/\-])[0-9]{2}\2[0-9]{2}(?![0-9/\-])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SOCIAL = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ \-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .\-]?[0-9]{3,4}[ .\-][0-9]{4}(?![0-9A-Za-z])"
-CARD = r"(?<![0-9A-Za-z+\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])"
-#: Earlier kinds win where two could start at one place.
-FOUND = "(" + "|".join([EMAIL, IBAN, DATE, ADDRESS, SOCIAL, CARD, PHONE]) + ")"
+#: Groups of digits; a date or the like that follows is not part of it.
+OTHER = r"[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}(?![0-9/\-])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
+RUN = rf"(?<![0-9A-Za-z+\-])(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:[ \-](?!{OTHER})[0-9]++(?![A-Za-z]))*+"
+#: A card number by its groups alone.
+REGULAR = r"^(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})$"
+#: Earlier kinds win where two could start at one place. First IBANs are cut out, then
+#: cards, then the others.
+WITH_IBAN = "(" + "|".join([EMAIL, IBAN]) + ")"
+WITH_CARD = "(" + "|".join([EMAIL, DATE, ADDRESS, SOCIAL, RUN, PHONE]) + ")"
+FOUND = "(" + "|".join([EMAIL, DATE, ADDRESS, SOCIAL, PHONE]) + ")"
 
 
 def _function(key: str, kind: str, step: Column, half: Column, size: Column) -> Column:
@@ -101,29 +109,83 @@ def luhn_digit(digits: Column) -> Column:
     return F.pmod(10 - total % 10, F.lit(10)).cast("string")
 
 
-def remainder_97(digits: Column) -> Column:
-    return F.aggregate(F.split(digits, ""), F.lit(0), lambda a, b: (a * 10 + b.cast("int")) % 97)
+def remainder_97(value: Column) -> Column:
+    """Of the number that letters A-Z (as 10 to 35) and digits make."""
+    code = lambda b: F.ascii(b)
+    return F.aggregate(F.split(value, ""), F.lit(0), lambda a, b: F.when(code(b) >= 65, a * 100 + code(b) - 55).otherwise(a * 10 + code(b) - 48) % 97)
 
 
-def _country(value: Column) -> Column:
-    return F.concat((F.ascii(F.substring(value, 1, 1)) - 55).cast("string"), (F.ascii(F.substring(value, 2, 1)) - 55).cast("string"))
+def valid_card(value: Column) -> Column:
+    digits = only_digits(value)
+    n = F.length(digits)
+    return n.between(13, 19) & (luhn_digit(F.substring(digits, F.lit(1), n - 1)) == F.substring(digits, n, F.lit(1)))
+
+
+def valid_iban(value: Column) -> Column:
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    return F.length(plain).between(15, 34) & (remainder_97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
+
+
+def _marked_ibans(value: Column, mark: Column) -> Column:
+    """value with the longest valid IBAN at its start between marks."""
+    groups = F.split(value, " ")
+    starts = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, 1, k), " "))
+    found = F.get(F.filter(starts, valid_iban), F.lit(0))
+    return F.when(found.isNotNull() & ~value.contains("@"), F.concat(mark, found, mark, F.substring(value, F.length(found) + 1, F.length(value)))).otherwise(value)
+
+
+def _marked_cards(value: Column, mark: Column) -> Column:
+    """value, if a run of groups of digits, with each valid card number between marks.
+
+    Of those that start at a group the longest is taken, but one whose groups are a
+    card's wins, also over those that start before it and reach into it.
+    """
+    groups = F.regexp_extract_all(value, F.lit("[0-9]+[ \\-]?"), 0)
+    n = F.size(groups)
+
+    def part(k: Column, size: Column) -> Column:
+        return F.regexp_replace(F.array_join(F.slice(groups, k, size), ""), "[ \\-]$", "")
+
+    def at(k: Column) -> Column:
+        sizes = F.filter(F.sequence(F.least(F.lit(19), n - k + 1), F.lit(1), F.lit(-1)), lambda size: valid_card(part(k, size)))
+        regular = F.get(F.filter(sizes, lambda size: part(k, size).rlike(REGULAR)), F.lit(0))
+        return F.struct(F.coalesce(regular, F.get(sizes, F.lit(0)), F.lit(0)).alias("size"), regular.isNotNull().alias("regular"))
+
+    found = F.transform(F.sequence(F.lit(1), n), at)
+
+    def put(state: Column, k: Column) -> Column:
+        here = F.get(found, k - 1)
+        taken = (k >= state["next"]) & (here["size"] > 0) & (here["regular"] | ~F.exists(F.slice(found, k + 1, F.greatest(here["size"] - 1, F.lit(0))), lambda x: x["regular"]))
+        card = part(k, here["size"])
+        whole = F.array_join(F.slice(groups, k, here["size"]), "")
+        out = F.when(taken, F.concat(mark, card, mark, F.substring(whole, F.length(card) + 1, F.lit(1)))).when(k < state["next"], F.lit("")).otherwise(F.get(groups, k - 1))
+        return F.struct(F.concat(state["out"], out).alias("out"), F.when(taken, k + here["size"]).otherwise(state["next"]).alias("next"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+    is_run = value.rlike("^[0-9][0-9 \\-]*$") & (F.length(only_digits(value)) >= 13)
+    return F.when(is_run, F.aggregate(F.sequence(F.lit(1), n), start, put, lambda x: x["out"])).otherwise(value)
+
+
+def _each(text: Column, pattern: str, make) -> Column:
+    """text with each match of the pattern replaced by make(match)."""
+    gaps = F.split(text, pattern, -1)
+    made = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x, k: F.concat(F.get(gaps, k), make(x)))
+    return F.concat(F.array_join(made, ""), F.element_at(gaps, -1))
 
 
 def _card(value: Column, key: str) -> Column:
     digits = only_digits(value)
-    n = F.length(digits)
-    body = F.substring(digits, F.lit(1), n - 1)
-    valid = n.between(13, 19) & (luhn_digit(body) == F.substring(digits, n, F.lit(1)))
-    new = permuted_digits(body, key, "card")
-    return F.when(valid, refilled(value, F.concat(new, luhn_digit(new))))
+    new = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    return refilled(value, F.concat(new, luhn_digit(new)))
 
 
 def _iban(value: Column, key: str) -> Column:
-    account = F.substring(value, F.lit(5), F.length(value))
-    valid = remainder_97(F.concat(account, _country(value), F.substring(value, 3, 2))) == 1
-    new = permuted_digits(account, key, "iban")
-    check = F.lpad((98 - remainder_97(F.concat(new, _country(value), F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, F.concat(F.substring(value, 1, 2), check, new))
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    account = F.substring(plain, F.lit(5), F.length(plain))
+    new = F.when(account.rlike("^[0-9]+$"), permuted_digits(account, key, "iban")).otherwise(permuted_name(account, key))
+    check = F.lpad((98 - remainder_97(F.concat(new, F.substring(plain, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    out = F.concat(F.substring(plain, 1, 2), check, new)
+    return F.when(value.contains(" "), F.regexp_replace(out, "(.{4})(?=.)", "$1 ")).otherwise(out)
 
 
 def _social(value: Column, key: str) -> Column:
@@ -201,11 +263,9 @@ def pseudonym(value: Column, key: str) -> Column:
     """(kind, new) of a value that FOUND matched; new is null if it isn't valid."""
     kinds = [
         ("email", value.contains("@"), _email),
-        ("iban", value.rlike("^[A-Z]"), _iban),
         ("date", value.rlike("^[0-9]{4}([/\\-])[0-9]{2}\\1[0-9]{2}$"), _date),
         ("address", value.rlike("^[0-9]{1,3}([.][0-9]{1,3}){3}$"), _address),
         ("social", value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _social),
-        ("card", (F.length(only_digits(value)) >= 13) & value.rlike("^[0-9][0-9 \\-]*$"), _card),
         ("phone", F.lit(True), _phone),
     ]
     kind = new = F.lit(None).cast("string")
@@ -217,20 +277,40 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str = "public-test-key") -> DataFrame:
     """doc_id, text, n_replaced, kinds; a row per document.
 
-    The text is cut at its values, the values are replaced, and all is joined again.
+    Valid IBANs and card numbers are put between marks. What lies between is cut at its
+    values, the values are replaced, and all is joined again. A mark holds a hash of its
+    text, so no text has it.
     """
     text = F.col("text").cast("string")
     # Most texts have no digit and no address; they pass as they are.
     may = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    rows = docs.select("doc_id", text.alias("text"), F.when(may, F.regexp_extract_all(text, F.lit(FOUND), 1)).otherwise(F.array().cast("array<string>")).alias("values"))
-    rows = rows.withColumn("made", F.transform("values", lambda x: pseudonym(x, key)))
-    gaps = F.split("text", FOUND, -1)
-    new = F.transform("values", lambda x, k: F.coalesce(F.get("made", k)["new"], x))
-    joined = F.concat(F.array_join(F.transform(new, lambda x, k: F.concat(F.get(gaps, k), x)), ""), F.element_at(gaps, -1))
-    replaced = F.filter("made", lambda x: x["new"].isNotNull())
+    rows = docs.select("doc_id", text.alias("text"), may.alias("may"), F.concat(F.lit("\x01"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), F.lit("\x01")).alias("mark"))
+
+    def marked(pattern: str, needs: str, make) -> Column:
+        parts = F.split("marked", F.col("mark"), -1)
+        each = F.transform(parts, lambda x, k: F.when((k % 2 == 0) & x.rlike(needs), _each(x, pattern, lambda v: make(v, F.col("mark")))).otherwise(x))
+        return F.when(F.col("may") & F.col("marked").rlike(needs), F.call_function("array_join", each, F.col("mark"))).otherwise(F.col("marked"))
+
+    rows = rows.withColumn("marked", F.col("text"))
+    rows = rows.withColumn("marked", marked(WITH_IBAN, "[A-Z]{2}[0-9]{2}[ A-Z0-9]", _marked_ibans))
+    rows = rows.withColumn("marked", marked(WITH_CARD, "[0-9](?:[ \\-]?[0-9]){12}", _marked_cards))
+    rows = rows.withColumn("parts", F.when(F.col("may"), F.split("marked", F.col("mark"), -1)).otherwise(F.array().cast("array<string>")))
+
+    def replaced(part: Column, k: Column) -> Column:
+        gaps = F.split(part, FOUND, -1)
+        values = F.transform(F.regexp_extract_all(part, F.lit(FOUND), 1), lambda x: F.struct(x.alias("old"), pseudonym(x, key).alias("made")))
+        joined = F.transform(values, lambda x, i: F.concat(F.get(gaps, i), F.coalesce(x["made"]["new"], x["old"])))
+        kinds = F.transform(F.filter(values, lambda x: x["made"]["new"].isNotNull()), lambda x: x["made"]["kind"])
+        plain = F.struct(F.concat(F.array_join(joined, ""), F.element_at(gaps, -1)).alias("text"), kinds.alias("kinds"))
+        iban = part.rlike("^[A-Z]")
+        special = F.struct(F.when(iban, _iban(part, key)).otherwise(_card(part, key)).alias("text"), F.array(F.when(iban, F.lit("iban")).otherwise(F.lit("card"))).alias("kinds"))
+        return F.when(k % 2 == 0, plain).otherwise(special)
+
+    rows = rows.withColumn("made", F.transform("parts", replaced))
+    kinds = F.flatten(F.transform("made", lambda x: x["kinds"]))
     return rows.select(
         "doc_id",
-        F.when(F.size("values") > 0, joined).otherwise(F.col("text")).alias("text"),
-        F.size(replaced).cast("long").alias("n_replaced"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(replaced, lambda x: x["kind"]))), ",").alias("kinds"),
+        F.when(F.col("may"), F.array_join(F.transform("made", lambda x: x["text"]), "")).otherwise(F.col("text")).alias("text"),
+        F.size(kinds).cast("long").alias("n_replaced"),
+        F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds"),
     )

@@ -152,6 +152,18 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert (got[1].n_replaced, got[1].kinds) == (3, "card,date")
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = ["4111111111111111 123", card + " 12/27", "3 4111111111111111", "12 34 56 " + card, "555-123-4567 " + card, card + " 2024-01-02", "GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19", "BE68 5390 0754 7034 BIC", "BE68 5390 0754 7034 " + card]
+    docs = spark.createDataFrame([(k, "x " + t + " y.") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x for x in pseudonyms.pseudonymise(docs).collect()}
+    for k, t in enumerate(texts):
+        assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", got[k].text)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", "x " + t + " y."))
+        assert ("card" in got[k].kinds) == ("1111" in t) and ("iban" in got[k].kinds) == (t[:2] in ("GB", "BE"))
+        assert "1111 1111" not in got[k].text and "11111111" not in got[k].text and "NWBK" not in got[k].text and "5390 0754" not in got[k].text
+    assert got[6].text.replace(" ", "") == got[7].text.replace(" ", "")
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
