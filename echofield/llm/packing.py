@@ -2,11 +2,14 @@
 
 A document of n tokens is split into pieces of 2048 tokens, as many as fit, and then
 into one piece for each binary digit of what is left, longest first. Each piece is a
-sequence of its own: pieces of equal length share a bucket, from which a batch of
-equal, unpadded sequences is drawn, and no sequence crosses documents.
-
-Token ids come from a table of words. That is exact as the tokenizer never joins
-anything across white space, nor letters with marks. Words that are missing are added:
+sequence of its own, so no sequence crosses documents and none is padded. Pieces of
+equal length share a bucket, the binary logarithm of the length. Each task fills the
+buckets' batches as pieces come: a batch holds ``BATCH`` tokens in sequences of one
+length, and only the last one of a task and bucket can have fewer.
+
+Token ids are those of the tokenizer as it is loaded, so strings of its special tokens
+get their special ids. They come from a table of words. That is exact as the tokenizer
+never joins anything across white space, nor letters with marks. Words that are missing are added:
 plain ones by the tokenizer's own merges applied to thousands of words at a time, others
 by the tokenizer. A table that would grow over ``CACHE_WORDS`` is started anew.
 
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 
 SEQUENCE = 2048
 END_ID = 1
+#: Tokens of a batch of sequences of one length.
+BATCH = 1 << 16
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 600_000
 #: Words of one length whose merges are made together.
@@ -130,7 +135,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merges = WordMerges(self.tokenizer)
         self.words: dict[str, bytes] = {}  # as they stand in texts
         self.marks = self._ids([".", ","])
@@ -189,16 +193,19 @@ def _pack(vocabulary: str | None, with_ids: bool):
         path = vocabulary or default_vocabulary()
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         end = END_ID.to_bytes(4, "little")
+        made: dict[int, int] = defaultdict(int)  # pieces of each length in this task
         for batch in batches:
             for doc_ids, texts in _portions(batch):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], [], []]
                 for doc_id, ids in zip(doc_ids, encoder.encode(texts), strict=True):
                     ids += end
                     total, start = len(ids) // 4, 0
                     for n in lengths(total):
                         piece = ids[4 * start : 4 * (start + n)]
-                        for column, value in zip(out, (doc_id, start, n, zlib.crc32(piece), total, piece if with_ids else None), strict=True):
+                        row = (doc_id, start, n, zlib.crc32(piece), total, n.bit_length() - 1, made[n] * n // BATCH, piece if with_ids else None)
+                        for column, value in zip(out, row, strict=True):
                             column.append(value)
+                        made[n] += 1
                         start += n
                 yield _batch(out, with_ids)
 
@@ -218,13 +225,12 @@ def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
         yield doc_ids, texts
 
 
-
 def _batch(out: list[list], with_ids: bool) -> pa.RecordBatch:
-    arrays = [pa.array(x, pa.int64()) for x in out[:5]]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    arrays = [pa.array(x, pa.int64()) for x in out[:7]]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "batch"]
     if with_ids:
-        offsets = pa.array([0, *_running(len(x) // 4 for x in out[5])], pa.int32())
-        values = pa.Array.from_buffers(pa.int32(), sum(len(x) for x in out[5]) // 4, [None, pa.py_buffer(b"".join(out[5]))])
+        offsets = pa.array([0, *_running(len(x) // 4 for x in out[7])], pa.int32())
+        values = pa.Array.from_buffers(pa.int32(), sum(len(x) for x in out[7]) // 4, [None, pa.py_buffer(b"".join(out[7]))])
         arrays.append(pa.ListArray.from_arrays(offsets, values))
         names.append("ids")
     return pa.RecordBatch.from_arrays(arrays, names=names)
@@ -237,19 +243,22 @@ def _running(lengths: Iterable[int]) -> Iterator[int]:
         yield total
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long, batch long"
 
 
 def _pieces(docs: DataFrame, vocabulary: str | None, with_ids: bool) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     packed = rows.mapInArrow(_pack(vocabulary, with_ids), SCHEMA + ", ids array<int>" * with_ids)
-    return packed.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    # Batches are numbered within the task, whose number goes in front.
+    batch = F.spark_partition_id().cast("long") * F.lit(1 << 32) + F.col("batch")
+    return packed.withColumn("batch", batch).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """A row per piece; its sequence holds this piece alone, so offset is 0.
 
-    A sequence's length is the piece's, a power of two, and is its bucket.
+    A sequence's length is the piece's, a power of two. bucket and batch together name
+    the batch of equal lengths that it is drawn with.
     """
     return _pieces(docs, vocabulary, False)
 
@@ -260,5 +269,5 @@ def sequences(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def write_buckets(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
-    """Write the sequences, a folder for each length."""
-    sequences(docs, vocabulary).write.partitionBy("length").parquet(path)
+    """Write the sequences, a folder for each bucket."""
+    sequences(docs, vocabulary).write.partitionBy("bucket").parquet(path)

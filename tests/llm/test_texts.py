@@ -46,7 +46,6 @@ def test_packing_round_trip(odd, odd_rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     got = packing.sequences(odd).toPandas()
     assert got.sequence_id.is_unique and (got.offset == 0).all()
     assert got.length.map(lambda n: n & (n - 1) == 0 and n <= 2048).all()
@@ -64,16 +63,27 @@ def test_packing_round_trip(odd, odd_rows):
             assert np.array_equal(np.array(piece.ids), ids[piece.start : piece.start + piece.length].astype(int))
 
 
+def test_packing_fills_batches_of_one_length(spark):
+    docs = spark.createDataFrame([(k, "the cat " * (k % 9)) for k in range(300)], "doc_id long, text string").repartition(2)
+    got = packing.pieces(docs).toPandas()
+    assert (got.length == 2**got.bucket).all()
+    sizes = got.groupby(["bucket", "batch"]).length.sum()
+    assert sizes.max() <= 1 << 16 and got.groupby(["bucket", "batch"]).length.nunique().max() == 1
+
+
 def test_packing_lengths_are_binary():
     assert packing.lengths(1) == [1]
     assert packing.lengths(2048) == [2048]
     assert packing.lengths(5000) == [2048, 2048, 512, 256, 128, 8]
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> don't DON'T it's", "naïve café ÉTÉ. a,b..c !? #1 2nd", "ΣΑΣ İstanbul \u00a0x\u2003y e\u0301", "a\x1cb\x85c", "ab" * 40 + ". " + "q" * 30])
+@pytest.mark.parametrize("text", ["a <|endoftext|> b x<|startoftext|>y <|ENDOFTEXT|> <|endof text|>", "<|endoftext|> don't DON'T it's", "naïve café ÉTÉ. a,b..c !? #1 2nd", "ΣΑΣ İstanbul \u00a0x\u2003y e\u0301", "a\x1cb\x85c", "ab" * 40 + ". " + "q" * 30])
 def test_tokenizer_agrees_on_odd_words(text):
+    from tokenizers import Tokenizer
+
     encoder = packing.Encoder(packing.default_vocabulary())
-    want = np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    untouched = Tokenizer.from_file(packing.default_vocabulary())
+    want = np.array(untouched.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert encoder.encode([text]) == [want]
     assert encoder.encode([text, "", text]) == [want, b"", want]
 
