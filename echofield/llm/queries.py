@@ -73,4 +73,57 @@ ORACLE_SQL: dict[str, str] = {
         )
         select doc_id, keep_id, group_size, doc_id is not distinct from keep_id kept, sha256(body) text_sha256 from g
     """,
+    "op10_source_mixing": r"""
+        with recursive d as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size from documents
+        ), s as (
+            select source, sum(size)::bigint source_size, 2.0::double * sum(size) most,
+                [5.0, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double weight
+            from d group by source
+        ), l as (  -- the level if all that reach their limit before this source stop there
+            select s.*, (1.5::double * (select sum(source_size) from s)
+                    - coalesce((select sum(o.most) from s o where o.most / o.weight < s.most / s.weight), 0))
+                / (select sum(o.weight) from s o where o.most / o.weight >= s.most / s.weight) own
+            from s
+        ), t as (
+            select source, source_size, least(most, coalesce((select own from l where own <= most / weight order by most / weight limit 1) * weight, most)) target from l
+        ), g as (
+            select *, floor(target + 0.5)::bigint goal, greatest(16, least(1024, (select floor(sum(target) / 65536) from t)))::bigint block from t
+        ), c as (
+            select *, ((goal + block - 1) // block)::bigint slots,
+                coalesce(sum((goal + block - 1) // block) over (order by source nulls last rows between unbounded preceding and 1 preceding), 0)::bigint first
+            from g
+        ), n as (
+            select coalesce(sum(slots), 0)::bigint n from c
+        ), euclid as (  -- the terms of each near step's continued fraction
+            select near + k step, k, n a, (near + k) b, 0::bigint term
+            from (select n, round(n * ((sqrt(5.0::double) - 1) / 2))::bigint near from n), range(-64, 65) r(k) where near + k > 0 and near + k < n
+            union all
+            select step, k, b, a % b, a // b from euclid where b > 0
+        ), step as (
+            select coalesce((
+                select step from euclid group by step, k having min(case when b = 0 then a end) = 1 order by max(term), abs(k), step limit 1
+            ), 1) step
+        ), slot as (
+            select source, slot, row_number() over (partition by source order by slot) - 1 rank
+            from (select range slot, (range + 1) * step % n place from n, step, range(0, (select n from n))) p
+            join c on place >= first and place < first + slots
+        ), placed as (
+            select d.doc_id, d.source, size, source_size, target, goal, block,
+                coalesce(sum(size) over (partition by d.source order by substr(md5(coalesce(d.doc_id::varchar, '-') || ':' || size), 1, 15), d.doc_id, size
+                    rows between unbounded preceding and 1 preceding), 0)::bigint start
+            from d join c on d.source is not distinct from c.source where size > 0
+        ), read as (
+            select *, greatest(0, least(start + size, goal) - start) one, start // block rank_one,
+                greatest(0, least(start + source_size + size, goal) - start - source_size) two, (start + source_size) // block rank_two
+            from placed
+        )
+        select doc_id, read.source, size, source_size, target, (one + two)::bigint taken,
+            case when one > 0 then a.slot end slot, case when two > 0 then b.slot end second_slot
+        from read
+            left join slot a on a.source is not distinct from read.source and a.rank = rank_one
+            left join slot b on b.source is not distinct from read.source and b.rank = rank_two
+        union all
+        select doc_id, d.source, size, source_size, target, 0, null, null from d join t on d.source is not distinct from t.source where size = 0
+    """,
 }

@@ -118,6 +118,29 @@ def test_steps_reach_every_place_evenly(n):
         assert np.all(np.abs(inside - share * np.arange(1, n + 1)) < 6)
 
 
+@pytest.mark.parametrize("n", [7, 5_000_000_011, 300_000_000_007])
+def test_places_of_very_many_slots(spark, n):
+    from pyspark.sql import functions as F
+
+    step = mixing.golden_step(n)
+    places = [k for k in (0, 1, 5, n // 2, n - 2, n - 1, 5_000_000_000) if k < n]
+    rows = spark.createDataFrame([(k,) for k in places], "place long")
+    got = [x[0] for x in rows.select(mixing.times_modulo(F.col("place"), pow(step, -1, n), n)).collect()]
+    assert got == [k * pow(step, -1, n) % n for k in places]
+
+
+def test_mixed_rows_come_in_order_of_the_schedule(spark):
+    rows = [(k, " ".join(["w"] * 20), f"s{k % 3}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order, slots = [x.doc_id for x in mixing.mixed(docs).collect()], {}
+    for x in mixing.mix(docs).collect():
+        slots[x.doc_id] = [s for s in (x.slot, x.second_slot) if s is not None]
+    assert [min(slots[k]) for k in order[:20]] == sorted(min(slots[k]) for k in order[:20])
+    first = Counter(k % 3 for k in order[:200])
+    share = Counter(k % 3 for k in order)
+    assert all(abs(first[s] / 200 - share[s] / len(order)) < 0.05 for s in range(3))
+
+
 def luhn(digits):
     total = 0
     for k, d in enumerate(reversed(digits)):
