@@ -8,10 +8,10 @@ vector; a document is the mean of its features' vectors, and a softmax layer giv
 two labels' probabilities. Vectors and layer are trained together by stochastic
 gradient descent in numpy.
 
-Training takes at most ``MAX_ROWS`` labelled documents of at most ``MAX_CHARS``
-characters, those with the smallest hashes of doc_id. The bound keeps it on the driver
-whatever the size of the corpus. Scoring reads whole texts. As the layer is linear in
-the mean, each bucket needs one number then, and scoring is a table look-up.
+Training takes at most ``MAX_ROWS`` labelled documents, those with the smallest hashes
+of doc_id, whatever their length. Tasks turn whole texts into counts of buckets, so the
+driver gets compact bags, never texts. Scoring reads whole texts. As the layer is linear
+in the mean, each bucket needs one number then, and scoring is a table look-up.
 
 Defined results: a null text is empty; an empty text has no features, and its score is
 the softmax of the layer's bias. Rows whose doc_id is null are held out. Without any
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +34,15 @@ BUCKETS = 1 << 18
 DIMENSIONS = 8
 EPOCHS = 8
 RATE = 12.0
-MAX_ROWS = 3000
-MAX_CHARS = 20_000
+#: Labelled documents that training takes at most.
+MAX_ROWS = 6000
 THRESHOLD = 0.3
 FOLDS = 5
 #: Bytes of text whose features are made together.
 AT_ONCE = 2 << 20
-#: The same on the driver, which has less memory.
-TRAINED_AT_ONCE = 1 << 18
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -76,8 +76,9 @@ class Words:
         np.multiply.accumulate(np.full(n, BASE, np.uint64), out=powers[1:])
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-        # Multiplied up to a common power instead of divided down to none.
-        return (sums[stops] - sums[starts]) * powers[n - starts]
+        # Divided down by the power of the start, so that a word's hash is the same everywhere.
+        np.multiply.accumulate(np.full(n, INVERSE, np.uint64), out=powers[1:])
+        return (sums[stops] - sums[starts]) * powers[starts]
 
     def features(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(position, bucket) of each kind of feature, in order of position."""
@@ -133,30 +134,35 @@ class Model:
         return np.concatenate(out)
 
 
-def fit(texts: list[bytes], labels: list[int], seed: int = 7) -> Model:
-    """Train on the given examples."""
-    if not texts or len(set(labels)) < 2:
-        only = {0: -20.0, 1: 20.0}.get(labels[0], 0.0) if labels else 0.0
-        return Model(np.zeros(BUCKETS, np.float32), only)
-    bags = []
-    for part in portions(texts, TRAINED_AT_ONCE):
+Bag = tuple[np.ndarray, np.ndarray]  # buckets, and the share of each in a document's features
+
+
+def bags(texts: list[bytes]) -> Iterator[Bag]:
+    for part in portions(texts):
         laid = Words(part)
         kinds = [(np.searchsorted(at, laid.begins), np.searchsorted(at, laid.ends), b) for at, b in laid.features()]
         for k in range(len(part)):
             found = np.concatenate([b[first[k] : last[k]] for first, last, b in kinds])
             each, counts = np.unique(found, return_counts=True)
-            bags.append((each, (counts / max(len(found), 1)).astype(np.float32)))
+            yield each, (counts / max(len(found), 1)).astype(np.float32)
+
+
+def fit(examples: list[Bag], labels: list[int], seed: int = 7) -> Model:
+    """Train on the bags of the given examples."""
+    if not examples or len(set(labels)) < 2:
+        only = {0: -20.0, 1: 20.0}.get(labels[0], 0.0) if labels else 0.0
+        return Model(np.zeros(BUCKETS, np.float32), only)
     order = np.random.default_rng(seed)
     vectors = order.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer = np.zeros((DIMENSIONS, 2), np.float32)
     rate_of_one = float(np.mean(labels))
     bias = np.log(np.array([1 - rate_of_one, rate_of_one], np.float32))
-    steps, step = EPOCHS * len(bags), 0
+    steps, step = EPOCHS * len(examples), 0
     for _ in range(EPOCHS):
-        for k in order.permutation(len(bags)):
+        for k in order.permutation(len(examples)):
             rate = RATE * (1 - step / steps)
             step += 1
-            each, weights = bags[k]
+            each, weights = examples[k]
             hidden = weights @ vectors[each]
             logits = hidden @ layer + bias
             error = np.exp(logits - logits.max())
@@ -173,14 +179,29 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on labelled documents outside the held-out fold; see the module's bounds."""
-    marked = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", "quality")
+def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "quality", "tie", "buckets", "shares"]
+    for batch in batches:
+        kept = [batch.column(k).to_pylist() for k in range(3)]
+        for k, (each, shares) in enumerate(bags(_encoded(batch.column(3).to_pylist()))):
+            arrays = [pa.array([x[k]], t) for x, t in zip(kept, (pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([each.astype("<i4").tobytes()]), pa.array([shares.astype("<f4").tobytes()])], names=names)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on labelled documents outside the held-out fold; see the module's bound."""
+    marked = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars)
     # At most max_rows pairs of numbers are broadcast.
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "text").limit(max_rows).collect()
-    return fit(_encoded([x["text"] for x in rows]), [int(x["quality"]) for x in rows])
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    rows = texts.select("doc_id", "quality", F.xxhash64("text").alias("tie"), "text").mapInArrow(_bag_rows, "doc_id long, quality int, tie long, buckets binary, shares binary")
+    # Documents that repeat a doc_id can be more than the labels; the bound is on them too.
+    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "tie").limit(max_rows).drop("doc_id", "tie").toLocalIterator()
+    examples, targets = [], []
+    for x in found:
+        examples.append((np.frombuffer(x["buckets"], "<i4"), np.frombuffer(x["shares"], "<f4")))
+        targets.append(x["quality"])
+    return fit(examples, targets)
 
 
 def scorer(docs: DataFrame, model: Model):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -131,10 +132,49 @@ def test_quality_odd_rows(odd, none, spark):
     docs, labels = labelled(spark)
     assert quality.score(none, labels).count() == 0
     assert quality.accepted(docs, labels).columns == docs.columns
-    scores = quality.fit([b"good " * 5, b"bad " * 5], [1, 0]).scores([b"", b"good " * 9000, b"good " * 9000])
+    scores = quality.fit(list(quality.bags([b"good " * 5, b"bad " * 5])), [1, 0]).scores([b"", b"good " * 9000, b"good " * 9000])
     assert 0 <= scores[0] <= 1 and scores[1] == scores[2]
 
 
+def test_quality_features_and_scores_against_brute_force():
+    texts = ["the cat the  cat sat", "", "\tx", "naïve\nnaïve naïve", "word " * 40]
+
+    def mixed_hash(x):
+        return ((x ^ x >> 29) * 0xD6E8FEB86659FD93 & 2**64 - 1) >> 46
+
+    base, whole = 0x9E3779B97F4A7C15, 2**64
+    table = np.random.default_rng(2).normal(size=quality.BUCKETS).astype(np.float32)
+    for (each, shares), score, text in zip(quality.bags([t.encode() for t in texts]), quality.Model(table, 0.25).scores([t.encode() for t in texts]), texts, strict=True):
+        words = text.encode().split()
+        hashes = [sum((c + 1) * base**k for k, c in enumerate(w)) % whole for w in words]
+        want = []
+        framed = b" " + text.encode() + b" "
+        for size, salt in ((3, 3), (4, 4)):
+            for k in range(len(framed) - size + 1):
+                inner = framed[k + 1 : k + size - 1]
+                if b" " not in inner:
+                    want.append(mixed_hash((int.from_bytes(framed[k : k + size], "little") * base + salt) % whole))
+        want += [mixed_hash(h) for h in hashes]
+        want += [mixed_hash(((b - a) * base + 2) % whole) for a, b in zip(hashes, hashes[1:], strict=False)]
+        got = dict(zip(each.tolist(), shares.tolist(), strict=True))
+        assert {b: round(s * len(want)) for b, s in got.items()} == Counter(want)
+        value = sum(table[b] * s for b, s in got.items()) + 0.25
+        assert abs(score - 1 / (1 + np.exp(-value))) < 1e-4
+
+
+def test_quality_tells_words_apart_that_share_letters():
+    examples = list(quality.bags([b"good words here", b"bad things there", b"good good"]))
+    model = quality.fit(examples, [1, 0, 1])
+    assert (model.scores([b"good words here", b"bad things there"]) >= 0.5).tolist() == [True, False]
+
+
+def test_quality_learns_from_long_texts_too(spark):
+    long_ = [(k, ("fine prose of the day " if k % 2 else "CLICK NOW $$$ ") * 3000) for k in range(60)]
+    docs = spark.createDataFrame(long_, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    assert all(x.predicted == x.doc_id % 2 for x in quality.score(docs, labels).collect())
+
+
 def brute_words(text):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered)
