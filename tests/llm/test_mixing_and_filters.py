@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import hashlib
+import random
 import re
+import time
 from collections import Counter
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 
@@ -141,6 +144,9 @@ def test_mixed_rows_come_in_order_of_the_schedule(spark):
     assert all(abs(first[s] / 200 - share[s] / len(order)) < 0.05 for s in range(3))
 
 
+KEY = "secret of the tests"
+
+
 def luhn(digits):
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -160,7 +166,7 @@ def test_pseudonyms_keep_format_and_links(spark):
         (7, "+1 (389) 555-5010" + " filler" * 20_000),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.doc_id: x for x in pseudonyms.pseudonymise(docs).collect()}
+    got = {x.doc_id: x for x in pseudonyms.pseudonymise(docs, KEY).collect()}
     one = re.match(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16}), born (\d{4}-\d\d-\d\d)\.$", got[1].text)
     assert one[1].replace(" ", "") == one[2] != "4111111111111111" and luhn(one[2])
     date.fromisoformat(one[3])
@@ -179,7 +185,7 @@ def test_pseudonyms_beside_other_numbers(spark):
     card = "4111 1111 1111 1111"
     texts = ["4111111111111111 123", card + " 12/27", "3 4111111111111111", "12 34 56 " + card, "555-123-4567 " + card, card + " 2024-01-02", "GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19", "BE68 5390 0754 7034 BIC", "BE68 5390 0754 7034 " + card]
     docs = spark.createDataFrame([(k, "x " + t + " y.") for k, t in enumerate(texts)], "doc_id long, text string")
-    got = {x.doc_id: x for x in pseudonyms.pseudonymise(docs).collect()}
+    got = {x.doc_id: x for x in pseudonyms.pseudonymise(docs, KEY).collect()}
     for k, t in enumerate(texts):
         assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", got[k].text)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", "x " + t + " y."))
         assert ("card" in got[k].kinds) == ("1111" in t) and ("iban" in got[k].kinds) == (t[:2] in ("GB", "BE"))
@@ -198,9 +204,82 @@ def test_permutations_are_one_to_one(spark):
     assert len(set(got)) == 100 and all(re.fullmatch("[a-z][0-9]", x) for x in got)
 
 
+def brute_function(kind, k, half, size):
+    return int(hashlib.sha256(f"{KEY}:{kind}:{size}:{k}:{half}".encode()).hexdigest()[:15], 16)
+
+
+def brute_feistel(left, right, left_size, right_size, kind, size):
+    for k in range(10):
+        if k % 2 == 0:
+            left = (left + brute_function(kind, k, right, size)) % left_size
+        else:
+            right = (right + brute_function(kind, k, left, size)) % right_size
+    return left, right
+
+
+def brute_digits(digits, kind):
+    n, half = len(digits), len(digits) // 2
+    left, right = brute_feistel(int(digits[:half]), int(digits[half:]), 10**half, 10 ** (n - half), kind, n)
+    return f"{left:0{half}d}{right:0{n - half}d}"
+
+
+def brute_social(value):
+    digits = value.replace("-", "")
+    while True:
+        digits = brute_digits(digits, "social")
+        if digits[:3] != "000" and digits[3:5] != "00" and digits[5:] != "0000":
+            return f"{digits[:3]}-{digits[3:5]}-{digits[5:]}"
+
+
+def brute_date(value):
+    day = (date.fromisoformat(value) - date(1900, 1, 1)).days
+    if 0 <= day < 65536:
+        left, right = brute_feistel(day // 256, day % 256, 256, 256, "date", 16)
+        return str(date(1900, 1, 1) + timedelta(left * 256 + right))
+    x = day + 693_595 if day < 0 else day + 693_595 - 65_536
+    while True:
+        left, right = brute_feistel(x // 2000, x % 2000, 1794, 2000, "date", 22)
+        x = left * 2000 + right
+        if x < 3_652_059 - 65_536:
+            return str(date(1900, 1, 1) + timedelta(x - 693_595 if x < 693_595 else x - 693_595 + 65_536))
+
+
+def test_pseudonyms_against_brute_force(spark):
+    rng = random.Random(4)
+    social = [f"{rng.randint(1, 999):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(400)]
+    cards = []
+    for _ in range(40):
+        body = "".join(rng.choices("0123456789", k=15))
+        cards.append(next(body + c for c in "0123456789" if luhn(body + c)))
+    dates = [str(date(1, 1, 1) + timedelta(rng.randrange(3_652_059))) for _ in range(60)] + ["1899-12-31", "1900-01-01", "2079-06-06", "2079-06-07", "0001-01-01", "9999-12-31"]
+    docs = spark.createDataFrame([(0, " ".join(social)), (1, "; ".join(cards)), (2, " ".join(dates))], "doc_id long, text string")
+    got = {x.doc_id: x for x in pseudonyms.pseudonymise(docs, KEY).collect()}
+    assert got[0].text == " ".join(map(brute_social, social)) and got[0].n_replaced == 400
+    want = [brute_digits(c[:-1], "card") for c in cards]
+    assert got[1].text == "; ".join(next(w + c for c in "0123456789" if luhn(w + c)) for w in want)
+    assert got[2].text == " ".join(map(brute_date, dates))
+
+
+def test_phone_numbers(spark):
+    rows = ["+13895555010", "+44 20 7946 0958", "+49-30-901820", "(389) 555-5010", "389-555-5010", "+0 389 555 5010", "000-000-0000", "12 34"]
+    docs = spark.createDataFrame(list(enumerate(f"x {t} y" for t in rows)), "doc_id long, text string")
+    got = [x.text for x in pseudonyms.pseudonymise(docs, KEY).orderBy("doc_id").collect()]
+    for k in range(5):
+        assert got[k] != f"x {rows[k]} y" and re.sub("[0-9]", "0", got[k]) == re.sub("[0-9]", "0", f"x {rows[k]} y")
+    assert got[0].startswith("x +1") and got[1].startswith("x +44 ") and got[6:] == [f"x {t} y" for t in rows[6:]]
+
+
+@pytest.mark.parametrize("piece", ["a.", "4 ", "4111 1111 1111 1111 ", "12-"])
+def test_pseudonyms_of_long_hostile_texts(spark, piece):
+    docs = spark.createDataFrame([(1, piece * (100_000 // len(piece)))], "doc_id long, text string")
+    began = time.perf_counter()
+    assert len(pseudonyms.pseudonymise(docs, KEY).first().text) == len(piece) * (100_000 // len(piece))
+    assert time.perf_counter() - began < 30
+
+
 def test_pseudonyms_odd(odd, none):
-    assert pseudonyms.pseudonymise(odd).count() == odd.count()
-    assert pseudonyms.pseudonymise(none).count() == 0
+    assert pseudonyms.pseudonymise(odd, KEY).count() == odd.count()
+    assert pseudonyms.pseudonymise(none, KEY).count() == 0
 
 
 URLS = [
