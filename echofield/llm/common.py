@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,14 @@ OTHER_SPACES = "\t\n\x0b\x0c\r"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is set."""
+    """The folder that driver and executors share.
+
+    Only a local session, whose executors are the driver, may have none set.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="echofield-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -26,13 +32,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the running stage only. The table
-    is removed when the driver ends.
+    is removed by ``release``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table behind a result of ``written`` that nothing reads any more."""
+    held = _paths.pop(id(df), None)
+    if held and held[0]() is df:
+        _remove(df.sparkSession, held[1])
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -17,7 +17,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.membership(table(spark, sf_dir, "documents")).drop("bucket", "chain")
+    return exact_dedup.membership(table(spark, sf_dir, "documents"))
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +73,21 @@ ORACLE_SQL: dict[str, str] = {
         with d as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') body from documents
         ), g as (
-            select doc_id, body, min(doc_id) over w keep_id, count(*) over w group_size from d window w as (partition by body)
+            select doc_id, body, sha256(body) sha, min(doc_id) over w keep_id, count(*) over w group_size,
+                row_number() over (partition by body order by doc_id nulls last) = 1 kept
+            from d window w as (partition by body)
+        ), k as (
+            select distinct ('0x' || substr(sha, 1, 15))::bigint key from g
+        ), size as (  -- the first depth, and the last one
+            select (case when count(*) < 4096 then 0 else greatest(0, floor(log2(count(*) // 4096))::int - 1) end)::int first from k
+        ), p as (
+            select depth, key >> (60 - depth) prefix, count(*) n from k, size, range(first, first + 7) r(depth) group by all
+        ), b as (
+            select key, min(p.depth)::int depth from k join p on p.prefix = key >> (60 - p.depth), size where n <= 4096 or p.depth = first + 6 group by key
         )
-        select doc_id, keep_id, group_size, doc_id is not distinct from keep_id kept, sha256(body) text_sha256 from g
+        select doc_id, keep_id, group_size, kept, sha text_sha256, ((key >> (60 - depth)) << (first + 6 - depth))::bigint bucket,
+            (dense_rank() over (partition by key order by keep_id nulls last) - 1)::int chain
+        from g join b on key = ('0x' || substr(sha, 1, 15))::bigint, size
     """,
     "op10_source_mixing": r"""
         with recursive d as (

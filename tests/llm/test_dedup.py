@@ -21,23 +21,41 @@ def test_exact_membership_against_brute_force(odd, odd_rows):
     want = Counter()
     for text, ids in groups.items():
         keep = min((i for i in ids if i is not None), default=None)
-        for i in ids:
-            want[i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()] += 1
+        for k, i in enumerate(sorted(ids, key=lambda i: (i is None, i))):
+            want[i, keep, len(ids), k == 0, hashlib.sha256(text.encode()).hexdigest()] += 1
     assert got == want
 
 
 def test_buckets_split_until_they_fit(spark):
     docs = spark.range(500).selectExpr("id as doc_id", "cast(id as string) as text")
-    index = exact_dedup.groups(docs, capacity=8)
-    sizes = [x["count"] for x in index.groupBy("bucket").count().collect()]
+    rows = exact_dedup.membership(docs, capacity=8)
+    sizes = [x["count"] for x in rows.groupBy("bucket").count().collect()]
     assert sum(sizes) == 500 and max(sizes) <= 8 and len(sizes) > 60
-    assert {x.chain for x in index.collect()} == {0}
+    assert {x.chain for x in rows.collect()} == {0}
+
+
+def test_chains_tell_texts_with_one_key_apart(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "KEY_BITS", 4)  # so that most texts collide
+    monkeypatch.setattr(exact_dedup, "MAX_DEPTH", 4)
+    monkeypatch.setattr(exact_dedup, "HEAD_EVERY", 2)
+    test_exact_membership_against_brute_force(odd, odd_rows)
+    rows = exact_dedup.membership(odd, capacity=2).collect()
+    assert len({x.chain for x in rows}) > 1
+    assert len({(x.bucket, x.text_sha256[:1], x.chain) for x in rows}) == len({x.text_sha256 for x in rows})
+    kept = exact_dedup.deduplicate(odd).collect()
+    assert sorted(normal(x.text) for x in kept) == sorted({normal(x[1]) for x in odd_rows})
+
+
+def test_lists_that_are_too_large_to_broadcast(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    test_exact_membership_against_brute_force(odd, odd_rows)
+    assert exact_dedup.deduplicate(odd).count() == len({normal(x[1]) for x in odd_rows})
 
 
 def test_deduplicate_keeps_columns_and_one_of_each(odd):
     kept = exact_dedup.deduplicate(odd)
     assert kept.columns == odd.columns
-    texts = [normal(x.text) for x in kept.dropDuplicates().collect()]
+    texts = [normal(x.text) for x in kept.collect()]
     assert len(texts) == len(set(texts))
     assert set(texts) == {normal(x.text) for x in odd.collect()}
 
