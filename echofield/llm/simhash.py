@@ -9,14 +9,18 @@ shingles. Two fingerprints link at four or fewer differing bits.
   least -1 whose (t_i + 1) sum to 5, two fingerprints within four bits differ in at
   most t_i bits of some part i, else they would differ in 5 or more.
 * Each fingerprint gets its own thresholds: dynamic programming over the parts finds
-  those with the fewest probes and expected candidates. The expectation comes from the
-  bit frequencies over all fingerprints. How many parts there are follows from the
-  number of fingerprints in the same way.
+  those with the fewest probes and expected candidates. The expectation comes from
+  counts, over all fingerprints, of the values of each part (of each half of it, if a part
+  is over 16 bits). A part whose value is frequent gets a low threshold, down to -1, and
+  others a higher one. The program is run with two to five parts, and the number that
+  costs least over all fingerprints is taken.
 * Every fingerprint is stored under its value of each part, and probes the values
-  within its thresholds. Candidates that share a value are compared in full.
+  within its thresholds. Keys with one fingerprint go. Candidates that share a key are
+  compared in full. Where a key has much to compare, its probes are dealt over several
+  tasks, each with a copy of what is stored.
 * What leaves a task is a spanning forest of the links that it found, never all pairs.
   Forests are joined by alternating large-star and small-star steps, each written to
-  the shared folder.
+  the shared folder. Nodes with very many links are dealt over several tasks.
 
 Defined results: a text without words, null included, has fingerprint zero and links
 like any other. With one to three words the whole sequence is the only shingle. A null
@@ -28,6 +32,7 @@ are read, and ``representatives`` returns other columns untouched.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
@@ -39,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import partitions, salted_join, written
+from .common import partitions, release, salted_join, written
 
 WORDS = 4
 SEED = 42
@@ -47,10 +52,16 @@ BITS = 64
 DISTANCE = 4
 #: Pairs that a task compares at once.
 PAIRS_AT_ONCE = 1 << 21
+#: Rows of whole keys that a task holds at once, if no key has more.
+ROWS_AT_ONCE = 1 << 20
+#: Pairs of a key from which its probes are dealt over several tasks.
+PAIRS_PER_TASK = 1 << 24
 #: Rows of the probe table for each task.
 PROBES_PER_TASK = 1_000_000
 #: Cost of comparing a candidate, in probes.
 CANDIDATE_COST = 0.02
+#: Bits of a part's value that are counted together.
+COUNTED_BITS = 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -107,22 +118,6 @@ def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return total, each, (both - np.outer(each, each)) / np.outer(spread, spread)
 
 
-def ball(bits: int, radius: int) -> int:
-    return sum(comb(bits, k) for k in range(radius + 1))
-
-
-def part_count(n: int) -> int:
-    """Parts for n fingerprints: the fewest probes and candidates for even bits."""
-
-    def cost(m: int) -> float:
-        size, spare = BITS / m, DISTANCE + 1 - m  # m parts at 0 leave this to add
-        radii = [spare // m + (k < spare % m) for k in range(m)]
-        probes = [1, size + 1, size * (size + 1) / 2 + 1]
-        return sum(probes[r] * (1 + CANDIDATE_COST * n / 2**size) for r in radii)
-
-    return min(range(2, DISTANCE + 2), key=cost)
-
-
 def grouped_bits(correlation: np.ndarray, m: int) -> list[list[int]]:
     """Parts of nearly equal size; each takes the bits most correlated with its own."""
     strength = np.abs(correlation - np.eye(BITS))
@@ -138,42 +133,117 @@ def grouped_bits(correlation: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def thresholds(bits: np.ndarray, parts: list[list[int]], frequency: np.ndarray, n: int) -> np.ndarray:
-    """For each fingerprint (a row of bits) and part a threshold from -1 to 2.
-
-    The sum of threshold + 1 over the parts is DISTANCE + 1.
-    """
-    agree = np.clip(np.where(bits > 0, frequency, 1 - frequency), 1e-3, 1 - 1e-3)
-    need, most = DISTANCE + 1, 3
-    best = np.full((len(bits), need + 1), np.inf)
-    best[:, 0] = 0
-    chosen = []
-    for part in parts:
-        own = agree[:, part]
-        none = own.prod(axis=1)
-        odds = (1 - own) / own
-        first, second = odds.sum(axis=1), (odds**2).sum(axis=1)
-        within = [np.zeros(len(bits)), none, none * (1 + first), none * (1 + first + (first**2 - second) / 2)]
-        cost = [np.zeros(len(bits))] + [ball(len(part), t) + CANDIDATE_COST * n * within[t + 1] for t in range(most)]
-        now = np.full_like(best, np.inf)
-        pick = np.zeros(best.shape, np.int8)
-        for given in range(most + 1):
-            for total in range(given, need + 1):
-                with_this = best[:, total - given] + cost[given]
-                better = with_this < now[:, total]
-                now[better, total] = with_this[better]
-                pick[better, total] = given
-        best = now
-        chosen.append(pick)
-    out = np.zeros((len(bits), len(parts)), np.int8)
-    total = np.full(len(bits), need)
-    for k in range(len(parts) - 1, -1, -1):
-        given = chosen[k][np.arange(len(bits)), total]
-        out[:, k] = given - 1
-        total = total - given
+def halves(part: list[int]) -> list[list[int]]:
+    """The bits of a part that are counted together."""
+    return [part] if len(part) <= COUNTED_BITS else [part[0::2], part[1::2]]
+
+
+def value_of(values: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The given bits of each value, as a small number."""
+    out = np.zeros(len(values), np.int64)
+    for k, b in enumerate(bits):
+        out |= ((values >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
     return out
 
 
+def value_counts(nodes: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
+    """For each group of bits, how many fingerprints have each value of them."""
+    firsts = np.cumsum([0, *(1 << len(g) for g in groups)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(firsts[-1], np.int64)
+        for batch in batches:
+            values = _unsigned(batch.column(0))
+            for first, group in zip(firsts, groups, strict=False):
+                total += np.bincount(first + value_of(values, group), minlength=len(total))
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+
+    out = np.zeros(firsts[-1], np.int64)
+    # At most 2 ** COUNTED_BITS numbers for each group, whatever the number of rows.
+    for x in nodes.select("fp").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[x["cell"]] = x["n"]
+    return [out[a:b] for a, b in zip(firsts, firsts[1:], strict=False)]
+
+
+def around(counts: np.ndarray) -> np.ndarray:
+    """(3, values): how many fingerprints are at 0, 1 and 2 bits from each value."""
+    size = len(counts).bit_length() - 1
+    places = np.arange(len(counts))
+    one = sum((counts[places ^ 1 << b] for b in range(size)), np.zeros_like(counts))
+    two = sum((counts[places ^ (1 << a | 1 << b)] for a, b in combinations(range(size), 2)), np.zeros_like(counts))
+    return np.stack([counts, one, two]).astype(np.float64)
+
+
+@dataclass
+class Partition:
+    """Parts of the bits with what is known about their values."""
+
+    parts: list[list[int]]
+    tables: list[list[np.ndarray]]  # for each part and half: around()
+    n: int
+
+    def candidates(self, values: np.ndarray, part: int) -> np.ndarray:
+        """(3, len(values)): expected fingerprints within 0, 1 and 2 bits in a part."""
+        found = [t[:, value_of(values, h)] for h, t in zip(halves(self.parts[part]), self.tables[part], strict=True)]
+        if len(found) == 1:
+            return np.cumsum(found[0], axis=0)
+        (a0, a1, a2), (b0, b1, b2) = found
+        return np.cumsum([a0 * b0, a1 * b0 + a0 * b1, a2 * b0 + a1 * b1 + a0 * b2], axis=0) / max(self.n, 1)
+
+    def thresholds(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each fingerprint and part a threshold from -1 to 2, and the cost of all.
+
+        The sum of threshold + 1 over the parts is DISTANCE + 1.
+        """
+        need, most = DISTANCE + 1, 3
+        best = np.full((len(values), need + 1), np.inf)
+        best[:, 0] = 0
+        chosen = []
+        for k, part in enumerate(self.parts):
+            near = self.candidates(values, k)
+            probes = np.cumsum([comb(len(part), t) for t in range(most)])
+            cost = [np.zeros(len(values)), *(probes[:, None] + CANDIDATE_COST * near)]
+            now = np.full_like(best, np.inf)
+            pick = np.zeros(best.shape, np.int8)
+            for given in range(most + 1):
+                for total in range(given, need + 1):
+                    with_this = best[:, total - given] + cost[given]
+                    better = with_this < now[:, total]
+                    now[better, total] = with_this[better]
+                    pick[better, total] = given
+            best = now
+            chosen.append(pick)
+        out = np.zeros((len(values), len(self.parts)), np.int8)
+        total = np.full(len(values), need)
+        for k in range(len(self.parts) - 1, -1, -1):
+            given = chosen[k][np.arange(len(values)), total]
+            out[:, k] = given - 1
+            total = total - given
+        return out, best[:, need]
+
+
+def partitioned(nodes: DataFrame, parts: int | None = None) -> Partition:
+    """The partition, of those with two to five parts, whose thresholds cost least."""
+    n, _, correlation = bit_statistics(nodes)
+    options = [grouped_bits(correlation, m) for m in ([parts] if parts else range(2, DISTANCE + 2))]
+    counted = iter(value_counts(nodes, [h for option in options for part in option for h in halves(part)]))
+    found = [Partition(option, [[around(next(counted)) for _ in halves(part)] for part in option], n) for option in options]
+    if len(found) == 1 or not n:
+        return found[-1]
+    shared = nodes.sparkSession.sparkContext.broadcast(found)  # some megabytes, whatever the number of rows
+
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value))
+        for batch in batches:
+            values = _unsigned(batch.column(0))
+            total += [x.thresholds(values)[1].sum() for x in shared.value]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["option", "cost"])
+
+    rows = nodes.select("fp").mapInArrow(costs, "option long, cost double").groupBy("option").agg(F.sum("cost").alias("cost")).collect()
+    return found[min(rows, key=lambda x: (x["cost"], x["option"]))["option"]]
+
+
 def _unsigned(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
@@ -187,14 +257,16 @@ def _bits(values: np.ndarray) -> np.ndarray:
 STORED, ASKING = 1, 2
 
 
-def _probe(parts: list[list[int]], frequency: np.ndarray, n: int) -> Callable:
-    masks = [sum(1 << b for b in part) for part in parts]
-    flips = [[[0], [1 << b for b in part], [1 << a | 1 << b for a, b in combinations(part, 2)]] for part in parts]
+def _probe(shared) -> Callable:
+    """shared: a broadcast Partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition = shared.value
+        masks = [sum(1 << b for b in part) for part in partition.parts]
+        flips = [[[0], [1 << b for b in part], [1 << a | 1 << b for a, b in combinations(part, 2)]] for part in partition.parts]
         for batch in batches:
             values = _unsigned(batch.column(0))
-            limit = thresholds(_bits(values), parts, frequency, n)
+            limit, _ = partition.thresholds(values)
             for k, mask in enumerate(masks):
                 # Bits outside the part tell parts apart. Where two parts' keys are equal
                 # by chance, the comparison in full decides.
@@ -205,9 +277,9 @@ def _probe(parts: list[list[int]], frequency: np.ndarray, n: int) -> Callable:
                 for radius in (1, 2):
                     far = limit[:, k] >= radius
                     if far.any():
-                        around = np.array(flips[k][radius], np.uint64)
-                        keys = (base[far][:, None] ^ around).ravel() | tag
-                        yield _rows(keys, np.repeat(values[far], len(around)), np.full(len(keys), ASKING))
+                        around_ = np.array(flips[k][radius], np.uint64)
+                        keys = (base[far][:, None] ^ around_).ravel() | tag
+                        yield _rows(keys, np.repeat(values[far], len(around_)), np.full(len(keys), ASKING))
 
     return run
 
@@ -266,27 +338,54 @@ def compare(keys: np.ndarray, values: np.ndarray, kinds: np.ndarray) -> tuple[np
 
 
 def _compare_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns: list[list] = [[], [], []]
-    for batch in batches:
+    """Compares whole keys, some at a time; rows come in order of key."""
+    kinds = (np.int64, np.int64, np.int8)
+    held, rows = [[np.zeros(0, k)] for k in kinds], 0
+
+    def flush(upto: int | None) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(x) for x in held]
+        upto = len(columns[0]) if upto is None else int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
         for k, column in enumerate(columns):
-            column.append(batch.column(k).to_numpy(zero_copy_only=False))
-    if not columns[0]:
-        return
-    keys, values, kinds = (np.concatenate(x) for x in columns)
-    a, b = compare(keys.view(np.uint64), values.view(np.uint64), kinds)
-    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            held[k] = [column[upto:]]
+        keys, values, marks = (x[:upto] for x in columns)
+        a, b = compare(keys.view(np.uint64), values.view(np.uint64), marks)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    for batch in batches:
+        for k in range(3):
+            held[k].append(batch.column(k).to_numpy(zero_copy_only=False))
+        rows += batch.num_rows
+        if rows >= ROWS_AT_ONCE:
+            yield from flush(0)
+            rows = len(held[0][0])
+    yield from flush(None)
 
 
 def links(nodes: DataFrame, parts: int | None = None) -> DataFrame:
     """(a, b): linked fingerprints; their forests hold every link between texts."""
-    n, frequency, correlation = bit_statistics(nodes)
-    m = parts or part_count(max(n, 1))
-    groups = grouped_bits(correlation, m)
-    probes = nodes.select("fp").mapInArrow(_probe(groups, frequency, n), "key long, fp long, kind tinyint")
-    size, spare = BITS // m, DISTANCE + 1 - m
-    expected = n * (m + m * ball(size + 1, min(2, -(-spare // m))))
-    tasks = max(partitions(nodes.sparkSession), expected // PROBES_PER_TASK)
-    return probes.repartition(int(tasks), "key").mapInArrow(_compare_task, "a long, b long").distinct()
+    shared = nodes.sparkSession.sparkContext.broadcast(partitioned(nodes, parts))
+    probes = written(nodes.select("fp").mapInArrow(_probe(shared), "key long, fp long, kind tinyint"), "probes")
+    asking, stored = F.col("kind").bitwiseAND(ASKING) > 0, F.col("kind").bitwiseAND(STORED) > 0
+    keys = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(asking.cast("long")).alias("asks"), F.sum(stored.cast("long")).alias("holds"))
+    keys = written(keys.where("n > 1 and asks > 0 and holds > 0").withColumn("shares", F.floor(F.col("asks") * F.col("holds") / PAIRS_PER_TASK) + 1), "probe-keys")
+    rows = salted_join(probes, keys.select("key", "n", "shares"), ["key"], "n", F.xxhash64("fp"))
+    own = F.pmod(F.xxhash64("fp", "kind"), F.col("shares"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)
+    # What asks goes to its own share of the key, what is stored to all of them.
+    dealt = rows.withColumn("own", own).withColumn("share", F.explode(F.when(stored, every).otherwise(F.array("own"))))
+    dealt = dealt.withColumn("kind", F.when(stored & (F.col("share") != F.col("own")), F.lit(STORED)).otherwise(F.col("kind")).cast("tinyint"))
+    # A share of a key is a key of its own.
+    dealt = dealt.select(F.xxhash64("key", "share").alias("key"), "fp", "kind")
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(partitions(nodes.sparkSession), total // PROBES_PER_TASK)
+    return dealt.repartition(int(tasks), "key").sortWithinPartitions("key").mapInArrow(_compare_task, "a long, b long").distinct()
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """a, b, m: edges with the smallest neighbour of a; nodes with many are dealt out."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    return salted_join(edges, written(least, "least"), ["a"], "n", F.xxhash64("b")).drop("n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -296,13 +395,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: larger neighbours go to the smallest one.
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
         # Small star: smaller neighbours and the node itself go to the smallest one.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        now = written(small, "links")
+        large = written(large, "links")
+        small = _with_least(large).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        own = large.groupBy("a").agg(F.min("b").alias("b"))
+        small = written(small.unionByName(own).where("a != b").distinct(), "links")
+        release(now)
+        release(large)
+        now = small
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -317,8 +418,9 @@ def link(docs: DataFrame) -> DataFrame:
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     found = components(links(nodes)).select(F.col("node").alias("fp"), "root")
     placed = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed = written(placed.join(smallest, "root").select("fp", "n", "component_id"), "components")
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    placed = salted_join(placed, written(smallest, "roots"), ["root"], "nodes", F.xxhash64("fp"))
+    placed = written(placed.select("fp", "n", "component_id"), "components")
     out = salted_join(rows, placed, ["fp"], "n", F.xxhash64("doc_id"))
     return out.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
 

@@ -88,7 +88,7 @@ def test_components_against_brute_force(odd, odd_rows):
     assert got == want
 
 
-def test_links_of_dense_fingerprints_with_every_number_of_parts(spark):
+def test_links_of_dense_fingerprints_with_every_number_of_parts(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 8, dtype=np.uint64)
     values = []
@@ -101,19 +101,48 @@ def test_links_of_dense_fingerprints_with_every_number_of_parts(spark):
     want = simhash.union(np.arange(len(values)), *np.nonzero(near))
     nodes = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long")
     place = {int(x): k for k, x in enumerate(values.view(np.int64))}
-    for parts in (2, 3, 4, 5):
+    for parts, pairs in ((2, 1 << 24), (3, 64), (4, 1 << 24), (5, 64), (None, 256)):
+        monkeypatch.setattr(simhash, "PAIRS_PER_TASK", pairs)
         found = simhash.links(nodes, parts).collect()
         got = simhash.union(np.arange(len(values)), np.array([place[x.a] for x in found]), np.array([place[x.b] for x in found]))
         assert (got == want).all(), parts
 
 
+def brute_partition(values, m):
+    parts = simhash.grouped_bits(np.eye(64), m)
+    counts = [[simhash.around(np.bincount(simhash.value_of(values, h), minlength=1 << len(h))) for h in simhash.halves(part)] for part in parts]
+    return simhash.Partition(parts, counts, len(values))
+
+
 def test_thresholds_sum_up():
     rng = np.random.default_rng(1)
-    bits = rng.integers(0, 2, (50, 64)).astype(np.float32)
+    values = rng.integers(0, 2**63, 50, dtype=np.uint64)
     for m in (2, 3, 4, 5):
-        parts = simhash.grouped_bits(np.eye(64), m)
-        assert sorted(b for p in parts for b in p) == list(range(64))
-        assert ((simhash.thresholds(bits, parts, np.full(64, 0.5), 1000) + 1).sum(axis=1) == 5).all()
+        found = brute_partition(values, m)
+        assert sorted(b for p in found.parts for b in p) == list(range(64))
+        assert ((found.thresholds(values)[0] + 1).sum(axis=1) == 5).all()
+
+
+def test_expected_candidates_are_counts():
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 2**63, 4000, dtype=np.uint64) & np.uint64(0x0F0F_3333_FFFF_00FF)
+    found = brute_partition(values, 5)
+    for k, part in enumerate(found.parts):
+        mask = np.uint64(sum(1 << b for b in part))
+        apart = np.bitwise_count((values[:7, None] ^ values[None, :]) & mask)
+        assert (found.candidates(values[:7], k) == [(apart <= t).sum(axis=1) for t in range(3)]).all()
+
+
+def test_thresholds_are_unequal_where_bits_are_clustered(spark):
+    """Bits that go together make a part of little use, so it gets -1 and another one more."""
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 2**63, 20_000, dtype=np.uint64) & np.uint64(0xFFFF_FFFF_FFFF_0000)
+    values |= rng.integers(0, 2, 20_000).astype(np.uint64) * np.uint64(0xFFFF)
+    values[:300] ^= np.uint64(1) << rng.integers(0, 16, 300).astype(np.uint64)
+    nodes = spark.createDataFrame([(int(x),) for x in np.unique(values).view(np.int64)], "fp long")
+    found = simhash.partitioned(nodes)
+    limits, _ = found.thresholds(np.unique(values))
+    assert (limits.min(axis=1) == -1).mean() > 0.9 and (limits.max(axis=1) >= 1).mean() > 0.9
 
 
 def test_chains_of_components(spark):
