@@ -2,17 +2,19 @@
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII.
 
-* Phrases. Each word of a phrase is looked up in the index; a phrase stands where its
-  words' positions, shifted by their places in the phrase, meet.
-* Notices. Each template's anchors are its places with the highest inverse document
-  frequencies over the corpus, as many as weigh more than what may disagree, so a notice
-  has at least one of them. Each anchor in a file is looked up in the postings of the
-  templates. Position in the file less position in the template gives an offset, where
-  the template is a candidate. It is compared word by word, and counts if enough of it
-  agrees and one of its key phrases stands in it unchanged.
+* Phrases. Each word of a phrase is looked up in a table of licence words; a phrase
+  stands where its words' positions, shifted by their places in the phrase, meet.
+* Passages. The templates are paragraphs of public licence texts and of the notices that
+  name them. Each passage's anchors are its places with the highest inverse document
+  frequencies over the corpus, as many as weigh more than what may disagree, so a place
+  where enough of the passage stands has at least one of them. Each anchor in a file is
+  looked up in the postings of the passages. Position in the file less position in the
+  passage gives an offset, where the passage is a candidate. It is compared word by word,
+  and counts if enough of it agrees and one of the licence's key phrases in it stands
+  unchanged.
 
 Defined results: a null text is empty. A file without words has n_words 0, no places and
-score 0. score is the share of a notice's weight that agrees, at best, and 1 for a
+score 0. score is the share of a passage's weight that agrees, at best, and 1 for a
 phrase. Repeated rows get equal results. An empty table gives an empty result. Only
 doc_id and text are read.
 """
@@ -38,27 +40,126 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Notices by label, with key phrases of which one must stand unchanged.
+# Paragraphs of public licence texts and notices, by label, in words.
 NOTICES = {
-    "apache-2.0": ("licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    "gpl-2.0": ("this work is licensed under the gnu general public license version 2", ["general public license version 2"]),
-    "gpl-3.0": ("this work is licensed under the gnu general public license version 3", ["general public license version 3"]),
-    "lgpl": ("licensed under the gnu lesser general public license", ["lesser general public license"]),
-    "agpl": ("licensed under the gnu affero general public license", ["affero general public license"]),
-    "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    "epl": ("made available under the terms of the eclipse public license", ["eclipse public license"]),
-    "boost": ("distributed under the boost software license version 1 0", ["boost software license"]),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ["source and binary forms"]),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ["hereby granted free of charge"]),
-    "mit-notice": ("released under the mit license", ["the mit license"]),
-    "cc-by-nc": ("licensed under cc by nc 4 0", ["cc by nc"]),
-    "cc-by-sa": ("licensed under cc by sa 4 0", ["cc by sa"]),
-    "cc-by-4.0": ("licensed under cc by 4 0", ["cc by 4 0"]),
-    "cc0": ("released under cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
-    "public-domain": ("this is free and unencumbered software released into the public domain", ["unencumbered software"]),
+    "apache-2.0": (
+        "licensed under the apache license version 2 0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"
+        " you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an"
+        " as is basis without warranties or conditions of any kind either express or implied see the license for the specific"
+        " language governing permissions and limitations under the license",
+    ),
+    "gpl-2.0": (
+        "this work is licensed under the gnu general public license version 2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+        " as published by the free software foundation either version 2 of the license or at your option any later version",
+    ),
+    "gpl-3.0": (
+        "this work is licensed under the gnu general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+        " as published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    "lgpl": (
+        "licensed under the gnu lesser general public license",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public"
+        " license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    ),
+    "agpl": (
+        "licensed under the gnu affero general public license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public"
+        " license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    "mpl-2.0": (
+        "subject to the terms of the mozilla public license v 2 0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed"
+        " with this file you can obtain one at",
+    ),
+    "epl": (
+        "made available under the terms of the eclipse public license",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+    ),
+    "boost": (
+        "distributed under the boost software license version 1 0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying"
+        " documentation covered by this license the software to use reproduce display distribute execute and transmit the software"
+        " and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so"
+        " all subject to the following",
+    ),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following"
+        " conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"
+        " in the documentation and or other materials provided with the distribution",
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or"
+        " consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits"
+        " or business interruption however caused and on any theory of liability whether in contract strict liability or tort"
+        " including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility"
+        " of such damage",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided"
+        " that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied"
+        " warranties of merchantability and fitness",
+    ),
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation"
+        " files the software to deal in the software without restriction including without limitation the rights to use copy modify"
+        " merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is"
+        " furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties"
+        " of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders"
+        " be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of"
+        " or in connection with the software or the use or other dealings in the software",
+    ),
+    "mit-notice": ("released under the mit license",),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any"
+        " damages arising from the use of this software",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and"
+        " redistribute it freely subject to the following restrictions",
+    ),
+    "cc-by-nc": ("licensed under cc by nc 4 0",),
+    "cc-by-sa": ("licensed under cc by sa 4 0",),
+    "cc-by-4.0": ("licensed under cc by 4 0",),
+    "cc0": ("released under cc0 1 0 universal public domain dedication",),
+    "public-domain": (
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled"
+        " binary for any purpose commercial or non commercial and by any means",
+    ),
+    "wtfpl": ("everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",),
 }
 
-#: The share of a notice's weight to agree.
+# Of those that a passage holds, one must stand in the text unchanged.
+KEY_PHRASES = {
+    "apache-2.0": ["apache license version 2 0", "without warranties or conditions of any kind"],
+    "gpl-2.0": ["general public license version 2", "either version 2 of the license"],
+    "gpl-3.0": ["general public license version 3", "either version 3 of the license"],
+    "lgpl": ["lesser general public license"],
+    "agpl": ["affero general public license"],
+    "mpl-2.0": ["mozilla public license"],
+    "epl": ["eclipse public license"],
+    "boost": ["boost software license", "any person or organization obtaining a copy"],
+    "bsd": ["source and binary forms", "redistributions of source code must retain", "redistributions in binary form must reproduce", "procurement of substitute goods or services"],
+    "isc": ["with or without fee is hereby granted", "the author disclaims all warranties"],
+    "mit-text": ["hereby granted free of charge", "all copies or substantial portions of the software", "the authors or copyright holders be liable"],
+    "mit-notice": ["the mit license"],
+    "zlib": ["in no event will the authors be held liable", "alter it and redistribute it freely"],
+    "cc-by-nc": ["cc by nc"],
+    "cc-by-sa": ["cc by sa"],
+    "cc-by-4.0": ["cc by 4 0"],
+    "cc0": ["cc0 1 0"],
+    "public-domain": ["unencumbered software", "copy modify publish use compile sell or distribute"],
+    "wtfpl": ["copy and distribute verbatim or modified copies"],
+}
+
+#: The share of a passage's weight to agree.
 LEAST_SHARE = 0.8
 
 
@@ -79,17 +180,30 @@ LETTER = np.zeros(256, bool)
 LETTER[48:58] = LETTER[97:123] = LETTER[128:] = True
 
 PHRASE_WORDS = [x.split() for x in PHRASES]
-NOTICE_WORDS = {label: text.split() for label, (text, _) in NOTICES.items()}
-VOCABULARY = sorted({w for x in [*PHRASE_WORDS, *NOTICE_WORDS.values()] for w in x})
+PASSAGES = [(label, text.split()) for label, texts in NOTICES.items() for text in texts]
+VOCABULARY = sorted({w for x in [*PHRASE_WORDS, *(words for _, words in PASSAGES)] for w in x})
 NUMBER = {w: k for k, w in enumerate(VOCABULARY)}
+NUMBERS = [np.array([NUMBER[w] for w in words]) for _, words in PASSAGES]
+
+
+def _phrase_places(passage: int) -> list[tuple[int, int]]:
+    """(first, last + 1) place of each key phrase in a passage."""
+    label, words = PASSAGES[passage]
+    phrases = [x.split() for x in KEY_PHRASES[label]]
+    return [(k, k + len(p)) for p in phrases for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
+
+
+KEYS = [_phrase_places(k) for k in range(len(PASSAGES))]
 
 
 class Index:
     """Numbers of licence words in laid-out texts; -1 for other words."""
 
     def __init__(self):
-        laid = FileWords([w.encode() for w in VOCABULARY])
-        starts, stops = laid.words()
+        padded = [w.encode()[:16].ljust(16, b"\0") for w in VOCABULARY]
+        self.first = np.array([int.from_bytes(w[:8], "little") for w in padded], np.uint64)
+        self.second = np.array([int.from_bytes(w[8:], "little") for w in padded], np.uint64)
+        self.size = np.array([len(w.encode()) for w in VOCABULARY])
         self.hashes = [laid_hash(FileWords([w.encode()]))[0] for w in VOCABULARY]
         order = np.argsort(np.array(self.hashes, np.uint64))
         self.sorted, self.order = np.array(self.hashes, np.uint64)[order], order
@@ -98,12 +212,23 @@ class Index:
         hashes = laid_hash(laid, starts, stops)
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         found = np.where(self.sorted[at] == hashes, self.order[at], -1)
-        for k in np.flatnonzero(found >= 0).tolist():  # few: decide on the bytes
+        # Hashes cover 16 bytes; longer words are decided on their bytes.
+        for k in np.flatnonzero((found >= 0) & (stops - starts > 16)).tolist():
             if laid.raw[starts[k] : stops[k]].tobytes() != VOCABULARY[found[k]].encode():
                 found[k] = -1
+        short = np.flatnonzero((found >= 0) & (stops - starts <= 16))
+        raw = np.concatenate([laid.raw, np.zeros(16, np.uint8)])
+        each = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        size = stops[short] - starts[short]
+        same = (each[starts[short]] & MASKS[np.minimum(size, 8)]) == self.first[found[short]]
+        same &= (each[starts[short] + 8] & MASKS[np.clip(size - 8, 0, 8)]) == self.second[found[short]]
+        found[short[~(same & (size == self.size[found[short]]))]] = -1
         return found
 
 
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def laid_hash(laid: FileWords, starts: np.ndarray | None = None, stops: np.ndarray | None = None) -> np.ndarray:
     """A hash of each word, by its first 16 bytes and its length."""
     if starts is None or stops is None:
@@ -111,9 +236,8 @@ def laid_hash(laid: FileWords, starts: np.ndarray | None = None, stops: np.ndarr
     raw = np.concatenate([laid.raw, np.zeros(16, np.uint8)])
     each = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     size = stops - starts
-    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-    first = each[starts] & masks[np.minimum(size, 8)]
-    second = each[starts + 8] & masks[np.clip(size - 8, 0, 8)]
+    first = each[starts] & MASKS[np.minimum(size, 8)]
+    second = each[starts + 8] & MASKS[np.clip(size - 8, 0, 8)]
     x = first * np.uint64(0x9E3779B97F4A7C15) ^ second * np.uint64(0xC2B2AE3D27D4EB4F) ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ x >> np.uint64(31)
 
@@ -156,44 +280,59 @@ def inverse_frequencies(docs: DataFrame) -> list[float]:
     return [math.log((n + 1) / (counts.get(k, 0) + 1)) + 1 for k in range(len(VOCABULARY))]
 
 
-Postings = dict[int, list[tuple[str, int]]]
+Postings = dict[int, list[tuple[int, int]]]
 
 
 def anchors(weights: list[float]) -> Postings:
-    """(label, place) of the anchors of all templates, by word.
+    """(passage, place) of the anchors of all passages, by word.
 
-    An offset at which no anchor of a template agrees has less than LEAST_SHARE of it.
+    An offset at which no anchor of a passage agrees has less than LEAST_SHARE of it.
     """
     postings: Postings = defaultdict(list)
-    for label, template in NOTICE_WORDS.items():
-        each = [NUMBER[w] for w in template]
+    for passage, numbers in enumerate(NUMBERS):
+        each = numbers.tolist()
         spare, held = (1 - LEAST_SHARE) * sum(weights[k] for k in each) * (1 + 1e-9), 0.0
         for place in sorted(range(len(each)), key=lambda k: (-weights[each[k]], each[k], k)):
-            postings[each[place]].append((label, place))
+            postings[each[place]].append((passage, place))
             held += weights[each[place]]
             if held > spare:
                 break
     return dict(postings)
 
 
-def notices(positions: list[int], numbers: list[int], weights: list[float], postings: Postings) -> dict[str, float]:
-    """Labels of the notices in a file, with the share of their weight that agrees."""
-    at = dict(zip(positions, numbers, strict=True))
-    candidates = {(label, position - place) for position, number in at.items() for label, place in postings.get(number, ())}
-    found: dict[str, float] = {}
-    for label, offset in candidates:
-        template = NOTICE_WORDS[label]
-        here = [at.get(offset + k) for k in range(len(template))]
-        all_weight = sum(weights[NUMBER[w]] for w in template)
-        share = sum(weights[NUMBER[w]] for w, x in zip(template, here, strict=True) if x == NUMBER[w]) / all_weight
-        if share >= LEAST_SHARE and any(_stands(phrase.split(), here) for phrase in NOTICES[label][1]):
-            found[label] = max(share, found.get(label, 0.0))
-    return found
-
+def notices(numbers: np.ndarray, text: np.ndarray, weights: list[float], postings: Postings) -> dict[int, dict[str, float]]:
+    """By text: labels of the passages in it, with the share of their weight that agrees.
 
-def _stands(phrase: list[str], here: list[int | None]) -> bool:
-    wanted = [NUMBER[w] for w in phrase]
-    return any(here[k : k + len(wanted)] == wanted for k in range(len(here) - len(wanted) + 1))
+    numbers and text hold a number for each word, -1 for other words, and its text.
+    """
+    each, at = np.array(weights), np.zeros(len(VOCABULARY) + 1, bool)
+    at[list(postings)] = True
+    candidates: dict[int, list[np.ndarray]] = defaultdict(list)
+    hits = np.flatnonzero(at[numbers])
+    order = np.argsort(numbers[hits], kind="stable")
+    words, firsts = np.unique(numbers[hits][order], return_index=True)
+    for word, own in zip(words.tolist(), np.split(hits[order], firsts[1:]), strict=True):
+        for passage, place in postings[word]:
+            candidates[passage].append((own - place) * (len(text) + 1) + text[own])  # with its text, as an offset can be before it
+    found: dict[int, dict[str, float]] = defaultdict(dict)
+    padded = np.concatenate([numbers, np.full(max(map(len, NUMBERS)), -1)])
+    of = np.concatenate([text, np.full(max(map(len, NUMBERS)), -1)])
+    for passage, keys in candidates.items():
+        label, wanted = PASSAGES[passage][0], NUMBERS[passage]
+        both = np.unique(np.concatenate(keys))
+        offsets, texts = both // (len(text) + 1), both % (len(text) + 1)
+        heavy, places = each[wanted], np.arange(len(wanted))
+        for k in range(0, len(offsets), 1 << 14):
+            here = offsets[k : k + (1 << 14), None] + places
+            agree = (here >= 0) & (padded[here] == wanted) & (of[here] == texts[k : k + (1 << 14), None])
+            share = agree @ heavy / heavy.sum()
+            stands = np.zeros(len(share), bool)
+            for a, b in KEYS[passage]:
+                stands |= agree[:, a:b].all(axis=1)
+            for j in np.flatnonzero((share >= LEAST_SHARE) & stands).tolist():
+                own = found[int(texts[k + j])]
+                own[label] = max(float(share[j]), own.get(label, 0.0))
+    return found
 
 
 def _scan(weights: list[float]):
@@ -226,22 +365,15 @@ def _scan_portion(texts: list[bytes], weights: list[float], postings: Postings)
             stands &= numbers[k : n - size + 1 + k] == NUMBER[word]
         for k in np.flatnonzero(stands).tolist():
             places[int(text[k])].append((k - int(bounds[text[k]]), label))
-    hits = np.flatnonzero(numbers >= 0)
-    first, last = np.searchsorted(hits, bounds[:-1]), np.searchsorted(hits, bounds[1:])
+    more = notices(numbers, text, weights, postings)
     rows = []
     for k in range(len(texts)):
-        base = places.get(k, [])
+        base, own = places.get(k, []), more.get(k, {})
         labels = {label for _, label in base}
-        score = 1.0 if base else 0.0
-        own = hits[first[k] : last[k]]
-        if len(own):
-            more = notices((own - bounds[k]).tolist(), numbers[own].tolist(), weights, postings)
-            score = max([score, *more.values()])
-            every = labels | set(more)
-        else:
-            every = labels
+        score = max([1.0 if base else 0.0, *own.values()])
         at = [x for x, _ in base]
-        rows.append((int(bounds[k + 1] - bounds[k]), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), min(score, 1.0)))
+        every = ",".join(sorted(labels | set(own)))
+        rows.append((int(bounds[k + 1] - bounds[k]), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), every, min(score, 1.0)))
     return rows
 
 
