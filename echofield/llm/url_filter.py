@@ -3,16 +3,22 @@
 * Rules name a host and a path prefix; they fit the host and its subdomains. The
   longest rule that fits decides.
 * Names (runs of letters in host and path) are often words without spaces between.
-  Each distinct name is split into words by the Viterbi algorithm over a unigram model.
-  The model counts the words of all pages and of the training examples. Only words that
-  stand in a name can matter to it, so each name gets just these, by a join.
-* Multinomial naive Bayes, trained on labelled examples, scores the words. It adds up
-  over words, so each distinct set of names is scored once, and urls get the score of
-  theirs. Words that no example has count for nothing.
+  Each distinct name is split into words by the Viterbi algorithm over a unigram model,
+  which counts the words of all pages' texts. Only words that stand in a name can matter
+  to it, so each name gets just these, by a join.
+* Multinomial naive Bayes scores the words. It learns from all urls that a rule judges,
+  or from labelled urls that are given; their names are split in the same way. Its
+  counts are made by grouping, and its log odds meet the words by a join, so neither
+  urls nor vocabulary pass through the driver.
+
+Scores add up over words, so each distinct set of names is scored once, and urls get the
+score of theirs. Names and words that very many hold are dealt over several tasks.
 
 Defined results: a null url, or one without ://, has an empty host and path; no rule
-fits it, and without names its score is the prior's. Repeated rows get equal results.
-Empty tables give an empty result. Only page_id, url and html are read.
+fits it, and without names its score is the prior's. Words that no example has count
+for nothing; without examples the score is 0.5 and the verdict is allow. Markup that is
+left open runs to the next tag; a script left open, to the end. Repeated rows get equal
+results. Empty tables give an empty result. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -51,53 +57,11 @@ RULES = (
     Rule("org", "/es/", "block"),
 )
 
-# Training examples, names as they stand in urls.
-EXAMPLES = {
-    "block": (
-        "adult-video.example/free-porn",
-        "adult-x.example/xxx/cam",
-        "sexcam.example/live/girls",
-        "casino-win.example/slots/jackpot",
-        "online-casino.example/poker/bonus",
-        "free-bets.example/betting/odds",
-        "sportbets.example/win/bonus",
-        "cheap-pills.example/viagra",
-        "pharmacy-online.example/cheap/pills",
-        "spam-farm.example/seo/links",
-        "linkfarm.example/spam/links",
-        "ads-track.example/click/banner",
-        "tracker.example/ads/pixel",
-        "warez.example/crack/keygen",
-        "loans-fast.example/payday/cash",
-    ),
-    "allow": (
-        "news.example/world/article",
-        "dailynews.example/politics/article",
-        "blog.example/post/archive",
-        "wiki.example/page/history",
-        "university.example/research/library",
-        "library.example/books/catalog",
-        "docs.example/guide/reference",
-        "forum.example/topic/thread",
-        "museum.example/art/history",
-        "weather.example/today/city",
-        "school.example/class/lesson",
-        "science.example/journal/paper",
-        "recipes.example/food/kitchen",
-        "health.example/guide/article",
-        "travel.example/city/guide",
-    ),
-}
-
 LONGEST_WORD = 20
-#: Counts that the training examples' words have in the unigram model.
-EXAMPLE_COUNT = 50
-PRIOR_BLOCK = 0.2
 SMOOTHING = 0.5
-BLOCK_AT = 0.5
+BLOCK_ABOVE = 0.5
 
-LETTERS = re.compile("[a-z]+")
-MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+TAG = re.compile(r"<(/?)(?:(script|style)\b)?[^<>]*>", re.I)
 
 
 # Parts of a url
@@ -123,32 +87,6 @@ def fitting(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return text, verdict
 
 
-# Naive Bayes
-
-
-@dataclass
-class Bayes:
-    """Log odds of block against allow."""
-
-    prior: float = math.log(PRIOR_BLOCK / (1 - PRIOR_BLOCK))
-    words: dict[str, float] = field(default_factory=dict)
-
-    def score(self, words: list[str]) -> float:
-        return sum(self.words.get(w, 0.0) for w in words)
-
-
-def example_words(url: str) -> list[str]:
-    return [w for w in LETTERS.findall(url.lower()) if w != "example"]
-
-
-def train(examples: dict[str, tuple[str, ...]], split=lambda name: [name]) -> Bayes:
-    counts = {label: Counter(w for url in urls for name in example_words(url) for w in split(name)) for label, urls in examples.items()}
-    every = set().union(*counts.values())
-    totals = {label: sum(c.values()) + SMOOTHING * len(every) for label, c in counts.items()}
-    odds = {w: math.log((counts["block"][w] + SMOOTHING) / totals["block"]) - math.log((counts["allow"][w] + SMOOTHING) / totals["allow"]) for w in every}
-    return Bayes(words=odds)
-
-
 # Segmentation
 
 
@@ -173,20 +111,41 @@ def viterbi(name: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
+def visible(html: str) -> str:
+    """The text outside of tags, scripts and styles, in one pass."""
+    out, at, inside = [], 0, None
+    for tag in TAG.finditer(html):
+        name = (tag[2] or "").lower()
+        if inside:
+            if tag[1] and name == inside:
+                inside, at = None, tag.end()
+            continue
+        out.append(html[at : tag.start()])
+        at = tag.end()
+        if name and not tag[1]:
+            inside = name
+    if not inside:
+        out.append(html[at:])
+    return " ".join(out)
+
+
+def page_words(html: str) -> list[str]:
+    """The words of a page's text that the unigram model counts."""
+    text = visible(html).lower().replace(".", " ").replace(",", " ")
+    return [w for w in text.split() if w.isascii() and w.isalpha() and len(w) <= LONGEST_WORD]
+
+
 def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter[str] = Counter()
         for html in batch.column(0):
-            text = MARKUP.sub(" ", html.as_py() or "").lower()
-            counts.update(w for w in text.replace(".", " ").replace(",", " ").split() if w.isascii() and w.isalpha() and len(w) <= LONGEST_WORD)
+            counts.update(page_words(html.as_py() or ""))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
 def unigrams(pages: DataFrame) -> DataFrame:
-    """word, n: words of all pages' texts and of the training examples."""
-    spark = pages.sparkSession
-    own = spark.createDataFrame([(w, EXAMPLE_COUNT) for w in sorted({w for urls in EXAMPLES.values() for u in urls for w in example_words(u)})], "word string, n long")
-    return pages.select(F.col("html").cast("string")).mapInArrow(_page_words, "word string, n long").unionByName(own).groupBy("word").agg(F.sum("n").alias("n"))
+    """word, n: words of all pages' texts."""
+    return pages.select(F.col("html").cast("string")).mapInArrow(_page_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def segments(names: DataFrame, words: DataFrame) -> DataFrame:
@@ -195,8 +154,11 @@ def segments(names: DataFrame, words: DataFrame) -> DataFrame:
     lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name")))
     starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start"), lengths.alias("lengths"))
     pieces = starts.select("name", F.explode(F.transform("lengths", lambda k: F.substring(F.col("name"), F.col("start"), k))).alias("word")).distinct()
-    # A name's words are no more than its substrings.
-    own = pieces.join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("counts"))
+    pieces = written(pieces, "url-pieces")
+    # A name's words are no more than its substrings. Many names hold one letter.
+    holders = pieces.groupBy("word").agg(F.count(F.lit(1)).alias("names"))
+    held = written(words.join(holders, "word"), "url-piece-counts")
+    own = salted_join(pieces, held, ["word"], "names", F.xxhash64("name")).groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("counts"))
 
     @F.pandas_udf("array<string>")
     def split(name: pd.Series, counts: pd.Series) -> pd.Series:
@@ -206,24 +168,55 @@ def segments(names: DataFrame, words: DataFrame) -> DataFrame:
     return names.join(own, "name", "left").select("name", split("name", "counts").alias("words"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, examples: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, score, words; a row per page."""
+# Naive Bayes
+
+
+def names_of(host: Column, path: Column) -> Column:
+    """The names of a url in order of the alphabet, as one string."""
+    return F.concat_ws(" ", F.array_sort(F.regexp_extract_all(lower_ascii(F.concat_ws("/", host, path)), F.lit("([a-z]+)"), 1)))
+
+
+def log_odds(counts: DataFrame) -> DataFrame:
+    """word, odds of block against allow, from word, block, allow: how often each has it."""
+    totals = counts.agg(F.sum("block").alias("blocks"), F.sum("allow").alias("allows"), F.count(F.lit(1)).alias("kinds"))
+    share = lambda n, total: F.log((F.col(n) + SMOOTHING) / (F.col(total) + SMOOTHING * F.col("kinds")))
+    # totals is one row.
+    return counts.join(F.broadcast(totals)).select("word", (share("block", "blocks") - share("allow", "allows")).alias("odds"))
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, score, words; a row per page.
+
+    labelled: urls with a verdict of block or allow to learn from, instead of those that
+    the rules judge.
+    """
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
-    names = F.array_sort(F.regexp_extract_all(lower_ascii(F.concat_ws("/", "host", "path")), F.lit("([a-z]+)"), 1))
-    rows = rows.withColumn("names", F.concat_ws(" ", names))
-    kinds = written(rows.groupBy("names").agg(F.count(F.lit(1)).alias("n")), "url-names")
-    each = kinds.select("names", F.explode(F.split("names", " ")).alias("name")).where("name <> ''")
-    words = written(unigrams(pages), "url-unigrams")
-    split = written(segments(each.select("name").distinct(), words), "url-segments")
-    model = train(examples or EXAMPLES)
-    odds = F.create_map(*[F.lit(x) for pair in sorted(model.words.items()) for x in pair])
-    value = F.aggregate(F.transform("words", lambda w: F.coalesce(odds[w], F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
-    valued = split.withColumn("value", value)
-    scored = each.join(valued, "name").groupBy("names").agg(F.sum("value").alias("value"), F.array_join(F.array_sort(F.collect_list(F.array_join("words", " "))), " ").alias("words"))
-    facts = kinds.join(scored, "names", "left").select("names", "n", F.coalesce("words", F.lit("")).alias("words"), (1 / (1 + F.exp(-(F.coalesce("value", F.lit(0.0)) + model.prior)))).alias("score"))
+    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("names", names_of(F.col("host"), F.col("path")))
+    examples = rows.select("names", F.col("ruled").alias("label"))
+    if labelled is not None:
+        host, path = parts(F.col("url"))
+        examples = labelled.select(names_of(host, path).alias("names"), F.col("verdict").alias("label"))
+    seen = rows.select("names", F.lit(1).alias("n"), F.lit(None).cast("string").alias("label")).unionByName(examples.select("names", F.lit(0).alias("n"), "label"))
+    counted = lambda label: F.sum((F.col("label") == label).cast("long"))
+    kinds = seen.groupBy("names").agg(F.sum("n").alias("n"), F.coalesce(counted("block"), F.lit(0)).alias("block"), F.coalesce(counted("allow"), F.lit(0)).alias("allow"))
+    kinds = written(kinds, "url-names")
+    each = written(kinds.select("names", "block", "allow", F.explode(F.split("names", " ")).alias("name")).where("name <> ''"), "url-each-name")
+    held = each.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+    split = segments(held.select("name"), written(unigrams(pages), "url-unigrams"))
+    split = written(held.join(split, "name"), "url-segments")
+    words = split.select("name", "block", "allow", F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("names"), F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+    odds = written(counts.join(log_odds(counts.where("block + allow > 0")), "word").select("word", "names", "odds"), "url-odds")
+    values = salted_join(words.select("name", "word"), odds, ["word"], "names", F.xxhash64("name")).groupBy("name").agg(F.sum("odds").alias("value"))
+    valued = written(split.join(values, "name", "left").select("name", "kinds", F.array_join("words", " ").alias("words"), F.coalesce("value", F.lit(0.0)).alias("value")), "url-values")
+    scored = salted_join(each.select("names", "name"), valued, ["name"], "kinds", F.xxhash64("names"))
+    scored = scored.groupBy("names").agg(F.sum("value").alias("value"), F.array_join(F.array_sort(F.collect_list("words")), " ").alias("words"))
+    labels = kinds.agg(F.coalesce(F.sum("block"), F.lit(0)).alias("block"), F.coalesce(F.sum("allow"), F.lit(0)).alias("allow")).first()
+    prior = math.log((labels["block"] + SMOOTHING) / (labels["allow"] + SMOOTHING))
+    score = 1 / (1 + F.exp(-(F.coalesce("value", F.lit(0.0)) + prior)))
+    facts = kinds.where("n > 0").join(scored, "names", "left").select("names", "n", F.coalesce("words", F.lit("")).alias("words"), F.round(score, 12).alias("score"))
     out = salted_join(rows, written(facts, "url-scores"), ["names"], "n", F.xxhash64("page_id"))
-    method = F.when(F.col("score") >= BLOCK_AT, "block").otherwise("allow")
+    method = F.when(F.col("score") > BLOCK_ABOVE, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score", "words")
