@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 EPOCHS = 8
@@ -134,7 +136,28 @@ class Model:
         return np.concatenate(out)
 
 
-Bag = tuple[np.ndarray, np.ndarray]  # buckets, and the share of each in a document's features
+def small(numbers: np.ndarray) -> np.ndarray:
+    """The numbers in the narrowest unsigned type that holds them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
+@dataclass
+class Bag:
+    """How often each bucket occurs in a document; most of it takes three bytes a bucket."""
+
+    gaps: np.ndarray  # between the buckets, in order
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, found: np.ndarray) -> Bag:
+        each, counts = np.unique(found, return_counts=True)
+        return cls(small(np.diff(each, prepend=0)), small(counts))
+
+    def buckets(self) -> np.ndarray:
+        return np.cumsum(self.gaps, dtype=np.int64)
+
+    def shares(self) -> np.ndarray:
+        return (self.counts / max(int(self.counts.sum()), 1)).astype(np.float32)
 
 
 def bags(texts: list[bytes]) -> Iterator[Bag]:
@@ -142,9 +165,7 @@ def bags(texts: list[bytes]) -> Iterator[Bag]:
         laid = Words(part)
         kinds = [(np.searchsorted(at, laid.begins), np.searchsorted(at, laid.ends), b) for at, b in laid.features()]
         for k in range(len(part)):
-            found = np.concatenate([b[first[k] : last[k]] for first, last, b in kinds])
-            each, counts = np.unique(found, return_counts=True)
-            yield each, (counts / max(len(found), 1)).astype(np.float32)
+            yield Bag.of(np.concatenate([b[first[k] : last[k]] for first, last, b in kinds]))
 
 
 def fit(examples: list[Bag], labels: list[int], seed: int = 7) -> Model:
@@ -162,7 +183,7 @@ def fit(examples: list[Bag], labels: list[int], seed: int = 7) -> Model:
         for k in order.permutation(len(examples)):
             rate = RATE * (1 - step / steps)
             step += 1
-            each, weights = examples[k]
+            each, weights = examples[k].buckets(), examples[k].shares()
             hidden = weights @ vectors[each]
             logits = hidden @ layer + bias
             error = np.exp(logits - logits.max())
@@ -180,12 +201,16 @@ def held_out() -> Column:
 
 
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "quality", "tie", "buckets", "shares"]
+    names = ["doc_id", "quality", "tie", "n", "gaps", "counts"]
     for batch in batches:
         kept = [batch.column(k).to_pylist() for k in range(3)]
-        for k, (each, shares) in enumerate(bags(_encoded(batch.column(3).to_pylist()))):
-            arrays = [pa.array([x[k]], t) for x, t in zip(kept, (pa.int64(), pa.int32(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([each.astype("<i4").tobytes()]), pa.array([shares.astype("<f4").tobytes()])], names=names)
+        for k, bag in enumerate(bags(_encoded(batch.column(3).to_pylist()))):
+            arrays = [pa.array([x], t) for x, t in zip((*(x[k] for x in kept), len(bag.gaps)), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([bag.gaps.tobytes()]), pa.array([bag.counts.tobytes()])], names=names)
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}") if n else np.zeros(0, np.uint8)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
@@ -194,13 +219,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     # At most max_rows pairs of numbers are broadcast.
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "quality", F.xxhash64("text").alias("tie"), "text").mapInArrow(_bag_rows, "doc_id long, quality int, tie long, buckets binary, shares binary")
+    rows = texts.select("doc_id", "quality", F.xxhash64("text").alias("tie"), "text").mapInArrow(_bag_rows, "doc_id long, quality int, tie long, n long, gaps binary, counts binary")
+    rows = written(rows, "quality-bags")
     # Documents that repeat a doc_id can be more than the labels; the bound is on them too.
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "tie").limit(max_rows).drop("doc_id", "tie").toLocalIterator()
-    examples, targets = [], []
-    for x in found:
-        examples.append((np.frombuffer(x["buckets"], "<i4"), np.frombuffer(x["shares"], "<f4")))
-        targets.append(x["quality"])
+    keys = rows.select("doc_id", "quality", "tie").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "tie").limit(max_rows).collect()
+    places: dict[tuple, list[int]] = {}
+    for k, x in enumerate(keys):
+        places.setdefault(tuple(x), []).append(k)
+    found: dict[int, tuple[Bag, int]] = {}
+    # A partition at a time, so the driver holds the bags once.
+    for x in rows.toLocalIterator():
+        at = places.get((x["doc_id"], x["quality"], x["tie"]))
+        if at:
+            found[at.pop()] = Bag(_numbers(x["gaps"], x["n"]), _numbers(x["counts"], x["n"])), x["quality"]
+    examples, targets = [found[k][0] for k in sorted(found)], [found[k][1] for k in sorted(found)]
     return fit(examples, targets)
 
 

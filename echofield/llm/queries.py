@@ -89,6 +89,27 @@ ORACLE_SQL: dict[str, str] = {
             (dense_rank() over (partition by key order by keep_id nulls last) - 1)::int chain
         from g join b on key = ('0x' || substr(sha, 1, 15))::bigint, size
     """,
+    "op6_suffix_dedup": r"""
+        with d as (
+            select doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n from documents
+        ), w as (
+            select doc_id, i, substr(h, 2 * i + 1, 100) s from d, range(0, greatest(n - 49, 0)) r(i)
+        ), f as (
+            select s, min(doc_id) first from w group by s having count(*) > 1
+        ), gone as (
+            select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i) + 50, -1) starts from w join f using (s) where first < doc_id
+        ), run as (
+            select doc_id, k, min(i) a, max(i) + 50 b from (select doc_id, i, sum(starts::int) over (partition by doc_id order by i) k from gone) group by doc_id, k
+        ), piece as (
+            select run.doc_id, a, b, substr(h, 2 * coalesce(lag(b) over o, 0) + 1, 2 * (a - coalesce(lag(b) over o, 0))) kept
+            from run join d using (doc_id) window o as (partition by run.doc_id order by a)
+        ), cut as (
+            select doc_id, sum(b - a)::bigint n_removed, count(*) n_spans, max(b) last, string_agg(kept, '' order by a) kept from piece group by doc_id
+        )
+        select doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans,
+            sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256
+        from d left join cut using (doc_id)
+    """,
     "op10_source_mixing": r"""
         with recursive d as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size from documents

@@ -4,18 +4,20 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 doc_id. Texts are bytes in UTF-8; matches never cross documents and are judged on the
 input.
 
+* Count. The hashes of all 16-byte substrings are counted in CELLS cells over all texts.
 * Scan. The strings of 50 bytes that start in a text are its windows. Each window has a
-  minimiser: the smallest hash of its 16-byte substrings. Equal windows have equal
-  minimisers. Neighbouring windows with one minimiser form a run, whose bytes are sent
-  to the bucket of the minimiser. Equal runs within a portion of a scan are sent for
-  the smallest doc_id only, and the others are settled at once, so a passage that very
-  many documents hold costs one run for each portion.
-* Bucket. Runs with equal bytes are settled against the smallest doc_id. What stays
-  are runs that share a minimiser, but not all bytes. Their windows are put into suffix
-  order. The longest previous factor of a window is its longest match with an earlier
-  document: the larger of the common prefixes with the nearest entries before and after
-  it in suffix order that belong to earlier documents. A window is removed if that
-  reaches 50.
+  minimiser: of its 16-byte substrings the one in the least frequent cell, and of these
+  the one with the smallest hash. So a string that very many documents hold is the
+  minimiser only of windows that are all common. Equal windows have equal minimisers.
+  Neighbouring windows with one minimiser form a run, whose bytes are sent to the bucket
+  of the minimiser. What is sent is combined first: of equal runs within a portion of a
+  scan the one with the smallest doc_id goes, and the others are settled at once, so a
+  passage that very many documents hold costs one run for each portion.
+* Bucket. Minimisers of one document only are left out. All windows of the others are put
+  into suffix order. The longest previous factor of a window is its longest match with an
+  earlier document: the larger of the common prefixes with the nearest entries before and
+  after it in suffix order that belong to earlier documents. A window is removed if that
+  reaches 50. A task holds one section of its bucket at a time, about SECTION bytes.
 * Cut. Settled byte ranges meet their texts, which are cut and hashed.
 
 Portions and buckets are packed as compressed arrays, so the shuffles move few rows.
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,19 @@ GRAM = 16
 SPAN = WINDOW - GRAM + 1  # substrings of a window that compete for its minimiser
 #: Bytes of text whose runs are made together; a longer text stands alone.
 PORTION = 4 << 20
-#: Sections of a bucket, by minimiser, that are settled one after the other.
-SECTIONS = 4
+#: Bytes of runs that a task packs together.
+HELD = 48 << 20
+#: Bytes of runs that are put into suffix order together.
+SECTION = 6 << 20
+#: Bytes of runs for each bucket, and of texts for each task that cuts them; beyond
+#: MOST_BUCKETS buckets are larger and have their sections sorted by Spark.
+BUCKET = 64 << 20
+MOST_BUCKETS = 50_000
+#: Bytes of runs for each byte of text, about.
+SPREAD = 4
+#: Cells in which substrings are counted.
+CELL_BITS = 18
+CELLS = 1 << CELL_BITS
 #: Elements of index arrays that are held at once.
 AT_ONCE = 1 << 21
 LEVEL = 3
@@ -120,6 +134,22 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return x
 
 
+def ranked(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Hashes that sort by the frequency class of their cell first.
+
+    The class takes the place of the first bits, which the cell gave.
+    """
+    out = hashes & np.uint64((1 << 64 - CELL_BITS) - 1)
+    out |= classes[hashes >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(64 - CELL_BITS)
+    return out
+
+
+def frequency_classes(counts: np.ndarray) -> np.ndarray:
+    """0 for cells up to twice the mean, then one more for each doubling."""
+    mean = max(counts.sum() / len(counts), 1.0)
+    return np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / mean)), 0).astype(np.uint32)
+
+
 def minimisers(hashes: np.ndarray) -> np.ndarray:
     """The least of the SPAN hashes from each position on."""
     out, width = hashes, 1
@@ -193,9 +223,10 @@ def previous_factors(keys: list[np.ndarray], ids: np.ndarray, most: int) -> np.n
     for at, key in enumerate(sorted_keys):
         differ = key[1:] ^ key[:-1]
         # Leading zero bytes of the difference are equal bytes.
-        equal = np.full(len(differ), 8, np.int64)
+        equal = np.zeros(len(differ), np.int64)
+        for k in range(8):
+            equal += differ < np.uint64(1 << 8 * k)
         found = differ != 0
-        equal[found] = 7 - (np.floor(np.log2(np.maximum(differ[found].astype(np.float64), 1))).astype(np.int64) // 8)
         width = min(8, most - 8 * at)
         common[1:] += np.where(open_, np.minimum(equal, width), 0)
         open_ &= ~found
@@ -255,7 +286,7 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int
         yield held
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """raw bytes; for each run its minimiser, text, start in raw, number of windows, start in the text."""
     sizes = np.array([len(x) for x in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -263,7 +294,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     none = np.zeros(0, np.int64)
     if not (sizes >= WINDOW).any():
         return raw, none.astype(np.uint64), none, none, none, none
-    least = minimisers(gram_hashes(raw))
+    least = minimisers(ranked(gram_hashes(raw), classes))
     n = len(least)
     ok = np.zeros(n + 1, np.int8)
     long_ = sizes >= WINDOW
@@ -274,6 +305,10 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     new[1:] = least[1:] != least[:-1]
     new[1:] |= ~valid[:-1]
     new[begins[long_]] = True
+    # A minimiser stands SPAN places before the end of its last window at most, so longer
+    # runs are of strings that repeat themselves; cut, they become equal runs.
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    new |= (np.arange(n) - first) % SPAN == 0
     starts = np.flatnonzero(new & valid)
     stops = np.flatnonzero(np.concatenate([valid[:-1] & (new[1:] | ~valid[1:]), valid[-1:]])) + 1
     text = np.searchsorted(begins, starts, "right") - 1
@@ -281,47 +316,108 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return raw, least[starts], text, starts, stops - starts, starts - begins[text]
 
 
-def _scan(buckets: int, owners: int):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells with how many 16-byte substrings fall into them; cell -1 has all bytes of the texts."""
+    counts, size = np.zeros(CELLS, np.int64), 0
+    for held in _portions(batches):
+        raw = np.frombuffer(b"".join(x[2] for x in held) + bytes(WINDOW), np.uint8)
+        size += len(raw) - WINDOW
+        counts += np.bincount((gram_hashes(raw) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS)
+    cells = np.flatnonzero(counts)
+    if len(cells):
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1)), pa.array(np.append(counts[cells], size))], names=["cell", "n"])
+
+
+def text_statistics(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Bytes of all texts, and the frequency class of each cell."""
+    counts, size = np.zeros(CELLS, np.int64), 0
+    # At most CELLS rows of two numbers, whatever the number of documents.
+    for x in _rows(docs).mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        if x["cell"] < 0:
+            size = x["n"]
+        else:
+            counts[x["cell"]] = x["n"]
+    return size, frequency_classes(counts)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Buckets, sections of a bucket, and tasks that own documents."""
+
+    buckets: int
+    sections: int
+    owners: int
+
+    @classmethod
+    def of(cls, size: int, least: int) -> Layout:
+        buckets = min(max(least, size * SPREAD // BUCKET), max(least, MOST_BUCKETS))
+        return cls(buckets, max(1, size * SPREAD // (buckets * BUCKET)), min(max(least, size // BUCKET), max(least, MOST_BUCKETS)))
+
+
+RUN_KINDS = ["<i8", "<i8", "<i4", "<i4", "<i4", "u1"]
+
+
+def _scan(layout: Layout, shared):
+    """shared: broadcast frequency classes."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        place, windows, at = (np.concatenate([x[k] for x in held]) for k in (0, 2, 3))
+        ids, marks = (np.concatenate([x[k] for x in held]) for k in (6, 7))
+        doc = np.concatenate([x[1] + base for x, base in zip(held, np.cumsum([0, *(len(x[6]) for x in held[:-1])]), strict=True)])
+        starts = np.concatenate([x[4] + base for x, base in zip(held, np.cumsum([0, *(len(x[5]) for x in held[:-1])]), strict=True)])
+        raw = np.concatenate([x[5] for x in held])
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(layout.buckets * layout.sections + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            part = order[bounds[k] : bounds[k + 1]]
+            content = raw[ragged(starts[part], windows[part] + WINDOW - 1)]
+            used, local = np.unique(doc[part], return_inverse=True)
+            packed = pack(ids[used], marks[used], np.diff(local, prepend=0).astype("<i4"), windows[part].astype("<i4"), np.diff(at[part], prepend=0).astype("<i4"), content)
+            rows.append((k % layout.buckets, k // layout.buckets, -1, packed))
+        yield _batch(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _portions(batches):
-            raw, least, text, starts, windows, at = runs([x[2] for x in held])
+        held, size = [], 0
+        for texts in _portions(batches):
+            raw, least, text, starts, windows, at = runs([x[2] for x in texts], shared.value)
             if not len(starts):
                 continue
-            ids, marks = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
+            ids, marks = (np.array([x[k] for x in texts], np.int64) for k in (0, 1))
             settled = settled_by_equals(raw, starts, windows + WINDOW - 1, ids[text])
-            yield _ranges(ids[text[settled]], marks[text[settled]], at[settled], at[settled] + windows[settled] + WINDOW - 1, owners, buckets)
+            yield _ranges(ids[text[settled]], marks[text[settled]], at[settled], at[settled] + windows[settled] + WINDOW - 1, layout)
             left = np.flatnonzero(~settled)
-            bucket = (least[left] % np.uint64(buckets)).astype(np.int64)
-            left = left[np.argsort(bucket, kind="stable")]
-            bounds = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
-            rows = []
-            for k in range(buckets):
-                part = left[bounds[k] : bounds[k + 1]]
-                if len(part):
-                    used, local = np.unique(text[part], return_inverse=True)
-                    content = raw[ragged(starts[part], windows[part] + WINDOW - 1)]
-                    rows.append((k, -1, pack(ids[used], marks[used], np.diff(local, prepend=0).astype(np.int32), windows[part].astype(np.int32), np.diff(at[part], prepend=0).astype(np.int32), content)))
-            yield _batch(rows)
+            place = (least[left] * C >> np.uint64(8)) % np.uint64(layout.buckets * layout.sections)
+            sizes = windows[left] + WINDOW - 1
+            held.append((place.astype(np.int64), text[left], windows[left], at[left], np.cumsum(sizes) - sizes, raw[ragged(starts[left], sizes)], ids, marks))
+            size += int(sizes.sum())
+            if size >= HELD:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
 
     return run
 
 
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], names=["bucket", "owner", "data"])
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in columns[:3]), pa.array(columns[3], pa.binary())], names=["bucket", "section", "owner", "data"])
 
 
 RANGE_KINDS = ["<i8", "<i8", "<i4", "<i4"]
 
 
-def _ranges(ids: np.ndarray, marks: np.ndarray, begins: np.ndarray, ends: np.ndarray, owners: int, buckets: int) -> pa.RecordBatch:
+def _ranges(ids: np.ndarray, marks: np.ndarray, begins: np.ndarray, ends: np.ndarray, layout: Layout) -> pa.RecordBatch:
     """Settled ranges, packed for the tasks that own the documents."""
+    owners = layout.owners
     owner = _owner(ids, marks, owners)
     order = np.lexsort([begins, marks, ids, owner])
     bounds = np.searchsorted(owner[order], np.arange(owners + 1))
     rows = []
     for k in np.flatnonzero(np.diff(bounds)).tolist():
         part = order[bounds[k] : bounds[k + 1]]
-        rows.append((k % buckets, k, pack(ids[part], marks[part], begins[part].astype("<i4"), ends[part].astype("<i4"))))
+        rows.append((k % layout.buckets, -1, k, pack(ids[part], marks[part], begins[part].astype("<i4"), ends[part].astype("<i4"))))
     return _batch(rows)
 
 
@@ -330,51 +426,48 @@ def _owner(ids: np.ndarray, marks: np.ndarray, owners: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(owners)).astype(np.int64)
 
 
-def settle(raw: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def settle(raw: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(run, first byte, last byte + 1) of what is removed, bytes counted in the run."""
+    # A run has one minimiser, that of its first window.
     least = np.empty(len(starts), np.uint64)
+    each = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     for part in slices(np.full(len(starts), SPAN)):
         grams = starts[part][:, None] + np.arange(SPAN)
-        each = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
         x = each[grams] * A
         x ^= x >> np.uint64(29)
         x += each[grams + 8] * B
         x ^= x >> np.uint64(32)
         x *= C
-        least[part] = x.min(axis=1)
-    section = least >> np.uint64(40)
-    section %= np.uint64(SECTIONS)
-    shared = _in_two(least, ids)
-    found = [_settle_shared(raw, ids, starts, windows, least, np.flatnonzero(shared & (section == k))) for k in range(SECTIONS)]
+        least[part] = ranked(x, classes).min(axis=1)
+    # Runs in order of minimiser, cut between minimisers into pieces that fit.
+    order = np.argsort(least, kind="stable")
+    ordered = least[order]
+    size = windows + WINDOW - 1
+    edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.zeros(0, np.int64)
+    firsts = np.append(edges, len(order))
+    running = np.concatenate([[0], np.cumsum(size[order])])
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none)]
+    for part in slices(np.diff(running[firsts]), SECTION):
+        own = order[firsts[part.start] : firsts[part.stop]]
+        own = own[_in_two(least[own], ids[own])]
+        if len(own):
+            found.append(_settle_windows(raw, ids, starts, windows, own))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _settle_shared(raw: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, least: np.ndarray, shared: np.ndarray) -> tuple:
-    if not len(shared):
+def _settle_windows(raw: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of some runs whose longest previous factor reaches WINDOW."""
+    places = ragged(starts[own], windows[own])
+    of = np.repeat(own, windows[own])
+    gone = previous_factors(window_keys(raw, places), ids[of], WINDOW) >= WINDOW
+    places, of = places[gone], of[gone]
+    if not len(places):
         return (np.zeros(0, np.int64),) * 3
-    # The runs move together, so that sums run over little.
-    size = windows[shared] + WINDOW - 1
-    raw = raw[ragged(starts[shared], size)]
-    begins = np.cumsum(size) - size
-    own, count, least = ids[shared], windows[shared], least[shared]
-    whole = settled_by_equals(raw, begins, size, own)
-    out = [(shared[whole], np.zeros(int(whole.sum()), np.int64), size[whole])]
-    rest = np.flatnonzero(~whole)
-    rest = rest[_in_two(least[rest], own[rest])]
-    if len(rest):
-        places = ragged(begins[rest], count[rest])
-        of = np.repeat(rest, count[rest])
-        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-        likely = _in_two(span_hashes(raw, places, np.full(len(places), WINDOW)), own[of])
-        places, of = places[likely], of[likely]
-        gone = previous_factors(window_keys(padded, places), own[of], WINDOW) >= WINDOW
-        places, of = places[gone], of[gone]
-        if len(places):
-            cut = np.flatnonzero((places[1:] != places[:-1] + 1) | (of[1:] != of[:-1])) + 1
-            first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(places)]]) - 1
-            run = of[first]
-            out.append((shared[run], places[first] - begins[run], places[last] - begins[run] + WINDOW))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    cut = np.flatnonzero((places[1:] != places[:-1] + 1) | (of[1:] != of[:-1])) + 1
+    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(places)]]) - 1
+    run = of[first]
+    return run, places[first] - starts[run], places[last] - starts[run] + WINDOW
 
 
 def _in_two(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -389,30 +482,38 @@ def _in_two(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bucket(buckets: int, owners: int):
+def _bucket(layout: Layout, shared):
+    """Rows come in order of section; ranges, of section -1, pass on."""
+
+    def settled(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, marks = (np.concatenate([x[k][np.cumsum(x[2])] for x in held]) for k in (0, 1))
+        windows = np.concatenate([x[3] for x in held]).astype(np.int64)
+        at = np.concatenate([np.cumsum(x[4], dtype=np.int64) for x in held])
+        raw = np.concatenate([*(x[5] for x in held), np.zeros(16, np.uint8)])
+        held.clear()
+        size = windows + WINDOW - 1
+        which, begin, end = settle(raw, ids, np.cumsum(size) - size, windows, shared.value)
+        if len(which):
+            yield _ranges(ids[which], marks[which], at[which] + begin, at[which] + end, layout)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        now = -1
         for batch in batches:
             forward = []
-            for bucket, owner, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for bucket, section, owner, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if owner >= 0:
-                    forward.append((bucket, owner, data))
-                else:
-                    held.append(unpack(data, ["<i8", "<i8", "<i4", "<i4", "<i4", "u1"]))
+                    forward.append((bucket, section, owner, data))
+                    continue
+                if section != now and held:
+                    yield from settled(held)
+                    held = []
+                now = section
+                held.append(unpack(data, RUN_KINDS))
             if forward:
                 yield _batch(forward)
-        if not held:
-            return
-        ids = np.concatenate([x[0][np.cumsum(x[2])] for x in held])
-        marks = np.concatenate([x[1][np.cumsum(x[2])] for x in held])
-        windows = np.concatenate([x[3] for x in held]).astype(np.int64)
-        at = np.concatenate([np.cumsum(x[4], dtype=np.int64) for x in held])
-        raw = np.concatenate([x[5] for x in held])
-        held.clear()
-        size = windows + WINDOW - 1
-        which, begin, end = settle(raw, ids, np.cumsum(size) - size, windows)
-        if len(which):
-            yield _ranges(ids[which], marks[which], at[which] + begin, at[which] + end, owners, buckets)
+        if held:
+            yield from settled(held)
 
     return run
 
@@ -426,7 +527,7 @@ def _send_texts(owners: int):
             for k in np.unique(owner).tolist():
                 part = np.flatnonzero(owner == k)
                 texts = [held[i][2] for i in part]
-                rows.append((0, k, pack(ids[part], marks[part], np.array([len(x) for x in texts], "<i4"), np.frombuffer(b"".join(texts), np.uint8))))
+                rows.append((0, 0, k, pack(ids[part], marks[part], np.array([len(x) for x in texts], "<i4"), np.frombuffer(b"".join(texts), np.uint8))))
             yield _batch(rows)
 
     return run
@@ -484,14 +585,16 @@ def _cut_texts(data: bytes, where: dict, begins: np.ndarray, ends: np.ndarray) -
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
 
-PACKED = "bucket int, owner int, data binary"
+PACKED = "bucket int, section int, owner int, data binary"
 
 
-def removed_ranges(docs: DataFrame) -> DataFrame:
+def removed_ranges(docs: DataFrame) -> tuple[DataFrame, Layout]:
     """Packed byte ranges to remove, by owner of the documents."""
-    n = partitions(docs.sparkSession)
-    found = _rows(docs).mapInArrow(_scan(n, n), PACKED).repartitionById(n, "bucket").mapInArrow(_bucket(n, n), PACKED)
-    return written(found.select("owner", "data"), "removed-ranges")
+    size, classes = text_statistics(docs)
+    layout = Layout.of(size, partitions(docs.sparkSession))
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # CELLS numbers
+    sent = _rows(docs).mapInArrow(_scan(layout, shared), PACKED).repartitionById(layout.buckets, "bucket").sortWithinPartitions("section")
+    return written(sent.mapInArrow(_bucket(layout, shared), PACKED).select("owner", "data"), "removed-ranges"), layout
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -504,8 +607,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     kept is what is left, as bytes: cuts may part a character.
     """
-    n = partitions(docs.sparkSession)
-    ranges = removed_ranges(docs).select("owner", F.lit(-1).alias("kind"), "data")
+    ranges, layout = removed_ranges(docs)
+    n = layout.owners
     texts = _rows(docs).mapInArrow(_send_texts(n), PACKED).select("owner", F.lit(0).alias("kind"), "data")
-    dealt = ranges.unionByName(texts).repartitionById(n, "owner").sortWithinPartitions("kind").select("kind", "data")
+    dealt = ranges.select("owner", F.lit(-1).alias("kind"), "data").unionByName(texts).repartitionById(n, "owner").sortWithinPartitions("kind").select("kind", "data")
     return dealt.mapInArrow(_cut_task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

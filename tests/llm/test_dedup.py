@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -186,3 +187,34 @@ def test_previous_factors():
     keys = [np.array([int.from_bytes(t[k : k + 8], "big") for t in texts], np.uint64) for k in (0, 8)]
     assert suffix_dedup.previous_factors(keys, np.array([1, 2, 3]), 16).tolist() == [0, 16, 7]
     assert suffix_dedup.previous_factors(keys, np.array([2, 2, 2]), 16).tolist() == [0, 0, 0]
+
+
+def test_previous_factors_against_brute_force():
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 99, 16).astype(np.uint8)) for _ in range(300)] * 2
+    ids = rng.integers(0, 20, len(texts))
+    keys = [np.array([int.from_bytes(t[k : k + 8], "big") for t in texts], np.uint64) for k in (0, 8)]
+    got = suffix_dedup.previous_factors(keys, ids, 16)
+    for t, i, factor in zip(texts, ids, got, strict=True):
+        want = max((next((k for k in range(16) if o[k] != t[k]), 16) for o, j in zip(texts, ids, strict=True) if j < i), default=0)
+        assert (factor == 16) == (want == 16) and factor <= want
+
+
+def test_cut_texts_in_sections_and_with_hot_strings(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PORTION", 3000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 1000)
+    monkeypatch.setattr(suffix_dedup, "MOST_BUCKETS", 3)
+    monkeypatch.setattr(suffix_dedup, "SECTION", 500)
+    monkeypatch.setattr(suffix_dedup, "HELD", 4000)
+    rng = random.Random(3)
+    common = "the terms of the licence that all of these texts hold in common here"
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    rows = []
+    for k in range(80):
+        own = "".join(rng.choices(letters, k=rng.randint(0, 200)))
+        rows.append((k, own + common[rng.randint(0, 9) : rng.randint(30, 68)] + "-" * rng.randint(0, 120) + own[:40] + (rows[-1][1][20:110] if rows and k % 3 == 0 else "")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(brute_cut([(k, t.encode()) for k, t in rows]), key=str)
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicate(docs).collect()), key=str)
+    assert got == want
+    assert suffix_dedup.Layout.of(sum(len(t) for _, t in rows), 3).sections > 5

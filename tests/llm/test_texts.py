@@ -144,7 +144,7 @@ def test_quality_features_and_scores_against_brute_force():
 
     base, whole = 0x9E3779B97F4A7C15, 2**64
     table = np.random.default_rng(2).normal(size=quality.BUCKETS).astype(np.float32)
-    for (each, shares), score, text in zip(quality.bags([t.encode() for t in texts]), quality.Model(table, 0.25).scores([t.encode() for t in texts]), texts, strict=True):
+    for bag, score, text in zip(quality.bags([t.encode() for t in texts]), quality.Model(table, 0.25).scores([t.encode() for t in texts]), texts, strict=True):
         words = text.encode().split()
         hashes = [sum((c + 1) * base**k for k, c in enumerate(w)) % whole for w in words]
         want = []
@@ -156,15 +156,15 @@ def test_quality_features_and_scores_against_brute_force():
                     want.append(mixed_hash((int.from_bytes(framed[k : k + size], "little") * base + salt) % whole))
         want += [mixed_hash(h) for h in hashes]
         want += [mixed_hash(((b - a) * base + 2) % whole) for a, b in zip(hashes, hashes[1:], strict=False)]
-        got = dict(zip(each.tolist(), shares.tolist(), strict=True))
+        got = dict(zip(bag.buckets().tolist(), bag.shares().tolist(), strict=True))
         assert {b: round(s * len(want)) for b, s in got.items()} == Counter(want)
         value = sum(table[b] * s for b, s in got.items()) + 0.25
         assert abs(score - 1 / (1 + np.exp(-value))) < 1e-4
 
 
 def test_quality_tells_words_apart_that_share_letters():
-    examples = list(quality.bags([b"good words here", b"bad things there", b"good good"]))
-    model = quality.fit(examples, [1, 0, 1])
+    examples = list(quality.bags([b"good words here", b"bad things there", b"good good", b"bad bad"] * 20))
+    model = quality.fit(examples, [1, 0, 1, 0] * 20)
     assert (model.scores([b"good words here", b"bad things there"]) >= 0.5).tolist() == [True, False]
 
 
@@ -203,33 +203,48 @@ def test_licences_against_brute_force(odd, odd_rows, spark):
 
 
 def test_licences_of_a_file_with_many_notices(spark):
-    texts = {label: text for label, (text, _) in license_scan.NOTICES.items()}
+    texts = {label: passages[0] for label, passages in license_scan.NOTICES.items()}
     filler = " some other words between them and the next of the terms "
     common = [(k, texts["gpl-3.0"] + filler + texts["apache-2.0"]) for k in range(1, 40)]
     many = [(100, filler.join(texts.values())), (101, filler.join(texts[x] for x in ("mpl-2.0", "epl", "boost", "cc0", "gpl-3.0", "apache-2.0")))]
-    docs = spark.createDataFrame(common + many, "doc_id long, text string")
+    every = [(200 + k, "Copyright 2020. " + p + filler) for k, p in enumerate(p for x in license_scan.NOTICES.values() for p in x)]
+    docs = spark.createDataFrame(common + many + every, "doc_id long, text string")
     got = {x.doc_id: set(x.labels.split(",")) for x in license_scan.scan(docs).collect()}
     assert got[100] >= set(texts)
     assert got[101] >= {"mpl-2.0", "epl", "boost", "cc0", "gpl-3.0", "apache-2.0"}
+    for k, (label, _) in enumerate(license_scan.PASSAGES):
+        assert label in got[200 + k]
+
+
+def test_each_passage_has_a_key_phrase():
+    assert all(license_scan.KEYS) and set(license_scan.NOTICES) == set(license_scan.KEY_PHRASES)
 
 
 def test_licences_candidates_are_complete():
     rng = np.random.default_rng(5)
-    for _ in range(200):
+    for _ in range(40):
         weights = (1 + 6 * rng.random(len(license_scan.VOCABULARY))).tolist()
-        postings, at, text = license_scan.anchors(weights), {}, []
-        for label in rng.permutation(list(license_scan.NOTICES))[:5]:
-            text += [w if rng.random() > 0.08 else None for w in license_scan.NOTICE_WORDS[label]] + [None, "the", "of"]
-        at = {k: license_scan.NUMBER[w] for k, w in enumerate(text) if w and w in license_scan.NUMBER}
-        want = {}
-        for label, template in license_scan.NOTICE_WORDS.items():
+        postings, words, of = license_scan.anchors(weights), [], []
+        for text in range(2):
+            for passage in rng.permutation(len(license_scan.PASSAGES))[:4]:
+                own = license_scan.PASSAGES[passage][1][int(rng.integers(0, 2)) :]
+                own = [w if rng.random() > 0.08 else None for w in own] + [None, "the", "of"]
+                words += own
+                of += [text] * len(own)
+        numbers = np.array([license_scan.NUMBER.get(w, -1) for w in words])
+        want = {0: {}, 1: {}}
+        for (label, template), keys in zip(license_scan.PASSAGES, license_scan.KEYS, strict=True):
             each = [license_scan.NUMBER[w] for w in template]
-            for offset in range(-len(each), len(text)):
-                here = [at.get(offset + k) for k in range(len(each))]
-                share = sum(weights[a] for a, b in zip(each, here, strict=True) if a == b) / sum(weights[a] for a in each)
-                if share >= license_scan.LEAST_SHARE and any(license_scan._stands(p.split(), here) for p in license_scan.NOTICES[label][1]):
-                    want[label] = max(share, want.get(label, 0.0))
-        assert license_scan.notices(list(at), list(at.values()), weights, postings) == want
+            for text in range(2):
+                at = {k: n for k, (n, t) in enumerate(zip(numbers.tolist(), of, strict=True)) if t == text}
+                for offset in range(min(at) - len(each), max(at) + 1):
+                    same = [at.get(offset + k) == n for k, n in enumerate(each)]
+                    share = sum(weights[n] for n, x in zip(each, same, strict=True) if x) / sum(weights[n] for n in each)
+                    if share >= license_scan.LEAST_SHARE and any(all(same[a:b]) for a, b in keys):
+                        want[text][label] = max(share, want[text].get(label, 0.0))
+        got = license_scan.notices(numbers, np.array(of), weights, postings)
+        for text in range(2):
+            assert got.get(text, {}) == pytest.approx(want[text])
 
 
 def test_licences_empty(none):
