@@ -309,6 +309,8 @@ def notices(numbers: np.ndarray, text: np.ndarray, weights: list[float], posting
     at[list(postings)] = True
     candidates: dict[int, list[np.ndarray]] = defaultdict(list)
     hits = np.flatnonzero(at[numbers])
+    if not len(hits):
+        return {}
     order = np.argsort(numbers[hits], kind="stable")
     words, firsts = np.unique(numbers[hits][order], return_index=True)
     for word, own in zip(words.tolist(), np.split(hits[order], firsts[1:]), strict=True):

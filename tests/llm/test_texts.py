@@ -247,5 +247,7 @@ def test_licences_candidates_are_complete():
             assert got.get(text, {}) == pytest.approx(want[text])
 
 
-def test_licences_empty(none):
+def test_licences_empty(none, spark):
     assert license_scan.scan(none).count() == 0
+    plain = spark.createDataFrame([(1, "zebra quagga"), (2, None)], "doc_id long, text string")
+    assert [(x.labels, x.score) for x in license_scan.scan(plain).collect()] == [("", 0.0)] * 2
