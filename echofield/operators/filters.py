@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,26 +105,44 @@ def apodised(px: DataFrame) -> DataFrame:
     return out.select("r", "c", chosen("re").alias("re"), chosen("im").alias("im"))
 
 
-def phase_gradient(px: DataFrame, half: int = 2, step: int = 1) -> DataFrame:
-    """Mean phase change per sample along the lines, over a window."""
+def phase_derivative(lines: DataFrame, delta: float = 0.25) -> DataFrame:
+    """r, c, xr, xi: each sample half a step of delta before, times the conjugate of that after it.
+
+    Samples between samples come from a ramp on the line's transform. For the derivative
+    down the columns turn the lines before and the result after.
+    """
+    from .spectral import on_lines, unpacked
+
+    def kernel(z: np.ndarray) -> np.ndarray:
+        n = z.shape[1]
+        ramp = np.exp(1j * np.pi * delta * np.fft.fftshift(np.arange(n) - n / 2) / n)
+        spectrum = np.fft.fft(z, axis=1)
+        return np.fft.ifft(spectrum * ramp.conj(), axis=1) * np.fft.ifft(spectrum * ramp, axis=1).conj()
+
+    return unpacked(on_lines(lines, kernel)).select("r", "c", F.col("re").alias("xr"), F.col("im").alias("xi"))
+
+
+def phase_gradient(lines: DataFrame, half: int = 2, delta: float = 0.25) -> DataFrame:
+    """r, c, gradient: phase change per sample along the lines, mean over a window."""
     from .raster import window_sums
 
-    along = Window.partitionBy("r").orderBy("c")
-    nr, ni = F.lead("re", step).over(along), F.lead("im", step).over(along)
-    product = px.select("r", "c", F.coalesce(nr * F.col("re") + ni * F.col("im"), F.lit(0.0)).alias("xr"), F.coalesce(ni * F.col("re") - nr * F.col("im"), F.lit(0.0)).alias("xi"))
-    return window_sums(product, ["xr", "xi"], half, half).select("r", "c", (F.atan2("xi", "xr") / step).alias("gradient"))
+    return window_sums(phase_derivative(lines, delta), ["xr", "xi"], half, half).select("r", "c", (F.atan2("xi", "xr") / delta).alias("gradient"))
 
 
-def phase_gradient_median(px: DataFrame, half: int = 1, step: int = 1) -> DataFrame:
-    """As phase_gradient with medians of the real and imaginary parts, zero outside."""
-    along = Window.partitionBy("r").orderBy("c")
-    nr, ni = F.lead("re", step).over(along), F.lead("im", step).over(along)
-    product = px.select("r", "c", F.coalesce(nr * F.col("re") + ni * F.col("im"), F.lit(0.0)).alias("xr"), F.coalesce(ni * F.col("re") - nr * F.col("im"), F.lit(0.0)).alias("xi"))
+def phase_gradient_median(lines: DataFrame, half: int = 1, delta: float = 0.25) -> DataFrame:
+    """As phase_gradient with medians of the real and imaginary parts, zero outside.
+
+    A window's lines are gathered column by column, then its columns line by line, so
+    each pixel is shuffled twice, whatever the window's size.
+    """
     size = (2 * half + 1) ** 2
-    near = neighbours(product, half, ["xr", "xi"]).groupBy("r", "c").agg(F.collect_list("xr").alias("xr"), F.collect_list("xi").alias("xi"))
+    down, along = (Window.partitionBy(x).orderBy(y).rangeBetween(-half, half) for x, y in (("c", "r"), ("r", "c")))
+    near = phase_derivative(lines, delta)
+    near = near.select("r", "c", *[F.collect_list(x).over(down).alias(x) for x in ("xr", "xi")])
+    near = near.select("r", "c", *[F.flatten(F.collect_list(x).over(along)).alias(x) for x in ("xr", "xi")])
 
     def median(name: str) -> Column:
         padded = F.concat(F.col(name), F.array_repeat(F.lit(0.0), size - F.size(name)))
         return F.element_at(F.array_sort(padded), size // 2 + 1)
 
-    return near.join(px.select("r", "c"), ["r", "c"], "left_semi").select("r", "c", (F.atan2(median("xi"), median("xr")) / step).alias("gradient"))
+    return near.select("r", "c", (F.atan2(median("xi"), median("xr")) / delta).alias("gradient"))

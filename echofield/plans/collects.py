@@ -12,8 +12,8 @@ from ..functions.cx import rounded
 from ..functions.vectors import Vec, vec
 from ..operators import catalog, formation, geometry, metadata
 from . import views
-from .pixels import dft_sql
-from .views import COLLECT, PULSE, PX, SAMPLES
+from .pixels import dft_columns, dft_sql
+from .views import COLLECT, HEIGHT, PULSE, PX, SAMPLES
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,15 +48,15 @@ def pair_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "with l as (select user_id platform_id, event_id, epoch_us(ts)::double/1e6 t from events where event_id % 3 = 0), o as (select user_id platform_id, epoch_us(ts)::double/1e6 t, max(value) \"value\" from events where event_id % 3 = 1 group by 1, 2),"
+    "with l as (select user_id platform_id, event_id, epoch_us(ts)::double/1e6 t from events), o as (select user_id platform_id, epoch_us(ts)::double/1e6 t, max(value) \"value\" from events where event_type = 'purchase' group by 1, 2),"
     " j as (select l.platform_id, l.event_id, o.\"value\", row_number() over (partition by l.event_id order by abs(o.t-l.t), o.t) k from l left join o on l.platform_id=o.platform_id)"
     " select platform_id, event_id, round(\"value\", 4) \"value\" from j where k = 1"
 )
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("platform_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("t"), "value")
-    left = events.where("event_id % 3 = 0").drop("value")
-    right = events.where("event_id % 3 = 1").groupBy("platform_id", "t").agg(F.max("value").alias("value"))
-    return catalog.nearest_in_time(left, right, "platform_id", "t", "value").select("platform_id", "event_id", F.round("value", 4).alias("value"))
+    """For every event its platform's nearest observation; purchases are the observations."""
+    events = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("platform_id"), "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("t"), "value")
+    right = events.where("event_type = 'purchase'").groupBy("platform_id", "t").agg(F.max("value").alias("value"))
+    return catalog.nearest_in_time(events.drop("value", "event_type"), right, "platform_id", "t", "value").select("platform_id", "event_id", F.round("value", 4).alias("value"))
 
 
 @query(f"with {COLLECT}, ra as (select range*10.0::double low, range*10.0::double+15 high from range(-6, 6)) select collect_id, min(low) low from co join ra on lat >= low and lat < high group by 1")
@@ -65,9 +65,14 @@ def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.first_within(views.collects(spark, sf_dir).select("collect_id", "lat"), ranges, "", "lat", "low", "high", 10.0).select("collect_id", "low")
 
 
-@query()
+@query(
+    f"with {COLLECT}, k as (select *, row_number() over (partition by collector, collect_start, lat, lon, pol order by collect_id) k from co)"
+    ' select collector::bigint collector, collect_id, min(collect_id) over (partition by collector, collect_start, lat, lon, k) "group" from k'
+)
 def pol_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.same_collect_groups(views.collects(spark, sf_dir).select(F.col("collector").cast("long"), "collect_id", "lat", "lon", "pol"))
+    """In the catalog, frames of one collect have equal starts and places."""
+    frames = views.collects(spark, sf_dir).select(F.col("collector").cast("long"), "collect_id", "collect_start", "lat", "lon", F.lit(0.0).alias("hae"), "pol", F.lit(64).alias("n_rows"), F.lit(32).alias("n_cols"), F.lit(1.0).alias("spacing"), F.lit(0.5).alias("k_ctr"))
+    return catalog.same_collect_groups(frames)
 
 
 @query(
@@ -101,11 +106,12 @@ def geodetic_to_ecf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ecf(spark, sf_dir).select("collect_id", *[rounded(F.col(f"p_{a}"), 3).alias(a) for a in "xyz"])
 
 
-@query(f"with {COLLECT} select collect_id, round(lat, 5) + 0.0 lat, round(lon, 5) + 0.0 lon, round(hae, 3) + 0.0 hae from co where abs(lon) < 179.9999")
+@query(f"with {COLLECT} select collect_id, round(lat, 5) + 0.0 lat, round(case when lon <= -180 then lon + 360 else lon end, 5) + 0.0 lon, round(hae, 3) + 0.0 hae from co")
 def ecf_to_geodetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The way there and back gives the catalog's own coordinates."""
-    out = geodesy.with_geodetic(_ecf(spark, sf_dir).where(F.abs("lon") < 179.9999), "p", ("lat", "lon", "hae"))
-    return out.select("collect_id", rounded(F.col("lat"), 5).alias("lat"), rounded(F.col("lon"), 5).alias("lon"), rounded(F.col("hae"), 3).alias("hae"))
+    """The way there and back gives the catalog's own coordinates; the date line is at 180."""
+    out = geodesy.with_geodetic(_ecf(spark, sf_dir), "p", ("lat", "lon", "hae"))
+    lon = rounded(F.col("lon"), 5)
+    return out.select("collect_id", rounded(F.col("lat"), 5).alias("lat"), F.when(lon <= -180, lon + 360).otherwise(lon).alias("lon"), rounded(F.col("hae"), 3).alias("hae"))
 
 
 @query(f"with {ECF} select collect_id, round(degrees(asin(z/sqrt(x*x+y*y+z*z))), 6) + 0.0 lat, round(sqrt(x*x+y*y+z*z), 3) radius from ecf")
@@ -327,12 +333,17 @@ def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {PULSE}, d as (select vec, tx_x-srp_x x, tx_y-srp_y y, tx_z-srp_z z from pu) select vec, round(srp+x, 3) x, round(y, 3) + 0.0 y, round(z, 3) z, 1.0::double scale from (select *, 6378137.0::double srp from d)"
+    f"with {PULSE}, d as (select vec, srp_x, tx_x-srp_x ax, tx_y ay, tx_z az, tx_x+20000-srp_x bx, tx_y-90000 by_, tx_z+40000 bz from pu),"
+    " n as (select *, sqrt(ax*ax+ay*ay+az*az) na, sqrt(bx*bx+by_*by_+bz*bz) nb from d),"
+    " h as (select *, (ax/na+bx/nb)/2 hx, (ay/na+by_/nb)/2 hy, (az/na+bz/nb)/2 hz from n),"
+    " g as (select *, sqrt(hx*hx+hy*hy+hz*hz) s, (na+nb)/2 range from h)"
+    " select vec, round(srp_x+hx/s*range, 3) x, round(hy/s*range, 3) + 0.0 y, round(hz/s*range, 3) + 0.0 z, round(s, 6) + 0.0 scale from g"
 )
 def bistatic_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With one position for both, the equivalent position is that one."""
-    p, scale = formation.bistatic_position(vec("tx"), vec("tx"), vec("srp"))
-    return views.pulses(spark, sf_dir).select("vec", *[rounded(getattr(p, a), 3).alias(a) for a in "xyz"], rounded(scale).alias("scale"))
+    """The equivalent position on the bisector of transmitter and receiver."""
+    pulses = views.pulses(spark, sf_dir).withColumns({"rcv_x": F.col("tx_x") + 20000, "rcv_y": F.col("tx_y") - 90000, "rcv_z": F.col("tx_z") + 40000})
+    p, scale = formation.bistatic_position(vec("tx"), vec("rcv"), vec("srp"))
+    return pulses.select("vec", *[rounded(getattr(p, a), 3).alias(a) for a in "xyz"], rounded(scale).alias("scale"))
 
 
 @query(
@@ -362,11 +373,14 @@ def amp_sf_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.pixels(spark, sf_dir).select("r", "c", rounded(F.col("re") * scale).alias("re"), rounded(F.col("im") * scale).alias("im"))
 
 
-@query(f"with {PX}, sq as (select r, c, re, im from px where r < 64), a as (select r, ((c-16+32)%32) c, re, im from sq), {dft_sql(SAMPLES, True, 'a', 'f1')}, b as (select ((k+16)%32) r, ((r-32+64)%64) c, re, im from f1), {dft_sql(64, True, 'b', 'f2')} select (k+32)%64 r, r c, round(re*1000, 4) + 0.0 re, round(im*1000, 4) + 0.0 im from f2")
+@query(
+    f"with {PX}, {HEIGHT}, a as (select r, ((c-16+32)%32) c, re, im from px), {dft_sql(SAMPLES, True, 'a', 'f1')}, b as (select ((k+16)%32) r, ((r-height//2+height)%height) c, re, im from f1, he), {dft_columns('b', 'f2', True)}"
+    " select (k+height//2)%height r, r c, round(re*1000, 4) + 0.0 re, round(im*1000, 4) + 0.0 im from f2, he"
+)
 def rgaz_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.spectral import unpacked
 
-    out = unpacked(formation.range_azimuth(views.lines(spark, sf_dir).where("r < 64")))
+    out = unpacked(formation.range_azimuth(views.lines(spark, sf_dir)))
     return out.select("r", "c", rounded(F.col("re") * 1000, 4).alias("re"), rounded(F.col("im") * 1000, 4).alias("im"))
 
 

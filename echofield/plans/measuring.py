@@ -100,10 +100,9 @@ def collect_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.collects(spark, sf_dir).select("collect_id", rounded(seconds).alias("seconds"))
 
 
-@query(f"with {PX} select r, c, round(re*(0.54::double+0.46::double*cos(pi()*(-1+2.0::double*c/31))), 6) + 0.0 re, round(im*(0.54::double+0.46::double*cos(pi()*(-1+2.0::double*c/31))), 6) + 0.0 im from px where r < 100")
+@query(f"with {PX} select r, c, round(re*(0.54::double+0.46::double*cos(pi()*(-1+2.0::double*c/31))), 6) + 0.0 re, round(im*(0.54::double+0.46::double*cos(pi()*(-1+2.0::double*c/31))), 6) + 0.0 im from px")
 def aperture_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = views.pixels(spark, sf_dir).where("r < 100")
-    out = measures.weighted_aperture(px, "HAMMING", 100, SAMPLES, rows=False)
+    out = measures.weighted_aperture(views.pixels(spark, sf_dir), "HAMMING", views.height(spark, sf_dir), SAMPLES, rows=False)
     return out.select("r", "c", rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
 
 
@@ -124,7 +123,7 @@ def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def block_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's function of blocks with halos: a moving sum of three lines."""
-    height = (views.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+    height = views.height(spark, sf_dir)
 
     def kernel(z):
         out = z.copy()

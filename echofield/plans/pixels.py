@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.cx import rounded
 from ..operators import change, display, filters, polarimetry, raster, spectral
 from . import views
-from .views import BANDS, LINES, PAIR, PX, SAMPLES
+from .views import BANDS, HEIGHT, PAIR, PX, SAMPLES
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,25 +89,27 @@ def decimate_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(raster.decimated(views.pixels(spark, sf_dir), 4, 4, F.avg), ["r", "c"], ["amplitude"])
 
 
-@query(f"with {PX} select {SAMPLES - 1}-c r, 499-r c, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im from px where r < 500")
+@query(f"with {PX}, {HEIGHT} select {SAMPLES - 1}-c r, height-1-r c, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im from px, he")
 def flip_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = views.pixels(spark, sf_dir).where(F.col("r") < 500)
-    return _rounded(raster.oriented(px, 500, SAMPLES, True, True, True), ["r", "c"], ["re", "im"])
+    px = views.pixels(spark, sf_dir)
+    return _rounded(raster.oriented(px, views.height(spark, sf_dir), SAMPLES, True, True, True), ["r", "c"], ["re", "im"])
 
 
-@query(f"with {PX} select r, c, (r >= {LINES})::int band, round(re, 6) + 0.0 re from (select case when r >= {LINES} then r - {LINES} else r end r0, * from px) where r < {2 * LINES}".replace("select r, c, (r", "select r0 r, c, (r"))
+@query(f"with {PX} select r // 2 r, c, (r % 2)::int band, round(re, 6) + 0.0 re from px")
 def band_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd lines as two bands; both images have the same size if the lines are even in number."""
     px = views.pixels(spark, sf_dir)
-    first = px.where(F.col("r") < LINES)
-    second = px.where((F.col("r") >= LINES) & (F.col("r") < 2 * LINES)).withColumn("r", F.col("r") - LINES)
+    first = px.where("r % 2 = 0").withColumn("r", F.expr("r div 2"))
+    second = px.where("r % 2 = 1").withColumn("r", F.expr("r div 2"))
     return raster.stacked([first, second]).select("r", "c", "band", rounded(F.col("re")).alias("re"))
 
 
-@query(f"with {PX} select case when r < 100 then r else r + 50 end r, c, round(im, 6) + 0.0 im from px where r < 200")
+@query(f"with {PX}, {HEIGHT} select case when r < height // 2 then r else r + 50 end r, c, round(im, 6) + 0.0 im from px, he")
 def segment_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = views.pixels(spark, sf_dir)
-    first, second = px.where("r < 100"), px.where("r between 100 and 199").withColumn("r", F.col("r") - 100)
-    return _rounded(raster.segments([(first, 0), (second, 150)]), ["r", "c"], ["im"])
+    """Two halves of the lines, with a gap of 50 between."""
+    px, half = views.pixels(spark, sf_dir), views.height(spark, sf_dir) // 2
+    first, second = px.where(F.col("r") < half), px.where(F.col("r") >= half).withColumn("r", F.col("r") - half)
+    return _rounded(raster.segments([(first, 0), (second, half + 50)]), ["r", "c"], ["im"])
 
 
 @query(f"with {PX}, {box('px', ['re', 'im'], 2)} select r, c, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im from box")
@@ -117,13 +119,13 @@ def boxcar_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {PX} select r, c, round(sum(re) over (partition by c order by r rows between 20 preceding and 20 following), 6) + 0.0 re from px")
 def local_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(raster.prefix_window_sums(views.pixels(spark, sf_dir), "re", 20, 500), ["r", "c"], ["re"])
+    return _rounded(raster.prefix_window_sums(views.pixels(spark, sf_dir), "re", 20, views.height(spark, sf_dir)), ["r", "c"], ["re"])
 
 
 @query(f"with {PX}, {box('px', ['re'], 1)} select r, c, round(re/9, 6) + 0.0 re from box")
 def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.pixels(spark, sf_dir)
-    return _rounded(raster.running_mean(px, "re", 1, 1, 500, SAMPLES), ["r", "c"], ["re"])
+    return _rounded(raster.running_mean(px, "re", 1, 1, views.height(spark, sf_dir), SAMPLES), ["r", "c"], ["re"])
 
 
 @query(f"with {PX} select r, c, round(re, 6) + 0.0 re, true inside from px where r >= 50 and r < 150 and c >= 8 and c < 24")
@@ -193,23 +195,6 @@ def sva_apodize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(filters.apodised(views.pixels(spark, sf_dir)), ["r", "c"], ["re", "im"])
 
 
-_SHIFT = f"with {PX}, sh as (select r, c, re, im, lead(re) over w nr, lead(im) over w ni from px window w as (partition by r order by c)), xp as (select r, c, coalesce(nr*re+ni*im, 0) xr, coalesce(ni*re-nr*im, 0) xi from sh)"
-
-
-@query(_SHIFT + ", " + box("xp", ["xr", "xi"], 2) + " select r, c, round(atan2(xi, xr), 5) + 0.0 gradient from box")
-def pdv_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(filters.phase_gradient(views.pixels(spark, sf_dir)), ["r", "c"], ["gradient"], 5)
-
-
-@query(
-    _SHIFT + ", nb as (select r + a r, c + b c, xr, xi from xp, range(-1, 2) x(a), range(-1, 2) y(b)),"
-    " g as (select r, c, list_concat(list(xr), list_resize([]::double[], 9 - count(*), 0.0::double)) xr, list_concat(list(xi), list_resize([]::double[], 9 - count(*), 0.0::double)) xi from nb group by 1, 2)"
-    " select g.r, g.c, round(atan2(list_sort(g.xi)[5], list_sort(g.xr)[5]), 5) + 0.0 gradient from g join px using (r, c)"
-)
-def pdv_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(filters.phase_gradient_median(views.pixels(spark, sf_dir)), ["r", "c"], ["gradient"], 5)
-
-
 def dft_sql(n: int, inverse: bool = False, source: str = "px", name: str = "ft") -> str:
     sign = 1 if inverse else -1
     scale = f"/{n}" if inverse else ""
@@ -217,6 +202,13 @@ def dft_sql(n: int, inverse: bool = False, source: str = "px", name: str = "ft")
     return f"{name} as (select r, k, sum(re*cos({angle})-im*sin({angle})){scale} re, sum(re*sin({angle})+im*cos({angle})){scale} im from {source}, range({n}) b(k) group by 1, 2)"
 
 
+def dft_columns(source: str, name: str, inverse: bool = False) -> str:
+    """As dft_sql, for as many samples as the image has lines."""
+    angle = f"({'1' if inverse else '-1'}*2*pi()/height)*((k*c)%height)"
+    scale = "/max(height)" if inverse else ""
+    return f"{name} as (select r, k, sum(re*cos({angle})-im*sin({angle})){scale} re, sum(re*sin({angle})+im*cos({angle})){scale} im from {source}, he, range(0, (select height from he)) b(k) group by 1, 2)"
+
+
 @query(f"with {PX}, {dft_sql(SAMPLES)} select r, k, round(re, 5) + 0.0 re, round(im, 5) + 0.0 im from ft")
 def dft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spectral.relational(views.pixels(spark, sf_dir), SAMPLES), ["r", "k"], ["re", "im"], 5)
@@ -227,18 +219,40 @@ def fft_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spectral.unpacked(spectral.transformed(views.lines(spark, sf_dir))), ["r", "c"], ["re", "im"], 5)
 
 
+_RAMP = "((k+16)%32-16)*pi()*0.25::double/32"
+_BACK = "(2*pi()/32)*((k*c)%32)"
+_PDV = (
+    f"with {PX}, {dft_sql(SAMPLES)}, sh as (select r, c, sum(re*cos({_BACK}-{_RAMP})-im*sin({_BACK}-{_RAMP}))/32 ar, sum(re*sin({_BACK}-{_RAMP})+im*cos({_BACK}-{_RAMP}))/32 ai,"
+    f" sum(re*cos({_BACK}+{_RAMP})-im*sin({_BACK}+{_RAMP}))/32 br, sum(re*sin({_BACK}+{_RAMP})+im*cos({_BACK}+{_RAMP}))/32 bi from ft, range(32) t(c) group by 1, 2),"
+    " xp as (select r, c, ar*br+ai*bi xr, ai*br-ar*bi xi from sh)"
+)
+
+
+@query(_PDV + ", " + box("xp", ["xr", "xi"], 2) + " select r, c, round(atan2(xi, xr)/0.25::double, 4) + 0.0 gradient from box")
+def pdv_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(filters.phase_gradient(views.lines(spark, sf_dir)), ["r", "c"], ["gradient"], 4)
+
+
+@query(
+    _PDV + ", nb as (select r + a r, c + b c, xr, xi from xp, range(-1, 2) x(a), range(-1, 2) y(b)),"
+    " g as (select r, c, list_concat(list(xr), list_resize([]::double[], 9 - count(*), 0.0::double)) xr, list_concat(list(xi), list_resize([]::double[], 9 - count(*), 0.0::double)) xi from nb group by 1, 2)"
+    " select g.r, g.c, round(atan2(list_sort(g.xi)[5], list_sort(g.xr)[5])/0.25::double, 4) + 0.0 gradient from g join px using (r, c)"
+)
+def pdv_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(filters.phase_gradient_median(views.lines(spark, sf_dir)), ["r", "c"], ["gradient"], 4)
+
+
 @query(f"with {PX}, {dft_sql(2 * SAMPLES, True)} select r, k, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im from ft")
 def idft_zeropad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spectral.relational(views.pixels(spark, sf_dir), SAMPLES, True, 2 * SAMPLES), ["r", "k"], ["re", "im"])
 
 
 @query(
-    f"with {PX}, sq as (select r, c, re, im from px where r < 64), {dft_sql(SAMPLES, source='sq', name='f1')}, tr as (select k r, r c, re, im from f1),"
-    f" {dft_sql(64, source='tr', name='f2')} select (k+32)%64 r, (r+16)%32 c, round(re, 4) + 0.0 re, round(im, 4) + 0.0 im from f2"
+    f"with {PX}, {HEIGHT}, {dft_sql(SAMPLES, name='f1')}, tr as (select k r, r c, re, im from f1), {dft_columns('tr', 'f2')}"
+    " select (k+height//2)%height r, (r+16)%32 c, round(re, 4) + 0.0 re, round(im, 4) + 0.0 im from f2, he"
 )
 def fft2_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = views.lines(spark, sf_dir).where("r < 64")
-    return _rounded(spectral.unpacked(spectral.transformed_2d(lines)), ["r", "c"], ["re", "im"], 4)
+    return _rounded(spectral.unpacked(spectral.transformed_2d(views.lines(spark, sf_dir))), ["r", "c"], ["re", "im"], 4)
 
 
 @query(

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Complex samples of a vector of 64 numbers.
 SAMPLES = 32
-#: Lines of the first of two images made from the vectors.
-LINES = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +35,23 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("r", pair.alias("z"))
 
 
+def height(spark: SparkSession, sf_dir: str) -> int:
+    """Lines of the image."""
+    return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+
+
+HEIGHT = "he as (select max(vec_id) + 1 height from embeddings)"
+
+
 def image_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """r, c, ar, ai, br, bi: two images registered by (r, c)."""
-    px = pixels(spark, sf_dir)
-    a = px.where(F.col("r") < LINES).select("r", "c", F.col("re").alias("ar"), F.col("im").alias("ai"))
-    b = px.where((F.col("r") >= LINES) & (F.col("r") < 2 * LINES)).select((F.col("r") - LINES).alias("r"), "c", F.col("re").alias("br"), F.col("im").alias("bi"))
+    """r, c, ar, ai, br, bi: even lines and odd lines as two images registered by (r, c)."""
+    px = pixels(spark, sf_dir).withColumn("odd", F.col("r") % 2 == 1).withColumn("r", F.expr("r div 2"))
+    a = px.where(~F.col("odd")).select("r", "c", F.col("re").alias("ar"), F.col("im").alias("ai"))
+    b = px.where("odd").select("r", "c", F.col("re").alias("br"), F.col("im").alias("bi"))
     return a.join(b, ["r", "c"])
 
 
-PAIR = f"{PX}, pr as (select a.r, a.c, a.re ar, a.im ai, b.re br, b.im bi from px a join px b on b.r = a.r + {LINES} and b.c = a.c where a.r < {LINES})"
+PAIR = f"{PX}, pr as (select a.r // 2 r, a.c, a.re ar, a.im ai, b.re br, b.im bi from px a join px b on b.r = a.r + 1 and b.c = a.c where a.r % 2 = 0)"
 
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:

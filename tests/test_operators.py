@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import math
 
 import numpy as np
@@ -152,9 +154,15 @@ def test_findings(spark):
 
 
 def test_groups_hold_each_polarisation_once(spark):
-    frames = spark.createDataFrame([(1, k, 0.0, 0.0, p) for k, p in enumerate(["H:H", "H:V", "H:H", "V:V", "H:V", "H:H"])], "collector long, collect_id long, lat double, lon double, pol string")
+    schema = "collector long, collect_id long, collect_start timestamp, lat double, lon double, hae double, pol string, n_rows int, n_cols int, spacing double, k_ctr double"
+    start = datetime(2024, 1, 1)
+    frames = spark.createDataFrame([(1, k, start, 0.0, 0.0, 0.0, p, 10, 10, 1.0, 0.5) for k, p in enumerate(["H:H", "H:V", "H:H", "V:V", "H:V", "H:H"])], schema)
     got = {x.collect_id: x.group for x in catalog.same_collect_groups(frames).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 2, 5: 5}
+    near = [(0, 0.0, 0.0, 0.0, 10, 0.5), (1, 0.009, 9e-6, 0.9, 10, 0.59), (2, 0.0, 2e-5, 0.0, 10, 0.5), (3, 0.0, 0.0, 1.5, 10, 0.5), (4, 0.0, 0.0, 0.0, 11, 0.5), (5, 0.0, 0.0, 0.0, 10, 0.7), (6, 0.018, 0.0, 0.0, 10, 0.5)]
+    frames = spark.createDataFrame([(1, k, start + timedelta(seconds=t), x, 0.0, h, f"p{k}", n, 10, 1.0, f) for k, t, x, h, n, f in near], schema)
+    got = {x.collect_id: x.group for x in catalog.same_collect_groups(frames).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6}
 
 
 def test_point_target_peaks_where_it_is(spark):
