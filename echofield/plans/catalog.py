@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collects, formed, measuring, pixels
+from . import collects, files, formed, measuring, pixels
 
-QUERIES: dict = pixels.QUERIES | collects.QUERIES | measuring.QUERIES | formed.QUERIES
-ORACLE_SQL: dict[str, str] = pixels.ORACLE_SQL | collects.ORACLE_SQL | measuring.ORACLE_SQL | formed.ORACLE_SQL
+QUERIES: dict = pixels.QUERIES | collects.QUERIES | measuring.QUERIES | formed.QUERIES | files.QUERIES
+ORACLE_SQL: dict[str, str] = pixels.ORACLE_SQL | collects.ORACLE_SQL | measuring.ORACLE_SQL | formed.ORACLE_SQL | files.ORACLE_SQL

@@ -42,21 +42,23 @@ class Layout:
     element: str  # numpy type with its byte order
     complex: bool
     offset: int
+    lead: int = 0  # bytes before each row's samples
+    turned: bool = False  # stored rows are the image's columns
 
     @property
     def row_bytes(self) -> int:
-        return self.cols * (2 if self.complex else 1) * np.dtype(self.element).itemsize
+        return self.lead + self.cols * (2 if self.complex else 1) * np.dtype(self.element).itemsize
 
 
 def pixel_batch(raw: bytes, layout: Layout, first: int, keep_rows: np.ndarray, cols: np.ndarray) -> pa.RecordBatch:
     """Pixels of consecutive rows; keep_rows are row numbers in the image."""
-    values = np.frombuffer(raw, layout.element).astype(np.float64).reshape(-1, layout.cols, 2 if layout.complex else 1)
+    lines = np.frombuffer(raw, np.uint8).reshape(-1, layout.row_bytes)[:, layout.lead :]
+    values = np.ascontiguousarray(lines).view(layout.element).astype(np.float64).reshape(-1, layout.cols, 2 if layout.complex else 1)
     chosen = values[keep_rows - first][:, cols]
     re = chosen[:, :, 0].ravel()
     im = chosen[:, :, 1].ravel() if layout.complex else np.zeros(len(re))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(keep_rows, len(cols))), pa.array(np.tile(cols, len(keep_rows))), pa.array(re), pa.array(im)], names=["r", "c", "re", "im"]
-    )
+    places = [np.repeat(keep_rows, len(cols)), np.tile(cols, len(keep_rows))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, reversed(places) if layout.turned else places), pa.array(re), pa.array(im)], names=["r", "c", "re", "im"])
 
 
 @dataclass
@@ -70,14 +72,16 @@ class RasterReader(DataSourceReader):
 
     def __init__(self, path: str, layout: Layout, options: dict):
         self.path, self.layout = path, layout
+        #: Stored rows and columns by the names of the image's.
+        self.named = {"r": "c", "c": "r"} if layout.turned else {"r": "r", "c": "c"}
         self.low, self.high = {"r": 0, "c": 0}, {"r": layout.rows - 1, "c": layout.cols - 1}
-        self.stride = {"r": int(options.get("rowstride", 1)), "c": int(options.get("colstride", 1))}
+        self.stride = {self.named["r"]: int(options.get("rowstride", 1)), self.named["c"]: int(options.get("colstride", 1))}
 
     def pushFilters(self, filters):
         for f in filters:
             name, value = getattr(f, "attribute", (None,)), getattr(f, "value", None)
             if len(name) == 1 and name[0] in self.low and isinstance(value, int):
-                n = name[0]
+                n = self.named[name[0]]
                 if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                     self.low[n] = max(self.low[n], value + isinstance(f, GreaterThan))
                     continue
