@@ -11,7 +11,9 @@ signature has the hash of its whole word sequence as its only one.
 
 Likeness is the Jaccard coefficient of two sets. Sets are partitioned by length: only
 sets whose lengths differ by less than the threshold's ratio can reach it, so
-``near_pairs`` looks at a set's own class and the next one.
+``near_pairs`` compares within a length class and with the next one. There a pair meets
+only by signatures among the rarest of both, and is compared in full: it finds every
+pair that reaches the threshold.
 
 Defined results: a null text is empty and has the empty fingerprint; two empty
 fingerprints have likeness 1. Documents in descending order of doc_id, nulls last,
@@ -27,11 +29,13 @@ import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import partitions, written
+from .common import partitions, salted_join, written
 
 # Common words of English, French, German and Spanish.
 ANCHORS = frozenset(
@@ -53,7 +57,7 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def signatures(text: str) -> frozenset[int]:
-    """The fingerprint of a text as a set of 32-bit numbers."""
+    """The fingerprint of a text as a set of 64-bit numbers."""
     words = WORD.findall(text.lower())
     content: list[str] = []
     anchors: list[tuple[str, int]] = []
@@ -64,9 +68,9 @@ def signatures(text: str) -> frozenset[int]:
             if crc32(word.encode("utf-8", "replace")) % HASHED == 0:
                 anchors.append((word, len(content) + 1))
             content.append(word)
-    found = {crc32(" ".join((word, *content[at : at + CHAIN])).encode("utf-8", "replace")) for word, at in anchors if at + CHAIN <= len(content)}
+    found = {xxh64_intdigest(" ".join((word, *content[at : at + CHAIN])).encode("utf-8", "replace")) for word, at in anchors if at + CHAIN <= len(content)}
     if not found and words:
-        found.add(crc32(" ".join(words).encode("utf-8", "replace")))
+        found.add(xxh64_intdigest(" ".join(words).encode("utf-8", "replace")))
     return frozenset(found)
 
 
@@ -78,7 +82,7 @@ def likeness(a: frozenset[int], b: frozenset[int]) -> float:
 
 
 def rendered(found: frozenset[int]) -> str:
-    return " ".join(f"{x:08x}" for x in sorted(found))
+    return " ".join(f"{x:016x}" for x in sorted(found))
 
 
 def length_class(n: int, threshold: float = THRESHOLD) -> int:
@@ -159,10 +163,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # Pairs
 
 
+#: Pairs of a signature and a length class from which they are dealt over several tasks.
+PAIRS_PER_TASK = 1 << 22
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted(signatures(x.as_py() or "")) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "signatures"])
+        found = [np.array(sorted(signatures(x.as_py() or "")), np.uint64).view(np.int64) for x in batch.column(1)]
+        classes = [length_class(len(x)) for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(classes, pa.int32())], names=["doc_id", "signatures", "length_class"])
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -170,22 +179,37 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
 
     Documents with equal sets are a class; its smallest doc_id stands for it. Of two
     sets that reach the threshold, one's rarest signatures are among the other's: a set
-    of n needs only its n - ceil(threshold * n) + 1 rarest ones in the index. A pair is
-    compared only if its lengths allow the threshold.
+    of n needs only its n - ceil(threshold * n) + 1 rarest ones in the index. The index is
+    partitioned by length class, and a pair is compared only if its lengths allow the
+    threshold.
     """
-    rows = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets, "doc_id long, signatures array<long>"), "spot-sets")
+    rows = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets, "doc_id long, signatures array<long>, length_class int"), "spot-sets")
     rows = rows.withColumn("set_key", F.xxhash64("signatures"))
-    classes = written(rows.groupBy("set_key", "signatures").agg(F.min("doc_id").alias("representative")), "spot-classes")
-    members = rows.join(classes.select("set_key", F.col("signatures").alias("s"), "representative"), ["set_key"]).where(F.col("signatures") == F.col("s")).select("doc_id", "representative")
-    each = classes.select("representative", F.size("signatures").alias("n"), F.explode("signatures").alias("signature"))
-    common = each.groupBy("signature").agg(F.count(F.lit(1)).alias("documents"))
+    grouped = rows.groupBy("set_key", "signatures", "length_class").agg(F.min("doc_id").alias("representative"), F.count(F.lit(1)).alias("copies"))
+    classes = written(grouped, "spot-classes")
+    keys = classes.groupBy("set_key").agg(F.sum("copies").alias("size"), F.collect_list(F.struct("signatures", "representative")).alias("sets"))
+    member = F.filter("sets", lambda x: x["signatures"] == F.col("signatures"))
+    members = salted_join(rows, written(keys, "spot-keys"), ["set_key"], "size", F.xxhash64("doc_id")).select("doc_id", F.get(member, F.lit(0))["representative"].alias("representative"))
+    each = classes.select("representative", "length_class", F.size("signatures").alias("n"), F.explode("signatures").alias("signature"))
+    common = written(each.groupBy("signature").agg(F.count(F.lit(1)).alias("documents")), "spot-common")
     rank = F.row_number().over(Window.partitionBy("representative").orderBy("documents", "signature"))
-    prefix = each.join(common, "signature").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    prefix = written(prefix.select("representative", "n", "signature"), "spot-prefix")
-    left = prefix.select(F.col("representative").alias("a"), F.col("n").alias("n_a"), "signature")
-    right = prefix.select(F.col("representative").alias("b"), F.col("n").alias("n_b"), "signature")
-    fits = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
-    pairs = left.join(right, "signature").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    ranked = salted_join(each, common, ["signature"], "documents", F.xxhash64("representative")).withColumn("rank", rank)
+    prefix = written(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("representative", "n", "length_class", "signature"), "spot-prefix")
+    # A set meets those of its own class and, as the longer one, those of the class below.
+    # Classes are cut at the default threshold; a lower one reaches further.
+    reach = max(1, math.ceil(math.log(threshold) / math.log(THRESHOLD) - 1e-9))
+    right = prefix.withColumn("length_class", F.explode(F.sequence(F.col("length_class") - reach, F.col("length_class"))))
+    sizes = prefix.groupBy("signature", "length_class").agg(F.count(F.lit(1)).alias("lefts"))
+    sizes = sizes.join(right.groupBy("signature", "length_class").agg(F.count(F.lit(1)).alias("rights")), ["signature", "length_class"])
+    sizes = sizes.where("rights > 1").withColumn("shares", F.floor(F.col("lefts") * F.col("rights") / PAIRS_PER_TASK) + 1)
+    sizes = written(sizes.select("signature", "length_class", "lefts", "rights", "shares"), "spot-sizes")
+    keys_ = ["signature", "length_class"]
+    left = salted_join(prefix, sizes.drop("rights"), keys_, "lefts", F.xxhash64("representative")).withColumn("share", F.pmod(F.xxhash64("representative"), F.col("shares")))
+    right = salted_join(right, sizes.drop("lefts"), keys_, "rights", F.xxhash64("representative")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    left = left.select(*keys_, "share", F.col("representative").alias("p"), F.col("n").alias("n_p"))
+    right = right.select(*keys_, "share", F.col("representative").alias("q"), F.col("n").alias("n_q"))
+    fits = (F.col("n_p") >= F.col("n_q") * threshold) & (F.col("n_q") >= F.col("n_p") * threshold)
+    pairs = left.join(right, [*keys_, "share"]).where((F.col("p") != F.col("q")) & fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     sets = classes.select("representative", "signatures")
     pairs = pairs.join(sets.select(F.col("representative").alias("a"), F.col("signatures").alias("s_a")), "a").join(sets.select(F.col("representative").alias("b"), F.col("signatures").alias("s_b")), "b")
     common_size = F.size(F.array_intersect("s_a", "s_b"))

@@ -43,6 +43,47 @@ def test_spotsigs_pairs(spark):
     assert {(x.doc_id, x.representative) for x in members.collect()} == {(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)}
 
 
+def plain_signatures(text):
+    """Anchors with the next two words that aren't common, as texts."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    out = set()
+    for k, word in enumerate(words):
+        common = word in spotsigs.ANCHORS
+        if common or zlib.crc32(word.encode()) % 16 == 0:
+            chain = [w for w in words[k + 1 :] if w not in spotsigs.ANCHORS][:2]
+            if len(chain) == 2:
+                out.add((word, *chain))
+    return out or ({tuple(words)} if words else set())
+
+
+def test_spotsigs_pairs_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "PAIRS_PER_TASK", 8)
+    rng = np.random.default_rng(12)
+    vocabulary = ["the", "of", "and", "in"] * 6 + [f"word{k}" for k in range(90)]
+    texts = []
+    for _ in range(25):
+        base = rng.choice(vocabulary, rng.integers(5, 400)).tolist()
+        for _ in range(rng.integers(1, 6)):
+            own = [w if rng.random() > 0.02 else rng.choice(vocabulary) for w in base]
+            texts.append(" ".join(own[: len(own) - rng.integers(0, 12)]))
+    texts += [texts[0], "", None, "the of", "zzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [plain_signatures(t or "") for t in texts]
+    assert [len(x) for x in sets] == [len(spotsigs.signatures(t or "")) for t in texts]
+    first = {}
+    for k, x in enumerate(sets):
+        first.setdefault(frozenset(x), k)
+    want = {}
+    kinds = list(first.items())
+    for i, (x, a) in enumerate(kinds):
+        for y, b in kinds[:i]:
+            if x and y and len(x & y) / len(x | y) >= 0.8:
+                want[min(a, b), max(a, b)] = len(x & y) / len(x | y)
+    pairs, members = spotsigs.near_pairs(docs)
+    assert {(x.a, x.b): x.likeness for x in pairs.collect()} == pytest.approx(want) and len(want) > 15
+    assert {x.doc_id: x.representative for x in members.collect()} == {k: first[frozenset(x)] for k, x in enumerate(sets)}
+
+
 def test_packing_round_trip(odd, odd_rows):
     from tokenizers import Tokenizer
 
