@@ -210,7 +210,24 @@ def scpcoa_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec", "side", *[rounded(F.col(k), digits.get(k, 5)).alias(k) for k in geometry.ANGLES[1:]])
 
 
-@query()
+_VG = (
+    f"with {PULSE}, a as (select vec, tx_x-srp_x px, tx_y py, tx_z pz, tx_x ax, tx_y ay, tx_z az, sqrt(tx_x*tx_x+tx_y*tx_y+tx_z*tx_z) an, sqrt(100.0::double*100+7000.0::double*7000+500.0::double*500) vn from pu),"
+    " b as (select *, sqrt(px*px+py*py+pz*pz) pn from a),"
+    # Unit vectors: platform p, flight f; the normal of the ground is x.
+    " c as (select *, px/pn p1, py/pn p2, pz/pn p3, 100/vn f1, 7000/vn f2, 500/vn f3, ax/an u1, ay/an u2, az/an u3 from b),"
+    " d as (select *, p2*f3-p3*f2 s1, p3*f1-p1*f3 s2, p1*f2-p2*f1 s3, sqrt(p2*p2+p3*p3) gn, 100*u1+7000*u2+500*u3 climb, -(px*u1+py*u2+pz*u3) drop_ from c),"
+    " e as (select *, sign(s1) sense, abs(s1)/sqrt(s1*s1+s2*s2+s3*s3) n1, sign(s1)*s2/sqrt(s1*s1+s2*s2+s3*s3) n2, sign(s1)*s3/sqrt(s1*s1+s2*s2+s3*s3) n3, p2/gn g2, p3/gn g3 from d),"
+    # The slant normal crossed with the ground's: (0, n3, -n2).
+    " f as (select *, asin(p1) graze, acos(n1) slope, sign(asin((g2*n3-g3*n2)/sqrt(n2*n2+n3*n3))) lay from e),"
+    " g as (select *, -acos(least(1, greatest(-1, cos(slope)/cos(graze))))*lay tilt, 100-climb*u1 l1, 7000-climb*u2 l2, 500-climb*u3 l3, -px-drop_*u1 m1, -py-drop_*u2 m2, -pz-drop_*u3 m3 from f),"
+    " h as (select *, (l2*m3-l3*m2)*u1+(l3*m1-l1*m3)*u2+(l1*m2-l2*m1)*u3 turn, l1*m1+l2*m2+l3*m3 ahead, sqrt(f2*f2+f3*f3) fn from g)"
+)
+
+
+@query(
+    _VG + " select vec, round(degrees(atan2(turn, ahead)), 5) + 0.0 squint, round(degrees(tilt), 5) + 0.0 tilt, round(degrees(-atan(tan(tilt)*sin(graze))), 5) + 0.0 multipath,"
+    " round(degrees(-sense*acos(least(1, greatest(-1, -(g2*f2+g3*f3)/fn)))), 5) + 0.0 track, round(degrees(asin(f1)), 5) + 0.0 flight_elevation, round(-sense, 5) + 0.0 \"right\", 1.0::double ascending from h"
+)
 def vect2geom(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = geometry.with_pointing(views.pulses(spark, sf_dir), vec("srp"), vec("tx"), _velocity())
     return out.select("vec", *[rounded(F.col(k), 5).alias(k) for k in geometry.POINTING])
@@ -394,7 +411,19 @@ def _signals(spark: SparkSession, sf_dir: str, target: tuple[float, float, float
     return pulses.withColumn("z", z).drop("_d")
 
 
-@query()
+_C = f"{geodesy.LIGHT!r}::double"
+_D = "2*(sqrt(pow(tx_x-{x}, 2)+pow(tx_y-{y}, 2)+pow(tx_z-{z}, 2))-sqrt(pow(tx_x-srp_x, 2)+tx_y*tx_y+tx_z*tx_z))"
+_BP = (
+    f"with {PULSE}, d as (select vec, sc0, scss, {_D.format(x=repr(geodesy.SEMI_MAJOR) + '::double', y='8.0::double', z='(-12.0::double)')} d from pu),"
+    f" sg as (select vec, k, cos(-2*pi()*(sc0+scss*k)/{_C}*d) re, sin(-2*pi()*(sc0+scss*k)/{_C}*d) im from d, range(32) t(k)),"
+    " pf as (select vec, m, sum(re*cos(2*pi()*(((m+128)%256)*k%256)/256)-im*sin(2*pi()*(((m+128)%256)*k%256)/256))/256 re, sum(re*sin(2*pi()*(((m+128)%256)*k%256)/256)+im*cos(2*pi()*(((m+128)%256)*k%256)/256))/256 im from sg, range(256) t(m) group by 1, 2),"
+    f" px_at as (select r, c, vec, sc0, {_D.format(x=repr(geodesy.SEMI_MAJOR) + '::double', y='((c-8)*4.0::double)', z='((r-8)*4.0::double)')} d, scss from pu, range(17) a(r), range(17) b(c)),"
+    f" pl as (select r, c, vec, d, sc0, floor(d*scss/{_C}*256+128)::bigint lo, d*scss/{_C}*256+128 - floor(d*scss/{_C}*256+128) w from px_at where d*scss/{_C}*256+128 > 0 and d*scss/{_C}*256+128 < 255),"
+    f" v as (select r, c, a.re*(1-w)+b.re*w re, a.im*(1-w)+b.im*w im, 2*pi()*sc0/{_C}*d p from pl join pf a on a.vec=pl.vec and a.m=lo join pf b on b.vec=pl.vec and b.m=lo+1)"
+)
+
+
+@query(_BP + " select r, c, round(sqrt(pow(sum(re*cos(p)-im*sin(p)), 2)+pow(sum(re*sin(p)+im*cos(p)), 2)), 4) amplitude from v group by 1, 2")
 def bp_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backprojection of a point target; the peak is at its pixel."""
     pixels = [(r, c, geodesy.SEMI_MAJOR, (c - 8) * 4.0, (r - 8) * 4.0) for r in range(17) for c in range(17)]
