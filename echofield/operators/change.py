@@ -55,3 +55,17 @@ def amplitude_change(pair: DataFrame) -> DataFrame:
     a = F.sqrt(F.col("ar") * F.col("ar") + F.col("ai") * F.col("ai"))
     b = F.sqrt(F.col("br") * F.col("br") + F.col("bi") * F.col("bi"))
     return pair.select("r", "c", a.alias("red"), b.alias("green"), b.alias("blue"))
+
+
+def turned_coherence(pair: DataFrame, rows: int, cols: int, quarter_turns: int) -> DataFrame:
+    """Coherence over a window that is turned by quarter turns: an odd number swaps its sides."""
+    from .raster import sized_window_sums
+
+    if quarter_turns % 2:
+        rows, cols = cols, rows
+    ar, ai, br, bi = (F.col(x) for x in ("ar", "ai", "br", "bi"))
+    products = pair.select("r", "c", (ar * br + ai * bi).alias("xr"), (ar * bi - ai * br).alias("xi"), (ar * ar + ai * ai).alias("pa"), (br * br + bi * bi).alias("pb"))
+    sums = sized_window_sums(products, ["xr", "xi", "pa", "pb"], rows, cols)
+    both = F.col("pa") * F.col("pb")
+    value = F.sqrt(F.col("xr") * F.col("xr") + F.col("xi") * F.col("xi")) / F.sqrt(both)
+    return sums.select("r", "c", F.when(both > 0, value).otherwise(0.0).alias("coherence"))

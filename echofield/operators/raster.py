@@ -69,6 +69,19 @@ def window_sums(px: DataFrame, columns: list[str], half_rows: int, half_cols: in
     return first.select(*others, *[F.sum(x).over(along).alias(x) for x in columns])
 
 
+def sized_window_sums(px: DataFrame, columns: list[str], rows: int, cols: int) -> DataFrame:
+    """Replaces each column by its sum over a window of any size, zero outside.
+
+    A window of even size reaches one place further ahead than back.
+    """
+    reach = lambda n: (-(n - n // 2 - 1), n // 2)
+    down = Window.partitionBy("c").orderBy("r").rangeBetween(*reach(rows))
+    along = Window.partitionBy("r").orderBy("c").rangeBetween(*reach(cols))
+    others = [x for x in px.columns if x not in columns]
+    first = px.select(*others, *[F.sum(x).over(down).alias(x) for x in columns])
+    return first.select(*others, *[F.sum(x).over(along).alias(x) for x in columns])
+
+
 def prefix_window_sums(px: DataFrame, column: str, half: int, n_rows: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sums down the columns from running sums: the cost doesn't grow with the window.
 
