@@ -13,8 +13,8 @@ input.
   of the minimiser. What is sent is combined first: of equal runs within a portion of a
   scan the one with the smallest doc_id goes, and the others are settled at once, so a
   passage that very many documents hold costs one run for each portion.
-* Bucket. Minimisers of one document only are left out. All windows of the others are put
-  into suffix order. The longest previous factor of a window is its longest match with an
+* Bucket. Minimisers of one document only are left out, and equal runs of different
+  portions are combined as before. All windows of the others are put into suffix order. The longest previous factor of a window is its longest match with an
   earlier document: the larger of the common prefixes with the nearest entries before and
   after it in suffix order that belong to earlier documents. A window is removed if that
   reaches 50. A task holds one section of its bucket at a time, about SECTION bytes.
@@ -53,7 +53,7 @@ HELD = 48 << 20
 SECTION = 6 << 20
 #: Bytes of runs for each bucket, and of texts for each task that cuts them; beyond
 #: MOST_BUCKETS buckets are larger and have their sections sorted by Spark.
-BUCKET = 64 << 20
+BUCKET = 24 << 20
 MOST_BUCKETS = 50_000
 #: Bytes of runs for each byte of text, about.
 SPREAD = 4
@@ -134,20 +134,31 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return x
 
 
+def gram_hash_at(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """As gram_hashes, for some places only."""
+    each = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    x = each[places] * A
+    x ^= x >> np.uint64(29)
+    x += each[places + 8] * B
+    x ^= x >> np.uint64(32)
+    x *= C
+    return x
+
+
 def ranked(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Hashes that sort by the frequency class of their cell first.
 
     The class takes the place of the first bits, which the cell gave.
     """
-    out = hashes & np.uint64((1 << 64 - CELL_BITS) - 1)
-    out |= classes[hashes >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(64 - CELL_BITS)
+    out = classes[hashes >> np.uint64(64 - CELL_BITS)]
+    out |= hashes & np.uint64((1 << 64 - CELL_BITS) - 1)
     return out
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """0 for cells up to twice the mean, then one more for each doubling."""
+    """0 for cells up to the mean, then one more for each doubling; in the place of a hash's first bits."""
     mean = max(counts.sum() / len(counts), 1.0)
-    return np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / mean)), 0).astype(np.uint32)
+    return np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / mean)), 0).astype(np.uint64) << np.uint64(64 - CELL_BITS)
 
 
 def minimisers(hashes: np.ndarray) -> np.ndarray:
@@ -286,15 +297,16 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int
         yield held
 
 
-def runs(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """raw bytes; for each run its minimiser, text, start in raw, number of windows, start in the text."""
+def runs(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """raw bytes; for each run its minimiser, text, start in raw, number of windows, start in the text, and the minimiser's place in it."""
     sizes = np.array([len(x) for x in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
     raw = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
     none = np.zeros(0, np.int64)
     if not (sizes >= WINDOW).any():
-        return raw, none.astype(np.uint64), none, none, none, none
-    least = minimisers(ranked(gram_hashes(raw), classes))
+        return raw, none.astype(np.uint64), none, none, none, none, none.astype(np.uint8)
+    hashes = ranked(gram_hashes(raw), classes)
+    least = minimisers(hashes)
     n = len(least)
     ok = np.zeros(n + 1, np.int8)
     long_ = sizes >= WINDOW
@@ -305,15 +317,22 @@ def runs(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new[1:] = least[1:] != least[:-1]
     new[1:] |= ~valid[:-1]
     new[begins[long_]] = True
-    # A minimiser stands SPAN places before the end of its last window at most, so longer
-    # runs are of strings that repeat themselves; cut, they become equal runs.
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    new |= (np.arange(n) - first) % SPAN == 0
     starts = np.flatnonzero(new & valid)
     stops = np.flatnonzero(np.concatenate([valid[:-1] & (new[1:] | ~valid[1:]), valid[-1:]])) + 1
+    # A minimiser stands SPAN places before the end of its last window at most, so longer
+    # runs are of strings that repeat themselves; cut, they become equal runs.
+    parts = -(-(stops - starts) // SPAN)
+    if (parts > 1).any():
+        which = np.repeat(np.arange(len(starts)), parts)
+        number = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, stops = starts[which] + number * SPAN, stops[which]
+        stops = np.minimum(stops, starts + SPAN)
     text = np.searchsorted(begins, starts, "right") - 1
     # Texts without bytes share their begin with the next one.
-    return raw, least[starts], text, starts, stops - starts, starts - begins[text]
+    place = np.empty(len(starts), np.uint8)
+    for part in slices(np.full(len(starts), SPAN)):
+        place[part] = hashes[starts[part][:, None] + np.arange(SPAN)].argmin(axis=1)
+    return raw, least[starts], text, starts, stops - starts, starts - begins[text], place
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,14 +373,14 @@ class Layout:
         return cls(buckets, max(1, size * SPREAD // (buckets * BUCKET)), min(max(least, size // BUCKET), max(least, MOST_BUCKETS)))
 
 
-RUN_KINDS = ["<i8", "<i8", "<i4", "<i4", "<i4", "u1"]
+RUN_KINDS = ["<i8", "<i8", "<i4", "u1", "<i4", "u1", "u1"]
 
 
 def _scan(layout: Layout, shared):
     """shared: broadcast frequency classes."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        place, windows, at = (np.concatenate([x[k] for x in held]) for k in (0, 2, 3))
+        place, windows, at, inner = (np.concatenate([x[k] for x in held]) for k in (0, 2, 3, 8))
         ids, marks = (np.concatenate([x[k] for x in held]) for k in (6, 7))
         doc = np.concatenate([x[1] + base for x, base in zip(held, np.cumsum([0, *(len(x[6]) for x in held[:-1])]), strict=True)])
         starts = np.concatenate([x[4] + base for x, base in zip(held, np.cumsum([0, *(len(x[5]) for x in held[:-1])]), strict=True)])
@@ -373,14 +392,14 @@ def _scan(layout: Layout, shared):
             part = order[bounds[k] : bounds[k + 1]]
             content = raw[ragged(starts[part], windows[part] + WINDOW - 1)]
             used, local = np.unique(doc[part], return_inverse=True)
-            packed = pack(ids[used], marks[used], np.diff(local, prepend=0).astype("<i4"), windows[part].astype("<i4"), np.diff(at[part], prepend=0).astype("<i4"), content)
+            packed = pack(ids[used], marks[used], np.diff(local, prepend=0).astype("<i4"), windows[part].astype("u1"), np.diff(at[part], prepend=0).astype("<i4"), inner[part], content)
             rows.append((k % layout.buckets, k // layout.buckets, -1, packed))
         yield _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for texts in _portions(batches):
-            raw, least, text, starts, windows, at = runs([x[2] for x in texts], shared.value)
+            raw, least, text, starts, windows, at, inner = runs([x[2] for x in texts], shared.value)
             if not len(starts):
                 continue
             ids, marks = (np.array([x[k] for x in texts], np.int64) for k in (0, 1))
@@ -389,7 +408,7 @@ def _scan(layout: Layout, shared):
             left = np.flatnonzero(~settled)
             place = (least[left] * C >> np.uint64(8)) % np.uint64(layout.buckets * layout.sections)
             sizes = windows[left] + WINDOW - 1
-            held.append((place.astype(np.int64), text[left], windows[left], at[left], np.cumsum(sizes) - sizes, raw[ragged(starts[left], sizes)], ids, marks))
+            held.append((place.astype(np.int64), text[left], windows[left], at[left], np.cumsum(sizes) - sizes, raw[ragged(starts[left], sizes)], ids, marks, inner[left]))
             size += int(sizes.sum())
             if size >= HELD:
                 yield from flush(held)
@@ -426,19 +445,12 @@ def _owner(ids: np.ndarray, marks: np.ndarray, owners: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(owners)).astype(np.int64)
 
 
-def settle(raw: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, first byte, last byte + 1) of what is removed, bytes counted in the run."""
-    # A run has one minimiser, that of its first window.
-    least = np.empty(len(starts), np.uint64)
-    each = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    for part in slices(np.full(len(starts), SPAN)):
-        grams = starts[part][:, None] + np.arange(SPAN)
-        x = each[grams] * A
-        x ^= x >> np.uint64(29)
-        x += each[grams + 8] * B
-        x ^= x >> np.uint64(32)
-        x *= C
-        least[part] = ranked(x, classes).min(axis=1)
+def settle(raw: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, inner: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first byte, last byte + 1) of what is removed, bytes counted in the run.
+
+    inner: the place of a run's minimiser within it.
+    """
+    least = ranked(gram_hash_at(raw, starts + inner), classes)
     # Runs in order of minimiser, cut between minimisers into pieces that fit.
     order = np.argsort(least, kind="stable")
     ordered = least[order]
@@ -452,22 +464,35 @@ def settle(raw: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.nda
         own = order[firsts[part.start] : firsts[part.stop]]
         own = own[_in_two(least[own], ids[own])]
         if len(own):
-            found.append(_settle_windows(raw, ids, starts, windows, own))
+            found += _settle_windows(raw, ids, starts, windows, least, own)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _settle_windows(raw: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of some runs whose longest previous factor reaches WINDOW."""
-    places = ragged(starts[own], windows[own])
-    of = np.repeat(own, windows[own])
-    gone = previous_factors(window_keys(raw, places), ids[of], WINDOW) >= WINDOW
+def _settle_windows(raw: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, least: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The windows of some runs whose longest previous factor reaches WINDOW.
+
+    The combining that each portion began ends here: of equal runs the first document's
+    stands for all. All windows of what is left, if still of two documents, are put into
+    suffix order.
+    """
+    # The runs move together, so that sums run over little.
+    size = windows[own] + WINDOW - 1
+    raw = np.concatenate([raw[ragged(starts[own], size)], np.zeros(8, np.uint8)])
+    begins = np.cumsum(size) - size
+    equal = settled_by_equals(raw, begins, size, ids[own])
+    out = [(own[equal], np.zeros(int(equal.sum()), np.int64), size[equal])]
+    rest = np.flatnonzero(~equal)
+    rest = rest[_in_two(least[own[rest]], ids[own[rest]])]
+    places = ragged(begins[rest], windows[own[rest]])
+    of = np.repeat(rest, windows[own[rest]])
+    gone = previous_factors(window_keys(raw, places), ids[own[of]], WINDOW) >= WINDOW
     places, of = places[gone], of[gone]
-    if not len(places):
-        return (np.zeros(0, np.int64),) * 3
-    cut = np.flatnonzero((places[1:] != places[:-1] + 1) | (of[1:] != of[:-1])) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(places)]]) - 1
-    run = of[first]
-    return run, places[first] - starts[run], places[last] - starts[run] + WINDOW
+    if len(places):
+        cut = np.flatnonzero((places[1:] != places[:-1] + 1) | (of[1:] != of[:-1])) + 1
+        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(places)]]) - 1
+        run = of[first]
+        out.append((own[run], places[first] - begins[run], places[last] - begins[run] + WINDOW))
+    return out
 
 
 def _in_two(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -489,10 +514,11 @@ def _bucket(layout: Layout, shared):
         ids, marks = (np.concatenate([x[k][np.cumsum(x[2])] for x in held]) for k in (0, 1))
         windows = np.concatenate([x[3] for x in held]).astype(np.int64)
         at = np.concatenate([np.cumsum(x[4], dtype=np.int64) for x in held])
-        raw = np.concatenate([*(x[5] for x in held), np.zeros(16, np.uint8)])
+        inner = np.concatenate([x[5] for x in held]).astype(np.int64)
+        raw = np.concatenate([*(x[6] for x in held), np.zeros(16, np.uint8)])
         held.clear()
         size = windows + WINDOW - 1
-        which, begin, end = settle(raw, ids, np.cumsum(size) - size, windows, shared.value)
+        which, begin, end = settle(raw, ids, np.cumsum(size) - size, windows, inner, shared.value)
         if len(which):
             yield _ranges(ids[which], marks[which], at[which] + begin, at[which] + end, layout)
 

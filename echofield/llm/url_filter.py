@@ -178,10 +178,9 @@ def names_of(host: Column, path: Column) -> Column:
 
 def log_odds(counts: DataFrame) -> DataFrame:
     """word, odds of block against allow, from word, block, allow: how often each has it."""
-    totals = counts.agg(F.sum("block").alias("blocks"), F.sum("allow").alias("allows"), F.count(F.lit(1)).alias("kinds"))
-    share = lambda n, total: F.log((F.col(n) + SMOOTHING) / (F.col(total) + SMOOTHING * F.col("kinds")))
-    # totals is one row.
-    return counts.join(F.broadcast(totals)).select("word", (share("block", "blocks") - share("allow", "allows")).alias("odds"))
+    totals = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("kinds")).first()  # three numbers
+    share = lambda label: F.log((F.col(label) + SMOOTHING) / ((totals[label] or 0) + SMOOTHING * totals["kinds"]))
+    return counts.select("word", (share("block") - share("allow")).alias("odds"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None) -> DataFrame:
