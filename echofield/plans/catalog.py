@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collects, files, formed, frames, measuring, pixels
+from . import collects, files, formed, frames, measuring, pixels, viewing
 
-QUERIES: dict = pixels.QUERIES | collects.QUERIES | measuring.QUERIES | formed.QUERIES | frames.QUERIES | files.QUERIES
-ORACLE_SQL: dict[str, str] = pixels.ORACLE_SQL | collects.ORACLE_SQL | measuring.ORACLE_SQL | formed.ORACLE_SQL | frames.ORACLE_SQL | files.ORACLE_SQL
+QUERIES: dict = pixels.QUERIES | collects.QUERIES | measuring.QUERIES | formed.QUERIES | frames.QUERIES | files.QUERIES | viewing.QUERIES
+ORACLE_SQL: dict[str, str] = pixels.ORACLE_SQL | collects.ORACLE_SQL | measuring.ORACLE_SQL | formed.ORACLE_SQL | frames.ORACLE_SQL | files.ORACLE_SQL | viewing.ORACLE_SQL
