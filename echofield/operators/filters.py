@@ -63,21 +63,36 @@ def _unbiased(filtered: DataFrame) -> DataFrame:
     return filtered.join(F.broadcast(scale)).select("r", "c", F.sqrt(F.greatest(value, F.lit(0.0))).alias("amplitude"))
 
 
-def neighbours(px: DataFrame, half: int, columns: list[str]) -> DataFrame:
-    """Each pixel sent to the (2 half + 1)**2 places around it, with its offset."""
-    steps = F.sequence(F.lit(-half), F.lit(half))
-    spread = px.select("r", "c", *columns, F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc"))
-    return spread.select((F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), "dr", "dc", *columns)
+def gathered(px: DataFrame, half: int, columns: list[str]) -> DataFrame:
+    """r, c, near: for each pixel an array of (r, c, columns) of the places around it.
+
+    A window's lines are gathered column by column, then its columns line by line, so
+    each pixel is shuffled twice, whatever the window's size.
+    """
+    down, along = (Window.partitionBy(x).orderBy(y).rangeBetween(-half, half) for x, y in (("c", "r"), ("r", "c")))
+    lines = px.select("r", "c", F.collect_list(F.struct("r", "c", *columns)).over(down).alias("near"))
+    return lines.select("r", "c", F.flatten(F.collect_list("near").over(along)).alias("near"))
 
 
 def frost(px: DataFrame, half: int = 2, damping: float = 1.0) -> DataFrame:
     """Neighbours weighted by exp(-damping * variation * distance)."""
-    local = local_statistics(px, half).select("r", "c", (damping * _ratio()).alias("decay"))
     power = px.select("r", "c", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("i"))
-    near = neighbours(power, half, ["i"]).join(local, ["r", "c"])
-    weight = F.exp(-F.col("decay") * F.sqrt((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double")))
-    own = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("i")))
-    return _unbiased(near.groupBy("r", "c").agg(own.alias("i"), (F.sum(weight * F.col("i")) / F.sum(weight)).alias("filtered")))
+    near = gathered(power, half, ["i"])
+
+    def total(value) -> Column:
+        return F.aggregate("near", F.lit(0.0), lambda t, x: t + value(x))
+
+    local = near.withColumns({"n": F.size("near"), "s": total(lambda x: x["i"]), "q": total(lambda x: x["i"] * x["i"])})
+    local = local.withColumn("mean", F.col("s") / F.col("n"))
+    local = local.withColumn("variance", F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.col("mean") * F.col("mean")))
+    local = local.withColumn("decay", damping * _ratio())
+
+    def weight(x: Column) -> Column:
+        dr, dc = x["r"] - F.col("r"), x["c"] - F.col("c")
+        return F.exp(-F.col("decay") * F.sqrt((dr * dr + dc * dc).cast("double")))
+
+    own = F.get(F.filter("near", lambda x: (x["r"] == F.col("r")) & (x["c"] == F.col("c"))), F.lit(0))["i"]
+    return _unbiased(local.select("r", "c", own.alias("i"), (total(lambda x: weight(x) * x["i"]) / total(weight)).alias("filtered")))
 
 
 def apodised(px: DataFrame) -> DataFrame:
@@ -130,16 +145,10 @@ def phase_gradient(lines: DataFrame, half: int = 2, delta: float = 0.25) -> Data
 
 
 def phase_gradient_median(lines: DataFrame, half: int = 1, delta: float = 0.25) -> DataFrame:
-    """As phase_gradient with medians of the real and imaginary parts, zero outside.
-
-    A window's lines are gathered column by column, then its columns line by line, so
-    each pixel is shuffled twice, whatever the window's size.
-    """
+    """As phase_gradient with medians of the real and imaginary parts, zero outside."""
     size = (2 * half + 1) ** 2
-    down, along = (Window.partitionBy(x).orderBy(y).rangeBetween(-half, half) for x, y in (("c", "r"), ("r", "c")))
-    near = phase_derivative(lines, delta)
-    near = near.select("r", "c", *[F.collect_list(x).over(down).alias(x) for x in ("xr", "xi")])
-    near = near.select("r", "c", *[F.flatten(F.collect_list(x).over(along)).alias(x) for x in ("xr", "xi")])
+    near = gathered(phase_derivative(lines, delta), half, ["xr", "xi"])
+    near = near.select("r", "c", F.transform("near", lambda v: v["xr"]).alias("xr"), F.transform("near", lambda v: v["xi"]).alias("xi"))
 
     def median(name: str) -> Column:
         padded = F.concat(F.col(name), F.array_repeat(F.lit(0.0), size - F.size(name)))
