@@ -46,7 +46,7 @@ ROOM = 6
 #: Rows up to which the directory, or the list of keys that occur twice, is broadcast.
 BROADCAST_ROWS = 65_536
 #: Documents of a key for each copy of a chain's head.
-HEAD_EVERY = 256
+HEAD_EVERY = 32
 
 
 def _keyed(docs: DataFrame, *extra: Column) -> DataFrame:
