@@ -148,7 +148,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = slots.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     within = Window.partitionBy("key", "chunk").orderBy("slot")
-    ranked = slots.withColumn("place", F.row_number().over(within) - 1).join(counts.drop("n"), ["key", "chunk"])
+    ranked = slots.withColumn("place", F.row_number().over(within) - 1).join(counts.drop("n").hint("merge"), ["key", "chunk"])
     return ranked.select("key", "slot", (F.col("before") + F.col("place")).alias("rank"))
 
 
@@ -192,7 +192,8 @@ def readings(docs: DataFrame) -> tuple[DataFrame, int]:
     sources = written(targets(sized), "mix-sources")
     words = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     block = block_words(words)
-    pieces = blocks(streams(sized, sources), block).join(schedule(sources, block), ["key", "rank"], "left")
+    # Slots are so regular that their shuffled size tells little of them; they aren't broadcast.
+    pieces = blocks(streams(sized, sources), block).join(schedule(sources, block).hint("merge"), ["key", "rank"], "left")
     own = ["doc_id", "key", "size", "source_size", "target", "start"]
     used = F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)
     first = F.min_by(F.when(F.col("words") > 0, F.col("slot")), "rank")
