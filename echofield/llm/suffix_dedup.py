@@ -53,7 +53,7 @@ HELD = 48 << 20
 SECTION = 6 << 20
 #: Bytes of runs for each bucket, and of texts for each task that cuts them; beyond
 #: MOST_BUCKETS buckets are larger and have their sections sorted by Spark.
-BUCKET = 24 << 20
+BUCKET = 64 << 20
 MOST_BUCKETS = 50_000
 #: Bytes of runs for each byte of text, about.
 SPREAD = 4
