@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, packing, pseudonyms, quality, simhash, spotsigs, suffix_dedup, url_filter
+from . import divergence, exact_dedup, license_scan, mixing, packing, pseudonyms, quality, simhash, spotsigs, suffix_dedup, url_filter
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_url_filter,
     op2_exact_dedup,
@@ -63,6 +67,7 @@ _ALL = (
     op8_license_scan,
     op9_simhash_near_dedup,
     op10_source_mixing,
+    op11_source_divergence,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -163,4 +168,39 @@ ORACLE_SQL: dict[str, str] = {
         union all
         select doc_id, d.source, size, source_size, target, 0, null, null from d join t on d.source is not distinct from t.source where size = 0
     """,
+    "op11_source_divergence": r"""
+        with d as (
+            select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') words
+            from documents
+        ), w as (
+            select id, lang, source, unnest(words) term from d
+        ), k as (
+            select lang, term, count(*) lang_n from w group by all having count(distinct id) >= 10
+        ), l as (
+            select lang, count(*) v, sum(lang_n) + 2 * count(*) total from k group by lang
+        ), g as (
+            select distinct lang, source from d
+        ), c as (
+            select lang, source, term, count(*) n from w semi join k using (lang, term) group by all
+        ), z as (
+            select g.lang, g.source, coalesce(sum(n), 0) + 2 * coalesce(any_value(v), 0) total
+            from g left join c using (lang, source) left join l on l.lang = g.lang group by all
+        ), p as (  -- every group and kept term
+            select z.lang, z.source, k.term, coalesce(n, 0) n, (1 + 1000000000::hugeint * (coalesce(n, 0) + 2) // z.total)::hugeint p,
+                (1 + 1000000000::hugeint * (lang_n + 2) // l.total)::hugeint q
+            from z join k using (lang) join l using (lang) left join c on c.lang = z.lang and c.source = z.source and c.term = k.term
+        ), f as (
+            select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) value
+            from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ), r as (
+            select a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0)::bigint value
+            from g a join g b on a.lang = b.lang and a.source <> b.source
+                left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+            union all
+            select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p where n > 0 and p > q
+        )
+        select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int rank
+        from r qualify part = 'pair' or rank <= 10
+    """,
 }
