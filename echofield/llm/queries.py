@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, exact_dedup, license_scan, mixing, packing, pseudonyms, quality, simhash, spotsigs, suffix_dedup, url_filter
+from . import divergence, exact_dedup, license_scan, mixing, packing, pseudonyms, quality, repair, simhash, spotsigs, suffix_dedup, url_filter
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 _ALL = (
     op1_url_filter,
     op2_exact_dedup,
@@ -68,6 +72,7 @@ _ALL = (
     op9_simhash_near_dedup,
     op10_source_mixing,
     op11_source_divergence,
+    op12_conversation_repair,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -203,4 +208,67 @@ ORACLE_SQL: dict[str, str] = {
         select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int rank
         from r qualify part = 'pair' or rank <= 10
     """,
+    "op12_conversation_repair": r"""
+        with recursive crc_table as (
+            select list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t
+        ), c as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') label
+            from conversations
+        ), k as (
+            select c.*, xor(list_reduce(list_concat([4294967295], list_transform(range(1, strlen(label) + 1), lambda i: ascii(label[i]::varchar)::bigint)),
+                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 kind
+            from c, crc_table
+        ), d as (
+            select conv_id, turn, case kind when 4 then 'user' else role end as role,
+                case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+            from k, range(2) copy(n) where kind <> 0 and (n = 0 or kind = 3)
+        ), n as (
+            select *, row_number() over (partition by conv_id, role, text order by turn nulls first) nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ended from d
+        ), f as (
+            select conv_id, turn, role, text, left(role, 1) initial,
+                case when ended = '' then 'blank' when nth > 1 then 'duplicate' when right(ended, 1) not in ('.', '!', '?') then 'truncated' else '' end fault,
+                row_number() over o place, lag(left(role, 1)) over o before
+            from n window o as (partition by conv_id order by turn nulls first, role, text, nth)
+        ), steps(conv_id, place, e, s, u, a) as (  -- cost in 12 digits, then the edits with the roles they make; 'x' where there is no way
+            select distinct conv_id, 0::bigint, lpad('0', 12, '0'), 'x', 'x', 'x' from c
+            union all
+            select conv_id, place, lpad((left(e, 12)::bigint + 2)::varchar, 12, '0') || e[13:] || 'D',
+                least(case when s < 'x' then lpad((left(s, 12)::bigint + 2)::varchar, 12, '0') || s[13:] || 'D' else 'x' end,
+                    case when stays and initial = 's' then lpad((left(e, 12)::bigint + extra)::varchar, 12, '0') || e[13:] || 'K' else 'x' end),
+                least(case when u1 < 'x' then lpad((left(u1, 12)::bigint + 2)::varchar, 12, '0') || u1[13:] || 'D' else 'x' end,
+                    case when stays and initial = 'u' and free < 'x' then lpad((left(free, 12)::bigint + extra)::varchar, 12, '0') || free[13:] || 'K' else 'x' end,
+                    case when stays and free < 'x' then lpad((left(free, 12)::bigint + extra + 1)::varchar, 12, '0') || free[13:] || 'Ru' else 'x' end),
+                least(case when a1 < 'x' then lpad((left(a1, 12)::bigint + 2)::varchar, 12, '0') || a1[13:] || 'D' else 'x' end,
+                    case when stays and initial = 'a' and u1 < 'x' then lpad((left(u1, 12)::bigint + extra)::varchar, 12, '0') || u1[13:] || 'K' else 'x' end,
+                    case when stays and u1 < 'x' then lpad((left(u1, 12)::bigint + extra + 1)::varchar, 12, '0') || u1[13:] || 'Ra' else 'x' end)
+            from (
+                select p.conv_id, f.place, e, s, initial, fault not in ('blank', 'duplicate') stays, case fault when 'truncated' then 5 else 0 end extra,
+                    least(u, lpad((left(least(e, s, a), 12)::bigint + 5)::varchar, 12, '0') || least(e, s, a)[13:] || 'Iu') u1,
+                    least(a, case when u < 'x' then lpad((left(u, 12)::bigint + 5)::varchar, 12, '0') || u[13:] || 'Ia' else 'x' end) a1,
+                    least(e, s, a, case when u < 'x' then lpad((left(u, 12)::bigint + 5)::varchar, 12, '0') || u[13:] || 'Ia' else 'x' end) free
+                from steps p join f on f.conv_id is not distinct from p.conv_id and f.place = p.place + 1
+            )
+        ), best as (
+            select conv_id, least(e, a, case when u < 'x' then lpad((left(u, 12)::bigint + 5)::varchar, 12, '0') || u[13:] || 'Ia' else 'x' end) best
+            from steps qualify row_number() over (partition by conv_id order by place desc) = 1
+        ), part as (  -- each row's inserts and edit, and what stands behind the last row
+            select conv_id, regexp_extract_all(best[13:], '(?:I[ua])*(?:D|K|R[ua]|$)') parts from best
+        ), piece as (
+            select conv_id, unnest(parts) piece, unnest(range(1, len(parts) + 1)) place from part
+        ), line as (
+            select conv_id, place, replace(replace(regexp_extract(piece, '^(I[ua])*'), 'Iu', 'user:' || chr(10)), 'Ia', 'assistant:' || chr(10))
+                || case when piece like '%K' then role || ':' || text || chr(10) when piece like '%Ru' then 'user:' || text || chr(10)
+                    when piece like '%Ra' then 'assistant:' || text || chr(10) else '' end line
+            from piece left join f using (conv_id, place)
+        ), made as (
+            select conv_id, string_agg(line, '' order by place) made from line group by conv_id
+        ), total as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+                count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) illegal
+            from f group by conv_id
+        )
+        select best.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+            left(best, 12)::bigint as cost, translate(best[13:], 'ua', '') audit, sha256(coalesce(left(made, -1), '')) repaired_sha256
+        from best left join total on total.conv_id is not distinct from best.conv_id left join made on made.conv_id is not distinct from best.conv_id
+    """,
 }
