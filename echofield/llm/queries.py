@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, exact_dedup, license_scan, mixing, packing, pseudonyms, quality, repair, simhash, spotsigs, suffix_dedup, url_filter
+from . import divergence, exact_dedup, grouping, license_scan, mixing, packing, pseudonyms, quality, repair, simhash, spotsigs, suffix_dedup, url_filter
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.pieces(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_url_filter,
     op2_exact_dedup,
@@ -73,6 +77,7 @@ _ALL = (
     op10_source_mixing,
     op11_source_divergence,
     op12_conversation_repair,
+    op13_best_fit_packing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
