@@ -2,44 +2,30 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cphd, sicd
-from .blocks import FlatSource, read_bytes
-from .cosar import MARK, MARK_AT, CosarSource
-from .sio import MAGIC, MAGIC_USER, SioSource
+from . import cphd, hdf5, nitf, probe, sicd
+from .blocks import FlatSource
+from .cosar import CosarSource
+from .sio import SioSource
 from .tiff import TiffSource
+from .tiles import BlockedSource
 
-HEAD = 1024
-#: Bytes at the end of a file where its description is looked for.
-TAIL = 1 << 20
+#: The data source for each format that has one.
+READERS = {"sicd": "sicd", "nitf": "nitf", "cosar": "cosar", "sio": "sio", "tiff": "tiffraster", "cphd": "cphd", "iceye": "hdf5raster", "nisar": "hdf5raster", "csm": "hdf5raster"}
 
 
 def format_of(path: str) -> str | None:
-    """The name of the data source that reads a file, by its first bytes; null if none does."""
-    head = read_bytes(path, 0, HEAD)
-    numbers = {struct.unpack(order + "I", head[:4])[0] for order in "<>"} if len(head) >= 4 else set()
-    if head[:9] in (b"NITF02.10", b"NITF02.00", b"NSIF01.00"):
-        return "sicd"
-    if head[MARK_AT : MARK_AT + 4] == MARK:
-        return "cosar"
-    if numbers & {MAGIC, MAGIC_USER}:
-        return "sio"
-    if head[:4] in (b"II*\0", b"MM\0*"):
-        return "tiffraster"
-    if head[:5] == b"CPHD/":
-        return "cphd"
-    return None
+    """The name of the data source that reads a file, by what its headers say; null if none does."""
+    return READERS.get(probe.format_of(path))
 
 
 def registered(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (FlatSource, SioSource, CosarSource, TiffSource):
+    for source in (FlatSource, BlockedSource, SioSource, CosarSource, TiffSource):
         spark.dataSource.register(source)
-    sicd.registered(spark)
-    cphd.registered(spark)
+    for module in (sicd, nitf, hdf5, cphd):
+        module.registered(spark)
 
 
 def open_reader(spark: SparkSession, path: str, **options: object) -> DataFrame:

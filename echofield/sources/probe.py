@@ -2,67 +2,60 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import struct
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hdf5, sicd
+from .blocks import read_bytes
+from .cosar import MARK, MARK_AT
 from .sio import MAGIC, MAGIC_USER
 
+#: Bytes of a file's beginning that are looked at; formats with a structure are followed from there.
 HEAD = 4096
 
-
-def _hex(at: int, n: int) -> Column:
-    return F.hex(F.expr(f"substring(content, {at + 1}, {n})"))
-
-
-def _text() -> Column:
-    return F.decode(F.expr(f"substring(content, 1, {HEAD})"), "ISO-8859-1")
-
-
-def _starts(text: str, at: int = 0) -> Column:
-    return _hex(at, len(text)) == text.encode().hex().upper()
-
-
-def _sio() -> Column:
-    values = [x.to_bytes(4, order).hex().upper() for x in (MAGIC, MAGIC_USER) for order in ("big", "little")]
-    return _hex(0, 4).isin(*values)
-
-
-def _xml(*patterns: str) -> Column:
-    return reduce(lambda a, b: a & b, [_text().rlike(p) for p in patterns], _text().rlike(r"^\s*(\xEF\xBB\xBF)?<"))
-
-
-def image_probes() -> list[tuple[str, Column]]:
-    """In order; the first that fits counts."""
-    nitf = _starts("NITF02.10") | _starts("NITF02.00") | _starts("NSIF01.00")
-    hdf = _hex(0, 8) == "894844460D0A1A0A"
-    return [
-        ("sicd", nitf & F.decode("content", "ISO-8859-1").rlike("<SICD")),
-        ("nitf", nitf),
-        ("cosar", _starts("CSAR", 28)),
-        ("gff", _starts("GSATIMG")),
-        ("sio", _sio()),
-        ("tiff", (_hex(0, 4) == "49492A00") | (_hex(0, 4) == "4D4D002A")),
-        ("csm", hdf & F.decode("content", "ISO-8859-1").rlike("CSK|CSG|KMP")),
-        ("iceye", hdf & F.decode("content", "ISO-8859-1").rlike("ICEYE")),
-        ("nisar", hdf & F.decode("content", "ISO-8859-1").rlike("NISAR")),
-        ("sentinel1", _xml("SENTINEL-1", "SLC")),
-        ("tsx", _xml("level1Product", "TSX|TDX|PAZ")),
-        ("rs", _xml("RADARSAT-2|RCM")),
-        ("mbw", _text().rlike(r"^\s*(?i:type)\s*=")),
-    ]
-
-
-def phase_probes() -> list[tuple[str, Column]]:
-    return [("cphd", _starts("CPHD/")), ("crsd", _starts("CRSD/")), ("cphd30", _text().rlike("^BegPreamble"))]
-
-
-def sniffed(spark: SparkSession, path: str, probes: list[tuple[str, Column]] | None = None) -> DataFrame:
-    """path, format (null if unknown) of the files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    fits = [F.when(condition, F.lit(name)) for name, condition in probes or [*image_probes(), *phase_probes()]]
-    return files.select("path", F.coalesce(*fits).alias("format"))
+# What the beginning of a product's description says.
+DESCRIPTIONS = [("sentinel1", ("SENTINEL-1", "SLC")), ("tsx", ("level1Product", "TSX|TDX|PAZ")), ("rs", ("RADARSAT-2|RCM",))]
+BEGINNINGS = [(b"GSATIMG", "gff"), (b"II*\0", "tiff"), (b"MM\0*", "tiff"), (b"CPHD/", "cphd"), (b"CRSD/", "crsd"), (b"BegPreamble", "cphd30")]
+
+
+def format_of(path: str) -> str | None:
+    """A file's format by its first bytes and, where these name a container, by its headers; null if unknown."""
+    head = read_bytes(path, 0, HEAD)
+    numbers = {struct.unpack(order + "I", head[:4])[0] for order in "<>"} if len(head) >= 4 else set()
+    if head[:9] in (b"NITF02.10", b"NITF02.00", b"NSIF01.00"):
+        try:
+            return "sicd" if sicd.read_image(path) else None
+        except ValueError:  # no description among the extensions, or headers that can't be followed
+            return "sicd" if b"<SICD" in head else "nitf"
+    if head[:8] == hdf5.SIGNATURE:
+        return hdf5.File(path).product
+    if head[MARK_AT : MARK_AT + 4] == MARK:
+        return "cosar"
+    if numbers & {MAGIC, MAGIC_USER}:
+        return "sio"
+    for start, name in BEGINNINGS:
+        if head.startswith(start):
+            return name
+    text = head.decode("latin-1").removeprefix("\xef\xbb\xbf").lstrip()
+    if text.startswith("<"):
+        return next((name for name, marks in DESCRIPTIONS if all(re.search(m, text) for m in marks)), None)
+    return "mbw" if re.match("type\\s*=", text, re.IGNORECASE) else None
+
+
+def sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """path, format (null if unknown) of the files below a folder. Only headers are read, in tasks."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(format=[format_of(p) for p in batch["path"]])
+
+    return files.mapInPandas(read, "path string, format string")
 
 
 # Fixed-width headers
@@ -107,9 +100,6 @@ def written_field(value: Column, width: int, number: bool = False) -> Column:
 
 def registered(spark: SparkSession) -> None:
     """Make the raster formats known to spark.read.format, with bounds pushed down."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    from .blocks import FlatSource
-    from .sio import SioSource
+    from . import opened
 
-    for source in (FlatSource, SioSource):
-        spark.dataSource.register(source)
+    opened.registered(spark)
