@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cx import rounded
-from ..sources import hdf5, hdf5_files, nitf, tiles
+from ..sources import ceos, hdf5, hdf5_files, nitf, tiles
 from ..sources.patches import block_patches, scratch_file, write_patches
 from . import views
-from .views import PX, SAMPLES
+from .views import COLLECT, PX, SAMPLES
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -185,3 +187,131 @@ def csm_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     hdf5_files.write_hdf5(spark, tree, path, about)
     hdf5.registered(spark)
     return _shown(spark.read.format("hdf5raster").load(path), "image")
+
+
+# Chains of records
+
+
+def _number(value: Column, n: int) -> Column:
+    """A whole number of n bytes, the first one the highest."""
+    return F.unhex(F.lpad(F.hex(value.cast("long")), 2 * n, "0"))
+
+
+def _head(number: Column, subtype: int, kind: int, length: int) -> Column:
+    return F.concat(_number(number, 4), F.unhex(F.lit(f"{subtype:02X}{kind:02X}1214")), _number(F.lit(length), 4))
+
+
+def _laid(parts: list[tuple[int, int, Column]], begin: int, end: int) -> Column:
+    """Texts at their places, right-aligned, with spaces between."""
+    out, at = [], begin
+    for place, width, value in sorted(parts, key=lambda x: x[0]):
+        out += [F.lit(" " * (place - at)), F.lpad(value, width, " ")]
+        at = place + width
+    return F.encode(F.concat(*out, F.lit(" " * (end - at))), "ISO-8859-1")
+
+
+SUMMARY_BYTES, POSITION_BYTES, POINTS = 1720, 386 + 6 * 22 * 3, 3
+
+
+def _leader_file(spark: SparkSession, sf_dir: str) -> str:
+    """A summary and a position record for each collect, behind a descriptor."""
+    path = scratch_file(spark, "LED")
+    co = views.collects(spark, sf_dir).select("collect_id", "lat", "lon", "graze", "azim", "side")
+    low, n = co.agg(F.min("collect_id"), F.count("*")).first()
+    k = F.col("collect_id") - low
+    text = lambda x, digits=7: F.format_string(f"%.{digits}f", x.cast("double"))
+    values = {
+        "scene_id": F.concat(F.lit("ALOS2-"), F.col("collect_id").cast("string")), "ctr_line": (F.col("collect_id") % 100).cast("string"), "ctr_pixel": (F.col("collect_id") % 16).cast("string"),
+        "clock_angle": F.when(F.col("side") == "L", "-90.000").otherwise("90.000"), "wavelength": text(F.col("graze") / 100), "prf": text(F.col("azim") * 10 + 1000000),
+        "bw_az": text(F.col("graze") * 20), "bw_rng": text(F.col("graze") * 1000), "line_spacing": text(F.col("graze") / 10), "pixel_spacing": text(F.lit(1.5)),
+        "at_dop_const": text(F.col("azim")), "at_dop_lin": text(F.lit(0.5)), "at_dop_quad": text(F.lit(0.001)), "xt_dop_const": text(F.col("azim")), "xt_dop_lin": text(F.lit(-0.25)), "xt_dop_quad": text(F.lit(0.002)),
+        "xt_rate_const": text(F.lit(-500)), "xt_rate_lin": text(F.lit(0.1)), "xt_rate_quad": text(F.lit(0)),
+    }
+    where = ceos.FIELDS[ceos.SUMMARY]
+    summary = F.concat(_head(2 * k + 2, 18, ceos.SUMMARY, SUMMARY_BYTES), _laid([(*where[n], v) for n, v in values.items()], 12, SUMMARY_BYTES))
+    place = ceos.FIELDS[ceos.POSITION]
+    about = [(*place["points"], F.lit(str(POINTS))), (*place["day_in_year"], F.lit("12")), (*place["second"], text(F.col("azim"))), (*place["interval"], F.lit("60.0"))]
+    cells = [(ceos.POINTS_AT + (6 * p + j) * 22, 22, text((F.col("lat") if j < 3 else F.col("lon")) * (6 * p + j + 1))) for p in range(POINTS) for j in range(6)]
+    position = F.concat(_head(2 * k + 3, 18, ceos.POSITION, POSITION_BYTES), _laid(about + cells, 12, POSITION_BYTES))
+    both = SUMMARY_BYTES + POSITION_BYTES
+    patches = co.select((720 + k * both).alias("at"), F.concat(summary, position).alias("data"))
+    head = struct.pack(">IBBBBI", 1, 11, 192, 18, 18, 720) + b" " * 708
+    write_patches(patches, path, 720 + n * both, head)
+    return path
+
+
+@query(
+    f"with {COLLECT}, k as (select collect_id, row_number() over (order by collect_id) - 1 k from co)"
+    " select 1::bigint as number, 0::bigint as at, 192::int as type, 720::bigint as length union all select 2*k+2, 720+k*(1720+782), 10, 1720 from k union all select 2*k+3, 720+k*(1720+782)+1720, 30, 782 from k"
+)
+def ceos_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of a file, found from many places at once; lengths alternate, so guesses by length fail."""
+    return ceos.records(spark, _leader_file(spark, sf_dir), 1 << 20).select("number", "at", "type", "length")
+
+
+@query(
+    f"with {COLLECT}, v as (select collect_id, side, round(graze/100, 7) w, round(azim*10+1000000, 7) prf, round(graze*20, 7) bw_az, round(graze*1000, 7) bw_rng, round(graze/10, 7) ls, round(azim, 7) azim,"
+    " (collect_id % 16)::double px, (collect_id % 100)::double ln, lat, lon from co), d as (select *, case side when 'L' then -1.0::double else 1.0::double end*1000/prf dt,"
+    " azim + px*(-0.25::double+px*0.002::double) + azim + ln*(0.5::double+ln*0.001::double) - (azim+azim)/2 dop from v)"
+    " select collect_id, side = 'L' looks_left, round(2/w, 6) row_kctr, round(2*bw_rng*1000/299792458.0::double, 9) row_bw, round(bw_az*1000/prf/ls, 9) col_bw, round(dt/ls, 12) time_ca_1,"
+    " round(dop, 6) + 0.0 doppler_scp, round(-500 + px*0.1::double, 6) doppler_rate_scp, round(dop*dt/ls, 9) + 0.0 delta_kcoa from d"
+)
+def ceos_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image metadata that follows from the summary records."""
+    path = _leader_file(spark, sf_dir)
+    found = ceos.contents(ceos.records(spark, path, 1 << 20).where(F.col("type") == ceos.SUMMARY), path)
+    made = ceos.product_fields(found.select(*ceos.fields(F.col("content"), ceos.SUMMARY)))
+    digits = {"row_kctr": 6, "row_bw": 9, "col_bw": 9, "time_ca_1": 12, "doppler_scp": 6, "doppler_rate_scp": 6, "delta_kcoa": 9}
+    return made.select(F.regexp_extract("scene_id", "-(.*)", 1).cast("long").alias("collect_id"), F.col("left").alias("looks_left"), *(rounded(F.col(n), d).alias(n) for n, d in digits.items()))
+
+
+@query(
+    f"with {COLLECT} select collect_id, p::int k, round(round(azim, 7) + 60*p, 6) as second, round(lat*(6*p+1), 6) + 0.0 x, round(lat*(6*p+3), 6) + 0.0 z, round(lon*(6*p+4), 6) + 0.0 vx from co, range(3) t(p)"
+)
+def ceos_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State vectors of the position records, with the collect whose summary is in front of them."""
+    path = _leader_file(spark, sf_dir)
+    found = ceos.contents(ceos.records(spark, path, 1 << 20).where(F.col("type").isin(ceos.SUMMARY, ceos.POSITION)), path)
+    pair = F.expr("number div 2")
+    scenes = found.where(F.col("type") == ceos.SUMMARY).select(pair.alias("pair"), *ceos.fields(F.col("content"), ceos.SUMMARY)[:1])
+    at = found.where(F.col("type") == ceos.POSITION).select(pair.alias("pair"), "content", *ceos.fields(F.col("content"), ceos.POSITION))
+    each = at.join(scenes, "pair").select("scene_id", "second", "interval", F.inline(ceos.points(F.col("content"), F.col("points"))))
+    when = rounded(F.col("second") + F.col("interval") * F.col("k")).alias("second")
+    return each.select(F.regexp_extract("scene_id", "-(.*)", 1).cast("long").alias("collect_id"), "k", when, *(rounded(F.col(n)).alias(n) for n in ("x", "z", "vx")))
+
+
+def _line_file(spark: SparkSession, sf_dir: str) -> str:
+    """The test image with a record for each line."""
+    rows, path = views.height(spark, sf_dir), scratch_file(spark, "IMG")
+    width = ceos.PREFIX_BYTES + SAMPLES * 8
+    r = F.col("r")
+    values = {"record": r + 2, "line": r + 1, "pixels": F.lit(SAMPLES), "year": F.lit(2020), "day": r % 366, "msec": r * 7, "prf": F.lit(2_000_000), "usec": r * 7001 + (1 << 33), "slant_range": 700_000 + r, "lat_center": -r * 11, "lon_center": r * 13}
+    parts, at = [_head(r + 2, 50, 10, width)], 12
+    for name, place, kind in ceos.PREFIX[1:]:
+        n = int(kind[2])
+        value = values.get(name, F.lit(0))
+        parts += [F.unhex(F.lit("00" * (place - at))), F.unhex(F.right(F.lpad(F.hex(value.cast("long")), 16, "0"), F.lit(2 * n)))]
+        at = place + n
+    prefixes = spark.range(rows).withColumnRenamed("id", "r").select((720 + r * width).alias("at"), F.concat(*parts, F.unhex(F.lit("00" * (ceos.PREFIX_BYTES - at)))).alias("data"))
+    pixels = block_patches(views.pixels(spark, sf_dir), rows, SAMPLES, (1, SAMPLES), ">f4", 720 + F.col("i") * width + ceos.PREFIX_BYTES)
+    head = bytearray(struct.pack(">IBBBBI", 1, 50, 192, 18, 18, 720) + b" " * 708)
+    told = {"bits": 32, "group_bytes": 8, "lines": rows, "pixels": SAMPLES, "prefix": ceos.PREFIX_BYTES, "line_bytes": SAMPLES * 8, "suffix": 0}
+    for name, value in told.items():
+        place, n = ceos.DESCRIPTOR[name]
+        head[place : place + n] = str(value).rjust(n).encode()
+    head[slice(ceos.KIND_AT[0], sum(ceos.KIND_AT))] = b"C*8 "
+    write_patches(prefixes.unionByName(pixels), path, 720 + rows * width, bytes(head))
+    return path
+
+
+@query(f"with {PX}, n as (select max(r) most from px) select c r, most-r c, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im from px, n where c < 20")
+def ceos_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of a record for each line, from a sensor that looked to the left."""
+    ceos.registered(spark)
+    return _shown(spark.read.format("ceosimage").option("left", "true").load(_line_file(spark, sf_dir)).where("r < 20"))
+
+
+@query("select vec_id + 1 line, vec_id % 366 \"day\", vec_id*7001 + 8589934592 usec, 700000 + vec_id slant_range, -11*vec_id lat_center, 13*vec_id lon_center from embeddings")
+def ceos_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in front of each line."""
+    return ceos.line_table(spark, _line_file(spark, sf_dir)).select("line", "day", "usec", "slant_range", "lat_center", "lon_center")

@@ -138,3 +138,8 @@ class FlatSource(RasterSource):
         o = self.options
         order = ">" if o.get("bigendian", "false").lower() == "true" else "<"
         return Layout(int(o["rows"]), int(o["cols"]), order + ELEMENTS[o.get("element", "float32")], o.get("complex", "true").lower() == "true", int(o.get("offset", 0)))
+
+
+def file_size(path: str) -> int:
+    with opened(path) as f:
+        return f.size()
