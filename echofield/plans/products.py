@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import os
 import struct
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cx import rounded
-from ..sources import ceos, hdf5, hdf5_files, nitf, tiles
+from ..operators import orbits
+from ..sources import ceos, hdf5, hdf5_files, nitf, opened, sentinel1, tiff, tiles
 from ..sources.patches import block_patches, scratch_file, write_patches
 from . import views
 from .views import COLLECT, PX, SAMPLES
@@ -315,3 +319,131 @@ def ceos_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ceos_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands in front of each line."""
     return ceos.line_table(spark, _line_file(spark, sf_dir)).select("line", "day", "usec", "slant_range", "lat_center", "lon_center")
+
+
+# Products of bursts
+
+PER_BURST, BURST_TIME, LINE_TIME, NEAR_TIME, RATE = 50, 2.75, 0.002, 0.005, 64e6
+BASE = datetime(2021, 3, 4, 5, 6, 7)
+
+
+def _annotation(swath: str, lines: int) -> str:
+    n = -(-lines // PER_BURST)
+    when = lambda s: (BASE + timedelta(seconds=s)).isoformat(timespec="microseconds")
+    listed = lambda name, texts: f"<{name}List count='{len(texts)}'>" + "".join(f"<{name}>{t}</{name}>" for t in texts) + f"</{name}List>"
+    bursts = listed("burst", [f"<azimuthTime>{when(k * BURST_TIME)}</azimuthTime>" for k in range(n)])
+    rates = listed("azimuthFmRate", [f"<azimuthTime>{when(3 * k)}</azimuthTime><t0>0.0051</t0><azimuthFmRatePolynomial count='3'>{-2300 + 10 * k} 1e5 -1e7</azimuthFmRatePolynomial>" for k in range(n + 2)])
+    centres = listed("dcEstimate", [f"<azimuthTime>{when(4 * k)}</azimuthTime><t0>0.0049</t0><dataDcPolynomial count='3'>{20 + 5 * k} -3e4 2e6</dataDcPolynomial>" for k in range(n + 2)])
+    moments = range(-40, math.ceil(n * BURST_TIME) + 41, 10)
+    orbit = listed("orbit", [f"<time>{when(t)}</time><position><x>{7e6 - 4 * t * t}</x><y>{7600 * t}</y><z>{100 * t}</z></position>" for t in moments])
+    return (
+        f"<product><adsHeader><swath>{swath.upper()}</swath><polarisation>VV</polarisation></adsHeader><generalAnnotation><productInformation><rangeSamplingRate>{RATE}</rangeSamplingRate>"
+        f"<radarFrequency>5.405e9</radarFrequency><azimuthSteeringRate>1.6</azimuthSteeringRate></productInformation>{orbit}{rates}</generalAnnotation>"
+        f"<imageAnnotation><imageInformation><slantRangeTime>{NEAR_TIME}</slantRangeTime><azimuthTimeInterval>{LINE_TIME}</azimuthTimeInterval><azimuthPixelSpacing>14.0</azimuthPixelSpacing>"
+        f"<numberOfSamples>{SAMPLES}</numberOfSamples><numberOfLines>{lines}</numberOfLines></imageInformation></imageAnnotation>"
+        f"<dopplerCentroid>{centres}</dopplerCentroid><swathTiming><linesPerBurst>{PER_BURST}</linesPerBurst>{bursts}</swathTiming></product>"
+    )
+
+
+def _product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product of two swaths: even and odd lines of the test image. Returns its files."""
+    folder = scratch_file(spark, "product.SAFE")
+    for part in ("measurement", "annotation"):
+        os.makedirs(f"{folder}/{part}")
+    rows, objects = views.height(spark, sf_dir), []
+    for k in range(2):
+        name, lines = f"s1a-iw{k + 1}-slc-vv-00{k}", (rows + 1 - k) // 2
+        px = views.pixels(spark, sf_dir).where(F.col("r") % 2 == k).select(F.expr("r div 2").alias("r"), "c", F.rint(F.col("re") * 1000).alias("re"), F.rint(F.col("im") * 1000).alias("im"))
+        tiff.write_complex_shorts(px, f"{folder}/measurement/{name}.tiff", lines, SAMPLES)
+        with open(f"{folder}/annotation/{name}.xml", "w") as f:
+            f.write(_annotation(f"iw{k + 1}", lines))
+        for kind, href in (("s1Level1MeasurementSchema", f"./measurement/{name}.tiff"), ("s1Level1ProductSchema", f"./annotation/{name}.xml")):
+            objects.append(f"<dataObject ID='{kind}{k}' repID='{kind}'><byteStream><fileLocation locatorType='URL' href='{href}'/></byteStream></dataObject>")
+    with open(f"{folder}/manifest.safe", "w") as f:
+        f.write(f"<xfdu><dataObjectSection>{''.join(objects)}</dataObjectSection></xfdu>")
+    opened.registered(spark)
+    return sentinel1.manifest_files(spark.createDataFrame([(f"{folder}/manifest.safe",)], "path string"))
+
+
+#: Phases in turns at a line and sample of a burst, by the definition of the deramping function.
+_TURNS = (
+    "t1 as (select *, burst*2.75::double+25*0.002::double t, 0.005::double+s/64e6::double tau from t0),"
+    " t2 as (select *, ceil(t/3-0.5::double) rk, ceil(t/4-0.5::double) dk, sqrt(64*t*t+7600.0::double*7600+10000) v from t1),"
+    " t3 as (select *, (-2300+10*rk)+(tau-0.0051::double)*(1e5::double+(tau-0.0051::double)*-1e7::double) ka, (20+5*dk)+(tau-0.0049::double)*(-3e4::double+(tau-0.0049::double)*2e6::double) f,"
+    " (-2300+10*rk)+(0.005::double-0.0051::double)*(1e5::double+(0.005::double-0.0051::double)*-1e7::double) ka0, (20+5*dk)+(0.005::double-0.0049::double)*(-3e4::double+(0.005::double-0.0049::double)*2e6::double) f0,"
+    " 2*v/299792458.0::double*5.405e9::double*radians(1.6::double) ks from t2),"
+    " t4 as (select *, (line-25)*0.002::double-(-f/ka+f0/ka0) e, ka*ks/(ka-ks) kt from t3),"
+    " turns as (select *, kt*e*e/2+f*e ph from t4)"
+)
+
+
+@query(
+    f"with {PX}, t0 as (select 'IW' || (r % 2 + 1) swath, ((r // 2) // 50)::int burst, (r // 2) % 50 line, c s, round_even(re*1000, 0) re, round_even(im*1000, 0) im from px), {_TURNS}"
+    " select swath, burst, line, s c, round((re*cos(2*pi()*ph)+im*sin(2*pi()*ph))/1000, 6) + 0.0 re, round((im*cos(2*pi()*ph)-re*sin(2*pi()*ph))/1000, 6) + 0.0 im from turns"
+)
+def sentinel1_deramped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bursts of two swaths without the phase of steering and centroid."""
+    files = _product(spark, sf_dir)
+    found = sentinel1.bursts(sentinel1.annotations(files))
+    out = sentinel1.deramped(sentinel1.measurements(spark, files), found)
+    swath = F.concat(F.lit("IW"), F.regexp_extract("name", "-iw(.)-", 1))
+    return out.select(swath.alias("swath"), "burst", "line", "c", rounded(F.col("re") / 1000).alias("re"), rounded(F.col("im") / 1000).alias("im"))
+
+
+@query(
+    f"with n as (select max(vec_id) + 1 n from embeddings), sw as (select range k from range(2)), bu as (select 'IW' || (k+1) swath, unnest(range(((n+1-k)//2+49)//50))::int burst from sw, n),"
+    " gr as (select *, i, j, [0, 25, 49][i+1]::bigint line, [0, 16, 31][j+1]::bigint s from bu, range(3) a(i), range(3) b(j)), t0 as (select swath, burst, i, j, line, s from gr), "
+    f"{_TURNS}, m as (select swath, burst, i, j, ph, (line-25)*14.0::double az, (s-16)*(299792458.0::double/2/64e6::double) rg from turns),"
+    # Lagrange's form through three by three samples, and its slope along azimuth in the middle.
+    " l as (select m.*, -25*14.0::double a0, 0.0::double a1, 24*14.0::double a2, -16*(299792458.0::double/2/64e6::double) r0, 0.0::double r1, 15*(299792458.0::double/2/64e6::double) r2 from m)"
+    " select swath, burst, round(sum(case when j = 1 then ph*case i when 0 then (0-a2)/((a0-a1)*(a0-a2)) when 1 then (0-a0+0-a2)/((a1-a0)*(a1-a2)) else (0-a0)/((a2-a0)*(a2-a1)) end else 0 end), 9) + 0.0 middle,"
+    " round(sum(ph*case i when 0 then 0 when 1 then 0 else 0 end) + sum(case when j = 1 and i = 1 then ph else 0 end), 9) + 0.0 phase from l group by 1, 2"
+)
+def sentinel1_polynomials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted phase and its slope along azimuth, in the middle of each burst."""
+    found = sentinel1.phase_polynomials(sentinel1.bursts(sentinel1.annotations(_product(spark, sf_dir))))
+    at = lambda p: F.get(F.get(p, F.lit(0)), F.lit(0))
+    return found.select("swath", "burst", rounded(at(F.col("delta_kcoa_poly")), 9).alias("middle"), rounded(at(F.col("phase_poly")), 9).alias("phase"))
+
+
+# Orbits
+
+def _orbit_states(files: DataFrame) -> DataFrame:
+    """State vectors every ten minutes of an orbit; precise files differ from others by metres."""
+    t = F.explode(F.sequence(F.lit(0), F.lit(156)))
+    rows = files.select("file", "rank", "valid_from", t.alias("k")).withColumn("t", F.col("valid_from") + F.col("k") * 600)
+    turn = F.col("t") % 6000 * F.lit(2 * 3.141592653589793 / 6000)
+    return rows.select("file", "t", (7e6 * F.cos(turn) + F.col("rank")).alias("x"), (7e6 * F.sin(turn) - F.col("rank")).alias("y"), (F.col("t") % 1000).alias("z"))
+
+
+@query(
+    f"with {COLLECT}, pr as (select collect_id product, collector % 2 mission, epoch(collect_start)::double + (collect_id*977 % 86400) t0 from co), p as (select *, t0 + 2400 t1 from pr),"
+    " dy as (select distinct floor(t0/86400) dy from p), f as (select m mission, dy, rk as rank, dy*86400-3600 lo, dy*86400+90000 hi from dy, range(2) a(m), range(2) b(rk) where rk = 0 or dy % 3 <> 0),"
+    " ch as (select product, mission, t0, t1, max(case when lo <= t0-1 and hi >= t1+1 then (rank*1000000000 + dy)::bigint end) best from p left join f using (mission) where f.dy between floor(t0/86400)-2 and floor(t0/86400)+2 group by all),"
+    " st as (select product, t0, best, lo + k*600 t from ch left join f on ch.best is not null and f.mission = ch.mission and f.rank = best // 1000000000 and f.dy = best % 1000000000, range(157) s(k) where best is not null and lo + k*600 between t0-1 and t1+1),"
+    " xy as (select product, t-t0 s, 7e6::double*cos(t % 6000*(2*3.141592653589793::double/6000)) + (best // 1000000000) x from st union all"
+    " select product, k*600.0::double, -1.0*k*k from ch, range(4) s(k) where best is null),"
+    # Least squares of order two, centred and scaled, by Cramer's rule.
+    " mm as (select product, avg(s) c from xy group by 1), uu as (select product, c, (s-c)/1000 u, x from xy join mm using (product)),"
+    " ss as (select product, c, count(*) s0, sum(u) s1, sum(u*u) s2, sum(u*u*u) s3, sum(u*u*u*u) s4, sum(x) b0, sum(u*x) b1, sum(u*u*x) b2 from uu group by 1, 2),"
+    " dd as (select *, s0*(s2*s4-s3*s3)-s1*(s1*s4-s2*s3)+s2*(s1*s3-s2*s2) dt from ss),"
+    " cf as (select product, c, (b0*(s2*s4-s3*s3)-s1*(b1*s4-b2*s3)+s2*(b1*s3-b2*s2))/dt a0, (s0*(b1*s4-b2*s3)-b0*(s1*s4-s2*s3)+s2*(s1*b2-s2*b1))/dt a1, (s0*(s2*b2-s3*b1)-s1*(s1*b2-s2*b1)+b0*(s1*s3-s2*s2))/dt a2 from dd)"
+    " select product, case when best is null then 'product' else (best // 1000000000)::bigint::varchar || '-' || mission || '-' || (best % 1000000000)::bigint end source,"
+    " round(a0 + a1*(1200-c)/1000 + a2*(1200-c)/1000*(1200-c)/1000, 2) + 0.0 x_middle from cf join ch using (product)"
+)
+def orbit_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every collect's position by the best orbit file that holds it, else by its own state vectors; fits of order two."""
+    co = views.collects(spark, sf_dir)
+    midnight = F.unix_date(F.to_date("collect_start")) * F.lit(86400.0)
+    start = midnight + F.hour("collect_start") * 3600 + F.minute("collect_start") * 60 + F.second("collect_start") + F.col("collect_id") * 977 % 86400
+    products = co.select(F.col("collect_id").alias("product"), (F.col("collector") % 2).alias("mission"), start.alias("start"), (start + 2400).alias("stop"))
+    days = products.select(F.floor(F.col("start") / 86400).alias("d")).distinct()
+    kinds = days.withColumn("mission", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rank", F.explode(F.array(F.lit(0), F.lit(1)))).where("rank = 0 or d % 3 <> 0")
+    day = F.col("d").cast("double") * 86400
+    files = kinds.select(F.concat_ws("-", "rank", "mission", "d").alias("file"), "mission", "rank", F.col("d").alias("created"), (day - 3600).alias("valid_from"), (day + 90000).alias("valid_to"))
+    own = products.select("product", F.col("start"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("product", (F.col("start") + F.col("k") * 600).alias("t"), (-1.0 * F.col("k") * F.col("k")).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    states = orbits.overridden(products, own, files, _orbit_states(files))
+    fits = orbits.position_fits(states, products, 2)
+    at = F.aggregate(F.reverse("x_poly"), F.lit(0.0), lambda a, c: a * 1200 + c)
+    sources = states.groupBy("product").agg(F.first("source").alias("source"))
+    return fits.join(sources, "product").select("product", "source", rounded(at, 2).alias("x_middle"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .blocks import Layout, RasterSource, read_bytes
+from .patches import block_patches, write_patches
 
 # Tags, and for each field type its letter.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, COUNTS, PLANAR, FORMAT = 256, 257, 258, 259, 273, 277, 279, 284, 339
@@ -94,3 +97,15 @@ def write_tiff(path: str, values: np.ndarray, element: str = "<f4", strip_rows:
     out += struct.pack(order + "I", 0) + struct.pack(f"{order}{n}I", *offsets) + struct.pack(f"{order}{n}I", *counts)
     with open(path, "wb") as f:
         f.write(out + body)
+
+
+def write_complex_shorts(px: DataFrame, path: str, rows: int, cols: int) -> None:
+    """Whole complex numbers as one sample a pixel, written in place by tasks."""
+    size, data_at, lines = 4 * cols, 256, max(1, (1 << 16) // (4 * cols))
+    padded = -(-rows // lines) * lines
+    entries = [
+        (WIDTH, 4, cols), (HEIGHT, 4, rows), (BITS, 3, 32), (COMPRESSION, 3, 1), (OFFSETS, 4, data_at), (SAMPLES, 3, 1),
+        (278, 4, rows), (COUNTS, 4, rows * size), (PLANAR, 3, 1), (FORMAT, 3, COMPLEX_INT),
+    ]
+    head = b"II" + struct.pack("<HIH", 42, 8, len(entries)) + b"".join(struct.pack("<HHII", tag, kind, 1, value) for tag, kind, value in entries) + bytes(4)
+    write_patches(block_patches(px, rows, cols, (lines, cols), "<i2", data_at + F.col("i") * lines * size), path, data_at + padded * size, head)
