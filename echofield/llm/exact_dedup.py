@@ -9,7 +9,8 @@ the text.
 * Directory. It starts with a bucket for each value of as many key bits as the number of
   entries suggests. While a bucket holds more entries than its capacity, the directory
   doubles, and the overfull buckets are split by the next bit.
-* Owner tasks process contiguous ranges of buckets. They get the documents whose key
+* Owner tasks process contiguous ranges of buckets, and so of keys: a document is sent to
+  the task with its owner's number. They get the documents whose key
   occurs twice, and with them a copy of each chain's head, the document with the
   smallest doc_id. The bytes of each document are compared with the head's. What
   differs has only the key in common: it goes one place along the chain, to the next
@@ -108,12 +109,14 @@ def _chained(rows: DataFrame, slots: int) -> DataFrame:
     copies = F.floor(F.col("n") / HEAD_EVERY) + 1
     found, chain = [], 0
     while True:
-        heads = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "tag")).alias("head"))
-        heads = rows.join(heads.select(F.col("head.tag").alias("tag")), "tag", "left_semi")
+        first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "tag"))
+        # Few heads are broadcast, so that bodies are shuffled to their owners only.
+        heads = written(rows.groupBy("key").agg(first.alias("head")).select(F.col("head.tag").alias("tag")), "dedup-heads")
+        heads = rows.join(_small(heads), "tag", "left_semi")
         # A head comes first in each group of its key, as every copy of it has role 0.
         copied = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).withColumn("role", F.lit(0))
         dealt = copied.unionByName(rows.withColumn("salt", F.pmod("tag", copies)).withColumn("role", F.lit(1)))
-        dealt = dealt.withColumn("task", F.pmod(owner + F.col("salt"), F.lit(owners)).cast("int"))
+        dealt = dealt.withColumn("task", F.pmod(owner + F.col("salt"), F.lit(owners)).cast("int")).repartitionById(owners, "task")
         along = Window.partitionBy("task", "bucket", "key", "salt").orderBy("role")
         head = F.first(F.struct("id", "tag", "body")).over(along)
         compared = dealt.withColumn("head", head).where("role = 1").withColumn("same", F.col("head.body") == F.col("body"))

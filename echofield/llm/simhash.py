@@ -362,21 +362,35 @@ def _compare_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from flush(None)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of hot keys over the cells of a grid: what asks to a line of it, what is stored to a column.
+
+    Each pair meets in one cell. n rows of a key are copied ``side`` times each, n / 2**12
+    of them, where dealing out one side alone would copy n / 2**12 squared times.
+    """
+    asking, stored = F.col("kind").bitwiseAND(ASKING) > 0, F.col("kind").bitwiseAND(STORED) > 0
+    i, j, side = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("side")), F.pmod(F.xxhash64("fp", F.lit(2)), F.col("side")), F.col("side")
+    along = F.sequence(F.lit(0).cast("long"), side - 1)
+    none = F.array().cast("array<long>")
+    asks = F.when(asking, F.transform(along, lambda k: F.col("i") * side + k)).otherwise(none)
+    holds = F.when(stored, F.transform(along, lambda k: k * side + F.col("j"))).otherwise(none)
+    cells = F.when(side == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_union(asks, holds))
+    each = rows.withColumn("i", i).withColumn("j", j).withColumn("cell", F.explode(cells))
+    line, column = F.floor(F.col("cell") / side) == F.col("i"), F.col("cell") % side == F.col("j")
+    kind = F.when(asking & line, F.lit(ASKING)).otherwise(0) + F.when(stored & column, F.lit(STORED)).otherwise(0)
+    # A cell of a key is a key of its own.
+    return each.select(F.xxhash64("key", "cell").alias("key"), "fp", kind.cast("tinyint").alias("kind"))
+
+
 def links(nodes: DataFrame, parts: int | None = None) -> DataFrame:
     """(a, b): linked fingerprints; their forests hold every link between texts."""
     shared = nodes.sparkSession.sparkContext.broadcast(partitioned(nodes, parts))
     probes = written(nodes.select("fp").mapInArrow(_probe(shared), "key long, fp long, kind tinyint"), "probes")
     asking, stored = F.col("kind").bitwiseAND(ASKING) > 0, F.col("kind").bitwiseAND(STORED) > 0
     keys = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(asking.cast("long")).alias("asks"), F.sum(stored.cast("long")).alias("holds"))
-    keys = written(keys.where("n > 1 and asks > 0 and holds > 0").withColumn("shares", F.floor(F.col("asks") * F.col("holds") / PAIRS_PER_TASK) + 1), "probe-keys")
-    rows = salted_join(probes, keys.select("key", "n", "shares"), ["key"], "n", F.xxhash64("fp"))
-    own = F.pmod(F.xxhash64("fp", "kind"), F.col("shares"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)
-    # What asks goes to its own share of the key, what is stored to all of them.
-    dealt = rows.withColumn("own", own).withColumn("share", F.explode(F.when(stored, every).otherwise(F.array("own"))))
-    dealt = dealt.withColumn("kind", F.when(stored & (F.col("share") != F.col("own")), F.lit(STORED)).otherwise(F.col("kind")).cast("tinyint"))
-    # A share of a key is a key of its own.
-    dealt = dealt.select(F.xxhash64("key", "share").alias("key"), "fp", "kind")
+    side = F.ceil(F.sqrt(F.col("asks") * F.col("holds") / PAIRS_PER_TASK)).cast("long")
+    keys = written(keys.where("n > 1 and asks > 0 and holds > 0").withColumn("side", F.greatest(F.lit(1).cast("long"), side)), "probe-keys")
+    dealt = _dealt(salted_join(probes, keys.select("key", "n", "side"), ["key"], "n", F.xxhash64("fp")))
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(partitions(nodes.sparkSession), total // PROBES_PER_TASK)
     return dealt.repartition(int(tasks), "key").sortWithinPartitions("key").mapInArrow(_compare_task, "a long, b long").distinct()

@@ -177,7 +177,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(a, b, likeness) of class representatives, and (doc_id, representative).
 
-    Documents with equal sets are a class; its smallest doc_id stands for it. Of two
+    Documents with equal sets are a class; its smallest doc_id stands for it, null if it
+    has no other. Of two
     sets that reach the threshold, one's rarest signatures are among the other's: a set
     of n needs only its n - ceil(threshold * n) + 1 rarest ones in the index. The index is
     partitioned by length class, and a pair is compared only if its lengths allow the
@@ -186,32 +187,38 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     rows = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets, "doc_id long, signatures array<long>, length_class int"), "spot-sets")
     rows = rows.withColumn("set_key", F.xxhash64("signatures"))
     grouped = rows.groupBy("set_key", "signatures", "length_class").agg(F.min("doc_id").alias("representative"), F.count(F.lit(1)).alias("copies"))
-    classes = written(grouped, "spot-classes")
+    # Classes are told apart by numbers of their own, as several may have no doc_id.
+    classes = written(grouped.withColumn("class", F.monotonically_increasing_id()), "spot-classes")
     keys = classes.groupBy("set_key").agg(F.sum("copies").alias("size"), F.collect_list(F.struct("signatures", "representative")).alias("sets"))
     member = F.filter("sets", lambda x: x["signatures"] == F.col("signatures"))
     members = salted_join(rows, written(keys, "spot-keys"), ["set_key"], "size", F.xxhash64("doc_id")).select("doc_id", F.get(member, F.lit(0))["representative"].alias("representative"))
-    each = classes.select("representative", "length_class", F.size("signatures").alias("n"), F.explode("signatures").alias("signature"))
+    each = classes.select("class", "length_class", F.size("signatures").alias("n"), F.explode("signatures").alias("signature"))
     common = written(each.groupBy("signature").agg(F.count(F.lit(1)).alias("documents")), "spot-common")
-    rank = F.row_number().over(Window.partitionBy("representative").orderBy("documents", "signature"))
-    ranked = salted_join(each, common, ["signature"], "documents", F.xxhash64("representative")).withColumn("rank", rank)
-    prefix = written(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("representative", "n", "length_class", "signature"), "spot-prefix")
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("documents", "signature"))
+    ranked = salted_join(each, common, ["signature"], "documents", F.xxhash64("class")).withColumn("rank", rank)
+    prefix = written(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("class", "n", "length_class", "signature"), "spot-prefix")
     # A set meets those of its own class and, as the longer one, those of the class below.
     # Classes are cut at the default threshold; a lower one reaches further.
     reach = max(1, math.ceil(math.log(threshold) / math.log(THRESHOLD) - 1e-9))
     right = prefix.withColumn("length_class", F.explode(F.sequence(F.col("length_class") - reach, F.col("length_class"))))
     sizes = prefix.groupBy("signature", "length_class").agg(F.count(F.lit(1)).alias("lefts"))
     sizes = sizes.join(right.groupBy("signature", "length_class").agg(F.count(F.lit(1)).alias("rights")), ["signature", "length_class"])
-    sizes = sizes.where("rights > 1").withColumn("shares", F.floor(F.col("lefts") * F.col("rights") / PAIRS_PER_TASK) + 1)
-    sizes = written(sizes.select("signature", "length_class", "lefts", "rights", "shares"), "spot-sizes")
+    # A hot pair of keys is a grid of cells: a left row goes to a line of it, a right one to a column.
+    side = F.ceil(F.sqrt(F.col("lefts") * F.col("rights") / PAIRS_PER_TASK)).cast("long")
+    sizes = sizes.where("rights > 1").withColumn("side", F.greatest(F.lit(1).cast("long"), side))
+    sizes = written(sizes.select("signature", "length_class", "lefts", "rights", "side"), "spot-sizes")
     keys_ = ["signature", "length_class"]
-    left = salted_join(prefix, sizes.drop("rights"), keys_, "lefts", F.xxhash64("representative")).withColumn("share", F.pmod(F.xxhash64("representative"), F.col("shares")))
-    right = salted_join(right, sizes.drop("lefts"), keys_, "rights", F.xxhash64("representative")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-    left = left.select(*keys_, "share", F.col("representative").alias("p"), F.col("n").alias("n_p"))
-    right = right.select(*keys_, "share", F.col("representative").alias("q"), F.col("n").alias("n_q"))
+    along, own = F.sequence(F.lit(0).cast("long"), F.col("side") - 1), F.pmod(F.xxhash64("class"), F.col("side"))
+    left = salted_join(prefix, sizes.drop("rights"), keys_, "lefts", F.xxhash64("class")).withColumn("line", own).withColumn("column", F.explode(along))
+    right = salted_join(right, sizes.drop("lefts"), keys_, "rights", F.xxhash64("class")).withColumn("column", own).withColumn("line", F.explode(along))
+    left = left.select(*keys_, "line", "column", F.col("class").alias("p"), F.col("n").alias("n_p"))
+    right = right.select(*keys_, "line", "column", F.col("class").alias("q"), F.col("n").alias("n_q"))
     fits = (F.col("n_p") >= F.col("n_q") * threshold) & (F.col("n_q") >= F.col("n_p") * threshold)
-    pairs = left.join(right, [*keys_, "share"]).where((F.col("p") != F.col("q")) & fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    sets = classes.select("representative", "signatures")
-    pairs = pairs.join(sets.select(F.col("representative").alias("a"), F.col("signatures").alias("s_a")), "a").join(sets.select(F.col("representative").alias("b"), F.col("signatures").alias("s_b")), "b")
+    pairs = left.join(right, [*keys_, "line", "column"]).where((F.col("p") != F.col("q")) & fits).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    sets = lambda x, a: classes.select(F.col("class").alias(x), F.col("representative").alias(a), F.col("signatures").alias(f"s_{a}"))
+    pairs = pairs.join(sets("p", "x"), "p").join(sets("q", "y"), "q").withColumnsRenamed({"s_x": "s_a", "s_y": "s_b"})
     common_size = F.size(F.array_intersect("s_a", "s_b"))
     value = common_size / (F.size("s_a") + F.size("s_b") - common_size)
-    return pairs.select("a", "b", value.alias("likeness")).where(F.col("likeness") >= threshold), members
+    # The smaller doc_id is a; a missing one is larger than any.
+    ordered = F.sort_array(F.array(*(F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("id")) for c in ("x", "y"))))
+    return pairs.select(F.get(ordered, F.lit(0))["id"].alias("a"), F.get(ordered, F.lit(1))["id"].alias("b"), value.alias("likeness")).where(F.col("likeness") >= threshold), members

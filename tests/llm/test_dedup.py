@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from echofield.llm import exact_dedup, simhash, suffix_dedup
 
@@ -218,3 +219,41 @@ def test_cut_texts_in_sections_and_with_hot_strings(spark, monkeypatch):
     got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicate(docs).collect()), key=str)
     assert got == want
     assert suffix_dedup.Layout.of(sum(len(t) for _, t in rows), 3).sections > 5
+
+
+def test_owners_hold_ranges_of_buckets(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("id as doc_id", "cast(id % 300 as string) as text").repartition(5)
+    seen = []
+    plain = exact_dedup.written
+
+    def watched(df, name):
+        if name == "dedup-chain":
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+            parts = df.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).orderBy("low").collect()
+            seen.append([(x.low, x.high) for x in parts])
+        return plain(df, name)
+
+    monkeypatch.setattr(exact_dedup, "written", watched)
+    assert exact_dedup.membership(docs, capacity=8).count() == 600
+    plan, ranges = seen[:2]
+    # Bodies go to their owner by its number, and to nobody else.
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 1 and "Exchange hashpartitioning(task" not in plan
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_hot_probe_keys_are_dealt_over_a_grid(spark, monkeypatch):
+    """One key of 100,000 rows; a pair of what asks and what is stored meets exactly once."""
+    n, side = 100_000, 40
+    both = simhash.ASKING | simhash.STORED
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("fp"), F.lit(both).cast("tinyint").alias("kind"), F.lit(side).cast("long").alias("side"))
+    dealt = simhash._dealt(rows)
+    assert dealt.count() <= 2 * n * side  # not n * side * side
+    assert dealt.groupBy("key").count().count() == side * side
+    few = spark.range(60).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("fp"), F.when(F.col("id") % 3 == 0, simhash.ASKING).when(F.col("id") % 3 == 1, simhash.STORED).otherwise(both).cast("tinyint").alias("kind"), F.lit(4).cast("long").alias("side"))
+    cells = defaultdict(lambda: ([], []))
+    for x in simhash._dealt(few).collect():
+        for k, bit in enumerate((simhash.ASKING, simhash.STORED)):
+            if x.kind & bit:
+                cells[x.key][k].append(x.fp)
+    met = Counter((a, b) for asks, holds in cells.values() for a in asks for b in holds)
+    assert met == Counter((a, b) for a in range(60) for b in range(60) if a % 3 != 1 and b % 3 != 0)

@@ -292,3 +292,31 @@ def test_licences_empty(none, spark):
     assert license_scan.scan(none).count() == 0
     plain = spark.createDataFrame([(1, "zebra quagga"), (2, None)], "doc_id long, text string")
     assert [(x.labels, x.score) for x in license_scan.scan(plain).collect()] == [("", 0.0)] * 2
+
+
+def test_pairs_of_documents_without_ids(spark):
+    """Classes whose documents have no doc_id are classes of their own."""
+    rng = np.random.default_rng(11)
+    words, other = (rng.choice(["the", "of", "and", *(f"{x}{k}" for k in range(90))], 300).tolist() for x in ("word", "thing"))
+    near = " ".join([*words[:-3], "one", "more", "change"])
+    rows = [(None, " ".join(words)), (None, near), (1, " ".join(other)), (None, " ".join([*other[:-3], "and", "one", "here"]))]
+    pairs, members = spotsigs.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((x.a, x.b) for x in pairs.collect()), key=str) == [(1, None), (None, None)]
+    assert members.count() == 4
+
+
+def test_fingerprint_strings_by_another_reading(spark):
+    """Both strings hold one signature for each chain that a plain reading finds, whatever the order of words."""
+    text = "the quick brown fox is a fast one and the lazy dog is of a slow kind " * 3
+    rows = [(2, text), (1, "short other text in the end of it all")]
+    found = {x.doc_id: x for x in spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names: dict = {}  # a signature's rendering always stands for the same set of chains
+    for k, own, after in ((2, text, rows[1][1]), (1, rows[1][1], text)):
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        sets = frozenset(plain_signatures(own)), frozenset(plain_signatures(edited))
+        for chains, shown in zip(sets, (found[k].fingerprint, found[k].edited_fingerprint), strict=True):
+            assert names.setdefault(shown, chains) == chains
+        assert found[k].near_edited == pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+        assert found[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    assert len(set(names.values())) == len(names)
