@@ -297,7 +297,7 @@ def test_licences_empty(none, spark):
 def test_pairs_of_documents_without_ids(spark):
     """Classes whose documents have no doc_id are classes of their own."""
     rng = np.random.default_rng(11)
-    words, other = (rng.choice(["the", "of", "and", *(f"{x}{k}" for k in range(90))], 300).tolist() for x in ("word", "thing"))
+    words, other = (rng.choice([*["the", "of", "and"] * 10, *(f"{x}{k}" for k in range(90))], 600).tolist() for x in ("word", "thing"))
     near = " ".join([*words[:-3], "one", "more", "change"])
     rows = [(None, " ".join(words)), (None, near), (1, " ".join(other)), (None, " ".join([*other[:-3], "and", "one", "here"]))]
     pairs, members = spotsigs.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
