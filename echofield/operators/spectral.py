@@ -39,10 +39,15 @@ def turned(lines: DataFrame) -> DataFrame:
 
 def on_lines(lines: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Apply a kernel to each line; lines of a batch that are equally long go together."""
+    return on_numbered_lines(lines, lambda _, z: kernel(z))
+
+
+def on_numbered_lines(lines: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``on_lines`` for kernels that depend on the numbers of the lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
+            numbers, column = batch.column(0).to_numpy(), batch.column(1)
             offsets = column.offsets.to_numpy()
             values = column.values
             z = values.field(0).to_numpy(zero_copy_only=False) + 1j * values.field(1).to_numpy(zero_copy_only=False)
@@ -50,7 +55,7 @@ def on_lines(lines: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> Da
             out: list[np.ndarray] = [np.zeros(0)] * len(sizes)
             for n in np.unique(sizes):
                 at = np.flatnonzero(sizes == n)
-                for k, line in zip(at, kernel(z[offsets[at][:, None] + np.arange(n)]), strict=True):
+                for k, line in zip(at, kernel(numbers[at], z[offsets[at][:, None] + np.arange(n)]), strict=True):
                     out[k] = line
             flat = np.concatenate(out) if out else np.zeros(0, complex)
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
