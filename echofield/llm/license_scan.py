@@ -9,9 +9,11 @@ Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond AS
   frequencies over the corpus, as many as weigh more than what may disagree, so a place
   where enough of the passage stands has at least one of them. Each anchor in a file is
   looked up in the postings of the passages. Position in the file less position in the
-  passage gives an offset, where the passage is a candidate. It is compared word by word,
-  and counts if enough of it agrees and one of the licence's key phrases in it stands
-  unchanged.
+  passage gives an offset, where the passage is a candidate. Words that were added or left
+  out make the offsets of what follows drift, so offsets within DRIFT of each other are
+  one candidate: it is aligned in order within that band, and counts if enough of it agrees
+  (all but one word of a short one) and one of the licence's key phrases in it stands, but for one word at most and no
+  essential one. Words that only stand apart in a licence of the same kind have to be joined.
 
 Defined results: a null text is empty. A file without words has n_words 0, no places and
 score 0. score is the share of a passage's weight that agrees, at best, and 1 for a
@@ -136,7 +138,7 @@ NOTICES = {
     "wtfpl": ("everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",),
 }
 
-# Of those that a passage holds, one must stand in the text unchanged.
+# Of those that a passage holds, one must stand in the text.
 KEY_PHRASES = {
     "apache-2.0": ["apache license version 2 0", "without warranties or conditions of any kind"],
     "gpl-2.0": ["general public license version 2", "either version 2 of the license"],
@@ -159,6 +161,18 @@ KEY_PHRASES = {
     "wtfpl": ["copy and distribute verbatim or modified copies"],
 }
 
+# Words of key phrases that may not be missing, as they tell licences apart.
+ESSENTIAL = {
+    "apache-2.0": ("apache",), "gpl-2.0": ("2",), "gpl-3.0": ("3",), "lgpl": ("lesser",), "agpl": ("affero",), "mpl-2.0": ("mozilla",), "epl": ("eclipse",),
+    "boost": ("boost", "organization"), "bsd": (), "isc": ("fee", "disclaims"), "mit-text": (), "mit-notice": ("the", "mit", "license"), "zlib": (),
+    "cc-by-nc": ("cc", "by", "nc"), "cc-by-sa": ("cc", "by", "sa"), "cc-by-4.0": ("cc", "by", "4"), "cc0": ("cc0",), "public-domain": ("unencumbered",), "wtfpl": (),
+}
+
+# Words that must stand beside each other, as others of the kind have one between.
+JOINED = {"gpl-2.0": ("gnu", "general"), "gpl-3.0": ("gnu", "general"), "cc-by-4.0": ("by", "4")}
+
+#: Words by which a passage's places in a file may drift apart, to either side.
+DRIFT = 4
 #: The share of a passage's weight to agree.
 LEAST_SHARE = 0.8
 
@@ -286,16 +300,17 @@ Postings = dict[int, list[tuple[int, int]]]
 def anchors(weights: list[float]) -> Postings:
     """(passage, place) of the anchors of all passages, by word.
 
-    An offset at which no anchor of a passage agrees has less than LEAST_SHARE of it.
+    An offset at which no anchor of a passage agrees has less than LEAST_SHARE of it, and
+    lacks two words at least.
     """
     postings: Postings = defaultdict(list)
     for passage, numbers in enumerate(NUMBERS):
         each = numbers.tolist()
         spare, held = (1 - LEAST_SHARE) * sum(weights[k] for k in each) * (1 + 1e-9), 0.0
-        for place in sorted(range(len(each)), key=lambda k: (-weights[each[k]], each[k], k)):
+        for n, place in enumerate(sorted(range(len(each)), key=lambda k: (-weights[each[k]], each[k], k))):
             postings[each[place]].append((passage, place))
             held += weights[each[place]]
-            if held > spare:
+            if held > spare and n:
                 break
     return dict(postings)
 
@@ -317,26 +332,82 @@ def notices(numbers: np.ndarray, text: np.ndarray, weights: list[float], posting
         for passage, place in postings[word]:
             candidates[passage].append((own - place) * (len(text) + 1) + text[own])  # with its text, as an offset can be before it
     found: dict[int, dict[str, float]] = defaultdict(dict)
-    padded = np.concatenate([numbers, np.full(max(map(len, NUMBERS)), -1)])
-    of = np.concatenate([text, np.full(max(map(len, NUMBERS)), -1)])
+    margin = max(map(len, NUMBERS)) + 2 * DRIFT + 1
+    padded = np.concatenate([np.full(DRIFT, -1), numbers, np.full(margin, -1)])
+    of = np.concatenate([np.full(DRIFT, -1), text, np.full(margin, -1)])
     for passage, keys in candidates.items():
         label, wanted = PASSAGES[passage][0], NUMBERS[passage]
         both = np.unique(np.concatenate(keys))
-        offsets, texts = both // (len(text) + 1), both % (len(text) + 1)
-        heavy, places = each[wanted], np.arange(len(wanted))
-        for k in range(0, len(offsets), 1 << 14):
-            here = offsets[k : k + (1 << 14), None] + places
-            agree = (here >= 0) & (padded[here] == wanted) & (of[here] == texts[k : k + (1 << 14), None])
-            share = agree @ heavy / heavy.sum()
-            stands = np.zeros(len(share), bool)
-            for a, b in KEYS[passage]:
-                stands |= agree[:, a:b].all(axis=1)
-            for j in np.flatnonzero((share >= LEAST_SHARE) & stands).tolist():
-                own = found[int(texts[k + j])]
-                own[label] = max(float(share[j]), own.get(label, 0.0))
+        offsets, texts = _near(both // (len(text) + 1), both % (len(text) + 1))
+        heavy = each[wanted]
+        band = np.arange(len(wanted))[:, None] + np.arange(-DRIFT, 2 * DRIFT + 1)
+        for k in range(0, len(offsets), 1 << 12):
+            own = slice(k, k + (1 << 12))
+            # Before the first word there is nothing; the margins stand for it.
+            here = np.maximum(offsets[own, None, None] + band + DRIFT, 0)
+            agree = (padded[here] == wanted[:, None]) & (of[here] == texts[own, None, None])
+            seen = agree.any(axis=2)
+            able = np.flatnonzero((seen @ heavy >= LEAST_SHARE * heavy.sum() * (1 - 1e-9)) | (seen.sum(axis=1) >= len(wanted) - 1))
+            able = able[_keyed(agree[able], passage)]
+            share = _aligned(agree[able], heavy) / heavy.sum()
+            words = _aligned(agree[able], np.ones(len(wanted)))
+            for j, value, held in zip(able.tolist(), share.tolist(), words.tolist(), strict=True):
+                # In a short notice one word may weigh more than what may disagree.
+                if value >= LEAST_SHARE or held >= len(wanted) - 1:
+                    mine = found[int(texts[k + j])]
+                    mine[label] = max(value, mine.get(label, 0.0))
     return found
 
 
+def _near(offsets: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each run of offsets of a text that are within DRIFT of it."""
+    order = np.lexsort((offsets, texts))
+    offsets, texts = offsets[order], texts[order]
+    kept = []
+    for k in range(len(offsets)):
+        if not kept or texts[k] != texts[kept[-1]] or offsets[k] > offsets[kept[-1]] + DRIFT:
+            kept.append(k)
+    return offsets[kept], texts[kept]
+
+
+def _aligned(agree: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """The most weight that agrees in order: by candidate, of places and drifts.
+
+    A word that the file lacks moves what follows one drift back, an added one moves it
+    one on, and a changed one leaves it where it is.
+    """
+    best = np.zeros((agree.shape[0], agree.shape[2]))
+    for place, weight in enumerate(heavy):
+        then = best + agree[:, place] * weight
+        then[:, :-1] = np.maximum(then[:, :-1], best[:, 1:])
+        best = np.maximum.accumulate(then, axis=1)
+    return best.max(axis=1, initial=0)
+
+
+def _keyed(agree: np.ndarray, passage: int) -> np.ndarray:
+    """Whether one of the passage's key phrases stands, but for one word that isn't essential."""
+    label, words = PASSAGES[passage]
+    stands = np.zeros(len(agree), bool)
+    for a, b in KEYS[passage]:
+        needed = np.array([w in ESSENTIAL[label] for w in words[a:b]])
+        part = agree[:, a:b]
+        for shift in (0, 1, -1):  # one word may be added within, or be missing
+            moved = part.copy()
+            if shift == 1:
+                moved[:, :, :-1] |= part[:, :, 1:]
+            elif shift == -1:
+                moved[:, :, 1:] |= part[:, :, :-1]
+            enough = moved.sum(axis=1) >= b - a - (b - a >= 3)
+            stands |= (enough & moved[:, needed].all(axis=1)).any(axis=1)
+    if label in JOINED:
+        beside = np.zeros(len(agree), bool)
+        for k in range(len(words) - 1):
+            if tuple(words[k : k + 2]) == JOINED[label]:
+                beside |= (agree[:, k] & agree[:, k + 1]).any(axis=1)
+        stands &= beside
+    return stands
+
+
 def _scan(weights: list[float]):
     postings = anchors(weights)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
