@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: What the text operators split on, besides the space itself.
 OTHER_SPACES = "\t\n\x0b\x0c\r"
+#: Spark's setting by which a query's shuffles go when it ends.
+DELETE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,12 +33,18 @@ def scratch_root(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs the running stage only. The table
+    This cuts the lineage: a lost executor costs the running stage only. So the shuffles
+    behind the table aren't needed any more, and Spark is told to delete them. The table
     is removed by ``release``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(DELETE_SHUFFLES, None)
+    spark.conf.set(DELETE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(DELETE_SHUFFLES) if before is None else spark.conf.set(DELETE_SHUFFLES, before)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
