@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,15 +38,12 @@ def product(a: Column, b: Column) -> Column:
     )
 
 
-def shifted(coefficients: Column, by: Column, most: int = 12) -> Column:
-    """Coefficients of p(x + by), for up to ``most`` terms."""
-    binomials = F.array(*[F.array(*[F.lit(float(comb(k, j))) for j in range(most)]) for k in range(most)])
-    n = F.size(coefficients)
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda j: F.aggregate(
-            F.sequence(j, n - 1),
-            F.lit(0.0),
-            lambda total, k: total + F.get(coefficients, k) * F.get(F.get(binomials, k), j) * F.pow(by, k - j),
-        ),
-    )
+def shifted(coefficients: Column, by: Column) -> Column:
+    """Coefficients of p(x + by), by Horner's rule on polynomials: q becomes q * (x + by) + c."""
+
+    def step(q: Column, c: Column) -> Column:
+        times_x, times_by = F.concat(F.array(c), q), F.concat(F.transform(q, lambda v: v * by), F.array(F.lit(0.0)))
+        return F.zip_with(times_x, times_by, lambda a, b: a + b)
+
+    doubles = F.transform(coefficients, lambda c: c.cast("double"))
+    return F.aggregate(F.reverse(doubles), F.array().cast("array<double>"), step)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,19 +76,31 @@ def gathered(px: DataFrame, half: int, columns: list[str]) -> DataFrame:
     return lines.select("r", "c", F.flatten(F.collect_list("near").over(along)).alias("near"))
 
 
-def frost(px: DataFrame, half: int = 2, damping: float = 1.0) -> DataFrame:
-    """Neighbours weighted by exp(-damping * variation * distance)."""
+def frost_radius(px: DataFrame, half: int = 2, damping: float = 1.0, least: float = 0.01) -> int:
+    """The half-width beyond which no weight of a Frost filter is over ``least``, on the diagonal.
+
+    It comes from the least variation of the image's windows, one number.
+    """
+    smallest = local_statistics(px, half).agg(F.min(_ratio())).first()[0]
+    if not smallest:
+        raise ValueError("an even image has no Frost radius; give one")
+    return math.ceil(-math.log(least) / (math.sqrt(2) * damping * smallest))
+
+
+def frost(px: DataFrame, half: int = 2, damping: float = 1.0, radius: int | None = None) -> DataFrame:
+    """Neighbours weighted by exp(-damping * variation * distance).
+
+    The variation is that of windows of ``half``; neighbours within ``radius`` count, which
+    is derived from the least variation if it isn't given.
+    """
+    radius = frost_radius(px, half, damping) if radius is None else radius
+    decay = local_statistics(px, half).select("r", "c", (damping * _ratio()).alias("decay"))
     power = px.select("r", "c", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("i"))
-    near = gathered(power, half, ["i"])
+    local = gathered(power, radius, ["i"]).join(decay, ["r", "c"])
 
     def total(value) -> Column:
         return F.aggregate("near", F.lit(0.0), lambda t, x: t + value(x))
 
-    local = near.withColumns({"n": F.size("near"), "s": total(lambda x: x["i"]), "q": total(lambda x: x["i"] * x["i"])})
-    local = local.withColumn("mean", F.col("s") / F.col("n"))
-    local = local.withColumn("variance", F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.col("mean") * F.col("mean")))
-    local = local.withColumn("decay", damping * _ratio())
-
     def weight(x: Column) -> Column:
         dr, dc = x["r"] - F.col("r"), x["c"] - F.col("c")
         return F.exp(-F.col("decay") * F.sqrt((dr * dr + dc * dc).cast("double")))

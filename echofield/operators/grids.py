@@ -102,7 +102,11 @@ def with_contours(px: DataFrame, grid: Grid) -> DataFrame:
     return own.drop("_x", "_y", "_t", "_r0", "_v0")
 
 
-def to_terrain(px: DataFrame, grid: Grid, dem: DataFrame, step: float, low: float, high: float, spacing: float = 10.0, most: int = 4096) -> DataFrame:
+#: Steps of a contour that come from one row.
+PART = 4096
+
+
+def to_terrain(px: DataFrame, grid: Grid, dem: DataFrame, step: float, low: float, high: float, spacing: float = 10.0) -> DataFrame:
     """Adds lat, lon, height of the lowest place where each pixel's contour meets terrain.
 
     px needs a key of (r, c). The contour between the heights ``low`` and ``high`` is a
@@ -125,8 +129,10 @@ def to_terrain(px: DataFrame, grid: Grid, dem: DataFrame, step: float, low: floa
     for name in ("b", "t"):
         rel = _vec(name) - _vec("_ctr")
         own = own.withColumn(f"_ang_{name}", F.atan2(rel.dot(_vec("_uy")), rel.dot(_vec("_ux"))))
-    steps = F.least(F.lit(most), F.greatest(F.lit(2), F.ceil(F.abs(F.col("_ang_t") - F.col("_ang_b")) * F.col("_rad") / spacing))).cast("int")
-    own = own.withColumn("_n", steps).withColumn("_step", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    steps = F.greatest(F.lit(2), F.ceil(F.abs(F.col("_ang_t") - F.col("_ang_b")) * F.col("_rad") / spacing)).cast("long")
+    # A long contour is many rows, dealt out in parts: first a row for each part, then one for each step.
+    own = own.withColumn("_n", steps).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_n") / PART))))
+    own = own.withColumn("_step", F.explode(F.sequence(F.col("_part") * PART, F.least(F.col("_n"), F.col("_part") * PART + PART - 1)))).drop("_part")
     angle = F.col("_ang_b") + (F.col("_ang_t") - F.col("_ang_b")) * F.col("_step") / F.col("_n")
     own = own.withColumn("_angle", angle)
     own = _kept(own, "p", _vec("_ctr") + _vec("_ux") * (F.col("_rad") * F.cos("_angle")) + _vec("_uy") * (F.col("_rad") * F.sin("_angle")))

@@ -176,7 +176,18 @@ def speckle_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     " m as (select avg(i)/avg(v) g from fr) select r, c, round(sqrt(greatest(v*g, 0)), 5) + 0.0 amplitude from fr, m"
 )
 def speckle_frost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(filters.frost(views.pixels(spark, sf_dir)), ["r", "c"], ["amplitude"], 5)
+    return _rounded(filters.frost(views.pixels(spark, sf_dir), radius=2), ["r", "c"], ["amplitude"], 5)
+
+
+@query(
+    LOCAL + ", ra as (select ceil(-ln(0.01::double)/(sqrt(2.0::double)*20*min(k)))::bigint radius from lo), px_i as (select r, c, re*re+im*im i from px),"
+    " nb as (select p.r + a r, p.c + b c, a, b, i from px_i p, ra, range(-60, 61) x(a), range(-31, 32) y(b) where abs(a) <= radius and abs(b) <= radius),"
+    " fr as (select lo.r, lo.c, lo.i, sum(exp(-20*k*sqrt((a*a+b*b)::double))*nb.i)/sum(exp(-20*k*sqrt((a*a+b*b)::double))) v from nb join lo on nb.r=lo.r and nb.c=lo.c group by 1, 2, 3),"
+    " m as (select avg(i)/avg(v) g from fr) select r, c, round(sqrt(greatest(v*g, 0)), 5) + 0.0 amplitude from fr, m"
+)
+def speckle_frost_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radius follows from the most even window."""
+    return _rounded(filters.frost(views.pixels(spark, sf_dir), damping=20.0), ["r", "c"], ["amplitude"], 5)
 
 
 def _sva(p: str) -> str:
