@@ -1,4 +1,4 @@
-"""Queries that go from images back to apertures, with their SQL."""
+"""Queries that go from images back to apertures, and over streams, with their SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.cx import rounded
 from ..operators import apertures
 from ..operators.spectral import unpacked
+from ..sources.patches import scratch_file
+from ..streaming import spectra
 from . import views
 from .pixels import dft_columns, dft_sql
 from .views import HEIGHT, PX, SAMPLES
@@ -75,3 +77,34 @@ def polar_aperture_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = apertures.box_corners(k, (k.n_u // 4, 3 * k.n_u // 4), (8, 24))
     out = apertures.masked(apertures.spectrum(views.lines(spark, sf_dir), k), corners)
     return out.select("r", "c", rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
+
+
+# Streams
+
+SIZE, STEP, LATE_MS = 4, 2, 60_000
+_KAISER = "[" + ", ".join(f"{float(x)!r}::double" for x in spectra.kaiser(SIZE, 5.0)) + "]"
+
+
+@query(
+    "with s as (select user_id platform, epoch_us(ts) us, \"value\"::double re from events), n as (select *, row_number() over (partition by platform order by us, re) - 1 k from s),"
+    " mark as (select (max(us)//1000 - 60000)*1000 mark from s), f as (select platform, frame, k - 2*frame j, us, re from n, range(0, (select max(k) from n)//2 + 1) t(frame) where k between 2*frame and 2*frame + 3),"
+    " w as (select platform, frame, min(us) as start, max(us) last, count(*) m from f group by 1, 2),"
+    f" p as (select platform, frame, bin, pow(sum(re*{_KAISER}[j+1]*cos(-2*pi()*j*(bin-2)/4)), 2) + pow(sum(re*{_KAISER}[j+1]*sin(-2*pi()*j*(bin-2)/4)), 2) power from f, range(4) b(bin) group by 1, 2, 3)"
+    " select platform, frame, start, bin::int bin, round(power, 3) + 0.0 power from p join w using (platform, frame), mark where m = 4 and last < mark"
+)
+def stream_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of every user's events, streamed with a minute of lateness; kept until a watermark has passed them."""
+    out, checkpoint = (f"file://{scratch_file(spark, x)}" for x in ("frames", "frames-checkpoint"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spectra.prepared(spark)
+    try:
+        stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+        samples = stream.select(F.col("user_id").alias("platform"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("re"), F.lit(0.0).alias("im"))
+        made = spectra.streamed(samples, SIZE, STEP, f"{LATE_MS} milliseconds")
+        query = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    back = spark.read.schema(spectra.SCHEMA).parquet(out)
+    return back.select("platform", "frame", "start", "bin", rounded(F.col("power"), 3).alias("power"))
