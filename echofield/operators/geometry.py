@@ -215,6 +215,13 @@ def corners(n_rows: int, n_cols: int) -> list[tuple[str, int, int]]:
     return [("FRFC", 0, 0), ("FRLC", 0, n_cols - 1), ("LRLC", n_rows - 1, n_cols - 1), ("LRFC", n_rows - 1, 0)]
 
 
+def with_corners(images: DataFrame, n_rows: Column, n_cols: Column) -> DataFrame:
+    """A row for each corner of each image: corner, r, c."""
+    last = [(name, bool(r), bool(c)) for name, r, c in corners(2, 2)]
+    one = [F.struct(F.lit(name).alias("corner"), ((n_rows - 1) * int(r)).cast("long").alias("r"), ((n_cols - 1) * int(c)).cast("long").alias("c")) for name, r, c in last]
+    return images.select("*", F.inline(F.array(*one)))
+
+
 # Elevation grids
 
 

@@ -69,12 +69,12 @@ def collect_duration(angle: Column, slant_range: Column, speed: Column, cone: Co
     return angle * slant_range / (speed * F.sin(F.radians(cone)))
 
 
-def azimuth_over_aperture(px: DataFrame, duration: float, speed: float, height: float) -> DataFrame:
-    """(percent, azimuth) at each percent of an aperture that a platform flies straight."""
-    half = duration / 2
-    at = F.col("percent") / 100 * duration - half
-    spread = px.select(F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(10))).alias("percent"))
-    return spread.select("percent", F.pmod(F.degrees(F.atan2(at * speed, F.lit(height))) + 360, F.lit(360.0)).alias("azimuth"))
+def azimuth_over_aperture(collects: DataFrame, duration: float | Column, speed: float | Column, height: float | Column) -> DataFrame:
+    """Adds (percent, azimuth) at each percent of the aperture that a collect's platform flies straight."""
+    whole, fast, high = (x if isinstance(x, Column) else F.lit(float(x)) for x in (duration, speed, height))
+    at = F.col("percent") / 100 * whole - whole / 2
+    spread = collects.select("*", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(10))).alias("percent"))
+    return spread.withColumn("azimuth", F.pmod(F.degrees(F.atan2(at * fast, high)) + 360, F.lit(360.0)))
 
 
 def aperture_weights(kind: str, n: int) -> np.ndarray:

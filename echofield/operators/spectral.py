@@ -13,6 +13,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,6 +178,17 @@ def broadening(window: np.ndarray) -> float:
     return 2 * exact / over
 
 
+def broadenings(sizes: DataFrame, names: list[str]) -> DataFrame:
+    """(window, n, width) for each size n and each name of a window."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(name, n, broadening(weights(name, n))) for n in b["n"].tolist() for name in names]
+            yield pd.DataFrame(rows, columns=["window", "n", "width"])
+
+    return sizes.select(F.col("n").cast("long")).mapInPandas(run, "window string, n long, width double")
+
+
 def deweighted(lines: DataFrame, window: str, oversample: float = 1.0, **parameters: float) -> DataFrame:
     """Divide the spectrum by the window on its support; uniform windows pass."""
     if window.upper() == "UNIFORM":

@@ -246,37 +246,44 @@ GRID = geometry.PlaneGrid(
 )
 
 
-def _lattice(spark: SparkSession) -> DataFrame:
-    return spark.range(20 * 32).select(F.expr("id div 32").alias("r"), (F.col("id") % 32).alias("c"))
+def _lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel of the test image."""
+    return views.pixels(spark, sf_dir).select("r", "c")
 
 
 @query(
     # The ground plane at (a, 0, 0) is x = a and holds the image plane, so a pixel is its own ground point.
-    f"select range//32 r, range%32 c, {geodesy.SEMI_MAJOR!r}::double x, round(3.0::double*(range%32-16), 3) + 0.0 y, round(-2.0::double*(range//32-10), 3) + 0.0 z from range(640)"
+    f"with {PX} select r, c, {geodesy.SEMI_MAJOR!r}::double x, round(3.0::double*(c-16), 3) + 0.0 y, round(-2.0::double*(r-10), 3) + 0.0 z from px"
 )
 def project_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = geometry.image_to_plane(_lattice(spark), GRID)
+    out = geometry.image_to_plane(_lattice(spark, sf_dir), GRID)
     return out.select("r", "c", *[rounded(F.col(f"out_{a}"), 3).alias(a) for a in "xyz"])
 
 
 @query()
 def project_hae(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = geometry.image_to_height(_lattice(spark), GRID, 120.0)
+    out = geometry.image_to_height(_lattice(spark, sf_dir), GRID, 120.0)
     return out.select("r", "c", rounded(F.col("lat"), 7).alias("lat"), rounded(F.col("lon"), 7).alias("lon"))
 
 
-@query("select range//32 r, range%32 c, (range//32)::double row, (range%32)::double col from range(640)")
+@query(f"with {PX} select r, c, r::double as row, c::double col from px")
 def scene_to_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back from the ground to the pixels that it was reached from."""
-    ground = geometry.image_to_height(_lattice(spark), GRID, 120.0)
+    ground = geometry.image_to_height(_lattice(spark, sf_dir), GRID, 120.0)
     points = ground.select("r", "c", F.col("out_x").alias("x"), F.col("out_y").alias("y"), F.col("out_z").alias("z"))
     out = geometry.scene_to_image(points, GRID, steps=4, tolerance=1e-4)
     return out.select("r", "c", rounded(F.col("row"), 3).alias("row"), rounded(F.col("col"), 3).alias("col"))
 
 
-@query("select * from (values ('FRFC', 0::bigint, 0::bigint), ('FRLC', 0, 31), ('LRLC', 19, 31), ('LRFC', 19, 0)) t(corner, r, c)")
+@query(
+    f"with {COLLECT}, s as (select collect_id, 20 + collect_id % 50 n, 32 + collect_id % 7 m from co)"
+    " select collect_id, 'FRFC' corner, 0::bigint r, 0::bigint c from s union all select collect_id, 'FRLC', 0, m-1 from s union all select collect_id, 'LRLC', n-1, m-1 from s union all select collect_id, 'LRFC', n-1, 0 from s"
+)
 def corner_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(geometry.corners(20, 32), "corner string, r long, c long")
+    """The corners of every collect's image, of a size of its own."""
+    k = F.col("collect_id")
+    sizes = views.collects(spark, sf_dir).select("collect_id", (20 + k % 50).alias("rows"), (32 + k % 7).alias("cols"))
+    return geometry.with_corners(sizes, F.col("rows"), F.col("cols")).select("collect_id", "corner", "r", "c")
 
 
 @query(f"with {COLLECT} select collect_id, round(5*lat + 2*lon + 100, 6) + 0.0 elev from co")

@@ -164,10 +164,13 @@ def selected_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("vec", F.lit(first).alias("first"), F.lit(last).alias("last"))
 
 
-@query("select (range*10)::int percent, round((degrees(atan2((range*10/100.0::double*8-4)*7500, 5e5::double))+360)%360, 6) azimuth from range(11)")
+@query(
+    f"with {COLLECT}, d as (select collect_id, graze/5 d, 5e5::double + hae h from co) select collect_id, (range*10)::int percent, round((degrees(atan2((range*10/100.0::double*d-d/2)*7500, h))+360)%360, 6) azimuth from d, range(11)"
+)
 def aperture_azimuths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = measures.azimuth_over_aperture(spark.range(1), 8.0, 7500.0, 5e5)
-    return out.select("percent", rounded(F.col("azimuth")).alias("azimuth"))
+    """Azimuths over the aperture of every collect."""
+    out = measures.azimuth_over_aperture(views.collects(spark, sf_dir).select("collect_id", "graze", "hae"), F.col("graze") / 5, 7500.0, 5e5 + F.col("hae"))
+    return out.select("collect_id", "percent", rounded(F.col("azimuth")).alias("azimuth"))
 
 
 @query(
@@ -193,20 +196,21 @@ def range_deskew(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BESSEL = "(select sum(pow({x}/2, 2*m)/(factorial(m::int)::double*factorial(m::int)::double)) from range(25) b(m))"
 _WINDOWS = (
-    "with w as (select 'HAMMING' window_, k, 0.54::double-0.46::double*cos(2*pi()*k/63) v from range(64) t(k) union all select 'HANNING', k, 0.5::double-0.5::double*cos(2*pi()*k/63) from range(64) t(k)"
-    " union all select 'KAISER', k, " + _BESSEL.format(x="(2.5::double*sqrt(greatest(0, 1-pow(2.0::double*k/63-1, 2))))") + "/" + _BESSEL.format(x="2.5::double") + " from range(64) t(k)"
-    " union all select 'UNIFORM', k, 1.0::double from range(64) t(k)),"
-    " f as (select window_, j, sqrt(pow(sum(v*cos(2*pi()*j*k/65536)), 2)+pow(sum(v*sin(2*pi()*j*k/65536)), 2))/sum(v) a from w, range(2048) b(j) group by 1, 2),"
-    " h as (select window_, min(j) j from f where a < 1/sqrt(2.0::double) group by 1)"
-    " select h.window_ \"window\", round(2*(h.j-1+(p.a-1/sqrt(2.0::double))/(p.a-q.a))/1024, 6) width from h join f p on p.window_=h.window_ and p.j=h.j-1 join f q on q.window_=h.window_ and q.j=h.j"
+    "with z as (select distinct p_size + 15 n from part), t as (select n, unnest(range(n)) k from z), w as (select 'HAMMING' window_, n, k, 0.54::double-0.46::double*cos(2*pi()*k/(n-1)) v from t union all select 'HANNING', n, k, 0.5::double-0.5::double*cos(2*pi()*k/(n-1)) from t"
+    " union all select 'KAISER', n, k, " + _BESSEL.format(x="(2.5::double*sqrt(greatest(0, 1-pow(2.0::double*k/(n-1)-1, 2))))") + "/" + _BESSEL.format(x="2.5::double") + " from t"
+    " union all select 'UNIFORM', n, k, 1.0::double from t),"
+    " f as (select window_, n, j, sqrt(pow(sum(v*cos(2*pi()*j*k/(1024*n))), 2)+pow(sum(v*sin(2*pi()*j*k/(1024*n))), 2))/sum(v) a from w, range(400, 1000) b(j) group by 1, 2, 3),"
+    " h as (select window_, n, min(j) j from f where a < 1/sqrt(2.0::double) group by 1, 2)"
+    " select h.window_ \"window\", h.n::bigint n, round(2*(h.j-1+(p.a-1/sqrt(2.0::double))/(p.a-q.a))/1024, 6) width from h join f p on p.window_=h.window_ and p.n=h.n and p.j=h.j-1 join f q on q.window_=h.window_ and q.n=h.n and q.j=h.j"
 )
 
 
 @query(_WINDOWS)
 def window_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-power broadening of windows of 64 weights."""
-    rows = [(name, round(float(spectral.broadening(spectral.weights(name, 64))), 6)) for name in ("HAMMING", "HANNING", "KAISER", "UNIFORM")]
-    return spark.createDataFrame(rows, "window string, width double")
+    """Half-power broadening of windows of as many weights as parts have sizes, and 15."""
+    sizes = views.table(spark, sf_dir, "part").select((F.col("p_size") + 15).alias("n")).distinct()
+    out = spectral.broadenings(sizes, ["HAMMING", "HANNING", "KAISER", "UNIFORM"])
+    return out.select("window", "n", F.round("width", 6).alias("width"))
 
 
 @query(

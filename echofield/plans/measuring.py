@@ -31,15 +31,16 @@ def query(sql: str | None = None):
 
 _A = f"{geodesy.SEMI_MAJOR!r}::double"
 LATTICE = (
-    "la as (select range//32 r, range%32 c, (range//32-10)*2.0::double u, (range%32-16)*3.0::double v from range(640)),"
+    f"{PX}, la as (select r, c, (r-10)*2.0::double u, (c-16)*3.0::double v from px),"
     " tc as (select *, 0.1::double+1e-6*v+1e-6*u t from la),"
     f" ps as (select *, 7000000.0::double+3*t-{_A} bx, -1000.0::double+7500*t by_, 500000.0::double+10*t bz from tc),"
     " rr as (select *, sqrt(bx*bx+by_*by_+bz*bz) r0, (3*bx+7500*by_+10*bz)/sqrt(bx*bx+by_*by_+bz*bz) v0 from ps)"
 )
 
 
-def _contours(spark: SparkSession, **changes) -> DataFrame:
-    px = spark.range(640).select(F.expr("id div 32").alias("r"), (F.col("id") % 32).alias("c"))
+def _contours(spark: SparkSession, sf_dir: str, **changes) -> DataFrame:
+    """Contours of every pixel of the test image."""
+    px = views.pixels(spark, sf_dir).select("r", "c")
     out = grids.with_contours(px, grids.Grid(**{"kind": "PLANE", **BASE, **changes}))
     return out.select("r", "c", rounded(F.col("range"), 3).alias("range"), rounded(F.col("rate"), 4).alias("rate"))
 
@@ -48,12 +49,12 @@ def _contours(spark: SparkSession, **changes) -> DataFrame:
     f"with {LATTICE}, pl as (select r, c, bx x, by_-v y, bz+u z from rr) select r, c, round(sqrt(x*x+y*y+z*z), 3) \"range\", round((3*x+7500*y+10*z)/sqrt(x*x+y*y+z*z), 4) + 0.0 rate from pl"
 )
 def contour_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contours(spark)
+    return _contours(spark, sf_dir)
 
 
 @query(f"with {LATTICE} select r, c, round(r0+u, 3) \"range\", round(v0-sqrt(9.0::double+7500*7500+100)*1e-6*v, 4) + 0.0 rate from rr")
 def contour_rgazcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contours(spark, kind="RGAZIM", algorithm="RGAZCOMP", azimuth_scale=1e-6)
+    return _contours(spark, sf_dir, kind="RGAZIM", algorithm="RGAZCOMP", azimuth_scale=1e-6)
 
 
 @query(
@@ -61,7 +62,7 @@ def contour_rgazcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     ' select r, c, round(r0+k*al, 3) "range", round(v0+(dk*al+k*ac)*0.01::double, 4) + 0.0 rate from pk'
 )
 def contour_pfa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contours(spark, kind="RGAZIM", algorithm="PFA", polar_angle=[0.0, 0.01], frequency_scale=[1.0, 0.002, 0.1])
+    return _contours(spark, sf_dir, kind="RGAZIM", algorithm="PFA", polar_angle=[0.0, 0.01], frequency_scale=[1.0, 0.002, 0.1])
 
 
 @query(
@@ -69,26 +70,31 @@ def contour_pfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     ' select r, c, round(q, 3) "range", round(v2*dt/q, 4) + 0.0 rate from rq'
 )
 def contour_rgzero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contours(spark, kind="RGZERO", approach_time=[0.0, 1e-4], approach_range=800_000.0, doppler_rate_scale=[[1.0]])
+    return _contours(spark, sf_dir, kind="RGZERO", approach_time=[0.0, 1e-4], approach_range=800_000.0, doppler_rate_scale=[[1.0]])
 
 
 @query()
 def dem_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels on a slope: the height found is the slope's at the place found."""
     dem = spark.range(-2, 3).select(F.col("id").alias("ilat")).join(spark.range(-2, 3).select(F.col("id").alias("ilon"))).withColumn("elev", 100.0 + 50.0 * F.col("ilat"))
-    px = spark.range(16).select((F.col("id") * 2).alias("r"), F.col("id").alias("c"))
-    out = grids.to_terrain(px, grids.Grid(kind="PLANE", **BASE), dem, 1.0, 0.0, 200.0)
+    px = views.pixels(spark, sf_dir).select("r", "c")
+    out = grids.to_terrain(px, grids.Grid(kind="PLANE", **BASE), dem, 1.0, 0.0, 200.0, spacing=400.0)
     return out.select("r", "c", rounded(F.col("lat"), 6).alias("lat"), rounded(F.col("lon"), 6).alias("lon"), rounded(F.col("height"), 2).alias("height"))
 
 
-@query(f"select range k, round(((64.0::double*{geodesy.LIGHT!r}::double/2 - {geodesy.LIGHT!r}::double/2.0::double) + {geodesy.LIGHT!r}::double/1.0::double*range/127)/1e9, 8) gigahertz from range(128)")
+def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bin for each line of the test image."""
+    return views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"))
+
+
+@query(f"with {HEIGHT} select vec_id k, round(((64.0::double*{geodesy.LIGHT!r}::double/2 - {geodesy.LIGHT!r}::double/2.0::double) + {geodesy.LIGHT!r}::double/1.0::double*vec_id/(height-1))/1e9, 8) gigahertz from embeddings, he")
 def rcs_fast_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.fast_time_axis(spark.range(128).withColumnRenamed("id", "k"), 64.0, 0.5, 128).select("k", rounded(F.col("gigahertz"), 8).alias("gigahertz"))
+    return measures.fast_time_axis(_bins(spark, sf_dir), 64.0, 0.5, views.height(spark, sf_dir)).select("k", rounded(F.col("gigahertz"), 8).alias("gigahertz"))
 
 
-@query("select range k, round((-(range/127.0::double-0.5)*1.25::double+0.5)*10, 6) + 0.0 \"seconds\", round(-(range/127.0::double-0.5)*(1.25::double*4), 6) + 0.0 polar_angle, round(((-(range/127.0::double-0.5)*(1.25::double*4)+30+360)%360+360)%360, 6) azimuth from range(128)")
+@query(f"with {HEIGHT}, k as (select vec_id k, vec_id/(height-1)::double p from embeddings, he) select k, round((-(p-0.5)*1.25::double+0.5)*10, 6) + 0.0 \"seconds\", round(-(p-0.5)*(1.25::double*4), 6) + 0.0 polar_angle, round(((-(p-0.5)*(1.25::double*4)+30+360)%360+360)%360, 6) azimuth from k")
 def rcs_slow_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = measures.slow_time_axis(spark.range(128).withColumnRenamed("id", "k"), 128, 10.0, 4.0, 30.0, 1.25, left=True)
+    out = measures.slow_time_axis(_bins(spark, sf_dir), views.height(spark, sf_dir), 10.0, 4.0, 30.0, 1.25, left=True)
     return out.select("k", *[rounded(F.col(x)).alias(x) for x in ("seconds", "polar_angle", "azimuth")])
 
 
