@@ -91,11 +91,24 @@ def aperture_weights(kind: str, n: int) -> np.ndarray:
     return kinds[kind.upper()]()
 
 
+def _weight(kind: str, k: Column, n: int) -> Column:
+    """``aperture_weights`` at place k of n, as an expression."""
+    place = -1 + 2 * k / max(n - 1, 1)
+    kinds = {
+        "GAUSSIAN": lambda: F.exp(-0.5 * (2.5 * place) * (2.5 * place)),
+        "X4": lambda: 1 / (1 + F.pow(2 * place, F.lit(4.0))),
+        "HAMMING": lambda: 0.54 + 0.46 * F.cos(math.pi * place),
+        "COSINE": lambda: 0.5 + 0.5 * F.cos(math.pi * place / 2),
+        "NONE": lambda: F.lit(1.0),
+    }
+    if kind.upper() not in kinds:
+        raise ValueError(f"unknown filter {kind}")
+    return kinds[kind.upper()]()
+
+
 def weighted_aperture(px: DataFrame, kind: str, n_rows: int, n_cols: int, rows: bool = True, cols: bool = True) -> DataFrame:
     """Samples of the aperture times weights on one or both axes."""
-    by_row = aperture_weights(kind if rows else "NONE", n_rows).tolist()
-    by_col = aperture_weights(kind if cols else "NONE", n_cols).tolist()
-    weight = F.get(F.array(*map(F.lit, by_row)), F.col("r")) * F.get(F.array(*map(F.lit, by_col)), F.col("c"))
+    weight = _weight(kind if rows else "NONE", F.col("r"), n_rows) * _weight(kind if cols else "NONE", F.col("c"), n_cols)
     return px.withColumn("re", F.col("re") * weight).withColumn("im", F.col("im") * weight)
 
 

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import grouped
 from .formation import fitted_polynomial
 
 
@@ -85,24 +86,19 @@ def constant_calibration(tables: DataFrame, key: str, values: str) -> DataFrame:
     return each.select(key, F.when(F.col("low") == F.col("high"), 1 / (F.col("low") * F.col("low"))).alias("beta0"))
 
 
-def noise_polynomials(vectors: DataFrame, key: str, pixels: str, values: str, order: int = 6) -> dict:
-    """For each burst the polynomial of its noise table in decibels over range pixels.
+def noise_fits(vectors: DataFrame, key: str, pixels: str, values: str, order: int = 6) -> DataFrame:
+    """key, db_poly: for each burst the polynomial of its noise table in decibels over range pixels.
 
-    All bursts' sums of powers are one grouped aggregation; a row for each reaches the
-    driver, where the small equations are solved.
+    All bursts are one grouped fit; see ``grouped``.
     """
-    each = vectors.select(key, F.explode(F.arrays_zip(F.col(pixels).alias("p"), F.col(values).alias("v"))).alias("s")).select(key, F.col("s.p").cast("double").alias("p"), (10 * F.log10("s.v")).alias("db"))
-    spans = each.groupBy(key).agg(F.avg("p").alias("centre"), F.coalesce(F.nullif(F.stddev_pop("p"), F.lit(0.0)), F.lit(1.0)).alias("scale"))
-    u = (F.col("p") - F.col("centre")) / F.col("scale")
-    power = lambda k: F.pow(u, F.lit(float(k)))
-    sums = each.join(F.broadcast(spans), key).groupBy(key, "centre", "scale").agg(*[F.sum(power(k)).alias(f"s{k}") for k in range(2 * order + 1)], *[F.sum(power(k) * F.col("db")).alias(f"b{k}") for k in range(order + 1)])
-    out = {}
-    for x in sums.collect():
-        matrix = np.array([[x[f"s{i + j}"] for j in range(order + 1)] for i in range(order + 1)])
-        fitted = np.polynomial.Polynomial(np.linalg.lstsq(matrix, np.array([x[f"b{k}"] for k in range(order + 1)]), rcond=None)[0])
-        moved = fitted(np.polynomial.Polynomial([-x["centre"] / x["scale"], 1 / x["scale"]]))
-        out[x[key]] = [float(v) for v in np.pad(moved.coef, (0, order + 1 - len(moved.coef)))]
-    return out
+    pair = F.arrays_zip(F.col(pixels).alias("p"), F.col(values).alias("v"))
+    each = vectors.select(key, F.explode(pair).alias("s")).select(key, F.col("s.p").cast("double").alias("p"), (10 * F.log10("s.v")).alias("db"))
+    return grouped.polynomials(each, [key], "p", ["db"], order)
+
+
+def noise_polynomials(vectors: DataFrame, key: str, pixels: str, values: str, order: int = 6) -> dict:
+    """``noise_fits`` of one product, as lists by burst."""
+    return {x[key]: list(x["db_poly"]) for x in noise_fits(vectors, key, pixels, values, order).collect()}
 
 
 def bursts(products: DataFrame, lines: str, per_burst: str) -> DataFrame:

@@ -125,6 +125,14 @@ def noise_polynomials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, *(round(x, 6) + 0.0 for x in v)) for k, v in found.items()], "burst int, c0 double, c1 double, c2 double")
 
 
+@query("select l_suppkey burst, round(regr_intercept(10*log10(l_extendedprice), l_quantity), 6) + 0.0 c0, round(regr_slope(10*log10(l_extendedprice), l_quantity), 6) + 0.0 c1 from lineitem group by 1")
+def noise_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines through scattered tables, one for each burst."""
+    vectors = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("burst"), F.array("l_quantity").alias("pixels"), F.array("l_extendedprice").alias("lut"))
+    found = sensors.noise_fits(vectors, "burst", "pixels", "lut", 1)
+    return found.select("burst", *(rounded(F.get("db_poly", F.lit(k))).alias(f"c{k}") for k in range(2)))
+
+
 @query("select m, n, c from (values (0, 0, 1.0::double), (0, 1, -3.0::double), (1, 0, 2.0::double), (1, 1, 0.5::double)) t(m, n, c)")
 def surface_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coefficients of a surface over all pixels."""
