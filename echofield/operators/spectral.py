@@ -282,9 +282,28 @@ def colour_subapertures(lines: DataFrame) -> DataFrame:
 
 
 def mean_power_spectrum(px: DataFrame, n: int) -> DataFrame:
-    """(k, db): mean power of each bin over the lines, in decibels above the least."""
-    power = relational(px, n).groupBy("k").agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
-    level = power.select("k", (10 * F.log10("power")).alias("db"))
+    """(k, db): mean power of each bin over the lines, in decibels above the least.
+
+    Lines are gathered once and transformed in batches; missing samples are zeros. A task
+    sends one sum for each bin.
+    """
+    lines = px.groupBy("r").agg(F.collect_list(F.struct(F.col("c").cast("long").alias("c"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))).alias("z"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = np.zeros(n), 0
+        for batch in batches:
+            column = batch.column(0)
+            row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+            cells = column.flatten()
+            place, re, im = (cells.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            z = np.zeros((len(column), n), complex)
+            z[row, place] = re + 1j * im
+            total += (np.abs(np.fft.fft(z, axis=1)) ** 2).sum(axis=0)
+            held += len(column)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total), pa.array(np.full(n, held))], names=["k", "power", "lines"])
+
+    sums = lines.select("z").mapInArrow(run, "k long, power double, lines long").groupBy("k").agg((F.sum("power") / F.sum("lines")).alias("power"))
+    level = sums.select("k", (10 * F.log10("power")).alias("db"))
     least = level.agg(F.min("db").alias("least"))  # one row
     return level.join(F.broadcast(least)).select("k", (F.col("db") - F.col("least")).alias("db"))
 

@@ -10,7 +10,6 @@ checksums; numbers, fixed and variable texts and compounds.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
