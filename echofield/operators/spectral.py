@@ -96,6 +96,11 @@ def relational(px: DataFrame, n: int, inverse: bool = False, size: int | None =
     return each.groupBy("r", F.col("k").cast("long").alias("k")).agg((F.sum(re) * scale).alias("re"), (F.sum(im) * scale).alias("im"))
 
 
+def padded(lines: DataFrame, size: int) -> DataFrame:
+    """Transform of lines with zeros behind them."""
+    return on_lines(lines, lambda z: np.fft.fft(z, size, axis=1))
+
+
 def padded_inverse(lines: DataFrame, rate: float) -> DataFrame:
     """Centred inverse transform, padded with zeros to floor(n * rate)."""
 

@@ -331,7 +331,7 @@ def total_rcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {PX}, {dft_sql(4 * SAMPLES)} select k, round(sum(re*re+im*im), 4) power from ft group by 1")
 def slow_fast_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ft = spectral.relational(views.pixels(spark, sf_dir), SAMPLES, size=4 * SAMPLES)
+    ft = spectral.unpacked(spectral.padded(views.lines(spark, sf_dir), 4 * SAMPLES), along="k")
     return ft.groupBy("k").agg(rounded(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 4).alias("power"))
 
 
