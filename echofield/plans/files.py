@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cx import rounded
 from ..sources import cosar, cphd, opened, sicd, sio, tiff
+from ..sources.patches import scratch_file
 from . import views
 from .views import PX, SAMPLES
 
@@ -29,17 +27,6 @@ def query(sql: str | None = None):
     return register
 
 
-def _path(name: str) -> str:
-    """A file of this run; the writers of single files write where the driver is."""
-    return os.path.join(tempfile.mkdtemp(prefix="echofield-files-"), name)
-
-
-def _array(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    """The test image as one array, for writers of small exchange files."""
-    rows = views.lines(spark, sf_dir).orderBy("r").collect()
-    return np.array([[complex(x["re"], x["im"]) for x in row["z"]] for row in rows])
-
-
 def _read(spark: SparkSession, path: str, scale: float = 1.0, digits: int = 6, **options: object) -> DataFrame:
     px = opened.open_reader(spark, path, **options)
     return px.select("r", "c", rounded(F.col("re") / scale, digits).alias("re"), rounded(F.col("im") / scale, digits).alias("im"))
@@ -51,7 +38,7 @@ SHORT = f"with {PX} select r, c, round(round_even(re*1000, 0)/1000, 6) + 0.0 re,
 
 
 def _written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[DataFrame, str, int], None]) -> str:
-    path = _path(name)
+    path = scratch_file(spark, name)
     write(views.pixels(spark, sf_dir), path, views.height(spark, sf_dir))
     return path
 
@@ -82,40 +69,46 @@ def flat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("r", "c", rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
 
 
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.pixels(spark, sf_dir).select("r", "c", (F.col("re") * 1000).alias("re"), (F.col("im") * 1000).alias("im"))
+
+
 @query(ALL)
 def tiff_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _path("image.tif")
-    tiff.write_tiff(path, _array(spark, sf_dir))
-    return _read(spark, path)
+    return _read(spark, _written(spark, sf_dir, "image.tif", lambda px, path, n: tiff.write_pixels(px, path, n, SAMPLES)))
 
 
 @query(SHORT)
 def tiff_short_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _path("image.tif")
-    tiff.write_tiff(path, _array(spark, sf_dir) * 1000, ">i2", 7)
+    path = scratch_file(spark, "image.tif")
+    tiff.write_pixels(_scaled(spark, sf_dir), path, views.height(spark, sf_dir), SAMPLES, ">i2", 7)
     return _read(spark, path, 1000.0)
 
 
+def _turned(px: DataFrame) -> DataFrame:
+    return px.select(F.col("c").alias("r"), F.col("r").alias("c"), "re", "im")
+
+
 @query(SHORT.replace("select r, c,", "select r c, c r,"))
 def cosar_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are azimuth, so they are the columns of what is read."""
-    path = _path("image.cos")
-    cosar.write_cosar(path, _array(spark, sf_dir).T * 1000)
+    path = scratch_file(spark, "image.cos")
+    cosar.write_pixels(_turned(_scaled(spark, sf_dir)), path, SAMPLES, views.height(spark, sf_dir))
     return _read(spark, path, 1000.0)
 
 
 @query("with n as (select max(vec_id) + 1 n from embeddings) select range r, 0::bigint first, (case when range = 0 then (n - 1) // 3 * 3 else n - 1 end)::bigint last from n, range(32)")
 def cosar_valid_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first range sample is valid in every third line only."""
-    path, values = _path("image.cos"), _array(spark, sf_dir).T
-    cosar.write_cosar(path, values, (np.arange(values.shape[1]) % 3 != 0).astype(int))
+    path = scratch_file(spark, "image.cos")
+    cosar.write_pixels(_turned(views.pixels(spark, sf_dir)), path, SAMPLES, views.height(spark, sf_dir), (F.col("c") % 3 != 0).cast("long"))
     return cosar.valid_places(spark, path)
 
 
 @query(f"with {PX} select r vec, c k, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im, round(r*0.001::double, 6) tx_time from px")
 def cphd_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     pulses = views.pulses(spark, sf_dir).join(views.lines(spark, sf_dir).withColumnRenamed("r", "vec"), "vec")
-    path = _path("pulses.cphd")
+    path = scratch_file(spark, "pulses.cphd")
     cphd.write_cphd(pulses, path)
     back = opened.open_reader(spark, path)
     each = back.select("vec", "tx_time", F.posexplode("z").alias("k", "z"))

@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-#: Bytes of a partition.
-BLOCK = 32 << 20
+#: Bytes of a partition, and pixels that its task holds at once.
+BLOCK, PIXELS = 32 << 20, 1 << 18
 
 # Names of stored element types.
 ELEMENTS = {
@@ -33,6 +33,12 @@ def read_bytes(path: str, offset: int, length: int) -> bytes:
         return f.read_at(length, offset)
 
 
+def pieces(first: int, last: int, samples: int) -> list[tuple[int, int]]:
+    """Lines first to last as runs of few pixels."""
+    step = max(1, PIXELS // max(1, samples))
+    return [(k, min(k + step - 1, last)) for k in range(first, last + 1, step)]
+
+
 @dataclass(frozen=True)
 class Layout:
     """A raster of interleaved samples."""
@@ -106,8 +112,9 @@ class RasterReader(DataSourceReader):
             return
         width = self.layout.row_bytes
         if step == 1:
-            raw = read_bytes(self.path, self.layout.offset + partition.first * width, (partition.last - partition.first + 1) * width)
-            yield pixel_batch(raw, self.layout, partition.first, rows, cols)
+            for first, last in pieces(partition.first, partition.last, self.layout.cols):
+                raw = read_bytes(self.path, self.layout.offset + first * width, (last - first + 1) * width)
+                yield pixel_batch(raw, self.layout, first, rows[first - partition.first : last - partition.first + 1], cols)
             return
         for r in rows.tolist():
             yield pixel_batch(read_bytes(self.path, self.layout.offset + r * width, width), self.layout, r, np.array([r]), cols)

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Layout, RasterSource, read_bytes
+from .patches import line_patches, write_patches
 
 # The mark and its place, and the lines of annotation before a burst's samples.
 MARK, MARK_AT, ANNOTATION = b"CSAR", 28, 4
@@ -61,6 +62,16 @@ def valid_places(spark: SparkSession, path: str, lines_at_once: int = 1024) -> D
     return both.groupBy("r").agg(F.min("c").alias("first"), F.max("c").alias("last"))
 
 
+def _head(samples: int, lines: int) -> bytes:
+    """The lines of annotation; the azimuth bounds hold all lines."""
+    width = samples + 2
+    head = np.zeros((ANNOTATION, width), ">i4")
+    head[0, :7] = [4 * width * (lines + ANNOTATION), 0, samples, lines, 1, 4 * width, lines + ANNOTATION]
+    head[2, 2:], head[3, 2:] = 1, lines
+    raw = head.tobytes()
+    return raw[:MARK_AT] + MARK + raw[MARK_AT + 4 :]
+
+
 def write_cosar(path: str, values: np.ndarray, first: np.ndarray | None = None) -> None:
     """A burst of complex numbers (range, azimuth), for tests and exchange; all of it valid unless first says otherwise.
 
@@ -68,15 +79,30 @@ def write_cosar(path: str, values: np.ndarray, first: np.ndarray | None = None)
     """
     samples, lines = values.shape
     width = samples + 2
-    head = np.zeros((ANNOTATION, width), ">i4")
-    head[0, :7] = [4 * width * (lines + ANNOTATION), 0, samples, lines, 1, 4 * width, lines + ANNOTATION]
-    head[2, 2:], head[3, 2:] = 1, lines
-    raw = head.tobytes()
-    raw = raw[:MARK_AT] + MARK + raw[MARK_AT + 4 :]
     body = np.zeros((lines, width, 2), ">i2")
     body[:, 2:, 0], body[:, 2:, 1] = np.round(values.real).T, np.round(values.imag).T
     marks = body[:, :2].reshape(lines, -1).copy().view(">i4")
     marks[:, 0], marks[:, 1] = 1 if first is None else first + 1, samples
     body[:, :2] = marks.view(">i2").reshape(lines, 2, 2)
     with open(path, "wb") as f:
-        f.write(raw + body.tobytes())
+        f.write(_head(samples, lines) + body.tobytes())
+
+
+def write_pixels(px: DataFrame, path: str, samples: int, lines: int, first: Column | None = None) -> None:
+    """As write_cosar, of r (range), c (azimuth), re and im, written in place by tasks.
+
+    first: of an azimuth line ``c``, its first valid range sample. The two marks of a line
+    stand in front of its samples as two pixels more, each of the halves of a number.
+    """
+
+    def mark(k: int, value: Column) -> Column:
+        low = F.pmod(value.cast("long"), F.lit(1 << 16))
+        signed = F.when(low >= 1 << 15, low - (1 << 16)).otherwise(low)
+        return F.struct(F.lit(k).cast("long").alias("c"), F.floor(value / (1 << 16)).cast("double").alias("re"), signed.cast("double").alias("im"))
+
+    bounds = F.array(mark(0, F.lit(1) if first is None else first + 1), mark(1, F.lit(samples)))
+    marks = px.sparkSession.range(lines).select(F.col("id").alias("c")).select(F.col("c").alias("r"), F.inline(bounds))
+    turned = px.where(F.col("r").between(0, samples - 1)).select(F.col("c").alias("r"), (F.col("r") + 2).alias("c"), "re", "im")
+    head = _head(samples, lines)
+    patches = line_patches(turned.unionByName(marks), lines, samples + 2, ">i2", len(head))
+    write_patches(patches, path, len(head) + lines * 4 * (samples + 2), head)

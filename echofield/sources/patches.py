@@ -76,12 +76,33 @@ def write_patches(patches: DataFrame, path: str, size: int, head: bytes = b"", f
     patches.select("at", "data").write.format("patches").mode("append").save(path)
 
 
-def block_patches(px: DataFrame, rows: int, cols: int, block: tuple[int, int], element: str, at: Column, planes: list[str] | None = None, plane_axis: int = -1, convert: Callable | None = None) -> DataFrame:
+#: Bytes of a strip of lines that a task packs at once.
+STRIP = 1 << 16
+
+
+def strip_lines(width: int, rows: int) -> int:
+    """Lines of ``width`` bytes in a strip."""
+    return max(1, min(rows, STRIP // max(1, width)))
+
+
+def block_patches(
+    px: DataFrame,
+    rows: int,
+    cols: int,
+    block: tuple[int, int],
+    element: str,
+    at: Column,
+    planes: list[str] | None = None,
+    plane_axis: int = -1,
+    convert: Callable | None = None,
+    stored: Callable[[int], int] | None = None,
+) -> DataFrame:
     """A row for each block of px, packed: at, data.
 
     ``at`` is the place of a block by its grid numbers i and j. ``planes`` are columns of
     numbers; plane_axis is -1 for samples that stand together, 1 for lines of planes, 0 for
-    planes one behind the other; ``convert`` makes what is stored of the numbers. Missing pixels are zeros. A block is one group.
+    planes one behind the other; ``convert`` makes what is stored of the numbers. ``stored``
+    says how many lines of the blocks i are, if not all. Missing pixels are zeros. A block is one group.
     """
     names = planes or ["re", "im"]
     lines, samples = block
@@ -89,6 +110,7 @@ def block_patches(px: DataFrame, rows: int, cols: int, block: tuple[int, int], e
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros((lines, samples, len(names)))
         out[part["r"].to_numpy() % lines, part["c"].to_numpy() % samples] = part[names].to_numpy()
+        out = out[: stored(int(key[0]))] if stored else out
         kind = np.dtype(element)
         out = convert(out) if convert else out if kind.kind == "f" else np.round(out)
         out = np.moveaxis(out, 2, plane_axis if plane_axis >= 0 else 2)
@@ -97,3 +119,10 @@ def block_patches(px: DataFrame, rows: int, cols: int, block: tuple[int, int], e
     inside = px.where(F.col("r").between(0, rows - 1) & F.col("c").between(0, cols - 1))
     placed = inside.withColumn("i", F.floor(F.col("r") / lines)).withColumn("j", F.floor(F.col("c") / samples)).withColumn("at", at.cast("long"))
     return placed.select("i", "j", "at", "r", "c", *dict.fromkeys(names)).groupBy("i", "j", "at").applyInPandas(pack, "at long, data binary")
+
+
+def line_patches(px: DataFrame, rows: int, cols: int, element: str, begin: int, planes: list[str] | None = None, plane_axis: int = -1, convert: Callable | None = None) -> DataFrame:
+    """As block_patches for an image that isn't in blocks: strips of whole lines from ``begin`` on, nothing behind the last line."""
+    width = len(planes or ["re", "im"]) * np.dtype(element).itemsize * cols
+    lines = strip_lines(width, rows)
+    return block_patches(px, rows, cols, (lines, cols), element, begin + F.col("i") * lines * width, planes, plane_axis, convert, lambda i: min(lines, rows - i * lines))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Layout, RasterSource, read_bytes
-from .patches import block_patches, write_patches
+from .patches import block_patches, line_patches, write_patches
 
 # Tags, and for each field type its letter.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, COUNTS, PLANAR, FORMAT = 256, 257, 258, 259, 273, 277, 279, 284, 339
@@ -62,12 +62,9 @@ class TiffSource(RasterSource):
         return tiff_layout(path)
 
 
-def write_tiff(path: str, values: np.ndarray, element: str = "<f4", strip_rows: int = 16) -> None:
-    """Complex numbers as two samples a pixel, in strips, for tests and exchange."""
-    rows, cols = values.shape
+def _head(rows: int, cols: int, element: str, strip_rows: int) -> tuple[bytes, int]:
+    """What stands in front of complex numbers as two samples a pixel, in strips, and where those begin."""
     order, kind = element[0], {"f": FLOAT, "i": SIGNED, "u": UNSIGNED}[element[1]]
-    pixels = np.stack([values.real, values.imag], axis=-1)
-    body = (pixels if kind == FLOAT else np.round(pixels)).astype(element).tobytes()
     width = 2 * int(element[2]) * cols
     firsts = range(0, rows, strip_rows)
     n = len(firsts)
@@ -94,9 +91,22 @@ def write_tiff(path: str, values: np.ndarray, element: str = "<f4", strip_rows:
         short = type_ == 3
         packed = struct.pack(order + "HH", value & 0xFFFF, value >> 16) if short else struct.pack(order + "I", value)
         out += struct.pack(order + "HHI", tag, type_, count) + packed
-    out += struct.pack(order + "I", 0) + struct.pack(f"{order}{n}I", *offsets) + struct.pack(f"{order}{n}I", *counts)
+    return out + struct.pack(order + "I", 0) + struct.pack(f"{order}{n}I", *offsets) + struct.pack(f"{order}{n}I", *counts), data_at
+
+
+def write_tiff(path: str, values: np.ndarray, element: str = "<f4", strip_rows: int = 16) -> None:
+    """Complex numbers as two samples a pixel, in strips, for tests and exchange."""
+    head, _ = _head(*values.shape, element, strip_rows)
+    pixels = np.stack([values.real, values.imag], axis=-1)
+    body = (pixels if element[1] == "f" else np.round(pixels)).astype(element).tobytes()
     with open(path, "wb") as f:
-        f.write(out + body)
+        f.write(head + body)
+
+
+def write_pixels(px: DataFrame, path: str, rows: int, cols: int, element: str = "<f4", strip_rows: int = 1024) -> None:
+    """As write_tiff, of an image of any size, written in place by tasks."""
+    head, data_at = _head(rows, cols, element, strip_rows)
+    write_patches(line_patches(px, rows, cols, element, data_at), path, data_at + rows * cols * 2 * int(element[2]), head)
 
 
 def write_complex_shorts(px: DataFrame, path: str, rows: int, cols: int) -> None:

@@ -77,3 +77,20 @@ def test_windows_of_views():
 def test_normalized_where_fields_are_missing(spark):
     row = spark.range(1).select(F.lit(None).cast("array<double>").alias("p"), F.lit(None).cast("string").alias("w"), F.lit(None).cast("array<double>").alias("f"), F.lit(None).cast("int").alias("s"))
     assert row.select(algorithms.is_normalized(F.col("p"), F.col("w"), F.col("f"), F.col("s"))).first()[0] is True
+
+
+@pytest.mark.parametrize("element", ["<f4", ">i2"])
+def test_tiff_of_tasks_is_the_arrays(spark, tmp_path, image, element):
+    tiff.write_tiff(str(tmp_path / "x"), image, element, 5)
+    tiff.write_pixels(_px(spark, image), str(tmp_path / "y"), *image.shape, element, 5)
+    assert (tmp_path / "x").read_bytes() == (tmp_path / "y").read_bytes()
+
+
+def test_cosar_of_tasks_is_the_arrays(spark, tmp_path, image):
+    cosar.write_cosar(str(tmp_path / "x"), image, np.arange(image.shape[1]) % 5)
+    cosar.write_pixels(_px(spark, image), str(tmp_path / "y"), *image.shape, F.col("c") % 5)
+    assert (tmp_path / "x").read_bytes() == (tmp_path / "y").read_bytes()
+
+
+def _px(spark, image):
+    return spark.createDataFrame([(r, c, float(z.real), float(z.imag)) for (r, c), z in np.ndenumerate(image)], "r long, c long, re double, im double")
