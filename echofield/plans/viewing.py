@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.cx import rounded
 from ..operators import raster, viewer
 from ..sources import opened, sio
+from ..sources.patches import scratch_file
 from . import views
 from .views import COLLECT, HEIGHT, PX, SAMPLES
 
@@ -68,7 +69,7 @@ def algorithm_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {PX} select r-40 r, c-3 c, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im from px where r between 40 and 239 and c between 3 and 26")
 def chip_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part of an image as a file of its own."""
-    path = os.path.join(tempfile.mkdtemp(prefix="echofield-files-"), "chip.sio")
+    path = scratch_file(spark, "chip.sio")
     sio.write_sio(raster.subset(views.pixels(spark, sf_dir), (40, 239), (3, 26)), path, 200, 24)
     px = opened.open_reader(spark, path)
     return px.select("r", "c", rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))

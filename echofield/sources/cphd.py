@@ -14,12 +14,12 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .blocks import BLOCK, read_bytes
+from .blocks import BLOCK, PIXELS, read_bytes
+from .patches import write_patches
 
 SAMPLES = {"CI2": ">i1", "CI4": ">i2", "CF8": ">f4"}
 
@@ -92,6 +92,11 @@ class CphdReader(DataSourceReader):
         return out
 
     def read(self, partition: VectorBlock) -> Iterator[pa.RecordBatch]:
+        step = max(1, PIXELS // max(1, self.header.channels[partition.channel].samples))
+        for first in range(partition.first, partition.last + 1, step):
+            yield self.batch(VectorBlock(partition.channel, first, min(first + step - 1, partition.last)))
+
+    def batch(self, partition: VectorBlock) -> pa.RecordBatch:
         h, channel = self.header, self.header.channels[partition.channel]
         n = partition.last - partition.first + 1
         raw = read_bytes(self.path, channel.parameters_at + partition.first * h.vector_bytes, n * h.vector_bytes)
@@ -109,7 +114,7 @@ class CphdReader(DataSourceReader):
             cells = pa.StructArray.from_arrays([pa.array(z[:, :, 0].ravel()), pa.array(z[:, :, 1].ravel())], names=["re", "im"])
             arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * channel.samples, pa.int32()), cells))
             names.append("z")
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 class CphdSource(DataSource):
@@ -134,11 +139,29 @@ def registered(spark: SparkSession) -> None:
     spark.dataSource.register(CphdSource)
 
 
-def write_cphd(pulses: DataFrame, path: str, channel: str = "1", sample_type: str = "CF8") -> None:
-    """One channel, in order of vec; parameters that pulses lacks are left out.
+#: Ranges of vec whose sizes the driver adds up.
+RANGES = 1024
+
 
-    Rows pass through the driver one at a time. Two passes: parameters, then signals.
-    """
+def _numbered(pulses: DataFrame) -> DataFrame:
+    """pulses with their number in order of vec, by counts of ranges of vec."""
+    low, high = pulses.agg(F.min("vec"), F.max("vec")).first()
+    if low is None:
+        return pulses.withColumn("number", F.lit(0).cast("long"))
+    width = max(1, -(-(high - low + 1) // RANGES))
+    ranged = pulses.withColumn("_range", F.floor((F.col("vec") - low) / width).cast("int"))
+    counts = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
+    before, total = [], 0
+    for k, n in counts:
+        before.append((k, total))
+        total += n
+    starts = pulses.sparkSession.createDataFrame(before, "_range int, _before long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("vec"))
+    return ranged.join(F.broadcast(starts), "_range").withColumn("number", F.col("_before") + within - 1).drop("_range", "_before")
+
+
+def write_cphd(pulses: DataFrame, path: str, channel: str = "1", sample_type: str = "CF8") -> None:
+    """One channel, in order of vec, written in place by tasks; parameters that pulses lacks are left out."""
     kept = {n: c for n, c in PARAMETERS.items() if all(x in pulses.columns for x in c) and n != "AmpSF"}
     size = pulses.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("z")).alias("m")).first()
     offsets, at = {}, 0
@@ -155,12 +178,25 @@ def write_cphd(pulses: DataFrame, path: str, channel: str = "1", sample_type: st
     blocks = {"XML_BLOCK": (start, len(xml)), "PVP_BLOCK": (start + len(xml) + 2, 8 * at * size["n"])}
     blocks["SIGNAL_BLOCK"] = (sum(blocks["PVP_BLOCK"]), 2 * np.dtype(element).itemsize * size["m"] * size["n"])
     head = "CPHD/1.0.1\n" + "".join(f"{k}_SIZE := {n}\n{k}_BYTE_OFFSET := {o}\n" for k, (o, n) in blocks.items()) + "\f\n"
-    with pyarrow.fs.LocalFileSystem().open_output_stream(path) as out:
-        out.write(head.encode().ljust(start, b"\0") + xml + b"\f\n")
-        names = [c for columns in kept.values() for c in columns]
-        for row in pulses.orderBy("vec").select(*names).toLocalIterator(prefetchPartitions=True):
-            out.write(np.array([row[c] for c in names], ">f8").tobytes())
-        for row in pulses.orderBy("vec").select("z").toLocalIterator(prefetchPartitions=True):
-            z = np.zeros((size["m"], 2))
-            z[: len(row.z)] = [(x.re, x.im) for x in row.z]
-            out.write((np.round(z) if "i" in element else z).astype(element).tobytes())
+    names = [c for columns in kept.values() for c in columns]
+    vectors, samples, itemsize = size["n"], size["m"], np.dtype(element).itemsize
+    begin = {"p": blocks["PVP_BLOCK"][0], "z": blocks["SIGNAL_BLOCK"][0]}
+    step = {"p": 8 * at, "z": 2 * itemsize * samples}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors that follow each other are patches together."""
+        for batch in batches:
+            number = batch.column("number").to_numpy()
+            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1).astype(">f8") if names else np.zeros((len(number), 0))
+            cells, ends = batch.column("z"), batch.column("z").offsets.to_numpy()
+            flat = np.stack([cells.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2)], 1).astype(float)
+            counts = np.diff(ends)
+            z = np.zeros((len(number), samples, 2))
+            z[np.repeat(np.arange(len(number)), counts), np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], counts)] = flat
+            z = (np.round(z) if "i" in element else z).astype(element)
+            cuts = [0, *(np.flatnonzero(np.diff(number) != 1) + 1).tolist(), len(number)]
+            out = [(begin[k] + int(number[a]) * step[k], part[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False) if a < b for k, part in (("p", table), ("z", z))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["at", "data"])
+
+    patches = _numbered(pulses).select("number", *names, F.transform("z", lambda x: F.struct(x["re"].cast("double").alias("re"), x["im"].cast("double").alias("im"))).alias("z")).mapInArrow(pack, "at long, data binary")
+    write_patches(patches, path, begin["z"] + step["z"] * vectors, head.encode().ljust(start, b"\0") + xml + b"\f\n")

@@ -12,20 +12,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
-from .blocks import BLOCK, Layout, RasterReader, RowBlock, pixel_batch, read_bytes
+from .blocks import BLOCK, Layout, RasterReader, RowBlock, pieces, pixel_batch, read_bytes
+from .patches import block_patches, strip_lines, write_patches
 
 # Where fields stand in the file header and in image subheaders.
 IMAGES_AT, ROWS_AT, COLS_AT = 360, 333, 341
 
 ELEMENTS = {"RE32F_IM32F": ">f4", "RE16I_IM16I": ">i2", "AMP8I_PHS8I": "u1"}
 
-#: Most bytes and rows of a segment.
-SEGMENT_BYTES, SEGMENT_ROWS = 9_999_999_998, 99_999
+#: Most bytes and rows of a segment, and segments of a file.
+SEGMENT_BYTES, SEGMENT_ROWS, SEGMENTS = 9_999_999_998, 99_999, 999
 
 
 @dataclass(frozen=True)
@@ -107,13 +107,17 @@ class SicdReader(RasterReader):
         if not len(rows) or not len(cols):
             return
         width = self.layout.row_bytes
-        raw = read_bytes(self.path, s.offset + (partition.first - s.first) * width, (partition.last - partition.first + 1) * width)
-        batch = pixel_batch(raw, self.layout, partition.first, rows, cols)
-        if self.image.pixel_type == "AMP8I_PHS8I":
-            amplitude, phase = (batch.column(k).to_numpy() for k in (2, 3))
-            z = amplitude * np.exp(2j * np.pi * phase / 256)
-            batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z.real), pa.array(z.imag)], names=["r", "c", "re", "im"])
-        yield batch
+        for first, last in pieces(partition.first, partition.last, self.layout.cols):
+            kept = rows[(rows >= first) & (rows <= last)]
+            if not len(kept):
+                continue
+            raw = read_bytes(self.path, s.offset + (first - s.first) * width, (last - first + 1) * width)
+            batch = pixel_batch(raw, self.layout, first, kept, cols)
+            if self.image.pixel_type == "AMP8I_PHS8I":
+                amplitude, phase = (batch.column(k).to_numpy() for k in (2, 3))
+                z = amplitude * np.exp(2j * np.pi * phase / 256)
+                batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z.real), pa.array(z.imag)], names=["r", "c", "re", "im"])
+            yield batch
 
 
 class SicdSource(DataSource):
@@ -165,11 +169,19 @@ def _image_header(rows: int, cols: int, element: str, place: int) -> bytes:
     return _padded(fields)
 
 
+def _amplitude_and_phase(values: np.ndarray) -> np.ndarray:
+    z = values[..., 0] + 1j * values[..., 1]
+    return np.round(np.stack([np.minimum(np.abs(z), 255), np.angle(z) * 128 / np.pi % 256], -1)) % 256
+
+
 def write_sicd(px: DataFrame, path: str, rows: int, cols: int, pixel_type: str = "RE32F_IM32F", segment_rows: int = SEGMENT_ROWS) -> None:
-    """One file; missing pixels are zeros. Packed lines pass through the driver one by one."""
+    """One file, written in place by tasks; missing pixels are zeros.
+
+    Segments have at most segment_rows, or more if the file couldn't hold so many of them.
+    """
     element = ELEMENTS[pixel_type]
     width = 2 * np.dtype(element).itemsize * cols
-    most = max(1, min(segment_rows, SEGMENT_ROWS, SEGMENT_BYTES // width))
+    most = max(1, min(max(segment_rows, -(-rows // SEGMENTS)), SEGMENT_ROWS, SEGMENT_BYTES // width))
     sizes = [min(most, rows - k) for k in range(0, rows, most)]
     xml = f'<SICD xmlns="urn:SICD:1.3.0"><ImageData><PixelType>{pixel_type}</PixelType><NumRows>{rows}</NumRows><NumCols>{cols}</NumCols><FirstRow>0</FirstRow><FirstCol>0</FirstCol></ImageData></SICD>'.encode()
     headers = [_image_header(n, cols, element, k + 1) for k, n in enumerate(sizes)]
@@ -178,33 +190,14 @@ def write_sicd(px: DataFrame, path: str, rows: int, cols: int, pixel_type: str =
     header_length = IMAGES_AT + sum(w for _, w in counts)
     total = header_length + sum(len(h) + n * width for h, n in zip(headers, sizes, strict=True)) + len(des) + len(xml)
     start = [("NITF02.10", 9), (3, 2), ("BF01", 4), ("ECHOFIELD", 10), ("", 14), ("", 80), *SECURITY, (0, 5), (0, 5), (0, 1), ("", 3), ("", 24), ("", 18), (total, 12), (header_length, 6)]
-    cell = F.struct("c", "re", "im")
-    lines = px.where(F.col("r").between(0, rows - 1) & F.col("c").between(0, cols - 1)).groupBy("r").agg(F.collect_list(cell).alias("cells")).orderBy("r")
-    with pyarrow.fs.LocalFileSystem().open_output_stream(path) as out:
-        out.write(_padded(start + counts))
-        ends = np.cumsum(sizes).tolist()
-        starts = {e - n: k for k, (e, n) in enumerate(zip(ends, sizes, strict=True))}
-        at = 0
-
-        def blank(upto: int) -> None:
-            nonlocal at
-            while at < upto:
-                if at in starts:
-                    out.write(headers[starts[at]])
-                out.write(bytes(width))
-                at += 1
-
-        for line in lines.toLocalIterator(prefetchPartitions=True):
-            blank(line["r"])
-            if at in starts:
-                out.write(headers[starts[at]])
-            values = np.zeros((cols, 2))
-            for x in line["cells"]:
-                values[x["c"]] = x["re"], x["im"]
-            if element == "u1":
-                z = values[:, 0] + 1j * values[:, 1]
-                values = np.stack([np.minimum(np.abs(z), 255), np.angle(z) * 128 / np.pi % 256], 1)
-            out.write((values if element == ">f4" else np.round(values) % 256 if element == "u1" else np.round(values)).astype(element).tobytes())
-            at += 1
-        blank(rows)
-        out.write(des + xml)
+    # Strips of lines don't cross segments: each segment begins a strip of its own.
+    lines = strip_lines(width, most)
+    strips = -(-most // lines)
+    ends = np.cumsum([header_length] + [len(h) + n * width for h, n in zip(headers, sizes, strict=True)]).tolist()
+    segment, strip = F.floor(F.col("i") / strips), F.col("i") % strips
+    at = header_length + segment * (len(headers[0]) + most * width) + len(headers[0]) + strip * lines * width
+    inside = px.where(F.col("r").between(0, rows - 1))
+    placed = inside.select((F.floor(F.col("r") / most) * strips * lines + F.col("r") % most).alias("r"), "c", "re", "im")
+    stored = lambda i: min(lines, sizes[i // strips] - i % strips * lines)
+    patches = block_patches(placed, len(sizes) * strips * lines, cols, (lines, cols), element, at, convert=_amplitude_and_phase if element == "u1" else None, stored=stored)
+    write_patches(patches, path, total, _padded(start + counts), [*zip(ends, headers, strict=False), (ends[-1], des + xml)])

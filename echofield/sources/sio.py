@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import struct
 
-import pyarrow.fs
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .blocks import Layout, RasterSource, read_bytes
+from .patches import line_patches, write_patches
 
 # The first number, without and with user data; read the other way round
 # it tells the other byte order.
@@ -53,21 +52,6 @@ class SioSource(RasterSource):
 
 
 def write_sio(px: DataFrame, path: str, rows: int, cols: int) -> None:
-    """One file of big-endian complex floats; missing pixels are zeros.
-
-    Rows are packed by the executors and arrive in order, one after the other, so the
-    driver holds a row at a time.
-    """
-    cell = F.struct("c", "re", "im")
-    lines = px.where(F.col("r").between(0, rows - 1) & F.col("c").between(0, cols - 1)).groupBy("r").agg(F.collect_list(cell).alias("cells")).orderBy("r")
-    with pyarrow.fs.LocalFileSystem().open_output_stream(path) as out:
-        out.write(struct.pack(">5I", MAGIC, rows, cols, 13, 8))
-        at = 0
-        for line in lines.toLocalIterator(prefetchPartitions=True):
-            out.write(bytes(8 * cols * (line["r"] - at)))
-            values = [0.0] * (2 * cols)
-            for x in line["cells"]:
-                values[2 * x["c"]], values[2 * x["c"] + 1] = x["re"], x["im"]
-            out.write(struct.pack(f">{2 * cols}f", *values))
-            at = line["r"] + 1
-        out.write(bytes(8 * cols * (rows - at)))
+    """One file of big-endian complex floats, written in place by tasks; missing pixels are zeros."""
+    head = struct.pack(">5I", MAGIC, rows, cols, 13, 8)
+    write_patches(line_patches(px, rows, cols, ">f4", len(head)), path, len(head) + 8 * rows * cols, head)
