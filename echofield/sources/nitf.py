@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
 from . import blocks
-from .patches import block_patches, write_patches
+from .patches import block_patches, line_patches, write_patches
 from .tiles import SCHEMA, Image, Place, TileReader, block_place
 
 # Fields of subheaders, with their widths and the kind of each: text, number
@@ -57,6 +57,8 @@ CMETAA = {"CMPLX_MAG_REMAP_TYPE": (156, 4), "CMPLX_LIN_SCALE": (160, 7), "CMPLX_
 # Lines backwards, samples backwards, exchanged, by the direction of range.
 TURNS = {"ROW_INC": (False, False, False), "ROW_DEC": (True, True, False), "COL_INC": (True, False, True), "COL_DEC": (False, True, True)}
 NO_BLOCK = 0xFFFFFFFF
+#: What a count of blocks can say. An image of more blocks down has 0 there, which is ours: the lines tell their number.
+MOST_BLOCKS = 9999
 
 
 def parsed(raw: bytes, grammar: list) -> tuple[dict, int]:
@@ -286,7 +288,7 @@ class Written:
         for name in self.bands:
             out += [text("", 2), text(name, 6), b"N", text("", 3), digits(1, 1) + digits(len(self.table), 5) + self.table if self.table else b"0"]
         (down, across), (lines, samples) = self.grid, self.shape
-        out += [b"0", text(self.mode, 1), digits(across, 4), digits(down, 4), digits(samples if self.block else 0, 4), digits(lines if self.block else 0, 4), digits(self.bits, 2)]
+        out += [b"0", text(self.mode, 1), digits(across, 4), digits(down if down <= MOST_BLOCKS else 0, 4), digits(samples if self.block else 0, 4), digits(lines if self.block else 0, 4), digits(self.bits, 2)]
         out += [digits(number + 1, 3), digits(number, 3), b"0000000000", text("1.0", 4), digits(0, 5)]
         out.append(digits(len(self.extension) + 3, 5) + b"000" + self.extension if self.extension else digits(0, 5))
         return b"".join(out)
@@ -328,7 +330,12 @@ def write_nitf(images: list[tuple[DataFrame, Written]], path: str) -> None:
         begin, across = at + len(sub), w.grid[1]
         number = F.col("i") * across + F.col("j")
         convert: Callable | None = _halves if w.element == ">u2" and w.kind == "C" else None
-        if w.mode == "S":  # a part of the file for each band
+        if w.block is None:  # one block of any size: strips of its lines, of each plane by itself where planes lie one behind the other
+            whole, item = w.mode in "PR" or w.kind == "C", np.dtype(w.element).itemsize
+            for k, names in enumerate([list(w.planes)] if whole else [[name] for name in w.planes]):
+                axis = 1 if w.mode == "R" and w.kind != "C" else -1
+                patches.append(line_patches(px, w.rows, w.cols, w.element, begin + k * w.rows * w.cols * item, names, axis, convert))
+        elif w.mode == "S":  # a part of the file for each band
             plane = w.block_bytes // len(w.planes)
             patches += [block_patches(px, w.rows, w.cols, w.shape, w.element, begin + (k * w.grid[0] * across + number) * plane, [name], 0) for k, name in enumerate(w.planes)]
         else:

@@ -164,9 +164,21 @@ class TileReader(DataSourceReader):
             ]
             size = image.tile_lines * image.tile_samples * np.dtype(image.element).itemsize * image.bands * 2
             step = max(1, blocks.BLOCK // size)
+            if size > blocks.BLOCK and self.plain:  # a large tile is runs of its lines
+                part = max(1, blocks.BLOCK // (size // image.tile_lines))
+                for tile in tiles:
+                    top = tile[0] * image.tile_lines
+                    low, high = max(top, lines[0]), min(top + image.tile_lines - 1, lines[1])
+                    out += [Run(image, [tile], (k, min(k + part - 1, high)), samples) for k in range(low, high + 1, part)]
+                continue
             out += [Run(image, tiles[k : k + step], lines, samples) for k in range(0, len(tiles), step)]
         return out
 
+    @property
+    def plain(self) -> bool:
+        """Whether some lines of a tile can be read without the others."""
+        return type(self).load is TileReader.load
+
     def load(self, image: Image, place: Place, first: int, last: int) -> np.ndarray:
         """Planes of the tile's lines first to last."""
         item = np.dtype(image.element).itemsize
@@ -189,20 +201,24 @@ class TileReader(DataSourceReader):
             top, left = i * image.tile_lines, j * image.tile_samples
             low, high = max(top, partition.lines[0]), min(top + image.tile_lines - 1, partition.lines[1], image.lines - 1)
             begin, end = max(left, partition.samples[0]), min(left + image.tile_samples - 1, partition.samples[1], image.samples - 1)
-            r, c = np.arange(low, high + 1), np.arange(begin, end + 1)
-            r, c = (image.lines - 1 - r if back_r else r), (image.samples - 1 - c if back_c else c)
+            c = np.arange(begin, end + 1)
+            c = image.samples - 1 - c if back_c else c
             steps = (self.stride["c"], self.stride["r"]) if exchanged else (self.stride["r"], self.stride["c"])
-            kept, chosen = np.flatnonzero(r % steps[0] == 0), np.flatnonzero(c % steps[1] == 0)
-            if not len(kept) or not len(chosen):
-                continue
-            planes = self.load(image, place, low - top, high - top)[:, :, begin - left : end - left + 1]
-            re, im = make(np.ascontiguousarray(planes[:, kept][:, :, chosen].astype(planes.dtype.newbyteorder("="))), *extra)
-            n = len(kept) * len(chosen)
-            places = [np.repeat(r[kept], len(chosen)), np.tile(c[chosen], len(kept))]
-            first, second = places[::-1] if exchanged else places
-            for band in range(image.bands):
-                columns = [np.full(n, image.number, np.int32), np.full(n, band, np.int32), first, second, re[band].ravel().astype(np.float64), im[band].ravel().astype(np.float64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["image", "band", "r", "c", "re", "im"])
+            chosen = np.flatnonzero(c % steps[1] == 0)
+            for first_line, last_line in blocks.pieces(low, high, image.tile_samples * image.bands) if self.plain else [(low, high)]:
+                r = np.arange(first_line, last_line + 1)
+                r = image.lines - 1 - r if back_r else r
+                kept = np.flatnonzero(r % steps[0] == 0)
+                if not len(kept) or not len(chosen):
+                    continue
+                planes = self.load(image, place, first_line - top, last_line - top)[:, :, begin - left : end - left + 1]
+                re, im = make(np.ascontiguousarray(planes[:, kept][:, :, chosen].astype(planes.dtype.newbyteorder("="))), *extra)
+                n = len(kept) * len(chosen)
+                places = [np.repeat(r[kept], len(chosen)), np.tile(c[chosen], len(kept))]
+                first, second = places[::-1] if exchanged else places
+                for band in range(image.bands):
+                    columns = [np.full(n, image.number, np.int32), np.full(n, band, np.int32), first, second, re[band].ravel().astype(np.float64), im[band].ravel().astype(np.float64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["image", "band", "r", "c", "re", "im"])
 
 
 class BlockedReader(TileReader):

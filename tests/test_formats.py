@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from echofield.operators import algorithms, estimates, viewer
-from echofield.sources import cosar, opened, tiff
+from echofield.sources import blocks, cosar, cphd, nitf, opened, patches, sicd, sio, tiff
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +95,42 @@ def test_cosar_of_tasks_is_the_arrays(spark, tmp_path, image):
 
 def _px(spark, image):
     return spark.createDataFrame([(r, c, float(z.real), float(z.imag)) for (r, c), z in np.ndenumerate(image)], "r long, c long, re double, im double")
+
+
+@pytest.mark.parametrize("kind", ["sio", "sicd", "cphd"])
+def test_no_pixel_passes_the_driver(spark, tmp_path, image, monkeypatch, kind):
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", None)
+    path, px = str(tmp_path / "x"), _px(spark, image)
+    if kind == "cphd":
+        lines = px.orderBy("c").groupBy((F.col("r") * 3).alias("vec")).agg(F.array_sort(F.collect_list(F.struct("c", "re", "im"))).alias("z"))
+        cphd.write_cphd(lines.withColumn("tx_time", F.col("vec") * 0.5), path)
+        got = opened.open_reader(spark, path).select((F.col("tx_time") / 1.5).cast("long").alias("r"), F.posexplode("z").alias("c", "z")).select("r", "c", "z.*").collect()
+    elif kind == "sio":
+        sio.write_sio(px, path, *image.shape)
+        got = opened.open_reader(spark, path).collect()
+    else:
+        sicd.write_sicd(px, path, *image.shape, segment_rows=10)
+        got = opened.open_reader(spark, path).collect()
+    assert {(x.r, x.c): complex(x.re, x.im) for x in got} == dict(np.ndenumerate(image))
+
+
+@pytest.mark.parametrize(("bands", "mode"), [(("I", "Q"), "P"), (("I", "Q"), "R"), (("I", "Q"), "S"), (("I", "Q"), "B")])
+def test_an_image_of_one_block_is_written_and_read_in_strips(spark, tmp_path, image, monkeypatch, bands, mode):
+    monkeypatch.setattr(patches, "STRIP", 5 * 8 * image.shape[1])
+    monkeypatch.setattr(blocks, "BLOCK", 16 * 8 * image.shape[1])
+    packed = []
+    monkeypatch.setattr(nitf, "write_patches", lambda p, *rest: (packed.append(p.count()), patches.write_patches(p, *rest)))
+    nitf.registered(spark)
+    path = str(tmp_path / "x.ntf")
+    nitf.write_nitf([(_px(spark, image), nitf.Written(*image.shape, "R", 32, bands, mode, None, extension=nitf.range_direction("ROW_INC")))], path)
+    back = spark.read.format("nitf").load(path)
+    assert {(x.r, x.c): complex(x.re, x.im) for x in back.collect()} == dict(np.ndenumerate(image))
+    reader = nitf.NitfReader(path, {})
+    runs = [pd.concat(b.to_pandas() for b in reader.read(x)) for x in reader.partitions()]
+    assert packed[0] >= 8 and len(runs) > 1 and max(map(len, runs)) <= 16 * image.shape[1] and sum(map(len, runs)) == image.size
+
+
+def test_more_blocks_than_a_field_holds():
+    w = nitf.Written(320_000, 32, "R", 32, ("I", "Q"), "B", (32, 32))
+    fields, n = nitf.parsed(w.subheader(0), nitf.SUBHEADERS["02.10"])
+    assert n == len(w.subheader(0)) and fields["NPPBV"] == 32 and fields["NROWS"] == 320_000
