@@ -11,6 +11,13 @@ def polyval(coefficients: Column, x: Column) -> Column:
     return F.aggregate(F.reverse(coefficients), F.lit(0.0), lambda total, c: total * x + c)
 
 
+def chebyshev(coefficients: Column, u: Column) -> Column:
+    """The series of Chebyshev polynomials at u in [-1, 1], by Clenshaw's rule."""
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
+    step = lambda s, c: F.struct((c + 2 * u * s["a"] - s["b"]).alias("a"), s["a"].alias("b"), s["b"].alias("c"))
+    return F.aggregate(F.reverse(coefficients), start, step, lambda s: s["a"] - u * s["b"])
+
+
 def polyval2d(coefficients: Column, x: Column, y: Column) -> Column:
     """The sum of coefficients[m][n] * x**m * y**n."""
     return F.aggregate(F.reverse(F.transform(coefficients, lambda row: polyval(row, y))), F.lit(0.0), lambda total, c: total * x + c)

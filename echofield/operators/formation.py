@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import poly
 from ..functions.geodesy import LIGHT, normal
 from ..functions.vectors import Vec, vec
 from .spectral import on_lines, padded_inverse, turned
@@ -190,6 +191,43 @@ def fitted_polynomial(df: DataFrame, x: str, ys: list[str], order: int) -> list[
     return out
 
 
+#: Orders that a series is fitted with, until it is near enough.
+ORDERS = (5, 8, 12, 16, 24, 32, 48)
+
+
+def fitted_series(df: DataFrame, x: str, ys: list[str], miss: float) -> tuple[float, float, list[list[float]]]:
+    """Centre and half-width of x, and for each y its least squares coefficients of Chebyshev polynomials.
+
+    The order is the least of ORDERS that misses no y by more than ``miss``, or else the
+    best one; a long arc needs a higher one than a short arc. It stays under twice the root of the number
+    of rows, up to which fits over even steps are well conditioned. What a fit leaves is fitted once more, against rounding.
+    """
+    low, high, n = df.agg(F.min(x), F.max(x), F.count(x)).first()
+    if not n:
+        raise ValueError("nothing to fit")
+    centre, half = (low + high) / 2, (high - low) / 2 or 1.0
+    orders = [k for k in ORDERS if k <= 2 * n**0.5 and k < n] or [min(ORDERS[0], n - 1)]
+    u = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col(x) - centre) / half))
+
+    def solved(values: list[Column], most: int) -> list[list[list[float]]]:
+        """Coefficients of each value, for each order up to most."""
+        based = df.select(F.acos(u).alias("_angle"), *[v.alias(f"_{k}") for k, v in enumerate(values)])
+        basis = [F.cos(F.col("_angle") * k) for k in range(2 * most + 1)]
+        sums = based.agg(*[F.sum(b).alias(f"s{k}") for k, b in enumerate(basis)], *[F.sum(basis[k] * F.col(f"_{j}")).alias(f"v{j}_{k}") for j in range(len(values)) for k in range(most + 1)]).first()
+        out = []
+        for order in (k for k in orders if k <= most):
+            matrix = np.array([[(sums[f"s{i + j}"] + sums[f"s{abs(i - j)}"]) / 2 for j in range(order + 1)] for i in range(order + 1)])
+            out.append([np.linalg.solve(matrix, [sums[f"v{j}_{k}"] for k in range(order + 1)]).tolist() for j in range(len(values))])
+        return out
+
+    tried = solved([F.col(y) for y in ys], orders[-1])
+    value = lambda c: poly.chebyshev(F.array(*map(F.lit, c)), u)
+    misses = df.agg(*[F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(y) - value(c)) for y, c in zip(ys, fits, strict=True)])) for fits in tried]).first()
+    best = next((k for k, m in enumerate(misses) if m <= miss), int(np.argmin(misses)))
+    left = solved([F.col(y) - value(c) for y, c in zip(ys, tried[best], strict=True)], orders[best])[-1]
+    return centre, half, [[a + b for a, b in zip(c, d, strict=True)] for c, d in zip(tried[best], left, strict=True)]
+
+
 def velocity(pulses: DataFrame) -> DataFrame:
     """vec and the finite difference of the position to the next pulse."""
     order = Window.partitionBy("channel").orderBy("tx_time")

@@ -454,7 +454,6 @@ def pfa_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 def poly_fit_arp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions from the fitted polynomials, to a centimetre those that they were fitted to."""
     pulses = views.pulses(spark, sf_dir)
-    fx, fy = formation.fitted_polynomial(pulses, "tx_time", ["tx_x", "tx_y"], 5)
-    t = F.col("tx_time")
-    value = lambda c: poly.polyval(F.array(*map(F.lit, c)), t)
+    centre, half, (fx, fy) = formation.fitted_series(pulses, "tx_time", ["tx_x", "tx_y"], 1e-7)
+    value = lambda c: poly.chebyshev(F.array(*map(F.lit, c)), (F.col("tx_time") - centre) / half)
     return pulses.select("vec", rounded(value(fx), 2).alias("x"), rounded(value(fy), 2).alias("y"))

@@ -178,3 +178,10 @@ def test_whole_images_reach_the_result(spark, tmp_path):
     got = {(x.r, x.c): complex(x.re, x.im) for x in measuring.block_function(spark, str(tmp_path)).collect()}
     assert len(got) == 700 * 32 and all(abs(got[r, c] - want[r, c]) < 1e-5 for r in range(700) for c in range(32))
     assert measuring.spectrogram(spark, str(tmp_path)).select("r").distinct().count() == 700
+
+
+def test_positions_of_a_long_arc_are_fitted_to_a_centimetre(spark, tmp_path):
+    spark.range(0, 720_000, 180).select(F.col("id").alias("vec_id"), F.lit(0.0).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = collects.poly_fit_arp(spark, str(tmp_path)).toPandas().sort_values("vec")
+    angle = (out.vec.to_numpy() - 250) * 0.00002
+    assert len(out) == 4000 and np.abs(out.x - 7e6 * np.cos(angle)).max() < 0.0051 and np.abs(out.y - 7e6 * np.sin(angle)).max() < 0.0051
