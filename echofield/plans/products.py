@@ -275,11 +275,13 @@ def ceos_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ceos_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State vectors of the position records, with the collect whose summary is in front of them."""
     path = _leader_file(spark, sf_dir)
-    found = ceos.contents(ceos.records(spark, path, 1 << 20).where(F.col("type").isin(ceos.SUMMARY, ceos.POSITION)), path)
+    found = ceos.records(spark, path, 1 << 20)
+    of = lambda kind: ceos.contents(found.where(F.col("type") == kind), path)
     pair = F.expr("number div 2")
-    scenes = found.where(F.col("type") == ceos.SUMMARY).select(pair.alias("pair"), *ceos.fields(F.col("content"), ceos.SUMMARY)[:1])
-    at = found.where(F.col("type") == ceos.POSITION).select(pair.alias("pair"), "content", *ceos.fields(F.col("content"), ceos.POSITION))
-    each = at.join(scenes, "pair").select("scene_id", "second", "interval", F.inline(ceos.points(F.col("content"), F.col("points"))))
+    scenes = of(ceos.SUMMARY).select(pair.alias("pair"), *ceos.fields(F.col("content"), ceos.SUMMARY)[:1])
+    at = of(ceos.POSITION).select(pair.alias("pair"), "content", *ceos.fields(F.col("content"), ceos.POSITION))
+    states = at.select("pair", "second", "interval", ceos.points(F.col("content"), F.col("points")).alias("states"))
+    each = states.join(scenes, "pair").select("scene_id", "second", "interval", F.inline("states"))
     when = rounded(F.col("second") + F.col("interval") * F.col("k")).alias("second")
     return each.select(F.regexp_extract("scene_id", "-(.*)", 1).cast("long").alias("collect_id"), "k", when, *(rounded(F.col(n)).alias(n) for n in ("x", "z", "vx")))
 

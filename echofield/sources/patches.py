@@ -13,9 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 
 def scratch(spark: SparkSession) -> str:
@@ -37,15 +38,16 @@ def scratch_file(spark: SparkSession, name: str) -> str:
     return f"{root.removeprefix('file://').removeprefix('file:')}/{uuid.uuid4().hex}-{name}"
 
 
-class PatchWriter(DataSourceWriter):
+class PatchWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         with open(self.path, "r+b") as f:
-            for row in iterator:
-                f.seek(row[0])
-                f.write(row[1])
+            for batch in iterator:
+                for at, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    f.seek(at)
+                    f.write(data.as_buffer())
         return WriterCommitMessage()
 
 

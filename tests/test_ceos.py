@@ -64,3 +64,20 @@ def test_contents_and_fields(spark, tmp_path):
     found = ceos.contents(ceos.records(spark, str(path)), str(path))
     row = found.select(*ceos.fields(found.content, ceos.SUMMARY)).first()
     assert (row.scene_id, row.prf, row.clock_angle, row.wavelength) == ("ALOS2-X", 2000.5, -90.0, None)
+
+
+def test_all_wrong_ranges_are_found_at_once():
+    ends = {0: (0, 130), 1: (140, 250), 2: (250, 310), 3: (350, 420), 4: (420, 500)}
+    assert ceos.wrong_ranges(ends, 5, 100, 500) == {1: 130, 3: 310}
+    assert ceos.wrong_ranges({0: (0, 250), 1: (150, 250), 2: (250, 300)}, 3, 100, 300) == {1: 250}
+    assert ceos.wrong_ranges({0: (0, 250), 2: (250, 300)}, 3, 100, 300) == {}
+
+
+def test_a_guess_skips_no_record(tmp_path):
+    """Steps of the second record's length meet a beginning now and then, but not always the first one."""
+    lengths = [720] + [1720, 782] * 3000
+    ats = np.cumsum([0, *lengths]).tolist()
+    (tmp_path / "x").write_bytes(b"".join(struct.pack(">IBBBBI", k + 1, 1, 10, 18, 20, n) + b" " * (n - 12) for k, n in enumerate(lengths)))
+    with ceos.Chain(str(tmp_path / "x")) as chain:
+        for start in range(1, ats[-9], 4093):
+            assert chain.guess(start, ats[-1]) == next(a for a in ats if a >= start)
