@@ -187,3 +187,18 @@ def test_bilinear_beyond_the_grid_is_null(spark):
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 1.0), (3, 1.5, 0.5)], "id int, lat double, lon double")
     got = {x.id: x.elev for x in geometry.bilinear(points, grid, 1.0).collect()}
     assert got == {1: 2.5, 2: 4.0, 3: None}
+
+
+def test_near_pairs_send_a_row_to_few_cells(spark, monkeypatch):
+    from itertools import combinations
+
+    from echofield.operators import catalog
+
+    rows = [(k, (k * 37 % 101) * 0.0004 - 0.02, (k * 53 % 89) * 0.0003 - 0.013, float(k % 11)) for k in range(400)]
+    joined = []
+    join = type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda left, right, *rest: (joined.append(right.count()), join(left, right, *rest))[1])
+    out = catalog.near_pairs(spark.createDataFrame(rows, "collect_id long, lat double, lon double, graze double"))
+    want = {(a[0], b[0]) for a, b in combinations(rows, 2) if abs(a[1] - b[1]) < 0.001 and abs(a[2] - b[2]) < 0.001 and abs(a[3] - b[3]) < 5}
+    assert {(x.a, x.b) for x in out.collect()} == want and want
+    assert joined[0] < 3 * len(rows)
