@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -165,6 +166,44 @@ def test_groups_hold_each_polarisation_once(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6}
 
 
+def greedy_groups(rows):
+    """(collect_id, group) by comparing each frame with all groups of before."""
+    groups, out = [], {}
+    for f in sorted(rows, key=lambda x: x[1]):
+        for first, held in groups:
+            near = (f[0], f[7], f[8]) == (first[0], first[7], first[8]) and abs((f[2] - first[2]).total_seconds()) < 0.01 and None not in (f[3], first[3])
+            if near and abs(f[3] - first[3]) < 1e-5 and abs(f[4] - first[4]) < 1e-5 and abs(f[5] - first[5]) < 1 and abs(f[10] - first[10]) < 1 / (first[9] * first[7]) and f[6] not in held:
+                held.add(f[6])
+                out[f[1]] = first[1]
+                break
+        else:
+            groups.append((f, {f[6]}))
+            out[f[1]] = f[1]
+    return out
+
+
+def test_frames_of_many_chains(spark):
+    """Places equal, within and beyond the tolerance, and missing, in chains of a few frames and of hundreds."""
+    rng = np.random.default_rng(8)
+    start, pols = datetime(2024, 1, 1), ["H:H", "H:V", "V:H", None]
+    rows = []
+    for k in map(int, rng.permutation(900)):
+        place = [float(x) for x in (rng.integers(0, 6, 2) * 6e-6 if k % 3 else rng.integers(0, 9, 2) * 1.0)]
+        lat = None if k % 97 == 0 else place[0]
+        rows.append((int(rng.integers(2)), k, start + timedelta(milliseconds=int(rng.integers(0, 4)) * 7), lat, place[1], float(rng.choice([0.0, 0.9, 1.8])) if k % 3 else 0.0, pols[rng.integers(4)], 10, 10, 1.0 if k % 5 else 0.5, 0.5 + 0.06 * (k % 2)))
+    schema = "collector int, collect_id long, collect_start timestamp, lat double, lon double, hae double, pol string, n_rows int, n_cols int, spacing double, k_ctr double"
+    got = catalog.same_collect_groups(spark.createDataFrame(rows, schema)).collect()
+    assert {x.collect_id: x.group for x in got} == greedy_groups(rows) and len(got) == 900
+
+
+def test_frames_of_one_moment_and_place_take_no_time_each(spark):
+    """40,000 frames of one collector and polarisation: each is a group, none is compared with all of before."""
+    began = time.monotonic()
+    frames = spark.range(40_000).selectExpr("1L collector", "id collect_id", "timestamp'2024-01-01' collect_start", "0D lat", "if(id % 2 = 0, 0D, 5e-6D) lon", "0D hae", "'H:H' pol", "10 n_rows", "10 n_cols", "1D spacing", "0.5D k_ctr")
+    assert catalog.same_collect_groups(frames).where('group = collect_id').count() == 40_000
+    assert time.monotonic() - began < 60
+
+
 def test_point_target_peaks_where_it_is(spark):
     rows = collects.bp_image(spark, SF).toPandas()
     peak = rows.loc[rows.amplitude.idxmax()]
