@@ -15,19 +15,35 @@ from . import grouped
 from .formation import fitted_polynomial
 
 
+#: In no XML document, so it parts the fields that one expression returns.
+PARTED = "\uffff"
+
+
 def xml_fields(products: DataFrame, text: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """Adds fields given as (XPath, type); a missing element gives null.
 
-    Paths that use local-name() work with any namespace.
+    Paths that use local-name() work with any namespace. A text is parsed once for all
+    fields: one expression returns how many nodes each path has and the first one's text.
+    Lists of several nodes are asked for by themselves; so are all fields of a text with CDATA
+    sections, which ``xpath`` takes for nodes of their own.
     """
+    if not fields:
+        return products
+    paths = {name: path if path.endswith("text()") or "/@" in path else f"{path}/text()" for name, (path, _) in fields.items()}
+    apart = f", '{PARTED}', "
+    both = apart.join(f"count({x}){apart}string({x})" for x in paths.values())
+    sections = F.contains(F.col(text), F.lit("<![CDATA["))
+    # The array is a column of its own, as an expression that is used twice might be evaluated twice.
+    parts = F.split(F.when(~sections, F.xpath_string(F.col(text), F.lit(f"concat({both})"))), PARTED)
     out = {}
-    for name, (path, kind) in fields.items():
-        values = F.xpath(F.col(text), F.lit(path if path.endswith("text()") or "/@" in path else f"{path}/text()"))
+    for k, (name, (_, kind)) in enumerate(fields.items()):
+        many, first = F.get("_parts", F.lit(2 * k)).cast("int"), F.get("_parts", F.lit(2 * k + 1))
+        values = F.xpath(F.col(text), F.lit(paths[name]))
         if kind.startswith("array<"):
-            out[name] = _numbers(F.array_join(values, " "), kind[6:-1])
+            out[name] = _numbers(F.when(sections | (many > 1), F.array_join(values, " ")).otherwise(first), kind[6:-1])
         else:
-            out[name] = F.get(values, 0).try_cast(kind)
-    return products.withColumns(out)
+            out[name] = F.when(sections, F.get(values, 0)).when(many > 0, first).try_cast(kind)
+    return products.withColumn("_parts", parts).withColumns(out).drop("_parts")
 
 
 def _numbers(text: Column, kind: str) -> Column:

@@ -17,6 +17,30 @@ def test_xml_fields(spark):
     assert rows[1].mission is None and rows[1].a is None
 
 
+def test_xml_fields_are_those_of_each_path(spark):
+    """Texts with several nodes, entities, CDATA sections, comments, blanks, or nothing, against a parse for each field."""
+    texts = [
+        XML, "<p/>", None, "", "<p><h><mission> S&amp;1&#233;</mission><mission>S2</mission><v a=''>1</v><v a='3'>2 3</v></h></p>", "<p><h><mission/><v>  </v></h></p>",
+        "<p><h><mission>a<![CDATA[b]]>c</mission><v>1<![CDATA[ 2]]></v></h></p>", "<p><h><mission>a<!-- b -->c</mission><v>1<v/>2</v></h></p>",
+        "<!DOCTYPE p [<!ENTITY e 'val'>]><p><h><mission>1&e;2</mission></h></p>", "<p xmlns='u'><h><mission>😀</mission><v>4\n5\t6</v></h></p>",
+    ]
+    paths = {"mission": ("p/h/mission", "string"), "v": ("p/h/v", "array<double>"), "a": ("p/h/v/@a", "string"), "n": ("p/h/v/@a", "int"), "u": ("//*[local-name()='mission']/text() | //v/@a", "string")}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    nodes = {k: F.xpath("text", F.lit(path if path.endswith("@a") else f"{path}/text()")) for k, (path, _) in paths.items()}
+    # One at a time, as was done for all once.
+    want = df.select("id", F.get(nodes["mission"], 0).alias("mission"), F.expr("transform(split(trim(array_join(xpath(text, 'p/h/v/text()'), ' ')), '\\\\s+'), x -> try_cast(x as double))").alias("v"), F.get(nodes["a"], 0).alias("a"), F.get(nodes["n"], 0).try_cast("int").alias("n"), F.get(nodes["u"], 0).alias("u"))
+    got = sensors.xml_fields(df, "text", paths).drop("text")
+    assert sorted(map(tuple, got.collect()), key=lambda x: x[0]) == sorted(map(tuple, want.collect()), key=lambda x: x[0])
+
+
+def test_xml_is_parsed_once(spark):
+    products = spark.range(3).select(F.format_string("<p><a>%d</a><b>1</b><c>2</c></p>", "id").alias("text"))
+    plan = sensors.xml_fields(products, "text", {k: (f"p/{k}", "int") for k in "abc"})._jdf.queryExecution().optimizedPlan().toString()
+    # Others are asked for only when there are sections.
+    assert plan.count("concat(count(") == 1
+    assert [tuple(x) for x in sensors.xml_fields(products, "text", {k: (f"p/{k}", "int") for k in "abc"}).drop("text").collect()] == [(k, 1, 2) for k in range(3)]
+
+
 def test_json_fields(spark):
     row = sensors.json_fields(spark.createDataFrame([('{"c": {"f": 9.6}}',)], "text string"), "text", {"f": ("$.c.f", "double"), "g": ("$.g", "double")}).first()
     assert (row.f, row.g) == (9.6, None)
