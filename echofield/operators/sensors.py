@@ -17,16 +17,27 @@ from .formation import fitted_polynomial
 
 #: In no XML document, so it parts the fields that one expression returns.
 PARTED = "\uffff"
+#: Fields of one expression; Java refuses one of more than 100 operators.
+TOGETHER = 3
 
 
 def xml_fields(products: DataFrame, text: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """Adds fields given as (XPath, type); a missing element gives null.
 
-    Paths that use local-name() work with any namespace. A text is parsed once for all
-    fields: one expression returns how many nodes each path has and the first one's text.
+    Paths that use local-name() work with any namespace. A text is parsed once for
+    some fields: one expression returns how many nodes each path has and the first one's text.
     Lists of several nodes are asked for by themselves; so are all fields of a text with CDATA
     sections, which ``xpath`` takes for nodes of their own.
     """
+    if len(fields) > TOGETHER or any(sum(map(path.count, "/|[(=@")) > 12 for path, _ in fields.values()):
+        if len(fields) == 1:
+            ((name, (path, kind)),) = fields.items()
+            values = F.xpath(F.col(text), F.lit(path if path.endswith("text()") or "/@" in path else f"{path}/text()"))
+            return products.withColumn(name, _numbers(F.array_join(values, " "), kind[6:-1]) if kind.startswith("array<") else F.get(values, 0).try_cast(kind))
+        names, size = list(fields), TOGETHER if len(fields) > TOGETHER else 1
+        for k in range(0, len(names), size):
+            products = xml_fields(products, text, {x: fields[x] for x in names[k : k + size]})
+        return products
     if not fields:
         return products
     paths = {name: path if path.endswith("text()") or "/@" in path else f"{path}/text()" for name, (path, _) in fields.items()}
