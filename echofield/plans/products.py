@@ -14,6 +14,7 @@ from ..functions.cx import rounded
 from ..operators import orbits
 from ..sources import ceos, hdf5, hdf5_files, nitf, opened, sentinel1, tiff, tiles
 from ..sources.patches import block_patches, scratch_file, write_patches
+from ..sources.strips import SUFFIX, write_strips
 from . import views
 from .views import COLLECT, PX, SAMPLES
 
@@ -214,33 +215,39 @@ def _laid(parts: list[tuple[int, int, Column]], begin: int, end: int) -> Column:
     return F.encode(F.concat(*out, F.lit(" " * (end - at))), "ISO-8859-1")
 
 
+def _text(value: Column) -> Column:
+    """A number with seven digits behind the point; cheaper than a format string."""
+    return value.cast("decimal(22, 7)").cast("string")
+
+
 SUMMARY_BYTES, POSITION_BYTES, POINTS = 1720, 386 + 6 * 22 * 3, 3
 
 
 def _leader_file(spark: SparkSession, sf_dir: str) -> str:
-    """A summary and a position record for each collect, behind a descriptor."""
-    path = scratch_file(spark, "LED")
+    """A summary and a position record for each collect, behind a descriptor.
+
+    Records are mostly spaces, so the file is kept in compressed strips.
+    """
+    path = scratch_file(spark, "LED" + SUFFIX)
     co = views.collects(spark, sf_dir).select("collect_id", "lat", "lon", "graze", "azim", "side")
     low, n = co.agg(F.min("collect_id"), F.count("*")).first()
     k = F.col("collect_id") - low
-    text = lambda x, digits=7: F.format_string(f"%.{digits}f", x.cast("double"))
     values = {
         "scene_id": F.concat(F.lit("ALOS2-"), F.col("collect_id").cast("string")), "ctr_line": (F.col("collect_id") % 100).cast("string"), "ctr_pixel": (F.col("collect_id") % 16).cast("string"),
-        "clock_angle": F.when(F.col("side") == "L", "-90.000").otherwise("90.000"), "wavelength": text(F.col("graze") / 100), "prf": text(F.col("azim") * 10 + 1000000),
-        "bw_az": text(F.col("graze") * 20), "bw_rng": text(F.col("graze") * 1000), "line_spacing": text(F.col("graze") / 10), "pixel_spacing": text(F.lit(1.5)),
-        "at_dop_const": text(F.col("azim")), "at_dop_lin": text(F.lit(0.5)), "at_dop_quad": text(F.lit(0.001)), "xt_dop_const": text(F.col("azim")), "xt_dop_lin": text(F.lit(-0.25)), "xt_dop_quad": text(F.lit(0.002)),
-        "xt_rate_const": text(F.lit(-500)), "xt_rate_lin": text(F.lit(0.1)), "xt_rate_quad": text(F.lit(0)),
+        "clock_angle": F.when(F.col("side") == "L", "-90.000").otherwise("90.000"), "wavelength": _text(F.col("graze") / 100), "prf": _text(F.col("azim") * 10 + 1000000),
+        "bw_az": _text(F.col("graze") * 20), "bw_rng": _text(F.col("graze") * 1000), "line_spacing": _text(F.col("graze") / 10), "pixel_spacing": _text(F.lit(1.5)),
+        "at_dop_const": _text(F.col("azim")), "at_dop_lin": _text(F.lit(0.5)), "at_dop_quad": _text(F.lit(0.001)), "xt_dop_const": _text(F.col("azim")), "xt_dop_lin": _text(F.lit(-0.25)), "xt_dop_quad": _text(F.lit(0.002)),
+        "xt_rate_const": _text(F.lit(-500)), "xt_rate_lin": _text(F.lit(0.1)), "xt_rate_quad": _text(F.lit(0)),
     }
     where = ceos.FIELDS[ceos.SUMMARY]
     summary = F.concat(_head(2 * k + 2, 18, ceos.SUMMARY, SUMMARY_BYTES), _laid([(*where[n], v) for n, v in values.items()], 12, SUMMARY_BYTES))
     place = ceos.FIELDS[ceos.POSITION]
-    about = [(*place["points"], F.lit(str(POINTS))), (*place["day_in_year"], F.lit("12")), (*place["second"], text(F.col("azim"))), (*place["interval"], F.lit("60.0"))]
-    cells = [(ceos.POINTS_AT + (6 * p + j) * 22, 22, text((F.col("lat") if j < 3 else F.col("lon")) * (6 * p + j + 1))) for p in range(POINTS) for j in range(6)]
+    about = [(*place["points"], F.lit(str(POINTS))), (*place["day_in_year"], F.lit("12")), (*place["second"], _text(F.col("azim"))), (*place["interval"], F.lit("60.0"))]
+    cells = [(ceos.POINTS_AT + (6 * p + j) * 22, 22, _text((F.col("lat") if j < 3 else F.col("lon")) * (6 * p + j + 1))) for p in range(POINTS) for j in range(6)]
     position = F.concat(_head(2 * k + 3, 18, ceos.POSITION, POSITION_BYTES), _laid(about + cells, 12, POSITION_BYTES))
     both = SUMMARY_BYTES + POSITION_BYTES
-    patches = co.select((720 + k * both).alias("at"), F.concat(summary, position).alias("data"))
     head = struct.pack(">IBBBBI", 1, 11, 192, 18, 18, 720) + b" " * 708
-    write_patches(patches, path, 720 + n * both, head)
+    write_strips(co.withColumn("at", 720 + k * both), F.concat(summary, position), both, path, 720 + n * both, head)
     return path
 
 

@@ -4,7 +4,8 @@ Where records begin can be known only by following the chain from the start. A l
 is followed from many places at once: a task guesses the first record of its range by trying
 every byte, takes what begins a run of records with ascending numbers, and follows the chain
 to the end of the range. Then the ranges' ends are held against the next ones' beginnings;
-all ranges that were wrong are followed again from where they truly begin.
+all ranges that were wrong are followed again from where they truly begin. A file may be
+kept in compressed strips.
 
 Images of one record per line are read as tiles; their lines' prefixes and the leaders'
 fields become tables.
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
-from . import blocks
+from . import blocks, strips
 from .patches import scratch_file
 from .tiles import SCHEMA, Image, Place, TileReader
 
@@ -66,7 +67,7 @@ class Chain:
     """Records of a file from a place on. The file is opened once; short records are read many at a time."""
 
     def __init__(self, path: str):
-        self.path, self.file = path, blocks.opened(path)
+        self.path, self.file = path, strips.opened(path)
         self.size, self.begin, self.raw, self.last = self.file.size(), 0, b"", 0
 
     def __enter__(self) -> Chain:
@@ -156,7 +157,8 @@ def wrong_ranges(ends: dict[int, tuple[int, int]], n: int, range_bytes: int, siz
 
 def records(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """range, at, number, codes and length of every record of a file."""
-    size = blocks.file_size(path)
+    with strips.opened(path) as f:
+        size = f.size()
     n = -(-size // range_bytes)
 
     def walk(starts: dict[int, int]):
@@ -197,7 +199,7 @@ def contents(found: DataFrame, path: str) -> DataFrame:
     """Records with their bytes, read by the tasks that hold the rows."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with blocks.opened(path) as f:
+        with strips.opened(path) as f:
             for batch in batches:
                 yield batch.assign(content=[f.read_at(n, a) for a, n in zip(batch["at"].tolist(), batch["length"].tolist(), strict=True)])
 
