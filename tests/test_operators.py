@@ -241,3 +241,27 @@ def test_near_pairs_send_a_row_to_few_cells(spark, monkeypatch):
     want = {(a[0], b[0]) for a, b in combinations(rows, 2) if abs(a[1] - b[1]) < 0.001 and abs(a[2] - b[2]) < 0.001 and abs(a[3] - b[3]) < 5}
     assert {(x.a, x.b) for x in out.collect()} == want and want
     assert joined[0] < 3 * len(rows)
+
+
+def test_near_pairs_of_alike_collects_stay_small_when_written(spark, tmp_path, monkeypatch):
+    """Collects of few places, some at the bound, unsorted and over several runs; a repeated and a missing id."""
+    import os
+    from itertools import combinations
+
+    import numpy as np
+
+    from echofield.operators import catalog
+
+    ids = np.random.default_rng(4).permutation(3000).tolist()
+    rows = [(k, (k % 3) * 0.0009, (k % 2) * 0.4, float(k % 7)) for k in ids] + [(None, 0.0, 0.0, 0.0), (5000, None, 0.0, 0.0), (5001, 0.0, 0.0, float("nan"))]
+    df = spark.createDataFrame(rows, "collect_id long, lat double, lon double, graze double")
+    want = {(a[0], b[0]) for a, b in combinations(sorted(rows[:3000]), 2) if abs(a[1] - b[1]) < 0.001 and a[2] == b[2] and abs(a[3] - b[3]) < 5}
+    catalog.near_pairs(df).coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    found = spark.read.parquet(str(tmp_path / "pairs")).toPandas()
+    assert len(found) == len(want) and set(zip(found.a.tolist(), found.b.tolist(), strict=True)) == want
+    # Collect by collect it took 1.4 bytes for a pair.
+    assert sum(os.stat(tmp_path / "pairs" / x).st_size for x in os.listdir(tmp_path / "pairs")) < 0.5 * len(want)
+    monkeypatch.setattr(catalog, "RUN", 3)
+    twice = catalog.near_pairs(df.where("collect_id < 60").unionByName(df.where("collect_id = 7"))).toPandas()
+    small = [p for p in want if max(p) < 60]
+    assert sorted(zip(twice.a.tolist(), twice.b.tolist(), strict=True)) == sorted(small + [p for p in small if 7 in p])
