@@ -21,6 +21,11 @@ def _clamped(x: Column) -> Column:
 ANGLES = ("side", "slant_range", "ground_range", "doppler_cone", "graze", "incidence", "twist", "slope", "azimuth", "layover")
 
 
+def _between(a: Vec, b: Vec) -> Column:
+    """The angle of two vectors (degrees), exact also where they are nearly along each other."""
+    return F.degrees(F.atan2(a.cross(b).norm(), a.dot(b)))
+
+
 def with_angles(df: DataFrame, scp: Vec, arp: Vec, velocity: Vec) -> DataFrame:
     """Adds side, ranges and angles (degrees) at the centre of the aperture."""
     names = ("up", "st", "sn", "gx", "no", "ly")
@@ -44,7 +49,7 @@ def with_angles(df: DataFrame, scp: Vec, arp: Vec, velocity: Vec) -> DataFrame:
             "doppler_cone": F.degrees(F.acos(_clamped(velocity.unit().dot(sight)))),
             "graze": graze,
             "incidence": 90 - graze,
-            "twist": -F.degrees(F.asin(_clamped(up.cross(ground).dot(slant)))),
+            "twist": _between(up.cross(ground), slant) - 90,
             "slope": F.degrees(F.acos(_clamped(up.dot(slant)))),
             "azimuth": heading(ground),
             "layover": heading(lay),
@@ -70,7 +75,7 @@ def with_pointing(df: DataFrame, scp: Vec, arp: Vec, velocity: Vec) -> DataFrame
             "squint": F.degrees(F.atan2(level.cross(aim).dot(above), aim.dot(level))),
             "tilt": F.degrees("_tilt"),
             "multipath": F.degrees(-F.atan(F.tan("_tilt") * F.sin("_graze"))),
-            "track": F.degrees(-F.col("_sense") * F.acos(_clamped((ground * -1.0).dot(flight.across(up).unit())))),
+            "track": -F.col("_sense") * _between(ground * -1.0, flight.across(up).unit()),
             "flight_elevation": F.degrees(F.asin(_clamped(up.dot(flight)))),
             "right": -F.col("_sense"),
             "ascending": F.signum(velocity.z),

@@ -265,3 +265,21 @@ def test_near_pairs_of_alike_collects_stay_small_when_written(spark, tmp_path, m
     twice = catalog.near_pairs(df.where("collect_id < 60").unionByName(df.where("collect_id = 7"))).toPandas()
     small = [p for p in want if max(p) < 60]
     assert sorted(zip(twice.a.tolist(), twice.b.tolist(), strict=True)) == sorted(small + [p for p in small if 7 in p])
+
+
+def test_angles_near_right_and_straight_ones(spark):
+    """Against values of 60 digits; arc sine and arc cosine are too steep there."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from echofield.functions.vectors import Vec, vec
+
+    exact = {78902: (-89.999985017, 179.999989751), 78965: (-89.999963489, 179.999975008), 78711: (-89.999992588, 179.999994941), 78868: (-89.999992720, 179.999995022), 78790: (-90.0, 180.0)}
+    rows = [(k, 7000000.0 * math.cos((k - 250.0) * 0.00002), 7000000.0 * math.sin((k - 250.0) * 0.00002), 500000.0, 6378137.0, 0.0, 0.0) for k in exact]
+    df = spark.createDataFrame(rows, "vec long, tx_x double, tx_y double, tx_z double, srp_x double, srp_y double, srp_z double")
+    velocity = Vec(F.lit(100.0), F.lit(7000.0), F.lit(500.0))
+    twist = {r.vec: r.twist for r in geometry.with_angles(df, vec("srp"), vec("tx"), velocity).collect()}
+    track = {r.vec: r.track for r in geometry.with_pointing(df, vec("srp"), vec("tx"), velocity).collect()}
+    for k, (a, b) in exact.items():
+        assert abs(twist[k] - a) < 2e-9 and abs(track[k] - b) < 2e-9
